@@ -7,9 +7,50 @@ from netlens.plans import queries as Q
 QUERIES = {
     "a03_window_summary": Q.q_window_summary,
     "p09_engineered_features": Q.q_engineered,
+    # labels
+    "p13_label_schemes": Q.q_label_schemes,
+    "j15_unknown_labels": Q.q_unknown_labels,
+    "a01_class_counts": Q.q_class_counts,
+    "a02_class_plan": Q.q_class_plan,
+    # sampling
+    "sa01_hash_sample": Q.q_hash_sample,
+    "sa02_sample_n": Q.q_sample_n,
+    "sa03_sample_frac": Q.q_sample_frac,
+    "w09_class_quota": Q.q_class_quota,
+    "w10_stratified_split": Q.q_stratified_split,
+    "sa06_onsite_split": Q.q_onsite_split,
+    "j04_exclude_seen": Q.q_exclude_seen,
+    "sa05_realistic_sample": Q.q_realistic_sample,
+    "w11_held_out_sessions": Q.q_held_out_sessions,
+    "a34_sessions_per_class": Q.q_sessions_per_class,
+    "u02_replicate": Q.q_replicate,
+    "w08_first_per_fingerprint": Q.q_first_per_fingerprint,
+    "j07_new_files": Q.q_new_files,
+    # evaluation
+    "a15_confusion": Q.q_confusion,
+    "a16_classification_report": Q.q_classification_report,
+    "a17_scalar_metrics": Q.q_scalar_metrics,
+    "a17_binary_metrics": Q.q_binary_metrics,
+    "a18_reweighted_metrics": Q.q_reweighted_metrics,
+    "t02_weakest_classes": Q.q_weakest_classes,
+    "a19_recall_by_class": Q.q_recall_by_class,
+    "j09_session_gap": Q.q_session_gap,
+    "a20_gap_summary": Q.q_gap_summary,
+    "j08_support_vs_f1": Q.q_support_vs_f1,
+    "j10_report_delta": Q.q_report_delta,
+    "t07_best_config": Q.q_best_config,
+    "a36_pipeline_rates": Q.q_pipeline_rates,
+    "a35_gate_rates": Q.q_gate_rates,
 }
 
+# report queries compare their averaged doubles rounded to 9 places
+for _name, _cols in O.ROUND9.items():
+    QUERIES[_name] = (lambda f, c: (lambda spark, sf: Q.round_cols(f(spark, sf), c, 9)))(
+        QUERIES[_name], _cols)
+
 ORACLE = {
     "a03_window_summary": O.window_summary_sql(),
     "p09_engineered_features": O.engineered_sql(),
+    **O.ORACLE_LABELS,
+    **O.ORACLE_EVAL,
 }

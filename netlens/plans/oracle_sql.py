@@ -253,3 +253,313 @@ def engineered_sql() -> str:
             + "\nSELECT source, chunk_id, window_id, "
             + ", ".join(_r(c, UNSTABLE_ENG) for c in RAW + ENG)
             + " FROM engineered")
+
+
+# ------------------------------------------------------------------ labels
+from netlens.schema import SCHEMES  # noqa: E402
+
+_SCHEME_COLS = ["category", "binary", "category_merged", "flood_merged",
+                "proto_flood_merged", "final_merged", "deploy_merged"]
+
+LEV_CTE = """
+lev AS (
+  SELECT event_id, ts, user_id, event_type, value,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+         'cap' || CAST(user_id % 4 AS VARCHAR) AS source,
+         ([""" + _list(CLASSES_ALPHA) + """])[user_id % 34 + 1] AS label
+  FROM events
+)"""
+
+TAXONOMY_CTE = ("\ntax(label, " + ", ".join(f'"{c}"' for c in _SCHEME_COLS) + ") AS (VALUES "
+                + ", ".join("(" + ", ".join(f"'{v}'" for v in
+                                            [lab] + [SCHEMES[s][lab] for s in _SCHEME_COLS]) + ")"
+                            for lab in CLASSES_ALPHA) + ")")
+
+
+def H(key: str, seed: int = 42) -> str:
+    return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), 1, 15) AS BIGINT)"
+
+
+def U(key: str, seed: int = 42) -> str:
+    return f"({H(key, seed)} / 1152921504606846976.0)"
+
+
+FIX_THRESHOLD, FIX_CAP, FIX_TEST_TOTAL = 320, 200, 2000
+
+PLAN_CTE = f"""
+counts AS (SELECT label, count(*) AS n FROM lev GROUP BY label),
+plan AS (
+  SELECT c.label, n AS total,
+         CAST(CASE WHEN n > {FIX_THRESHOLD} THEN {FIX_CAP} ELSE n END AS BIGINT) AS target,
+         n > {FIX_THRESHOLD} AS downsampled, t.category,
+         least(1.0, CASE WHEN n > {FIX_THRESHOLD} THEN {FIX_CAP} ELSE n END / n) AS keep_p
+  FROM counts c JOIN tax t USING (label)
+),
+samp AS (
+  SELECT lev.* FROM lev JOIN plan USING (label) WHERE {U('event_id')} < keep_p
+)"""
+
+ORACLE_LABELS = {
+    "p13_label_schemes": with_ctes(LEV_CTE, TAXONOMY_CTE)
+    + "\nSELECT event_id, label, " + ", ".join(f'"{c}"' for c in _SCHEME_COLS)
+    + " FROM lev JOIN tax USING (label)",
+    "j15_unknown_labels": with_ctes(LEV_CTE, TAXONOMY_CTE)
+    + "\nSELECT DISTINCT label FROM lev WHERE label NOT IN (SELECT label FROM tax)",
+    "a01_class_counts": with_ctes(LEV_CTE) + "\nSELECT label, count(*) AS n FROM lev GROUP BY label",
+    "a02_class_plan": with_ctes(LEV_CTE, TAXONOMY_CTE, PLAN_CTE) + "\nSELECT * FROM plan",
+    "sa01_hash_sample": with_ctes(LEV_CTE, TAXONOMY_CTE, PLAN_CTE)
+    + "\nSELECT event_id, label, source FROM samp",
+    "sa02_sample_n": with_ctes(LEV_CTE)
+    + f"\nSELECT event_id, label FROM lev ORDER BY {H('event_id')}, event_id LIMIT 500",
+    "sa03_sample_frac": with_ctes(LEV_CTE) + f"""
+SELECT event_id, label FROM (
+  SELECT event_id, label,
+         row_number() OVER (PARTITION BY label ORDER BY {H('event_id')}, event_id) AS rn,
+         CAST(round(count(*) OVER (PARTITION BY label) * 0.25) AS BIGINT) AS quota
+  FROM lev) WHERE rn <= quota""",
+    "w09_class_quota": with_ctes(LEV_CTE) + f"""
+SELECT event_id, label FROM (
+  SELECT event_id, label,
+         row_number() OVER (PARTITION BY label ORDER BY {H('event_id')}, event_id) AS rn
+  FROM lev) WHERE rn <= 100""",
+    "w10_stratified_split": with_ctes(LEV_CTE) + f"""
+SELECT event_id, label,
+       row_number() OVER (PARTITION BY label ORDER BY {H('event_id')}, event_id)
+         <= CAST(round(count(*) OVER (PARTITION BY label) * 0.8) AS BIGINT) AS is_train
+FROM lev""",
+    "sa06_onsite_split": with_ctes(LEV_CTE) + f"""
+SELECT event_id, source,
+       row_number() OVER (PARTITION BY source ORDER BY {H('event_id')}, event_id)
+         <= CAST(round(count(*) OVER (PARTITION BY source) * 0.8) AS BIGINT) AS is_train
+FROM lev WHERE label = 'BenignTraffic'""",
+    "j04_exclude_seen": with_ctes(LEV_CTE, TAXONOMY_CTE, PLAN_CTE) + """
+SELECT event_id, label FROM lev
+WHERE NOT EXISTS (SELECT 1 FROM samp s WHERE s.ts IS NOT DISTINCT FROM lev.ts
+  AND s.user_id IS NOT DISTINCT FROM lev.user_id AND s.event_type IS NOT DISTINCT FROM lev.event_type
+  AND s.value IS NOT DISTINCT FROM lev.value)""",
+    "sa05_realistic_sample": with_ctes(LEV_CTE, TAXONOMY_CTE, PLAN_CTE) + f""",
+held AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY label ORDER BY {H('event_id')}, event_id)
+                <= CAST(round(count(*) OVER (PARTITION BY label) * 0.8) AS BIGINT) AS is_train
+    FROM samp) WHERE NOT is_train
+),
+rplan AS (
+  SELECT label, n, CAST(round(n / sum(n) OVER () * {FIX_TEST_TOTAL}) AS BIGINT) AS quota FROM counts
+),
+part_a AS (
+  SELECT event_id, label FROM (
+    SELECT h.event_id, h.label, r.quota,
+           row_number() OVER (PARTITION BY h.label ORDER BY {H('h.event_id')}, h.event_id) AS rn
+    FROM held h JOIN rplan r ON h.label = r.label AND r.n <= {FIX_THRESHOLD}) WHERE rn <= quota
+),
+unseen AS (
+  SELECT lev.*, least(1.0, r.quota / greatest(r.n - {FIX_CAP}, 1)) AS keep_p, r.quota
+  FROM lev JOIN rplan r ON lev.label = r.label AND r.n > {FIX_THRESHOLD}
+  WHERE NOT EXISTS (SELECT 1 FROM samp s WHERE s.ts IS NOT DISTINCT FROM lev.ts
+    AND s.user_id IS NOT DISTINCT FROM lev.user_id AND s.event_type IS NOT DISTINCT FROM lev.event_type
+    AND s.value IS NOT DISTINCT FROM lev.value)
+),
+part_b AS (
+  SELECT event_id, label FROM (
+    SELECT event_id, label, quota,
+           row_number() OVER (PARTITION BY label ORDER BY {H('event_id')}, event_id) AS rn
+    FROM unseen WHERE {U('event_id', 43)} < keep_p) WHERE rn <= quota
+)
+SELECT * FROM part_a UNION ALL SELECT * FROM part_b""",
+    "w11_held_out_sessions": with_ctes(LEV_CTE) + """
+SELECT event_type AS cls, max(source) AS held_out, count(DISTINCT source) AS sessions
+FROM lev GROUP BY event_type HAVING count(DISTINCT source) > 1""",
+    "a34_sessions_per_class": with_ctes(LEV_CTE) + """
+SELECT label, count(DISTINCT source) AS sessions, count(*) AS rows FROM lev GROUP BY label""",
+    "u02_replicate": "SELECT doc_id, r.rep FROM labels, (SELECT unnest([1, 2, 3]) AS rep) r",
+    "w08_first_per_fingerprint": """
+SELECT fp, arg_min(doc_id, lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS doc_id
+FROM (SELECT doc_id, substr(md5(text), 1, 16) AS fp FROM documents) GROUP BY fp""",
+    "j07_new_files": f"""
+WITH f AS (SELECT doc_id, substr(md5(text), 1, 16) AS fp FROM documents)
+SELECT doc_id, fp FROM f
+WHERE fp NOT IN (SELECT fp FROM f WHERE {U('doc_id', 7)} < 0.5)""",
+}
+
+# -------------------------------------------------------------- evaluation
+PRED_CTE = """
+pred AS (
+  SELECT *, event_type AS y_true,
+         (['click', 'error', 'purchase', 'signup', 'view'])[k % 5 + 1] AS y_pred,
+         (['click', 'error', 'purchase', 'signup', 'view'])[CAST(floor(k / 5) AS INTEGER) % 5 + 1]
+           AS y_pred_b
+  FROM lev
+)"""
+
+
+def _report_ctes(src: str, t: str, p: str, name: str) -> str:
+    """Per-class precision/recall/f1/support over the union of labels."""
+    return f"""
+{name}_conf AS (SELECT {t} AS y_true, {p} AS y_pred, count(*) AS n FROM {src} GROUP BY 1, 2),
+{name}_cls AS (
+  SELECT coalesce(t.class, p.class) AS class, CAST(coalesce(tp, 0) AS BIGINT) AS tp,
+         CAST(coalesce(support, 0) AS BIGINT) AS support,
+         CAST(coalesce(predicted, 0) AS BIGINT) AS predicted
+  FROM (SELECT y_true AS class, sum(n) AS support,
+               sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) AS tp
+        FROM {name}_conf GROUP BY y_true) t
+  FULL OUTER JOIN (SELECT y_pred AS class, sum(n) AS predicted FROM {name}_conf GROUP BY y_pred) p
+  ON t.class = p.class
+),
+{name}_pc AS (
+  SELECT CAST(class AS VARCHAR) AS class,
+         CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+         CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
+         CASE WHEN support + predicted = 0 THEN 0.0 ELSE 2 * tp / (support + predicted) END AS f1,
+         support
+  FROM {name}_cls
+),
+{name}_acc AS (
+  SELECT sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) / sum(n) AS accuracy,
+         sum(n) AS total FROM {name}_conf
+)"""
+
+
+def _scalar_sql(name: str) -> str:
+    return f"""
+SELECT a.accuracy,
+       avg(CASE WHEN support > 0 THEN recall END) AS balanced_accuracy,
+       avg(f1) AS f1_macro, sum(f1 * support) / sum(support) AS f1_weighted,
+       avg(precision) AS precision_macro, avg(recall) AS recall_macro
+FROM {name}_pc, {name}_acc a GROUP BY a.accuracy"""
+
+
+SPLIT_PRED_CTE = f"""
+split AS (
+  SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY {H('event_id')}, event_id)
+              <= CAST(round(count(*) OVER (PARTITION BY y_true) * 0.8) AS BIGINT) AS is_train
+  FROM pred
+),
+hconf AS (SELECT y_true, y_pred, count(*) AS n FROM split WHERE NOT is_train GROUP BY 1, 2),
+classes AS (SELECT y_true AS class FROM hconf UNION SELECT y_pred FROM hconf),
+pri AS (
+  SELECT c.class, coalesce(p.cnt, 0) / sum(coalesce(p.cnt, 0)) OVER () AS pi
+  FROM classes c LEFT JOIN (SELECT y_true AS class, count(*) AS cnt FROM pred GROUP BY 1) p
+  ON c.class = p.class
+),
+r AS (
+  SELECT h.y_true, h.y_pred, h.n / greatest(nk.nk, 1) AS r,
+         h.n / greatest(nk.nk, 1) * pri.pi AS j
+  FROM hconf h JOIN (SELECT y_true, sum(n) AS nk FROM hconf GROUP BY y_true) nk USING (y_true)
+  JOIN pri ON pri.class = h.y_true
+),
+rpc AS (
+  SELECT pri.class, pri.pi, coalesce(d.r, 0.0) AS recall, coalesce(d.j, 0.0) AS jd,
+         coalesce(c.jc, 0.0) AS jc
+  FROM pri LEFT JOIN (SELECT y_true AS class, r, j FROM r WHERE y_true = y_pred) d
+    ON pri.class = d.class
+  LEFT JOIN (SELECT y_pred AS class, sum(j) AS jc FROM r GROUP BY y_pred) c ON pri.class = c.class
+),
+rpc2 AS (
+  SELECT *, CASE WHEN jc = 0 THEN 0.0 ELSE jd / jc END AS precision FROM rpc
+),
+rpc3 AS (
+  SELECT *, CASE WHEN precision + recall = 0 THEN 0.0
+                 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM rpc2
+)"""
+
+GAP_CTE = """
+ho AS (
+  SELECT y_true, max(source) AS held_out FROM pred GROUP BY y_true
+  HAVING count(DISTINCT source) > 1
+),
+marked AS (
+  SELECT p.*, coalesce(p.source = ho.held_out, false) AS is_held_out
+  FROM pred p LEFT JOIN ho USING (y_true)
+),
+within AS (SELECT y_true AS class, avg(CAST(y_true = y_pred AS DOUBLE)) AS recall
+           FROM marked WHERE NOT is_held_out GROUP BY 1),
+cross_ AS (SELECT y_true AS class, avg(CAST(y_true = y_pred AS DOUBLE)) AS recall
+           FROM marked WHERE is_held_out GROUP BY 1),
+gap AS (
+  SELECT w.class, w.recall AS within, c.recall AS "cross", w.recall - c.recall AS gap
+  FROM within w JOIN cross_ c USING (class)
+)"""
+
+ORACLE_EVAL = {
+    "a15_confusion": with_ctes(LEV_CTE, PRED_CTE)
+    + "\nSELECT y_true, y_pred, count(*) AS n FROM pred GROUP BY 1, 2",
+    "a16_classification_report": with_ctes(LEV_CTE, PRED_CTE, _report_ctes("pred", "y_true", "y_pred", "m"))
+    + """
+SELECT * FROM m_pc
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1),
+                 CAST(sum(support) AS BIGINT) FROM m_pc
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support),
+                 sum(recall * support) / sum(support), sum(f1 * support) / sum(support),
+                 CAST(sum(support) AS BIGINT) FROM m_pc
+UNION ALL SELECT 'accuracy', accuracy, accuracy, accuracy, CAST(total AS BIGINT) FROM m_acc""",
+    "a17_scalar_metrics": with_ctes(LEV_CTE, PRED_CTE, _report_ctes("pred", "y_true", "y_pred", "m"))
+    + _scalar_sql("m"),
+    "a17_binary_metrics": with_ctes(_report_ctes("labels", "quality", "toxic", "m"))
+    + _scalar_sql("m"),
+    "a18_reweighted_metrics": with_ctes(LEV_CTE, PRED_CTE, SPLIT_PRED_CTE) + """
+SELECT sum(jd) AS accuracy, avg(f1) AS f1_macro, sum(f1 * pi) AS f1_weighted,
+       avg(recall) AS recall_macro, avg(precision) AS precision_macro FROM rpc3""",
+    "t02_weakest_classes": with_ctes(LEV_CTE, PRED_CTE, SPLIT_PRED_CTE) + """
+SELECT CAST(class AS VARCHAR) AS class, precision, recall, f1, pi FROM rpc3
+ORDER BY f1, class LIMIT 8""",
+    "a19_recall_by_class": with_ctes(LEV_CTE, PRED_CTE) + """
+SELECT y_true AS class, avg(CAST(y_true = y_pred AS DOUBLE)) AS recall, count(*) AS support
+FROM pred GROUP BY 1""",
+    "j09_session_gap": with_ctes(LEV_CTE, PRED_CTE, GAP_CTE) + "\nSELECT * FROM gap",
+    "a20_gap_summary": with_ctes(LEV_CTE, PRED_CTE, GAP_CTE) + """
+SELECT avg(within) AS mean_within, avg("cross") AS mean_cross, avg(gap) AS mean_gap,
+       count(*) FILTER (WHERE "cross" >= 0.8) AS n_cross_good,
+       count(*) FILTER (WHERE "cross" < 0.5) AS n_cross_bad, count(*) AS n_classes FROM gap""",
+    "j08_support_vs_f1": with_ctes(LEV_CTE, PRED_CTE, _report_ctes("pred", "y_true", "y_pred", "m"))
+    + """
+SELECT coalesce(c.class, m.class) AS class, c.rows, m.f1
+FROM (SELECT CAST(y_true AS VARCHAR) AS class, count(*) AS rows FROM pred GROUP BY 1) c
+FULL OUTER JOIN m_pc m ON c.class = m.class""",
+    "j10_report_delta": with_ctes(LEV_CTE, PRED_CTE, _report_ctes("pred", "y_true", "y_pred", "a"),
+                                  _report_ctes("pred", "y_true", "y_pred_b", "b")) + """
+SELECT a.class, a.f1 AS f1_a, b.f1 AS f1_b, b.f1 - a.f1 AS delta, b.f1 - a.f1 < -0.02 AS regressed
+FROM a_pc a JOIN b_pc b USING (class)""",
+    "t07_best_config": with_ctes(LEV_CTE, PRED_CTE, _report_ctes("pred", "y_true", "y_pred", "a"),
+                                 _report_ctes("pred", "y_true", "y_pred_b", "b")) + """
+SELECT config, f1_macro FROM (
+  SELECT 0 AS config, avg(f1) AS f1_macro FROM a_pc
+  UNION ALL SELECT 1, avg(f1) FROM b_pc) ORDER BY f1_macro DESC, config LIMIT 1""",
+    "a36_pipeline_rates": with_ctes(LEV_CTE, PRED_CTE) + """
+SELECT avg(CAST(y_true = y_pred AS DOUBLE)) AS accuracy,
+       avg(CASE WHEN y_true = 'view' THEN CAST(y_pred = 'view' AS DOUBLE) END) AS benign_pass,
+       avg(CASE WHEN y_true <> 'view' THEN CAST(y_pred <> 'view' AS DOUBLE) END) AS attack_caught,
+       avg(CASE WHEN y_true <> 'view' THEN CAST(y_true = y_pred AS DOUBLE) END) AS attack_exact
+FROM pred""",
+    "a35_gate_rates": with_ctes(LEV_CTE, PRED_CTE) + """
+SELECT source,
+       avg(CASE WHEN event_type = 'view' THEN CAST(NOT (k % 3 = 0) AS DOUBLE) END) AS benign_pass,
+       avg(CASE WHEN event_type <> 'view' THEN CAST(k % 3 = 0 AS DOUBLE) END) AS attack_flagged,
+       count(*) AS rows
+FROM pred GROUP BY source""",
+}
+
+
+def rounded(sql: str, cols, places: int = 9) -> str:
+    """Wrap a query so the named double columns are rounded (cross-engine compare)."""
+    rep = ", ".join(f'round("{c}", {places}) AS "{c}"' for c in cols)
+    return f"SELECT * REPLACE ({rep}) FROM ({sql}) q"
+
+
+ROUND9 = {
+    "a16_classification_report": ["precision", "recall", "f1"],
+    "a17_scalar_metrics": ["accuracy", "balanced_accuracy", "f1_macro", "f1_weighted",
+                           "precision_macro", "recall_macro"],
+    "a17_binary_metrics": ["accuracy", "balanced_accuracy", "f1_macro", "f1_weighted",
+                           "precision_macro", "recall_macro"],
+    "a18_reweighted_metrics": ["accuracy", "f1_macro", "f1_weighted", "recall_macro",
+                               "precision_macro"],
+    "t02_weakest_classes": ["precision", "recall", "f1", "pi"],
+    "t07_best_config": ["f1_macro"],
+    "j09_session_gap": ["within", "cross", "gap"],
+    "a20_gap_summary": ["mean_within", "mean_cross", "mean_gap"],
+    "j10_report_delta": ["f1_a", "f1_b", "delta"],
+}
+for _n, _c in ROUND9.items():
+    ORACLE_EVAL[_n] = rounded(ORACLE_EVAL[_n], _c)

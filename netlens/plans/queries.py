@@ -14,9 +14,9 @@ from netlens.schema import ENG, RAW
 from netlens.sources.derived import packets_from_events, table
 
 
-def round_cols(df: DataFrame, cols) -> DataFrame:
+def round_cols(df: DataFrame, cols, places: int = 6) -> DataFrame:
     cols = set(cols)
-    return df.select(*[F.round(F.col(c), 6).alias(c) if c in cols else F.col(c)
+    return df.select(*[F.round(F.col(c), places).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
 
 
@@ -39,3 +39,218 @@ def q_engineered(spark, sf_dir):
     w = round_cols(fixture_windows(spark, sf_dir), UNSTABLE_RAW)
     w = engineer(w, keep=["source", "chunk_id", "window_id"])
     return round_cols(w, UNSTABLE_ENG)
+
+
+# ---------------------------------------------------------------- labels
+from netlens.functions.labels import SCHEME_NAMES, label_scheme, unknown_labels  # noqa: E402
+from netlens.operators import evaluate as EV  # noqa: E402
+from netlens.operators import sampling as SA  # noqa: E402
+from netlens.sources.derived import labelled_events, predicted_event_type  # noqa: E402
+
+# Fixture parameters (scaled-down sampling policy for the driver tables).
+FIX_THRESHOLD = 320
+FIX_CAP = 200
+FIX_TEST_TOTAL = 2000
+SEED = 42
+
+
+def lev(spark, sf_dir):
+    return labelled_events(table(spark, sf_dir, "events"))
+
+
+def q_label_schemes(spark, sf_dir):
+    e = lev(spark, sf_dir)
+    return e.select("event_id", "label", *[label_scheme("label", s).alias(s) for s in SCHEME_NAMES])
+
+
+def q_unknown_labels(spark, sf_dir):
+    return unknown_labels(lev(spark, sf_dir))
+
+
+def q_class_counts(spark, sf_dir):
+    return SA.class_counts(lev(spark, sf_dir))
+
+
+def q_class_plan(spark, sf_dir):
+    return SA.class_plan(SA.class_counts(lev(spark, sf_dir)), threshold=FIX_THRESHOLD, cap=FIX_CAP)
+
+
+def _sample(spark, sf_dir):
+    e = lev(spark, sf_dir)
+    plan = SA.class_plan(SA.class_counts(e), threshold=FIX_THRESHOLD, cap=FIX_CAP)
+    return SA.sample_by_plan(e, plan, "event_id", seed=SEED)
+
+
+def q_hash_sample(spark, sf_dir):
+    return _sample(spark, sf_dir).select("event_id", "label", "source")
+
+
+def q_sample_n(spark, sf_dir):
+    return SA.sample_n(lev(spark, sf_dir), 500, "event_id", SEED).select("event_id", "label")
+
+
+def q_sample_frac(spark, sf_dir):
+    return SA.sample_frac(lev(spark, sf_dir), 0.25, "event_id", ["label"], SEED) \
+        .select("event_id", "label")
+
+
+def q_class_quota(spark, sf_dir):
+    return SA.sample_n(lev(spark, sf_dir), 100, "event_id", SEED, by=["label"]) \
+        .select("event_id", "label")
+
+
+def q_stratified_split(spark, sf_dir):
+    return SA.stratified_split(lev(spark, sf_dir), "label", 0.8, "event_id", SEED) \
+        .select("event_id", "label", "is_train")
+
+
+def q_onsite_split(spark, sf_dir):
+    e = lev(spark, sf_dir).filter(F.col("label") == "BenignTraffic")
+    return SA.stratified_split(e, "source", 0.8, "event_id", SEED, col="is_train") \
+        .select("event_id", "source", "is_train")
+
+
+FEATURE_KEY = ["ts", "user_id", "event_type", "value"]
+
+
+def q_exclude_seen(spark, sf_dir):
+    e = lev(spark, sf_dir)
+    return SA.exclude_seen(e, _sample(spark, sf_dir), FEATURE_KEY).select("event_id", "label")
+
+
+def q_realistic_sample(spark, sf_dir):
+    e = lev(spark, sf_dir)
+    counts = SA.class_counts(e)
+    samp = _sample(spark, sf_dir)
+    held = SA.stratified_split(samp, "label", 0.8, "event_id", SEED).filter(~F.col("is_train")) \
+        .drop("is_train")
+    out = SA.realistic_sample(e, samp, held, counts, "event_id", FEATURE_KEY,
+                              test_total=FIX_TEST_TOTAL, threshold=FIX_THRESHOLD, cap=FIX_CAP,
+                              seed=SEED)
+    return out.select("event_id", "label")
+
+
+def q_held_out_sessions(spark, sf_dir):
+    e = lev(spark, sf_dir).withColumn("cls", F.col("event_type"))
+    return SA.held_out_sessions(e, "cls")
+
+
+def q_sessions_per_class(spark, sf_dir):
+    return SA.sessions_per_class(lev(spark, sf_dir))
+
+
+def q_replicate(spark, sf_dir):
+    return SA.replicate(table(spark, sf_dir, "labels"), 3).select("doc_id", "rep")
+
+
+def _doc_files(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id"),
+                    F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"),
+                    F.substring(F.md5(F.col("text")), 1, 16).alias("fp"))
+
+
+def q_first_per_fingerprint(spark, sf_dir):
+    return SA.first_per_fingerprint(_doc_files(spark, sf_dir)).select("fp", "doc_id")
+
+
+def q_new_files(spark, sf_dir):
+    f = _doc_files(spark, sf_dir)
+    manifest = f.filter(SA.hash_unit("doc_id", 7) < 0.5)
+    return SA.new_files(f, manifest).select("doc_id", "fp")
+
+
+# ---------------------------------------------------------------- evaluation
+def predictions(spark, sf_dir):
+    """events: truth = event_type, prediction = event type number k % 5."""
+    e = lev(spark, sf_dir)
+    return e.withColumns({"y_true": F.col("event_type"),
+                          "y_pred": predicted_event_type(F.col("k")),
+                          "y_pred_b": predicted_event_type(F.floor(F.col("k") / 5).cast("int"))})
+
+
+def q_confusion(spark, sf_dir):
+    return EV.confusion(predictions(spark, sf_dir))
+
+
+def q_classification_report(spark, sf_dir):
+    return EV.classification_report(EV.confusion(predictions(spark, sf_dir)))
+
+
+def q_scalar_metrics(spark, sf_dir):
+    return EV.scalar_metrics(EV.confusion(predictions(spark, sf_dir)))
+
+
+def q_binary_metrics(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels")
+    return EV.scalar_metrics(EV.confusion(lab, "quality", "toxic"))
+
+
+def _held_out_conf(spark, sf_dir):
+    p = SA.stratified_split(predictions(spark, sf_dir), "y_true", 0.8, "event_id", SEED)
+    return EV.confusion(p.filter(~F.col("is_train")))
+
+
+def _priors(spark, sf_dir):
+    return SA.class_counts(predictions(spark, sf_dir), "y_true").withColumnRenamed("y_true", "label")
+
+
+def q_reweighted_metrics(spark, sf_dir):
+    return EV.reweighted(_held_out_conf(spark, sf_dir), _priors(spark, sf_dir))[1]
+
+
+def q_weakest_classes(spark, sf_dir):
+    per = EV.reweighted(_held_out_conf(spark, sf_dir), _priors(spark, sf_dir))[0]
+    return EV.rank(per, "f1", n=8, ascending=True, tie="class")
+
+
+def _gap(spark, sf_dir):
+    p = SA.mark_held_out(predictions(spark, sf_dir), "y_true", "source")
+    within = EV.recall_by_class(p.filter(~F.col("is_held_out")))
+    cross = EV.recall_by_class(p.filter(F.col("is_held_out")))
+    return EV.session_gap(within, cross)
+
+
+def q_recall_by_class(spark, sf_dir):
+    return EV.recall_by_class(predictions(spark, sf_dir))
+
+
+def q_session_gap(spark, sf_dir):
+    return _gap(spark, sf_dir)
+
+
+def q_gap_summary(spark, sf_dir):
+    return EV.gap_summary(_gap(spark, sf_dir))
+
+
+def q_support_vs_f1(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    return EV.support_vs_f1(SA.class_counts(p, "y_true").withColumnRenamed("y_true", "label"),
+                            EV.per_class(EV.confusion(p)))
+
+
+def q_report_delta(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    a = EV.per_class(EV.confusion(p))
+    b = EV.per_class(EV.confusion(p, "y_true", "y_pred_b"))
+    return EV.report_delta(a, b)
+
+
+def q_best_config(spark, sf_dir):
+    """Best of the two predictors by macro-F1, first on ties (T7 over A17 rows)."""
+    p = predictions(spark, sf_dir)
+    a = EV.scalar_metrics(EV.confusion(p)).withColumn("config", F.lit(0))
+    b = EV.scalar_metrics(EV.confusion(p, "y_true", "y_pred_b")).withColumn("config", F.lit(1))
+    return EV.best_by(a.unionByName(b), "f1_macro", "config").select("config", "f1_macro")
+
+
+def q_pipeline_rates(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    return EV.pipeline_rates(p, benign="view")
+
+
+def q_gate_rates(spark, sf_dir):
+    p = predictions(spark, sf_dir).withColumns({
+        "is_benign": F.col("event_type") == "view",
+        "flagged": F.col("k") % 3 == 0})
+    return EV.gate_rates(p, by="source")
