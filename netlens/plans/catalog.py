@@ -41,6 +41,24 @@ QUERIES = {
     "t07_best_config": Q.q_best_config,
     "a36_pipeline_rates": Q.q_pipeline_rates,
     "a35_gate_rates": Q.q_gate_rates,
+    # alerts
+    "s07_read_events": Q.q_read_events,
+    "p21_filter_events": Q.q_filter_events,
+    "p22_events_to_alerts": Q.q_events_to_alerts,
+    "p26_drop_categories": Q.q_drop_categories,
+    "p25_uri_rules": Q.q_uri_rules,
+    "p27_scored_detail": Q.q_scored_detail,
+    "a21_label_histogram": Q.q_label_histogram,
+    "t05_top_labels": Q.q_top_labels,
+    "a22_dominant_signature": Q.q_dominant_signature,
+    "a24_verdicts": Q.q_verdicts,
+    "a23_capture_detection": Q.q_capture_detection,
+    "a25_detection_rollup": Q.q_detection_rollup,
+    "a27_alerts_per_label": Q.q_alerts_per_label,
+    "a26_dashboard_kpis": Q.q_dashboard_kpis,
+    "a28_timeline": Q.q_timeline,
+    "t04_recent": Q.q_recent,
+    "t06_first_signatures": Q.q_first_signatures,
 }
 
 # report queries compare their averaged doubles rounded to 9 places
@@ -53,4 +71,5 @@ ORACLE = {
     "p09_engineered_features": O.engineered_sql(),
     **O.ORACLE_LABELS,
     **O.ORACLE_EVAL,
+    **O.ORACLE_ALERTS,
 }

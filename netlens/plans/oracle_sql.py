@@ -563,3 +563,185 @@ ROUND9 = {
 }
 for _n, _c in ROUND9.items():
     ORACLE_EVAL[_n] = rounded(ORACLE_EVAL[_n], _c)
+
+
+# ------------------------------------------------------------------ alerts
+from netlens.operators.alerts import DISABLED_PREFIXES, NOISE  # noqa: E402
+from netlens.sources.derived import ATTACK_URIS, SIGNATURES  # noqa: E402
+
+JSON_CTE = """
+jl AS (
+  SELECT event_id AS line_no, ts, user_id, k, label AS capture,
+         CASE WHEN event_id % 7 = 0 THEN 'flow' ELSE 'alert' END AS event_type,
+         strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+0000' AS timestamp,
+         '10.0.0.' || CAST(user_id % 16 AS VARCHAR) AS src_ip,
+         '10.0.1.' || CAST(k % 8 AS VARCHAR) AS dest_ip,
+         ([""" + _list(SIGNATURES) + """])[k % 12 + 1] AS signature,
+         CAST(CASE WHEN k % 4 = 0 THEN NULL ELSE k % 4 END AS BIGINT) AS severity
+  FROM lev WHERE event_id % 11 <> 0 AND event_id % 13 <> 0
+),
+fe AS (
+  SELECT * FROM jl
+  WHERE event_type = 'alert' AND coalesce(severity, 3) <= 2
+    AND NOT (""" + " OR ".join(f"contains(signature, '{n}')" for n in NOISE) + """)
+),
+dpi_alerts AS (
+  SELECT TRY_CAST(replace(substr(timestamp, 1, 19), 'T', ' ') AS TIMESTAMP) AS ts,
+         'DPI: ' || coalesce(signature, 'Suricata alert')
+           || CASE WHEN severity IS NOT NULL AND severity <> 0
+                   THEN ' (sev ' || CAST(severity AS VARCHAR) || ')' ELSE '' END AS label,
+         coalesce(src_ip, '?') || '->' || coalesce(dest_ip, '?') AS source
+  FROM jl WHERE event_type = 'alert'
+)"""
+
+DETAIL_CTE = """
+sc AS (
+  SELECT event_id AS window_id, ts, label AS capture, k % 3 = 0 AS is_anomaly,
+         ([""" + _list(CLASSES_ALPHA) + """])[(user_id + k) % 34 + 1] AS attack_type
+  FROM lev
+),
+det AS (
+  SELECT *, CAST(is_anomaly AS INTEGER) AS is_anomaly_i,
+         CASE WHEN is_anomaly THEN attack_type ELSE 'BenignTraffic' END AS label
+  FROM sc
+),
+alerts AS (
+  SELECT ts, label, capture AS source FROM det WHERE label <> 'BenignTraffic'
+  UNION ALL SELECT ts, label, source FROM dpi_alerts
+)"""
+
+REQ_CTE = """
+req AS (
+  SELECT page_id AS request_id,
+         CASE WHEN page_id % 10 = 0
+              THEN url || ([""" + _list(ATTACK_URIS) + """])[CAST(floor(page_id / 10) AS BIGINT) % 4 + 1]
+              ELSE url END AS uri,
+         html AS body, 6 AS proto,
+         CASE WHEN page_id % 7 = 0 THEN 23 WHEN starts_with(url, 'https') THEN 443 ELSE 80 END AS dport
+  FROM pages
+),
+nreq AS (
+  SELECT request_id, lower(url_decode(replace(uri, '+', ' '))) AS u, lower(body) AS b, proto, dport
+  FROM req
+)"""
+
+_RULE_SQL = [
+    (1000001, "LOCAL SQLi UNION SELECT in URI", "regexp_matches(u, 'union.*select')"),
+    (1000002, "LOCAL SQLi tautology '' OR 1=1", "contains(u, 'or 1=1')"),
+    (1000003, "LOCAL XSS script tag in request", "contains(u, '<script')"),
+    (1000004, "LOCAL OS Command Injection in URI",
+     "regexp_matches(u, '(?i)(;|\\||`|\\$\\()\\s*(cat|wget|curl|nc|sh|bash|chmod|busybox)\\b')"),
+    (1000005, "LOCAL Mirai-style wget+chmod dropper", "contains(b, 'wget') AND contains(b, 'chmod')"),
+    (1000006, "LOCAL Telnet to IoT device (policy)", "proto = 6 AND dport = 23"),
+    (1000007, "LOCAL Telnet default-cred attempt (root)",
+     "proto = 6 AND dport = 23 AND contains(substr(b, 1, 64), 'root')"),
+]
+
+_VERDICT_BODY = """
+d AS (SELECT capture, count(*) AS flows, avg(CAST(is_anomaly AS DOUBLE)) AS ml_rate
+      FROM det GROUP BY capture),
+mltop AS (
+  SELECT capture, attack_type AS top_attack_type FROM (
+    SELECT capture, attack_type,
+           row_number() OVER (PARTITION BY capture ORDER BY count(*) DESC, attack_type) AS rn
+    FROM det WHERE is_anomaly GROUP BY capture, attack_type) WHERE rn = 1
+),
+sn AS (SELECT capture, signature, count(*) AS n FROM fe GROUP BY 1, 2),
+dpi AS (
+  SELECT capture, sum(n) AS dpi_alerts, max(CASE WHEN rt = 1 THEN signature END) AS top_sig,
+         string_agg(CASE WHEN rn <= 5 THEN signature END, '|' ORDER BY signature) AS dpi_sigs
+  FROM (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY n DESC, signature) AS rt,
+               row_number() OVER (PARTITION BY capture ORDER BY signature) AS rn FROM sn)
+  GROUP BY capture
+),
+v0 AS (
+  SELECT d.capture, flows, ml_rate, {ml_hit} AS ml_hit, top_attack_type,
+         CAST(coalesce(dpi_alerts, 0) AS BIGINT) AS dpi_alerts,
+         coalesce(dpi_alerts, 0) > 0 AS dpi_hit, coalesce(dpi_sigs, '') AS dpi_sigs, top_sig
+  FROM d LEFT JOIN mltop USING (capture) LEFT JOIN dpi USING (capture)
+),
+v AS (
+  SELECT capture, flows, ml_rate, ml_hit AS ml_detected,
+         CASE WHEN ml_rate > 0 THEN top_attack_type ELSE 'BenignTraffic' END AS ml_label,
+         dpi_alerts, dpi_hit AS dpi_detected, dpi_sigs, ml_hit OR dpi_hit AS detected,
+         CASE WHEN dpi_hit THEN 'DPI: ' || top_sig WHEN ml_hit THEN top_attack_type
+              ELSE 'BenignTraffic' END AS final_label,
+         CASE WHEN ml_hit AND dpi_hit THEN 'both' WHEN ml_hit THEN 'ML' WHEN dpi_hit THEN 'DPI'
+              ELSE 'none' END AS caught_by
+  FROM v0
+)"""
+
+
+def _verdict_sql(ml_hit: str) -> str:
+    return _VERDICT_BODY.replace("{ml_hit}", ml_hit)
+
+
+ORACLE_ALERTS = {
+    "s07_read_events": with_ctes(LEV_CTE, JSON_CTE) + """
+SELECT line_no, event_type, timestamp, src_ip, dest_ip, capture, signature, severity FROM jl""",
+    "p21_filter_events": with_ctes(LEV_CTE, JSON_CTE)
+    + "\nSELECT line_no, capture, signature, severity FROM fe",
+    "p22_events_to_alerts": with_ctes(LEV_CTE, JSON_CTE) + "\nSELECT * FROM dpi_alerts",
+    "p26_drop_categories": with_ctes(LEV_CTE, JSON_CTE) + """
+SELECT line_no, signature FROM jl WHERE event_type = 'alert'
+  AND NOT regexp_matches(signature, '^(""" + "|".join(DISABLED_PREFIXES) + """)')""",
+    "p25_uri_rules": with_ctes(REQ_CTE) + "\n" + "\nUNION ALL\n".join(
+        f"SELECT request_id, {sid} AS sid, '{msg}' AS msg FROM nreq WHERE {pred}"
+        for sid, msg, pred in _RULE_SQL),
+    "p27_scored_detail": with_ctes(LEV_CTE, DETAIL_CTE.split("alerts AS")[0].rstrip().rstrip(","))
+    + "\nSELECT window_id, is_anomaly_i, attack_type, label FROM det",
+    "a21_label_histogram": with_ctes(LEV_CTE, DETAIL_CTE.split("alerts AS")[0].rstrip().rstrip(","))
+    + """
+SELECT capture, label, n, n / sum(n) OVER (PARTITION BY capture) AS share,
+       contains(lower(label), 'flood') AS is_flood
+FROM (SELECT capture, label, count(*) AS n FROM det GROUP BY 1, 2)""",
+    "t05_top_labels": with_ctes(LEV_CTE, DETAIL_CTE.split("alerts AS")[0].rstrip().rstrip(","))
+    + """
+SELECT * FROM (
+  SELECT capture, label, n,
+         row_number() OVER (PARTITION BY capture ORDER BY n DESC, label) AS rank
+  FROM (SELECT capture, label, count(*) AS n FROM det GROUP BY 1, 2)) WHERE rank <= 6""",
+    "a22_dominant_signature": with_ctes(LEV_CTE, JSON_CTE) + """
+SELECT capture, signature AS top_signature, n AS top_signature_n FROM (
+  SELECT capture, signature, n,
+         row_number() OVER (PARTITION BY capture ORDER BY n DESC, signature) AS rn
+  FROM (SELECT capture, signature, count(*) AS n FROM fe GROUP BY 1, 2)) WHERE rn = 1""",
+    "a24_verdicts": with_ctes(LEV_CTE, JSON_CTE, DETAIL_CTE, _verdict_sql("ml_rate > 0"))
+    + "\nSELECT * FROM v",
+    "a23_capture_detection": with_ctes(LEV_CTE, JSON_CTE, DETAIL_CTE, _verdict_sql("ml_rate >= 0.1"))
+    + "\nSELECT * FROM v",
+    "a25_detection_rollup": with_ctes(LEV_CTE, JSON_CTE, DETAIL_CTE, _verdict_sql("ml_rate >= 0.1"))
+    + """
+SELECT count(*) FILTER (WHERE capture <> 'BenignTraffic' AND detected) AS attacks_detected,
+       count(*) FILTER (WHERE capture <> 'BenignTraffic') AS attacks,
+       count(*) FILTER (WHERE capture IN (""" + _list(
+        ["SqlInjection", "XSS", "CommandInjection", "BrowserHijacking", "Uploading_Attack",
+         "Backdoor_Malware"]) + """) AND detected) AS web_detected,
+       count(*) FILTER (WHERE capture IN (""" + _list(
+        ["SqlInjection", "XSS", "CommandInjection", "BrowserHijacking", "Uploading_Attack",
+         "Backdoor_Malware"]) + """)) AS web,
+       bool_or(CASE WHEN capture = 'BenignTraffic' THEN detected END) AS benign_false_positive
+FROM v""",
+    "a27_alerts_per_label": with_ctes(LEV_CTE, JSON_CTE, DETAIL_CTE)
+    + "\nSELECT label, count(*) AS n FROM alerts GROUP BY label",
+    "a26_dashboard_kpis": with_ctes(LEV_CTE, JSON_CTE, DETAIL_CTE) + """
+SELECT count(*) AS total, count(DISTINCT label) AS labels,
+       count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 1 MINUTE)
+         AS last_minute,
+       max(ts) AS last_alert
+FROM alerts""",
+    "a28_timeline": with_ctes(LEV_CTE, JSON_CTE, DETAIL_CTE) + """,
+cnt AS (
+  SELECT CAST(floor(epoch_us(ts) / 10000000) AS BIGINT) AS bin, count(*) AS alerts
+  FROM alerts WHERE ts IS NOT NULL GROUP BY 1
+),
+bins AS (SELECT unnest(range(min(bin), max(bin) + 1)) AS bin FROM cnt)
+SELECT b.bin, make_timestamp(b.bin * 10000000) AS bin_start, coalesce(c.alerts, 0) AS alerts
+FROM bins b LEFT JOIN cnt c USING (bin)""",
+    "t04_recent": with_ctes(LEV_CTE, JSON_CTE, DETAIL_CTE) + """
+SELECT ts, label, source FROM alerts ORDER BY ts DESC NULLS LAST, label, source LIMIT 100""",
+    "t06_first_signatures": with_ctes(LEV_CTE, JSON_CTE) + """
+SELECT capture, string_agg(signature, '|' ORDER BY signature) AS signatures FROM (
+  SELECT capture, signature, row_number() OVER (PARTITION BY capture ORDER BY signature) AS r
+  FROM (SELECT DISTINCT capture, signature FROM fe)) WHERE r <= 5 GROUP BY capture""",
+}

@@ -254,3 +254,104 @@ def q_gate_rates(spark, sf_dir):
         "is_benign": F.col("event_type") == "view",
         "flagged": F.col("k") % 3 == 0})
     return EV.gate_rates(p, by="source")
+
+
+# ---------------------------------------------------------------- alerts
+from netlens.operators import alerts as AL  # noqa: E402
+from netlens.schema import WEB_CLASSES  # noqa: E402
+from netlens.sources.derived import alert_json_lines, http_requests, scored_windows  # noqa: E402
+
+DASHBOARD_NOW = "2024-01-15 12:00:00"
+
+
+def parsed_events(spark, sf_dir):
+    return AL.parse_events(alert_json_lines(table(spark, sf_dir, "events")))
+
+
+def filtered_events(spark, sf_dir):
+    return AL.filter_events(parsed_events(spark, sf_dir))
+
+
+def detail(spark, sf_dir):
+    return AL.to_detail(scored_windows(table(spark, sf_dir, "events")))
+
+
+def all_alerts(spark, sf_dir):
+    return AL.union_alerts(AL.ml_alerts(detail(spark, sf_dir)),
+                           AL.events_to_alerts(parsed_events(spark, sf_dir)))
+
+
+def q_read_events(spark, sf_dir):
+    return parsed_events(spark, sf_dir)
+
+
+def q_filter_events(spark, sf_dir):
+    return filtered_events(spark, sf_dir).select("line_no", "capture", "signature", "severity")
+
+
+def q_events_to_alerts(spark, sf_dir):
+    return AL.events_to_alerts(parsed_events(spark, sf_dir))
+
+
+def q_drop_categories(spark, sf_dir):
+    ev = parsed_events(spark, sf_dir).filter(F.col("event_type") == "alert")
+    return AL.drop_categories(ev).select("line_no", "signature")
+
+
+def q_uri_rules(spark, sf_dir):
+    return AL.match_rules(http_requests(table(spark, sf_dir, "pages")))
+
+
+def q_scored_detail(spark, sf_dir):
+    return detail(spark, sf_dir).select("window_id", "is_anomaly_i", "attack_type", "label")
+
+
+def q_label_histogram(spark, sf_dir):
+    return AL.label_histogram(detail(spark, sf_dir), by="capture")
+
+
+def q_top_labels(spark, sf_dir):
+    return AL.top_labels(detail(spark, sf_dir), "capture", 6)
+
+
+def q_dominant_signature(spark, sf_dir):
+    return AL.dominant(filtered_events(spark, sf_dir), "capture", "signature")
+
+
+def _verdicts(spark, sf_dir, min_rate):
+    v = AL.verdicts(detail(spark, sf_dir), filtered_events(spark, sf_dir), min_rate=min_rate)
+    return v.withColumn("dpi_sigs", F.array_join("dpi_sigs", "|"))
+
+
+def q_verdicts(spark, sf_dir):
+    return _verdicts(spark, sf_dir, None)
+
+
+def q_capture_detection(spark, sf_dir):
+    return _verdicts(spark, sf_dir, 0.10)
+
+
+def q_detection_rollup(spark, sf_dir):
+    v = AL.verdicts(detail(spark, sf_dir), filtered_events(spark, sf_dir), min_rate=0.10)
+    return AL.detection_rollup(v, WEB_CLASSES)
+
+
+def q_alerts_per_label(spark, sf_dir):
+    return all_alerts(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_dashboard_kpis(spark, sf_dir):
+    return AL.dashboard_kpis(all_alerts(spark, sf_dir), DASHBOARD_NOW)
+
+
+def q_timeline(spark, sf_dir):
+    return AL.timeline(all_alerts(spark, sf_dir), 10)
+
+
+def q_recent(spark, sf_dir):
+    return AL.recent(all_alerts(spark, sf_dir), 100)
+
+
+def q_first_signatures(spark, sf_dir):
+    s = AL.first_signatures(filtered_events(spark, sf_dir), "capture", 5)
+    return s.withColumn("signatures", F.array_join("signatures", "|"))

@@ -122,17 +122,58 @@ def alert_json_lines(events: DataFrame) -> DataFrame:
     sig = F.element_at(F.array(*[F.lit(s) for s in SIGNATURES]),
                        (k % len(SIGNATURES) + 1).cast("int"))
     sev = k % 4
-    alert = F.when(sev == 0, F.struct(sig.alias("signature"))) \
-        .otherwise(F.struct(sig.alias("signature"), sev.alias("severity")))
+    # a NULL severity is left out of the JSON text (to_json drops null fields)
+    alert = F.struct(sig.alias("signature"), F.when(sev != 0, sev).alias("severity"))
     ev = F.struct(
         F.when(eid % 7 == 0, F.lit("flow")).otherwise(F.lit("alert")).alias("event_type"),
         F.concat(F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
                  F.lit("+0000")).alias("timestamp"),
         F.concat(F.lit("10.0.0."), (F.col("user_id") % 16).cast("string")).alias("src_ip"),
         F.concat(F.lit("10.0.1."), (k % 8).cast("string")).alias("dest_ip"),
-        F.concat(F.lit("cap"), (F.col("user_id") % 4).cast("string")).alias("source"),
+        class_label().alias("capture"),
         alert.alias("alert"))
     line = (F.when(eid % 11 == 0, F.lit(""))
             .when(eid % 13 == 0, F.concat(F.lit('{"event_type": "alert", "broken'), eid.cast("string")))
             .otherwise(F.to_json(ev)))
     return events.select(eid.alias("line_no"), line.alias("value"))
+
+
+def scored_windows(events: DataFrame) -> DataFrame:
+    """Fixture scoring output: one row per event as a scored window.
+
+    capture = the event's class label (one capture per class), ts = event
+    time, is_anomaly = ``k % 3 = 0``, attack_type = class number
+    ``(user_id + k) % 34`` in alphabetical order.
+    """
+    k = event_k()
+    return events.select(
+        F.col("event_id").alias("window_id"), F.col("ts"),
+        class_label().alias("capture"),
+        ((k % 3) == 0).alias("is_anomaly"),
+        F.element_at(F.array(*[F.lit(c) for c in CLASSES_ALPHA]),
+                     ((F.col("user_id") + k) % len(CLASSES_ALPHA) + 1).cast("int"))
+         .alias("attack_type"))
+
+
+# FIXED VALUES: the four web-attack request paths of the smoke capture.
+ATTACK_URIS = [
+    "/index.php?id=1%20union%20select%20user,pass%20from%20users",
+    "/search?q=<script>alert(1)</script>",
+    "/cgi-bin/cmd?x=;cat%20/etc/passwd",
+    "/api?id=1%27%20or%201=1--",
+]
+
+
+def http_requests(pages: DataFrame) -> DataFrame:
+    """Requests built from ``pages``: the page URL as URI and its HTML as body.
+
+    Every 10th page gets one of the four attack paths appended; every 7th
+    page is a TCP/23 session whose payload is the HTML.
+    """
+    pid = F.col("page_id")
+    attack = F.element_at(F.array(*[F.lit(u) for u in ATTACK_URIS]),
+                          (F.floor(pid / 10) % 4 + 1).cast("int"))
+    uri = F.when(pid % 10 == 0, F.concat(F.col("url"), attack)).otherwise(F.col("url"))
+    dport = F.when(pid % 7 == 0, 23).when(F.col("url").startswith("https"), 443).otherwise(80)
+    return pages.select(pid.alias("request_id"), uri.alias("uri"), F.col("html").alias("body"),
+                        F.lit(6).alias("proto"), dport.alias("dport"))

@@ -32,7 +32,9 @@ def _norm(v):
         return None
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
+            return None
+        if float(v).is_integer():
+            return int(v)       # nullable integer columns arrive as float from Spark
         return repr(float(v))
     if hasattr(v, "tolist"):
         v = v.tolist()
@@ -40,6 +42,8 @@ def _norm(v):
         return tuple(_norm(x) for x in v)
     if isinstance(v, pd.Timestamp):
         return v.isoformat()
+    if isinstance(v, float) or (hasattr(v, "dtype") and "float" in str(v.dtype)):
+        return _norm(float(v))
     return str(v) if not isinstance(v, (int, bool)) else int(v)
 
 
