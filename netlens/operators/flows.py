@@ -139,7 +139,8 @@ def flow_info(packets: DataFrame) -> DataFrame:
     """
     p = packets.withColumns(flow_key_cols())
     w = Window.partitionBy("source", "chunk_id", *FLOW_KEY).orderBy("packet_no")
-    p = p.withColumn("_gap", F.col("ts_us") - F.lag("ts_us").over(w))
+    p = p.withColumns({"_gap": F.col("ts_us") - F.lag("ts_us").over(w),
+                       "_d": F.col("ts_us") - F.first("ts_us").over(w)})
     ts_s = F.col("ts_us") / F.lit(1e6)
     n = F.count(F.lit(1))
     sx = F.sum("ts_us")
@@ -150,11 +151,19 @@ def flow_info(packets: DataFrame) -> DataFrame:
         F.min(ts_s).alias("min_ts"), F.max(ts_s).alias("max_ts"),
         (sx / F.lit(1e6)).alias("sum_ts"),
         (sx / n / F.lit(1e6)).alias("mean_ts"),
-        (F.stddev_pop("ts_us") / F.lit(1e6)).alias("std_ts"),
+        _exact_std("_d").alias("std_ts"),
         (F.max_by("_gap", "packet_no") / F.lit(1e6)).alias("idle"),
         ((F.max("ts_us") - F.min("ts_us")) / F.lit(1e6)).alias("active")))
 
 
+def _exact_std(d: str) -> Column:
+    """Population std in seconds of microsecond offsets, from exact decimal moments."""
+    x = F.col(d).cast("decimal(38,0)")
+    n = F.count(F.lit(1)).cast("decimal(38,0)")
+    m2 = (n * F.sum(x * x) - F.sum(x) * F.sum(x)).cast("double")
+    return F.sqrt(m2 / (n * n).cast("double")) / F.lit(1e6)
+
+
 def flow_directions(packets: DataFrame) -> DataFrame:
     """Packets and bytes per direction of each flow (A10).
 

@@ -165,22 +165,38 @@ def two_stream_stats(rows: DataFrame, by=WINDOW_KEY) -> DataFrame:
         .withColumn("_pos", F.row_number().over(w))
     inc = r.filter(F.col("is_fwd") == 0).select(*by, "_pos", F.col("x").alias("xi"))
     out = r.filter(F.col("is_fwd") == 1).select(*by, "_pos", F.col("x").alias("xo"))
+    xl = F.col("x").cast("long")
+    fin, fout = F.col("is_fwd") == 0, F.col("is_fwd") == 1
     side = r.groupBy(*by).agg(
-        F.sum(1 - F.col("is_fwd")).alias("n_in"), F.sum("is_fwd").alias("n_out"),
-        F.avg(F.when(F.col("is_fwd") == 0, F.col("x"))).alias("mean_in"),
-        F.avg(F.when(F.col("is_fwd") == 1, F.col("x"))).alias("mean_out"),
-        F.var_pop(F.when(F.col("is_fwd") == 0, F.col("x"))).alias("var_in"),
-        F.var_pop(F.when(F.col("is_fwd") == 1, F.col("x"))).alias("var_out"))
+        F.sum(1 - F.col("is_fwd")).cast("long").alias("n_in"),
+        F.sum("is_fwd").cast("long").alias("n_out"),
+        F.sum(F.when(fin, xl)).alias("_si"), F.sum(F.when(fout, xl)).alias("_so"),
+        F.sum(F.when(fin, xl * xl)).alias("_ssi"), F.sum(F.when(fout, xl * xl)).alias("_sso"))
+    # exact integer moments: n^2 * var = n * sum(x^2) - sum(x)^2
+    m2i = F.col("n_in") * F.col("_ssi") - F.col("_si") * F.col("_si")
+    m2o = F.col("n_out") * F.col("_sso") - F.col("_so") * F.col("_so")
+    side = side.select(
+        *by, "n_in", "n_out",
+        F.try_divide(F.col("_si"), F.col("n_in")).alias("mean_in"),
+        F.try_divide(F.col("_so"), F.col("n_out")).alias("mean_out"),
+        F.try_divide(m2i * F.col("n_out") * F.col("n_out"),
+                     m2o * F.col("n_in") * F.col("n_in")).alias("variance_ratio"))
     pairs = inc.join(out, [*by, "_pos"]).groupBy(*by).agg(
-        F.corr("xi", "xo").alias("pearson"),
         F.sum("xi").alias("_sxi"), F.sum("xo").alias("_sxo"),
+        F.sum(F.col("xi") * F.col("xi")).alias("_sxxi"),
+        F.sum(F.col("xo") * F.col("xo")).alias("_sxxo"),
         F.sum(F.col("xi") * F.col("xo")).alias("_sxy"), F.count(F.lit(1)).alias("_np"))
-    res = side.join(pairs, list(by), "left")
+    # Pearson from exact sums of integer sizes; NULL when a side is constant
+    np_, sxi, sxo = F.col("_np"), F.col("_sxi"), F.col("_sxo")
+    pearson = F.try_divide(np_ * F.col("_sxy") - sxi * sxo,
+                           F.sqrt((np_ * F.col("_sxxi") - sxi * sxi)
+                                  * (np_ * F.col("_sxxo") - sxo * sxo)))
+    res = side.join(pairs.withColumn("pearson", pearson), list(by), "left")
     return res.select(
         *by, "n_in", "n_out", "mean_in", "mean_out", "pearson",
         F.try_divide(F.col("_sxy") - F.col("_sxi") * F.col("_sxo") / F.col("_np"),
                      F.col("n_in")).alias("covariance"),
-        F.try_divide(F.col("var_in"), F.col("var_out")).alias("variance_ratio"),
+        "variance_ratio",
         (F.col("n_in") * F.col("n_out")).alias("weight"))
 
 

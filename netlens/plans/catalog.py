@@ -59,6 +59,21 @@ QUERIES = {
     "a28_timeline": Q.q_timeline,
     "t04_recent": Q.q_recent,
     "t06_first_signatures": Q.q_first_signatures,
+    # packets, flows, windows
+    "w02_chunk_ids": Q.q_chunk_ids,
+    "w01_window_ids": Q.q_window_ids,
+    "w03_flow_state": Q.q_flow_state,
+    "w07_capture_iat": Q.q_capture_iat,
+    "a09_flow_info": Q.q_flow_info,
+    "a10_flow_directions": Q.q_flow_directions,
+    "a11_host_counts": Q.q_host_counts,
+    "a12_protocol_counts": Q.q_protocol_counts,
+    "a13_privileged_connections": Q.q_privileged_connections,
+    "p07_protocol_names": Q.q_protocol_names,
+    "p03_packet_flags": Q.q_app_flags,
+    "a08_size_summary": Q.q_size_summary,
+    "a06_window_split": Q.q_window_split,
+    "a07_two_stream": Q.q_two_stream,
 }
 
 # report queries compare their averaged doubles rounded to 9 places
@@ -72,4 +87,5 @@ ORACLE = {
     **O.ORACLE_LABELS,
     **O.ORACLE_EVAL,
     **O.ORACLE_ALERTS,
+    **O.ORACLE_PACKETS,
 }

@@ -745,3 +745,146 @@ SELECT capture, string_agg(signature, '|' ORDER BY signature) AS signatures FROM
   SELECT capture, signature, row_number() OVER (PARTITION BY capture ORDER BY signature) AS r
   FROM (SELECT DISTINCT capture, signature FROM fe)) WHERE r <= 5 GROUP BY capture""",
 }
+
+
+# ----------------------------------------------------------------- packets
+_FLOWROWS = with_ctes(PACKETS_CTE, PACKET_FEATURES_CTE, FLOW_CTE)
+
+SPLIT_CTE = """
+sides AS (
+  SELECT source, chunk_id, window_id, count(*) AS n,
+         count(*) FILTER (WHERE is_fwd = 0) AS n_in, count(*) FILTER (WHERE is_fwd = 1) AS n_out
+  FROM flowrows GROUP BY 1, 2, 3
+),
+pos AS (
+  SELECT f.source, f.chunk_id, f.window_id, CAST(f.frame_len AS DOUBLE) AS x, f.is_fwd,
+         s.n_in, s.n_out,
+         row_number() OVER (PARTITION BY f.source, f.chunk_id, f.window_id ORDER BY packet_no) AS p_all,
+         row_number() OVER (PARTITION BY f.source, f.chunk_id, f.window_id, f.is_fwd
+                            ORDER BY packet_no) AS p_side
+  FROM flowrows f JOIN sides s USING (source, chunk_id, window_id)
+),
+ins AS (
+  SELECT source, chunk_id, window_id, x, CASE WHEN n_in > 0 THEN p_side ELSE p_all END AS p
+  FROM pos WHERE n_in = 0 OR is_fwd = 0
+),
+outs AS (
+  SELECT source, chunk_id, window_id, x, CASE WHEN n_out > 0 THEN p_side ELSE p_all END AS p
+  FROM pos WHERE n_out = 0 OR is_fwd = 1
+),
+mi AS (SELECT source, chunk_id, window_id, avg(x) AS m, var_pop(x) AS v, count(*) AS c
+       FROM ins GROUP BY 1, 2, 3),
+mo AS (SELECT source, chunk_id, window_id, avg(x) AS m, var_pop(x) AS v, count(*) AS c
+       FROM outs GROUP BY 1, 2, 3),
+cv AS (
+  SELECT i.source, i.chunk_id, i.window_id, avg((i.x - a.m) * (o.x - b.m)) AS cov
+  FROM ins i JOIN outs o USING (source, chunk_id, window_id, p)
+  JOIN mi a ON a.source = i.source AND a.chunk_id = i.chunk_id AND a.window_id = i.window_id
+  JOIN mo b ON b.source = i.source AND b.chunk_id = i.chunk_id AND b.window_id = i.window_id
+  GROUP BY 1, 2, 3
+)"""
+
+ORACLE_PACKETS = {
+    "w02_chunk_ids": with_ctes(PACKETS_CTE) + "\nSELECT source, packet_no, chunk_id FROM chunked",
+    "w01_window_ids": _FLOWROWS + "\nSELECT source, packet_no, chunk_id, window_id FROM flowrows",
+    "w03_flow_state": _FLOWROWS + """
+SELECT source, packet_no, chunk_id, lo_ip, lo_port, hi_ip, hi_port, dur_us, iat_ns, is_fwd,
+       CAST(fwd_n AS BIGINT) AS fwd_n, CAST(bwd_n AS BIGINT) AS bwd_n,
+       CAST(cum_bytes AS BIGINT) AS cum_bytes,
+       round(rate, 6) AS rate, round(srate, 6) AS srate, round(drate, 6) AS drate
+FROM flowrows""",
+    "w07_capture_iat": with_ctes(PACKETS_CTE) + """
+SELECT source, packet_no,
+       coalesce(ts_us - lag(ts_us) OVER (PARTITION BY source ORDER BY packet_no), 0) / 1e6
+         AS capture_iat
+FROM chunked""",
+    "a09_flow_info": _FLOWROWS + """
+SELECT source, chunk_id, lo_ip, lo_port, hi_ip, hi_port, count(*) AS packets,
+       sum(frame_len) AS bytes, (max(ts_us) - min(ts_us)) / 1e6 AS duration,
+       min(ts_us / 1e6) AS min_ts, max(ts_us / 1e6) AS max_ts, sum(ts_us) / 1e6 AS sum_ts,
+       sum(ts_us) / count(*) / 1e6 AS mean_ts, sqrt(CAST(count(*) * sum(CAST(dur_us AS HUGEINT) * dur_us) - sum(CAST(dur_us AS HUGEINT)) * sum(dur_us) AS DOUBLE)
+            / CAST(count(*) * count(*) AS DOUBLE)) / 1e6 AS std_ts,
+       arg_max(gap, packet_no) / 1e6 AS idle, (max(ts_us) - min(ts_us)) / 1e6 AS active
+FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY source, chunk_id, lo_ip, lo_port, hi_ip,
+                                          hi_port ORDER BY packet_no) AS gap FROM flowrows)
+GROUP BY 1, 2, 3, 4, 5, 6""",
+    "a10_flow_directions": _FLOWROWS + """
+SELECT source, chunk_id, lo_ip, lo_port, hi_ip, hi_port,
+       sum(is_fwd) AS fwd_packets, sum(1 - is_fwd) AS bwd_packets,
+       sum(CASE WHEN is_fwd = 1 THEN frame_len ELSE 0 END) AS fwd_bytes,
+       sum(CASE WHEN is_fwd = 0 THEN frame_len ELSE 0 END) AS bwd_bytes
+FROM flowrows GROUP BY 1, 2, 3, 4, 5, 6""",
+    "a11_host_counts": with_ctes(PACKETS_CTE) + """
+SELECT source, 'src_ip' AS key_kind, sip AS key, count(*) AS packets FROM chunked GROUP BY 1, 3
+UNION ALL SELECT source, 'dst_ip', dip, count(*) FROM chunked GROUP BY 1, 3
+UNION ALL SELECT source, 'dst_port', CAST(dport AS VARCHAR), count(*) FROM chunked GROUP BY 1, 3""",
+    "a12_protocol_counts": with_ctes(PACKETS_CTE) + """
+SELECT source, proto, 'src_ip' AS key_kind, sip AS key, count(*) AS packets FROM chunked GROUP BY 1, 2, 4
+UNION ALL SELECT source, proto, 'dst_ip', dip, count(*) FROM chunked GROUP BY 1, 2, 4
+UNION ALL SELECT source, proto, 'src_port', CAST(sport AS VARCHAR), count(*) FROM chunked GROUP BY 1, 2, 4
+UNION ALL SELECT source, proto, 'dst_port', CAST(dport AS VARCHAR), count(*) FROM chunked GROUP BY 1, 2, 4""",
+    "a13_privileged_connections": with_ctes(PACKETS_CTE) + """
+SELECT source, 'src' AS side, sip AS ip, count(*) AS packets FROM chunked
+WHERE dport BETWEEN 1 AND 1023 GROUP BY 1, 3
+UNION ALL SELECT source, 'dst', dip, count(*) FROM chunked WHERE dport BETWEEN 1 AND 1023 GROUP BY 1, 3""",
+    "p07_protocol_names": with_ctes(PACKETS_CTE) + """
+SELECT CASE proto WHEN 0 THEN 'IP' WHEN 1 THEN 'ICMP' WHEN 2 THEN 'IGMP' WHEN 6 THEN 'TCP'
+                  WHEN 17 THEN 'UDP' ELSE 'Unknown for now' END AS protocol, count(*) AS n
+FROM packets GROUP BY 1""",
+    "p03_packet_flags": with_ctes(PACKETS_CTE, PACKET_FEATURES_CTE) + """
+SELECT source, """ + ", ".join(
+        f"sum({c}) AS {c}" for c in
+        ["fin_flag_number", "syn_flag_number", "rst_flag_number", "psh_flag_number",
+         "ack_flag_number", "ece_flag_number", "cwr_flag_number", "urg_count",
+         "http", "https", "dns", "telnet", "smtp", "ssh", "irc", "tcp", "udp", "dhcp",
+         "arp", "icmp", "ipv", "llc"]) + """,
+       sum(CASE WHEN (tcp = 1 OR udp = 1) AND (sport = 1883 OR dport = 1883) THEN 1 ELSE 0 END) AS mqtt,
+       sum(CASE WHEN (tcp = 1 OR udp = 1) AND (sport = 5683 OR dport = 5683) THEN 1 ELSE 0 END) AS coap
+FROM feat GROUP BY source""",
+    "a08_size_summary": _FLOWROWS + """
+SELECT source, chunk_id, window_id, sum(frame_len) AS tot_sum, min(frame_len) AS min,
+       max(frame_len) AS max, sum(frame_len) / count(*) AS avg,
+       sqrt((count(*) * sum(frame_len * frame_len) - sum(frame_len) * sum(frame_len))
+            / (count(*) * count(*))) AS std, count(*) AS number
+FROM flowrows GROUP BY 1, 2, 3""",
+    "a06_window_split": with_ctes(PACKETS_CTE, PACKET_FEATURES_CTE, FLOW_CTE, SPLIT_CTE) + """
+SELECT a.source, a.chunk_id, a.window_id,
+       round(sqrt(a.m + b.m), 6) AS magnitue, round(sqrt(a.v + b.v), 6) AS radius,
+       round(c.cov, 6) AS covariance,
+       round(CASE WHEN b.v <> 0 THEN a.v / b.v ELSE 0.0 END, 6) AS variance,
+       CAST(a.c * b.c AS DOUBLE) AS weight
+FROM mi a JOIN mo b USING (source, chunk_id, window_id)
+JOIN cv c USING (source, chunk_id, window_id)""",
+    "a07_two_stream": _FLOWROWS + """,
+r AS (
+  SELECT source, chunk_id, window_id, is_fwd, frame_len AS x,
+         row_number() OVER (PARTITION BY source, chunk_id, window_id, is_fwd ORDER BY packet_no) AS p
+  FROM flowrows
+),
+side AS (
+  SELECT source, chunk_id, window_id, CAST(sum(1 - is_fwd) AS BIGINT) AS n_in,
+         CAST(sum(is_fwd) AS BIGINT) AS n_out,
+         sum(CASE WHEN is_fwd = 0 THEN x END) AS si, sum(CASE WHEN is_fwd = 1 THEN x END) AS so,
+         sum(CASE WHEN is_fwd = 0 THEN x * x END) AS ssi, sum(CASE WHEN is_fwd = 1 THEN x * x END) AS sso
+  FROM r GROUP BY 1, 2, 3
+),
+pairs AS (
+  SELECT i.source, i.chunk_id, i.window_id, sum(i.x) AS sxi, sum(i.x * i.x) AS sxxi,
+         sum(o.x) AS sxo, sum(o.x * o.x) AS sxxo, sum(i.x * o.x) AS sxy, count(*) AS np
+  FROM r i JOIN r o ON i.source = o.source AND i.chunk_id = o.chunk_id
+       AND i.window_id = o.window_id AND i.p = o.p AND i.is_fwd = 0 AND o.is_fwd = 1
+  GROUP BY 1, 2, 3
+)
+SELECT s.source, s.chunk_id, s.window_id, n_in, n_out,
+       round(CASE WHEN n_in = 0 THEN NULL ELSE si / n_in END, 6) AS mean_in,
+       round(CASE WHEN n_out = 0 THEN NULL ELSE so / n_out END, 6) AS mean_out,
+       round(CASE WHEN (np * sxxi - sxi * sxi) * (np * sxxo - sxo * sxo) = 0 THEN NULL
+                  ELSE (np * sxy - sxi * sxo) / sqrt((np * sxxi - sxi * sxi) * (np * sxxo - sxo * sxo))
+             END, 6) AS pearson,
+       round(CASE WHEN n_in = 0 THEN NULL ELSE (sxy - sxi * sxo / np) / n_in END, 6) AS covariance,
+       round(CASE WHEN (n_out * sso - so * so) * n_in * n_in = 0 THEN NULL
+                  ELSE ((n_in * ssi - si * si) * n_out * n_out)
+                       / ((n_out * sso - so * so) * n_in * n_in) END, 6) AS variance_ratio,
+       n_in * n_out AS weight
+FROM side s LEFT JOIN pairs p USING (source, chunk_id, window_id)""",
+}

@@ -355,3 +355,92 @@ def q_recent(spark, sf_dir):
 def q_first_signatures(spark, sf_dir):
     s = AL.first_signatures(filtered_events(spark, sf_dir), "capture", 5)
     return s.withColumn("signatures", F.array_join("signatures", "|"))
+
+
+# ---------------------------------------------------------------- packets
+from netlens.functions.decode import packet_features, protocol_name  # noqa: E402
+from netlens.operators import flows as FL  # noqa: E402
+from netlens.operators import windows as WN  # noqa: E402
+
+
+def chunked_packets(spark, sf_dir):
+    return FL.with_chunk(fixture_packets(spark, sf_dir), FIXTURE_CHUNK_BYTES)
+
+
+def packet_rows(spark, sf_dir):
+    return WN.packet_rows(fixture_packets(spark, sf_dir), FIXTURE_CHUNK_BYTES)
+
+
+def q_chunk_ids(spark, sf_dir):
+    return chunked_packets(spark, sf_dir).select("source", "packet_no", "chunk_id")
+
+
+def q_window_ids(spark, sf_dir):
+    return packet_rows(spark, sf_dir).select("source", "packet_no", "chunk_id", "window_id")
+
+
+def q_flow_state(spark, sf_dir):
+    r = packet_rows(spark, sf_dir).select(
+        "source", "packet_no", "chunk_id", *FL.FLOW_KEY, "dur_us", "iat_ns", "is_fwd",
+        "fwd_n", "bwd_n", "cum_bytes", "rate", "srate", "drate")
+    return round_cols(r, ["rate", "srate", "drate"])
+
+
+def q_capture_iat(spark, sf_dir):
+    p = FL.capture_iat(chunked_packets(spark, sf_dir))
+    return p.select("source", "packet_no", "capture_iat")
+
+
+def q_flow_info(spark, sf_dir):
+    return FL.flow_info(chunked_packets(spark, sf_dir))
+
+
+def q_flow_directions(spark, sf_dir):
+    return FL.flow_directions(chunked_packets(spark, sf_dir))
+
+
+def q_host_counts(spark, sf_dir):
+    return FL.host_counts(chunked_packets(spark, sf_dir))
+
+
+def q_protocol_counts(spark, sf_dir):
+    return FL.protocol_counts(chunked_packets(spark, sf_dir))
+
+
+def q_privileged_connections(spark, sf_dir):
+    return FL.privileged_connections(chunked_packets(spark, sf_dir))
+
+
+def q_protocol_names(spark, sf_dir):
+    p = fixture_packets(spark, sf_dir)
+    return p.groupBy(protocol_name("proto").alias("protocol")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_app_flags(spark, sf_dir):
+    """Per-capture counts of every per-packet flag."""
+    p = packet_features(fixture_packets(spark, sf_dir))
+    flags = ["fin_flag_number", "syn_flag_number", "rst_flag_number", "psh_flag_number",
+             "ack_flag_number", "ece_flag_number", "cwr_flag_number", "urg_count",
+             "http", "https", "dns", "telnet", "smtp", "ssh", "irc", "tcp", "udp", "dhcp",
+             "arp", "icmp", "ipv", "llc", "mqtt", "coap"]
+    return p.groupBy("source").agg(*[F.sum(c).alias(c) for c in flags])
+
+
+def q_size_summary(spark, sf_dir):
+    return WN.size_summary(packet_rows(spark, sf_dir))
+
+
+def q_window_split(spark, sf_dir):
+    w = WN.window_summary(packet_rows(spark, sf_dir), directional="split")
+    return round_cols(w.select(*WN.WINDOW_KEY, "magnitue", "radius", "covariance", "variance",
+                               "weight"), ["magnitue", "radius", "covariance", "variance"])
+
+
+def q_two_stream(spark, sf_dir):
+    return round_cols(WN.two_stream_stats(packet_rows(spark, sf_dir)),
+                      ["mean_in", "mean_out", "pearson", "covariance", "variance_ratio"])
+
+
+def q_window_v1(spark, sf_dir):
+    w = WN.window_summary_v1(fixture_packets(spark, sf_dir), FIXTURE_CHUNK_BYTES)
+    return round_cols(w, ["rate", "iat", "std", "variance"])

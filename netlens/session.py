@@ -23,7 +23,8 @@ def get_session(master: str | None = None, app: str = "netlens",
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-          .config("spark.sql.parquet.inferTimestampNTZ.enabled", "true"))
+          .config("spark.sql.parquet.inferTimestampNTZ.enabled", "true")
+          .config("spark.ui.showConsoleProgress", "false"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
