@@ -74,6 +74,14 @@ QUERIES = {
     "a08_size_summary": Q.q_size_summary,
     "a06_window_split": Q.q_window_split,
     "a07_two_stream": Q.q_two_stream,
+    # feature statistics
+    "p11_port_agnostic": Q.q_port_agnostic,
+    "a29_near_constant": Q.q_near_constant,
+    "a30_correlated": Q.q_correlated,
+    "a31_scale_stats": Q.q_scale_stats,
+    "a33_class_weights": Q.q_class_weights,
+    "a37_deauth_label": Q.q_deauth_label,
+    "a14_window_v1": Q.q_window_v1,
 }
 
 # report queries compare their averaged doubles rounded to 9 places
@@ -88,4 +96,5 @@ ORACLE = {
     **O.ORACLE_EVAL,
     **O.ORACLE_ALERTS,
     **O.ORACLE_PACKETS,
+    **O.ORACLE_STATS,
 }

@@ -888,3 +888,99 @@ SELECT s.source, s.chunk_id, s.window_id, n_in, n_out,
        n_in * n_out AS weight
 FROM side s LEFT JOIN pairs p USING (source, chunk_id, window_id)""",
 }
+
+
+# ---------------------------------------------------------- feature stats
+from netlens.schema import PORT_FEATURES, snake  # noqa: E402
+
+_ALL = RAW + ENG
+_PA = [c for c in _ALL if c not in {snake(x) for x in PORT_FEATURES}]
+_ENG_BASE = with_ctes(PACKETS_CTE, PACKET_FEATURES_CTE, FLOW_CTE, WINDOWS_CTE, engineered_cte())
+
+
+def _corr_sql() -> str:
+    keep = {c: f"(coalesce(var_samp({c}), 0) > 1e-9)" for c in _ALL}
+    drop = {}
+    for j, cj in enumerate(_ALL):
+        terms = [f"({keep[ci]} AND coalesce(abs(corr({ci}, {cj})) > 0.995, false))"
+                 for ci in _ALL[:j]]
+        drop[cj] = "(" + " OR ".join(terms) + ")" if terms else "false"
+    agg = ", ".join(f"{keep[c]} AS k_{c}, {drop[c]} AS d_{c}" for c in _ALL)
+    return (_ENG_BASE + f",\nagg AS (SELECT {agg} FROM engineered)\n"
+            + "SELECT feature, dropped FROM (SELECT unnest([" + _list(_ALL) + "]) AS feature, "
+            + "unnest([" + ", ".join(f"k_{c}" for c in _ALL) + "]) AS keep, "
+            + "unnest([" + ", ".join(f"d_{c}" for c in _ALL) + "]) AS dropped FROM agg) WHERE keep")
+
+
+def _v1_sql() -> str:
+    mean_cols = ([f"{f}_flag_number" for f in ("fin", "syn", "rst", "psh", "ack", "ece", "cwr")]
+                 + ["http", "https", "dns", "telnet", "smtp", "ssh", "irc",
+                    "tcp", "udp", "dhcp", "arp", "icmp", "ipv"])
+    sums = ["ack_count", "syn_count", "fin_count", "rst_count"]
+    exprs = {
+        "header_length": "sum(CASE WHEN is_arp = 0 AND proto = 6 THEN 20 WHEN is_arp = 0 AND proto = 17 THEN 8 ELSE 0 END) / count(*)",
+        "protocol_type": "m.protocol_type",
+        "time_to_live": "sum(duration) / count(*)",
+        "rate": "CASE WHEN max(ts_us) = min(ts_us) THEN NULL ELSE count(*) / ((max(ts_us) - min(ts_us)) / 1e6) END",
+        "igmp": "sum(CASE WHEN is_arp = 0 AND proto = 2 THEN 1 ELSE 0 END) / count(*)",
+        "llc": "sum(1 - is_arp) / count(*)",
+        "tot_sum": "sum(frame_len)", "min": "min(frame_len)", "max": "max(frame_len)",
+        "avg": "sum(frame_len) / count(*)",
+        "std": "CASE WHEN count(*) < 2 THEN NULL ELSE sqrt((count(*) * sum(frame_len * frame_len) - sum(frame_len) * sum(frame_len)) / (count(*) * (count(*) - 1))) END",
+        "tot_size": "sum(frame_len) / count(*)",
+        "iat": "round(avg(capture_iat), 6)",
+        "number": "count(*)",
+        "variance": "CASE WHEN count(*) < 2 THEN NULL ELSE (count(*) * sum(frame_len * frame_len) - sum(frame_len) * sum(frame_len)) / (count(*) * (count(*) - 1)) END",
+    }
+    exprs.update({c: f"sum({c}) / count(*)" for c in mean_cols})
+    exprs.update({c: f"sum({c})" for c in sums})
+    return (with_ctes(PACKETS_CTE, PACKET_FEATURES_CTE) + """,
+v1rows AS (
+  SELECT *,
+    (row_number() OVER (PARTITION BY source, chunk_id ORDER BY packet_no) - 1) // 10 AS window_id,
+    coalesce(ts_us - lag(ts_us) OVER (PARTITION BY source ORDER BY packet_no), 0) / 1e6 AS capture_iat
+  FROM feat
+),
+v1mode AS (
+  SELECT source, chunk_id, window_id, protocol_type FROM (
+    SELECT source, chunk_id, window_id, protocol_type,
+           row_number() OVER (PARTITION BY source, chunk_id, window_id
+                              ORDER BY count(*) DESC, protocol_type) AS rn
+    FROM v1rows GROUP BY source, chunk_id, window_id, protocol_type) WHERE rn = 1
+)
+SELECT r.source, r.chunk_id, r.window_id, """
+            + ", ".join(f"CAST({exprs[c]} AS DOUBLE) AS {c}" for c in V1)
+            + """
+FROM v1rows r JOIN v1mode m USING (source, chunk_id, window_id)
+GROUP BY r.source, r.chunk_id, r.window_id, m.protocol_type""")
+
+
+def _slog(c: str) -> str:
+    return f"(sign({c}) * ln(1 + abs({c})))"
+
+
+ORACLE_STATS = {
+    "p11_port_agnostic": _ENG_BASE + "\nSELECT source, chunk_id, window_id, "
+    + ", ".join(_r(c, UNSTABLE_ENG) for c in _PA) + " FROM engineered",
+    "a29_near_constant": _ENG_BASE + ",\nagg AS (SELECT "
+    + ", ".join(f"coalesce(var_samp({c}), 0) > 1e-9 AS k_{c}" for c in _ALL)
+    + " FROM engineered)\nSELECT unnest([" + _list(_ALL) + "]) AS feature, unnest(["
+    + ", ".join(f"k_{c}" for c in _ALL) + "]) AS keep FROM agg",
+    "a30_correlated": _corr_sql(),
+    "a31_scale_stats": _ENG_BASE + ",\nagg AS (SELECT "
+    + ", ".join(f"avg({_slog(c)}) AS m_{c}, stddev_pop({_slog(c)}) AS s_{c}" for c in _ALL)
+    + " FROM engineered)\nSELECT feature, round(mean, 6) AS mean, "
+    + "round(CASE WHEN std < 1e-12 THEN 1.0 ELSE std END, 6) AS std FROM (SELECT unnest(["
+    + _list(_ALL) + "]) AS feature, unnest([" + ", ".join(f"m_{c}" for c in _ALL)
+    + "]) AS mean, unnest([" + ", ".join(f"s_{c}" for c in _ALL) + "]) AS std FROM agg)",
+    "a33_class_weights": with_ctes(LEV_CTE) + """
+SELECT label, n_c, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 9) AS weight
+FROM (SELECT label, count(*) AS n_c FROM lev GROUP BY label)""",
+    "a37_deauth_label": """
+SELECT 'cap' || CAST(user_id % 4 AS VARCHAR) AS file, count(*) AS frames,
+       CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS deauth,
+       CASE WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) >= 500 THEN 'attack'
+            ELSE 'benign' END AS label
+FROM events GROUP BY 1""",
+    "a14_window_v1": _v1_sql(),
+}

@@ -441,6 +441,49 @@ def q_two_stream(spark, sf_dir):
                       ["mean_in", "mean_out", "pearson", "covariance", "variance_ratio"])
 
 
+# ---------------------------------------------------------- feature stats
+from netlens.functions.features import feature_list, select_features  # noqa: E402
+from netlens.operators import prune as PR  # noqa: E402
+
+
+def engineered_windows(spark, sf_dir):
+    w = round_cols(fixture_windows(spark, sf_dir), UNSTABLE_RAW)
+    return engineer(w, keep=["source", "chunk_id", "window_id"])
+
+
+def q_port_agnostic(spark, sf_dir):
+    return round_cols(select_features(engineered_windows(spark, sf_dir), "port_agnostic",
+                                      keep=["source", "chunk_id", "window_id"]), UNSTABLE_ENG)
+
+
+def q_near_constant(spark, sf_dir):
+    return PR.near_constant(engineered_windows(spark, sf_dir), feature_list("all")) \
+        .select("feature", "keep")
+
+
+def q_correlated(spark, sf_dir):
+    e = engineered_windows(spark, sf_dir)
+    keep = [r["feature"] for r in PR.near_constant(e, feature_list("all"))
+            .filter("keep").select("feature").collect()]
+    return PR.correlated(e, keep, key="window_id")
+
+
+def q_scale_stats(spark, sf_dir):
+    return round_cols(PR.scale_stats(engineered_windows(spark, sf_dir), feature_list("all")),
+                      ["mean", "std"])
+
+
+def q_class_weights(spark, sf_dir):
+    return round_cols(PR.class_weights(lev(spark, sf_dir)), ["weight"], 9)
+
+
+def q_deauth_label(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("cap"), (F.col("user_id") % 4).cast("string")).alias("file"),
+        (F.col("event_type") == "error").alias("is_deauth"))
+    return PR.deauth_label(e, "file", "is_deauth", threshold=500)
+
+
 def q_window_v1(spark, sf_dir):
     w = WN.window_summary_v1(fixture_packets(spark, sf_dir), FIXTURE_CHUNK_BYTES)
-    return round_cols(w, ["rate", "iat", "std", "variance"])
+    return round_cols(w, ["iat"])
