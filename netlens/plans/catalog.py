@@ -82,6 +82,19 @@ QUERIES = {
     "a33_class_weights": Q.q_class_weights,
     "a37_deauth_label": Q.q_deauth_label,
     "a14_window_v1": Q.q_window_v1,
+    # models (rows-only checks: fitted models have no SQL twin)
+    "m01_tree_report": Q.q_tree_report,
+    "m03_config_search": Q.q_config_search,
+    "m05_forest": Q.q_forest,
+    "a38_importance": Q.q_importance,
+    "m06_gate_scores": Q.q_gate_scores,
+    "a32_gate_threshold": Q.q_gate_threshold,
+    "m08_two_stage": Q.q_two_stage,
+    "m10_leave_session_out": Q.q_leave_session_out,
+    "m11_gate_scenarios": Q.q_gate_scenarios,
+    "m12_benign_holdout": Q.q_benign_holdout,
+    "m13_augmented": Q.q_augmented,
+    "m14_pipeline_eval": Q.q_pipeline_eval,
 }
 
 # report queries compare their averaged doubles rounded to 9 places

@@ -487,3 +487,123 @@ def q_deauth_label(spark, sf_dir):
 def q_window_v1(spark, sf_dir):
     w = WN.window_summary_v1(fixture_packets(spark, sf_dir), FIXTURE_CHUNK_BYTES)
     return round_cols(w, ["iat"])
+
+
+# ---------------------------------------------------------------- models
+from netlens.operators import gate as GT  # noqa: E402
+from netlens.operators import models as MD  # noqa: E402
+
+
+def model_windows(spark, sf_dir):
+    """Engineered window rows with a behaviour label and a string key ``id``."""
+    e = engineered_windows(spark, sf_dir)
+    label = (F.when(F.col("arp") >= 0.5, "MITM-ArpSpoofing")
+              .when(F.col("protocol_type") == 17, "DDoS-UDP_Flood")
+              .when(F.col("protocol_type") == 1, "DDoS-ICMP_Flood")
+              .when(F.col("syn_count") >= 3, "DDoS-SYN_Flood")
+              .when(F.col("avg") < 250, "BenignTraffic")
+              .otherwise("DDoS-TCP_Flood"))
+    return e.withColumns({"label": label,
+                          "id": F.concat_ws(":", "source", "chunk_id", "window_id")})
+
+
+MODEL_FEATURES = feature_list("all")
+
+
+def _split(spark, sf_dir):
+    from netlens.session import cut_lineage
+    return cut_lineage(SA.stratified_split(model_windows(spark, sf_dir), "label", 0.8, "id"))
+
+
+def q_tree_report(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    m = MD.fit_tree(s.filter("is_train"), MODEL_FEATURES, depth=30, leaf=5)
+    p = MD.predict(m, s.filter(~F.col("is_train")))
+    return EV.classification_report(EV.confusion(p, "label", "y_pred"))
+
+
+def q_config_search(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    rows, _ = MD.search_tree(s.filter("is_train"), s.filter(~F.col("is_train")), MODEL_FEATURES,
+                             configs=[dict(depth=30, leaf=2), dict(depth=30, leaf=5),
+                                      dict(depth=30, leaf=2, balanced=True)])
+    return rows
+
+
+def q_forest(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    m = MD.fit_forest(s.filter("is_train"), MODEL_FEATURES, trees=20, depth=12)
+    return MD.evaluate(m, s.filter(~F.col("is_train"))).withColumn("model", F.lit("forest"))
+
+
+def q_importance(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    m = MD.fit_tree(s.filter("is_train"), MODEL_FEATURES)
+    return MD.importance(m, MODEL_FEATURES, 15)
+
+
+def embedding_rows(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "label",
+                    (F.col("label") == 0).alias("is_benign"),
+                    F.concat(F.lit("net"), (F.col("vec_id") % 2).cast("string")).alias("source"),
+                    *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+
+
+EMB = [f"e{i}" for i in range(64)]
+
+
+def _embedding_gate(spark, sf_dir):
+    rows = embedding_rows(spark, sf_dir)
+    return rows, GT.fit_gate(rows.filter("is_benign"), EMB, "vec_id", trees=50)
+
+
+def q_gate_scores(spark, sf_dir):
+    rows, g = _embedding_gate(spark, sf_dir)
+    return GT.score_gate(rows, g).select("vec_id", "label", "anomaly_score", "is_anomaly")
+
+
+def q_gate_threshold(spark, sf_dir):
+    rows, g = _embedding_gate(spark, sf_dir)
+    return spark.createDataFrame([(g.threshold, len(g.nodes), int(g.nodes["tree"].nunique()))],
+                                 "threshold double, nodes long, trees long")
+
+
+def _window_gate_model(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    train = s.filter("is_train")
+    g = GT.fit_gate(train.filter(F.col("label") == "BenignTraffic"), MODEL_FEATURES, "id")
+    m = MD.fit_tree(train.filter(F.col("label") != "BenignTraffic"), MODEL_FEATURES)
+    return s, g, m
+
+
+def q_two_stage(spark, sf_dir):
+    s, g, m = _window_gate_model(spark, sf_dir)
+    return MD.score_two_stage(s.filter(~F.col("is_train")), g, m) \
+        .select("id", "label", "anomaly_score", "is_anomaly", "label_pred")
+
+
+def q_leave_session_out(spark, sf_dir):
+    return MD.leave_session_out(model_windows(spark, sf_dir), MODEL_FEATURES)[0]
+
+
+def q_gate_scenarios(spark, sf_dir):
+    return MD.gate_scenarios(embedding_rows(spark, sf_dir), EMB, "vec_id", trees=200)
+
+
+def q_benign_holdout(spark, sf_dir):
+    return MD.benign_holdout(model_windows(spark, sf_dir), MODEL_FEATURES)
+
+
+def q_augmented(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    train = s.filter("is_train").drop("is_train")
+    extra = model_windows(spark, sf_dir).filter(F.col("source") == "cap0")
+    m = MD.fit_tree(MD.augment(train, extra, cap=6000, reps=3), MODEL_FEATURES)
+    return MD.evaluate(m, s.filter(~F.col("is_train")))
+
+
+def q_pipeline_eval(spark, sf_dir):
+    s, g, m = _window_gate_model(spark, sf_dir)
+    return MD.evaluate_pipeline(s.filter(~F.col("is_train")).drop("is_train"), g, m,
+                                per_class=100)
