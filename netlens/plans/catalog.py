@@ -95,6 +95,14 @@ QUERIES = {
     "m12_benign_holdout": Q.q_benign_holdout,
     "m13_augmented": Q.q_augmented,
     "m14_pipeline_eval": Q.q_pipeline_eval,
+    "m04_granularities": Q.q_granularities,
+    "m07_recalibrated_gate": Q.q_recalibrated_gate,
+    # more operators with oracles
+    "p02_frame_decode": Q.q_frame_decode,
+    "p20_label_from_filename": Q.q_label_from_filename,
+    "j01_taxonomy_join": Q.q_taxonomy_join,
+    "p12_signed_log": Q.q_signed_log,
+    "t01_rank_models": Q.q_rank_models,
 }
 
 # report queries compare their averaged doubles rounded to 9 places
@@ -110,4 +118,5 @@ ORACLE = {
     **O.ORACLE_ALERTS,
     **O.ORACLE_PACKETS,
     **O.ORACLE_STATS,
+    **O.ORACLE_MORE,
 }

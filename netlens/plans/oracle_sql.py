@@ -984,3 +984,67 @@ SELECT 'cap' || CAST(user_id % 4 AS VARCHAR) AS file, count(*) AS frames,
 FROM events GROUP BY 1""",
     "a14_window_v1": _v1_sql(),
 }
+
+
+# ------------------------------------------------------------ more coverage
+def _filename_sql() -> str:
+    norm = {c: c.lower().replace("-", "").replace("_", "") for c in CLASSES_ALPHA}
+    cands = "cand(cls, cn, len) AS (VALUES " + ", ".join(
+        f"('{c}', '{n}', {len(n)})" for c, n in norm.items()) + ")"
+    order_pos = "(VALUES " + ", ".join(
+        f"('{c}', {i})" for i, c in enumerate(__import__('netlens.schema', fromlist=['x'])
+                                              .CLASS_TO_CATEGORY)) + ") AS o(cls, pos)"
+    return with_ctes(LEV_CTE, "\n" + cands) + f""",
+names AS (
+  SELECT event_id, label,
+         'caps/' || CASE event_id % 4 WHEN 0 THEN lower(label) WHEN 1 THEN upper(label)
+                                      WHEN 2 THEN replace(label, '-', '_') ELSE label END
+           || CASE WHEN event_id % 4 = 3 THEN '-' ELSE '' END
+           || CAST(user_id % 13 AS VARCHAR)
+           || CASE WHEN event_id % 5 = 0 THEN '.cap' ELSE '.pcap' END AS file
+  FROM lev
+),
+n AS (
+  SELECT event_id, file,
+         regexp_replace(regexp_replace(replace(replace(lower(regexp_extract(file, '([^/\\\\]*)$', 1)),
+                        '.pcap', ''), '.cap', ''), '[-_]', '', 'g'), '[0-9]+$', '') AS nm
+  FROM names
+),
+hits AS (
+  SELECT n.event_id, c.cls, c.len, o.pos,
+         (n.nm = c.cn) AS exact
+  FROM n JOIN cand c ON n.nm <> '' AND (contains(n.nm, c.cn) OR contains(c.cn, n.nm))
+  JOIN {order_pos} USING (cls)
+),
+best AS (
+  SELECT event_id, arg_min(cls, (CASE WHEN exact THEN 0 ELSE 1 END, -len, pos)) AS derived
+  FROM hits GROUP BY event_id
+)
+SELECT n.event_id, n.file,
+       CASE WHEN n.nm = '' THEN NULL WHEN contains(n.nm, 'benign') THEN 'BenignTraffic'
+            ELSE b.derived END AS derived
+FROM n LEFT JOIN best b USING (event_id)"""
+
+
+ORACLE_MORE = {
+    "p02_frame_decode": with_ctes(PACKETS_CTE) + """
+SELECT source, packet_no, 1 AS keep, is_arp, proto, ttl,
+       CASE WHEN is_arp = 1 THEN 'arp:02:00:00:00:00:01' ELSE sip END AS sip,
+       CASE WHEN is_arp = 1 THEN 0 ELSE sport END AS sport,
+       CASE WHEN is_arp = 1 THEN 'arp:02:00:00:00:00:02' ELSE dip END AS dip,
+       CASE WHEN is_arp = 1 THEN 0 ELSE dport END AS dport,
+       tcp_flags, frame_len
+FROM packets""",
+    "p20_label_from_filename": _filename_sql(),
+    "j01_taxonomy_join": with_ctes(LEV_CTE, TAXONOMY_CTE) + """
+SELECT category, "binary", count(*) AS n FROM lev JOIN tax USING (label) GROUP BY 1, 2""",
+    "p12_signed_log": _ENG_BASE + "\nSELECT source, chunk_id, window_id, " + ", ".join(
+        f"round({_slog(c)}, 6) AS {c}" for c in
+        ["rate", "iat", "header_length", "size_cv", "rate_iat_consistency"]) + " FROM engineered",
+    "t01_rank_models": with_ctes(LEV_CTE, PRED_CTE, _report_ctes("pred", "y_true", "y_pred", "a"),
+                                 _report_ctes("pred", "y_true", "y_pred_b", "b")) + """
+SELECT model, round(f1_macro, 9) AS f1_macro,
+       row_number() OVER (ORDER BY f1_macro DESC, model) AS rank FROM (
+  SELECT 'k_mod_5' AS model, avg(f1) AS f1_macro FROM a_pc
+  UNION ALL SELECT 'k_div_5', avg(f1) FROM b_pc)""",
+}

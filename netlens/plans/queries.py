@@ -607,3 +607,77 @@ def q_pipeline_eval(spark, sf_dir):
     s, g, m = _window_gate_model(spark, sf_dir)
     return MD.evaluate_pipeline(s.filter(~F.col("is_train")).drop("is_train"), g, m,
                                 per_class=100)
+
+
+# ------------------------------------------------------------ more coverage
+from netlens.functions.decode import decode_frames  # noqa: E402
+from netlens.functions.labels import join_taxonomy, label_from_filename  # noqa: E402
+from netlens.sources.derived import frames_from_packets  # noqa: E402
+
+
+def q_frame_decode(spark, sf_dir):
+    """Whole-table byte decode (P1, P2): frames built from packet columns decode back."""
+    d = decode_frames(frames_from_packets(fixture_packets(spark, sf_dir)))
+    return d.select("source", "packet_no", "keep", "is_arp", "proto", "ttl", "sip", "sport",
+                    "dip", "dport", "tcp_flags", "frame_len")
+
+
+def capture_names(spark, sf_dir):
+    """Capture file names from class names: case changes, separators and digits."""
+    e = lev(spark, sf_dir).select("event_id", "label", "user_id")
+    v = F.col("event_id") % 4
+    base = (F.when(v == 0, F.lower("label")).when(v == 1, F.upper("label"))
+             .when(v == 2, F.regexp_replace("label", "-", "_")).otherwise(F.col("label")))
+    name = F.concat(F.lit("caps/"), base, F.when(v == 3, F.lit("-")).otherwise(F.lit("")),
+                    (F.col("user_id") % 13).cast("string"),
+                    F.when(F.col("event_id") % 5 == 0, F.lit(".cap")).otherwise(F.lit(".pcap")))
+    return e.select("event_id", "label", name.alias("file"))
+
+
+def q_label_from_filename(spark, sf_dir):
+    f = capture_names(spark, sf_dir)
+    return f.select("event_id", "file", label_from_filename("file").alias("derived"))
+
+
+def q_taxonomy_join(spark, sf_dir):
+    return join_taxonomy(lev(spark, sf_dir)).groupBy("category", "binary") \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_signed_log(spark, sf_dir):
+    from netlens.functions.columns import signed_log
+    e = engineered_windows(spark, sf_dir)
+    cols = ["rate", "iat", "header_length", "size_cv", "rate_iat_consistency"]
+    return round_cols(e.select("source", "chunk_id", "window_id",
+                               *[signed_log(c).alias(c) for c in cols]), cols)
+
+
+def q_rank_models(spark, sf_dir):
+    """Two predictors ranked by macro-F1."""
+    from pyspark.sql import Window
+    p = predictions(spark, sf_dir)
+    a = EV.scalar_metrics(EV.confusion(p)).withColumn("model", F.lit("k_mod_5"))
+    b = EV.scalar_metrics(EV.confusion(p, "y_true", "y_pred_b")).withColumn("model", F.lit("k_div_5"))
+    r = a.unionByName(b).select("model", "f1_macro")
+    return round_cols(r.withColumn("rank", F.row_number().over(
+        Window.orderBy(F.col("f1_macro").desc(), "model"))), ["f1_macro"], 9)
+
+
+def q_granularities(spark, sf_dir):
+    """One tree per label granularity (M4): category and binary schemes."""
+    s = _split(spark, sf_dir)
+    out = None
+    for scheme in ("category", "binary", "deploy_merged"):
+        t = s.withColumn("lab", label_scheme("label", scheme))
+        m = MD.fit_tree(t.filter("is_train"), MODEL_FEATURES, "lab")
+        r = MD.evaluate(m, t.filter(~F.col("is_train")), "lab").withColumn("scheme", F.lit(scheme))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def q_recalibrated_gate(spark, sf_dir):
+    """Gate refit on one network's benign rows (M7) next to the original."""
+    rows, g = _embedding_gate(spark, sf_dir)
+    g2 = GT.recalibrate(g, rows.filter("is_benign").filter(F.col("source") == "net0"), "vec_id")
+    return spark.createDataFrame([("all_networks", g.threshold), ("net0", g2.threshold)],
+                                 "gate string, threshold double")

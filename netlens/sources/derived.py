@@ -177,3 +177,41 @@ def http_requests(pages: DataFrame) -> DataFrame:
     dport = F.when(pid % 7 == 0, 23).when(F.col("url").startswith("https"), 443).otherwise(80)
     return pages.select(pid.alias("request_id"), uri.alias("uri"), F.col("html").alias("body"),
                         F.lit(6).alias("proto"), dport.alias("dport"))
+
+
+def _ip_hex(ip: Column) -> Column:
+    parts = F.split(ip, r"\.")
+    return F.concat(*[F.lpad(F.hex(parts[i].cast("int")), 2, "0") for i in range(4)])
+
+
+def _u16_hex(x: Column) -> Column:
+    return F.lpad(F.hex(x.cast("int")), 4, "0")
+
+
+# FIXED VALUES (fixture rule set): MAC addresses of the derived frames
+SRC_MAC = "020000000001"
+DST_MAC = "020000000002"
+
+
+def frames_from_packets(packets: DataFrame) -> DataFrame:
+    """Ethernet frames (BINARY) built from derived packet columns, padded to
+    ``frame_len``: IPv4 + TCP (20 bytes, flags set) / UDP (8) / ICMP (4), or
+    ARP.  Decoding them must give the packet columns back."""
+    proto = F.col("proto")
+    is_arp = F.col("is_arp") == 1
+    ip_hdr = F.concat(F.lit("45000000"), F.lit("00004000"),
+                      F.lpad(F.hex(F.col("ttl")), 2, "0"), F.lpad(F.hex(proto), 2, "0"),
+                      F.lit("0000"), _ip_hex(F.col("sip")), _ip_hex(F.col("dip")))
+    l4 = (F.when(proto == 6, F.concat(_u16_hex(F.col("sport")), _u16_hex(F.col("dport")),
+                                      F.lit("0000000000000000"), F.lit("50"),
+                                      F.lpad(F.hex(F.col("tcp_flags")), 2, "0"),
+                                      F.lit("040000000000")))
+          .when(proto == 17, F.concat(_u16_hex(F.col("sport")), _u16_hex(F.col("dport")),
+                                      F.lit("00080000")))
+          .otherwise(F.lit("08000000")))
+    body = F.when(is_arp, F.concat(F.lit("0806"), F.lit("00" * 28))) \
+        .otherwise(F.concat(F.lit("0800"), ip_hdr, l4))
+    hexs = F.concat(F.lit(DST_MAC), F.lit(SRC_MAC), body)
+    pad = F.greatest(F.col("frame_len") * 2 - F.length(hexs), F.lit(0))
+    frame = F.unhex(F.concat(hexs, F.repeat(F.lit("0"), pad.cast("int"))))
+    return packets.select("source", "packet_no", "ts_us", frame.alias("frame"))
