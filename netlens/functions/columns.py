@@ -10,10 +10,14 @@ def col(c) -> Column:
 
 
 def finite_or_zero(c) -> Column:
-    """NaN, +-Inf and NULL -> 0.0 (the reference imputes every non-finite with 0)."""
+    """NaN, +-Inf and NULL -> 0.0 (the reference imputes every non-finite with 0).
+
+    ``abs(x) < inf`` is false for NaN (the largest double in Spark's order)
+    and for +-Inf, and NULL for NULL: two references to ``x`` keep the
+    expression small when ``x`` is itself a large expression.
+    """
     c = col(c).cast("double")
-    return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))) | c.isNull(),
-                  F.lit(0.0)).otherwise(c)
+    return F.coalesce(F.when(F.abs(c) < F.lit(float("inf")), c), F.lit(0.0))
 
 
 def nonfinite_to_null(c) -> Column:

@@ -70,10 +70,12 @@ def engineer(df: DataFrame, keep: list[str] | None = None, as_float: bool = Fals
     keep = [c for c in (keep or []) if c in df.columns]
     eng = engineered_columns()
     t = "float" if as_float else "double"
-    cols = [F.col(c) for c in keep]
-    cols += [finite_or_zero(c).cast(t).alias(c) for c in RAW]
-    cols += [finite_or_zero(eng[c]).cast(t).alias(c) for c in ENG]
-    return df.select(*cols)
+    # two projections: the raw values first, the cleaning second, so the
+    # optimizer never copies a ratio expression into each of its uses
+    raw = df.select(*[F.col(c) for c in keep], *[F.col(c) for c in RAW],
+                    *[eng[c].alias(c) for c in ENG])
+    return raw.select(*[F.col(c) for c in keep],
+                      *[finite_or_zero(c).cast(t).alias(c) for c in RAW + ENG])
 
 
 def clean(df: DataFrame, cols: list[str], to: str = "zero") -> DataFrame:
