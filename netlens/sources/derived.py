@@ -54,35 +54,39 @@ def packets_from_events(events: DataFrame) -> DataFrame:
     """Decoded packet rows (no chunk id yet) from ``events``.
 
     Output: source, packet_no, ts_us, is_arp, proto, ttl, sip, sport, dip,
-    dport, tcp_flags, frame_len, event_type, user_id, k.
+    dport, tcp_flags, frame_len, event_type, user_id, k.  Two projections:
+    protocol, endpoints and ports are computed once and referenced by name.
     """
-    k = event_k()
     u = F.col("user_id")
+    proto = _case(F.col("event_type"), EVENT_PROTO).cast("int")
     e = events.select(
         F.col("event_id"), F.col("ts"), u.alias("user_id"), F.col("event_type"),
-        F.col("value"), k.alias("k"))
-    k, u = F.col("k"), F.col("user_id")
-    proto = _case(F.col("event_type"), EVENT_PROTO).cast("int")
+        F.col("value"), event_k().alias("k"), proto.alias("proto"))
+    k, u, proto = F.col("k"), F.col("user_id"), F.col("proto")
     ported = proto.isin(6, 17)
-    a_ip = F.concat(F.lit("10.0.0."), (u % 16).cast("string"))
-    b_ip = F.concat(F.lit("10.0.1."), (k % 8).cast("string"))
-    a_port = F.when(ported, 1024 + u % 8).otherwise(0).cast("int")
-    b_port = F.when(ported, _case(k % 8, dict(enumerate(B_PORTS)))).otherwise(0).cast("int")
-    swap = (k % 3) == 0
+    e = e.select(
+        "*",
+        F.concat(F.lit("10.0.0."), (u % 16).cast("string")).alias("a_ip"),
+        F.concat(F.lit("10.0.1."), (k % 8).cast("string")).alias("b_ip"),
+        F.when(ported, 1024 + u % 8).otherwise(0).cast("int").alias("a_port"),
+        F.when(ported, _case(k % 8, dict(enumerate(B_PORTS)))).otherwise(0).cast("int")
+         .alias("b_port"),
+        ((k % 3) == 0).alias("swap"))
+    swap = F.col("swap")
     return e.select(
         F.concat(F.lit("cap"), (u % 4).cast("string")).alias("source"),
         F.col("event_id").alias("packet_no"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
         (proto == 0).cast("int").alias("is_arp"),
-        proto.alias("proto"),
+        proto,
         F.when(proto == 0, 0).when(k % 2 == 0, 64).otherwise(128).cast("int").alias("ttl"),
-        F.when(swap, b_ip).otherwise(a_ip).alias("sip"),
-        F.when(swap, b_port).otherwise(a_port).alias("sport"),
-        F.when(swap, a_ip).otherwise(b_ip).alias("dip"),
-        F.when(swap, a_port).otherwise(b_port).alias("dport"),
+        F.when(swap, F.col("b_ip")).otherwise(F.col("a_ip")).alias("sip"),
+        F.when(swap, F.col("b_port")).otherwise(F.col("a_port")).alias("sport"),
+        F.when(swap, F.col("a_ip")).otherwise(F.col("b_ip")).alias("dip"),
+        F.when(swap, F.col("a_port")).otherwise(F.col("b_port")).alias("dport"),
         F.when(proto == 6, (k * 37) % 256).otherwise(0).cast("int").alias("tcp_flags"),
         (F.lit(54) + F.floor(F.col("value")).cast("long") % 1447).cast("long").alias("frame_len"),
-        F.col("event_type"), u.alias("user_id"), k.alias("k"),
+        F.col("event_type"), u, k,
     )
 
 
