@@ -96,7 +96,8 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str = "label", col: str = "weight") -> DataFrame:
     """Attach the balanced weight to every row (``weightCol`` for Spark ML)."""
-    return df.join(class_weights(df, label).select(label, F.col("weight").alias(col)), label)
+    from netlens.operators.joins import join_small
+    return join_small(df, class_weights(df, label).select(label, F.col("weight").alias(col)), label)
 
 
 def deauth_label(frames: DataFrame, by: str = "file", is_deauth: str = "is_deauth",

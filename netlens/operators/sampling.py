@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.functions.labels import label_scheme
+from netlens.operators.joins import join_small
 from netlens.schema import DOWNSAMPLE_THRESHOLD, PER_CLASS_CAP, RANDOM_SEED
 
 HASH_BITS = 60
@@ -62,7 +63,7 @@ def sample_by_plan(df: DataFrame, plan: DataFrame, key: str, label: str = "label
     (broadcast when the measured plan is small, shuffle otherwise).
     """
     p = plan.select(label, "keep_p")
-    return (df.join(p, label)
+    return (join_small(df, p, label)
               .filter(hash_unit(key, seed) < F.col("keep_p"))
               .drop("keep_p"))
 
@@ -183,7 +184,7 @@ def mark_held_out(df: DataFrame, label: str = "label", source: str = "source",
                   pick: str = "last", col: str = "is_held_out") -> DataFrame:
     """Held-out-session mask (J13): join the per-class pick back on label."""
     h = held_out_sessions(df, label, source, pick).select(label, "held_out")
-    return (df.join(h, label, "left")
+    return (join_small(df, h, label, "left")
               .withColumn(col, F.coalesce(F.col(source) == F.col("held_out"), F.lit(False)))
               .drop("held_out"))
 
@@ -213,11 +214,11 @@ def realistic_sample(full: DataFrame, sample: DataFrame, held: DataFrame, counts
     small = plan.filter(F.col("n") <= threshold)
     capped = plan.filter(F.col("n") > threshold).withColumn(
         "keep_p", F.least(F.lit(1.0), F.col("quota") / F.greatest(F.col("n") - cap, F.lit(1))))
-    part_a = rank_below(held.join(small.select(label), label, "left_semi"), [label],
+    part_a = rank_below(join_small(held, small.select(label), label, "left_semi"), [label],
                         small.select(label, "quota"), key, seed)
-    pool = full.join(capped.select(label), label, "left_semi")            # J5
+    pool = join_small(full, capped.select(label), label, "left_semi")     # J5
     unseen = exclude_seen(pool, sample, feature_cols)
-    drawn = (unseen.join(capped.select(label, "keep_p"), label)
+    drawn = (join_small(unseen, capped.select(label, "keep_p"), label)
                    .filter(hash_unit(key, seed + 1) < F.col("keep_p")).drop("keep_p"))
     part_b = rank_below(drawn, [label], capped.select(label, "quota"), key, seed)
     return part_a.unionByName(part_b.select(*part_a.columns))
