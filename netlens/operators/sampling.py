@@ -222,3 +222,26 @@ def realistic_sample(full: DataFrame, sample: DataFrame, held: DataFrame, counts
                    .filter(hash_unit(key, seed + 1) < F.col("keep_p")).drop("keep_p"))
     part_b = rank_below(drawn, [label], capped.select(label, "quota"), key, seed)
     return part_a.unionByName(part_b.select(*part_a.columns))
+
+
+def shuffle_rows(df: DataFrame, key: str, seed: int = RANDOM_SEED) -> DataFrame:
+    """Seeded shuffle before a write (T8): a global sort on the hash draw
+    (range-partitioned, so no single task sorts everything)."""
+    return df.orderBy(hash_draw(key, seed), F.col(key))
+
+
+def sample_table(df: DataFrame, key: str, features: list[str], label: str = "label",
+                 threshold: int = DOWNSAMPLE_THRESHOLD, cap: int = PER_CLASS_CAP,
+                 seed: int = RANDOM_SEED, shuffle: bool = False) -> DataFrame:
+    """The sampled training table (3.2 lifecycle): class plan (A1, A2) ->
+    Bernoulli sample (SA1) -> non-finite to NULL -> ``label_34``,
+    ``label_8``, ``label_binary`` (P28, P13, P14) -> float32 features ->
+    optional seeded order (T8)."""
+    from netlens.functions.columns import nonfinite_to_null
+    plan = class_plan(class_counts(df, label), label, threshold, cap)
+    s = sample_by_plan(df, plan, key, label, seed)
+    out = s.select(F.col(key), F.col(label).alias("label_34"),
+                   label_scheme(label, "category").alias("label_8"),
+                   label_scheme(label, "binary").alias("label_binary"),
+                   *[nonfinite_to_null(c).cast("float").alias(c) for c in features])
+    return shuffle_rows(out, key, seed) if shuffle else out

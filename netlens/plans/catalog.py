@@ -103,6 +103,7 @@ QUERIES = {
     "j01_taxonomy_join": Q.q_taxonomy_join,
     "p12_signed_log": Q.q_signed_log,
     "t01_rank_models": Q.q_rank_models,
+    "sa01_sample_table": Q.q_sample_table,
 }
 
 # report queries compare their averaged doubles rounded to 9 places

@@ -1048,3 +1048,10 @@ SELECT model, round(f1_macro, 9) AS f1_macro,
   SELECT 'k_mod_5' AS model, avg(f1) AS f1_macro FROM a_pc
   UNION ALL SELECT 'k_div_5', avg(f1) FROM b_pc)""",
 }
+
+ORACLE_MORE["sa01_sample_table"] = with_ctes(LEV_CTE, TAXONOMY_CTE, PLAN_CTE) + """
+SELECT event_id, label AS label_34, category AS label_8, "binary" AS label_binary,
+       CAST(CAST(value AS FLOAT) AS DOUBLE) AS value,
+       CASE WHEN k % 7 = 0 THEN NULL
+            ELSE CAST(CAST(value / (k % 7) AS FLOAT) AS DOUBLE) END AS ratio
+FROM samp JOIN tax USING (label)"""

@@ -681,3 +681,14 @@ def q_recalibrated_gate(spark, sf_dir):
     g2 = GT.recalibrate(g, rows.filter("is_benign").filter(F.col("source") == "net0"), "vec_id")
     return spark.createDataFrame([("all_networks", g.threshold), ("net0", g2.threshold)],
                                  "gate string, threshold double")
+
+
+def q_sample_table(spark, sf_dir):
+    # a ratio that is +inf when k % 7 = 0: the sampler stores it as NULL
+    e = lev(spark, sf_dir).withColumn(
+        "ratio", F.when(F.col("k") % 7 == 0, F.lit(float("inf")))
+                  .otherwise(F.col("value") / (F.col("k") % 7)))
+    return SA.sample_table(e, "event_id", ["value", "ratio"], threshold=FIX_THRESHOLD,
+                           cap=FIX_CAP, shuffle=True).select(
+        "event_id", "label_34", "label_8", "label_binary",
+        F.col("value").cast("double").alias("value"), F.col("ratio").cast("double").alias("ratio"))
