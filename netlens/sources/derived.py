@@ -219,3 +219,14 @@ def frames_from_packets(packets: DataFrame) -> DataFrame:
     pad = F.greatest(F.col("frame_len") * 2 - F.length(hexs), F.lit(0))
     frame = F.unhex(F.concat(hexs, F.repeat(F.lit("0"), pad.cast("int"))))
     return packets.select("source", "packet_no", "ts_us", frame.alias("frame"))
+
+
+def replicate_packets(packets: DataFrame, times: int) -> DataFrame:
+    """Benchmark volume: every packet ``times`` times as separate captures
+    (``packet_no * times + r``, source ``<source>-<r>``), via explode."""
+    r = F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("_r")
+    return (packets.select("*", r)
+                   .withColumn("packet_no", F.col("packet_no") * times + F.col("_r"))
+                   .withColumn("source", F.concat(F.col("source"), F.lit("-"),
+                                                  F.col("_r").cast("string")))
+                   .drop("_r"))
