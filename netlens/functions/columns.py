@@ -58,3 +58,20 @@ def round_doubles(df, places: int = 6):
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
+
+
+EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock (NTZ) timestamp.
+
+    Plain timestamp arithmetic, so the result does not depend on the
+    session time zone (a cast to TIMESTAMP would apply it).
+    """
+    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), col(ts).cast("timestamp_ntz"))
+
+
+def from_epoch_micros(us) -> Column:
+    """Inverse of :func:`epoch_micros`, as a TIMESTAMP_NTZ."""
+    return F.timestamp_add("MICROSECOND", col(us), F.expr(EPOCH_NTZ))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netlens.functions.columns import epoch_micros, from_epoch_micros
 from netlens.schema import BENIGN_LABEL
 
 EVENT_SCHEMA = T.StructType([
@@ -272,7 +273,7 @@ def timeline(alerts: DataFrame, seconds: int = 10) -> DataFrame:
     """
     spark = alerts.sparkSession
     width = seconds * 1_000_000
-    b = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(width)).cast("long")
+    b = F.floor(epoch_micros("ts") / F.lit(width)).cast("long")
     counts = alerts.filter(F.col("ts").isNotNull()).groupBy(b.alias("bin")) \
         .agg(F.count(F.lit(1)).alias("alerts"))
     lo, hi = counts.agg(F.min("bin"), F.max("bin")).first()
@@ -281,8 +282,7 @@ def timeline(alerts: DataFrame, seconds: int = 10) -> DataFrame:
     bins = spark.range(lo, hi + 1).withColumnRenamed("id", "bin")
     return (bins.join(counts, "bin", "left")
                 .select("bin",
-                        F.timestamp_micros(F.col("bin") * width).cast("timestamp_ntz")
-                         .alias("bin_start"),
+                        from_epoch_micros(F.col("bin") * width).alias("bin_start"),
                         F.coalesce(F.col("alerts"), F.lit(0)).alias("alerts")))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netlens.functions.columns import epoch_micros
 from netlens.schema import CLASSES_ALPHA
 
 # FIXED VALUES (fixture rule set B1): event type -> IP protocol (0 = ARP frame)
@@ -76,7 +77,7 @@ def packets_from_events(events: DataFrame) -> DataFrame:
     return e.select(
         F.concat(F.lit("cap"), (u % 4).cast("string")).alias("source"),
         F.col("event_id").alias("packet_no"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        epoch_micros("ts").alias("ts_us"),
         (proto == 0).cast("int").alias("is_arp"),
         proto,
         F.when(proto == 0, 0).when(k % 2 == 0, 64).otherwise(128).cast("int").alias("ttl"),
