@@ -197,7 +197,7 @@ def gate_rates(df: DataFrame, by: str | None = None, is_benign: str = "is_benign
         F.count(F.lit(1)).alias("rows"))
 
 
-def pipeline_rates(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
+def end_to_end_rates(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
                    benign: str = "BenignTraffic") -> DataFrame:
     """End-to-end rates (A36): overall accuracy, benign pass, attack caught, exact class."""
     t, p = F.col(y_true), F.col(y_pred)

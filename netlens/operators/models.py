@@ -23,7 +23,7 @@ from netlens.session import cut_lineage
 MAX_SPARK_DEPTH = 30
 
 
-def _pipeline(features: list[str], label: str, clf, labels_from: DataFrame) -> Pipeline:
+def _pipeline(features: list[str], label: str, clf) -> Pipeline:
     idx = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc",
                         handleInvalid="keep")
     vec = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
@@ -44,8 +44,7 @@ def fit_tree(df: DataFrame, features: list[str], label: str = "label", depth: in
                                  maxDepth=min(depth, MAX_SPARK_DEPTH), minInstancesPerNode=leaf,
                                  maxBins=max_bins, seed=seed,
                                  **({"weightCol": "_w"} if balanced else {}))
-    model = _pipeline(features, label, clf, data).fit(data)
-    return model
+    return _pipeline(features, label, clf).fit(data)
 
 
 def fit_forest(df: DataFrame, features: list[str], label: str = "label", trees: int = 50,
@@ -55,7 +54,7 @@ def fit_forest(df: DataFrame, features: list[str], label: str = "label", trees:
     clf = RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p",
                                  numTrees=trees, maxDepth=min(depth, MAX_SPARK_DEPTH),
                                  minInstancesPerNode=leaf, seed=seed)
-    return _pipeline(features, label, clf, df).fit(df)
+    return _pipeline(features, label, clf).fit(df)
 
 
 def predict(model: PipelineModel, df: DataFrame, out: str = "y_pred") -> DataFrame:
@@ -159,9 +158,9 @@ def augment(train: DataFrame, extra: DataFrame, label: str = "label", key: str =
     return train.unionByName(e.select(*train.columns))
 
 
-def evaluate_pipeline(df: DataFrame, gate: Gate, model: PipelineModel, label: str = "label",
+def evaluate_end_to_end(df: DataFrame, gate: Gate, model: PipelineModel, label: str = "label",
                       key: str = "id", per_class: int = 100) -> DataFrame:
     """End-to-end rates on ``per_class`` unseen rows per class."""
     test = SA.sample_n(df, per_class, key, by=[label])
     s = score_two_stage(test, gate, model)
-    return EV.pipeline_rates(s, label, "label_pred")
+    return EV.end_to_end_rates(s, label, "label_pred")

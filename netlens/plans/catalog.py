@@ -39,7 +39,7 @@ QUERIES = {
     "j08_support_vs_f1": Q.q_support_vs_f1,
     "j10_report_delta": Q.q_report_delta,
     "t07_best_config": Q.q_best_config,
-    "a36_pipeline_rates": Q.q_pipeline_rates,
+    "a36_end_to_end_rates": Q.q_end_to_end_rates,
     "a35_gate_rates": Q.q_gate_rates,
     # alerts
     "s07_read_events": Q.q_read_events,
@@ -94,7 +94,7 @@ QUERIES = {
     "m11_gate_scenarios": Q.q_gate_scenarios,
     "m12_benign_holdout": Q.q_benign_holdout,
     "m13_augmented": Q.q_augmented,
-    "m14_pipeline_eval": Q.q_pipeline_eval,
+    "m14_end_to_end_eval": Q.q_end_to_end_eval,
     "m04_granularities": Q.q_granularities,
     "m07_recalibrated_gate": Q.q_recalibrated_gate,
     # more operators with oracles

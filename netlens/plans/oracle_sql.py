@@ -526,7 +526,7 @@ FROM a_pc a JOIN b_pc b USING (class)""",
 SELECT config, f1_macro FROM (
   SELECT 0 AS config, avg(f1) AS f1_macro FROM a_pc
   UNION ALL SELECT 1, avg(f1) FROM b_pc) ORDER BY f1_macro DESC, config LIMIT 1""",
-    "a36_pipeline_rates": with_ctes(LEV_CTE, PRED_CTE) + """
+    "a36_end_to_end_rates": with_ctes(LEV_CTE, PRED_CTE) + """
 SELECT avg(CAST(y_true = y_pred AS DOUBLE)) AS accuracy,
        avg(CASE WHEN y_true = 'view' THEN CAST(y_pred = 'view' AS DOUBLE) END) AS benign_pass,
        avg(CASE WHEN y_true <> 'view' THEN CAST(y_pred <> 'view' AS DOUBLE) END) AS attack_caught,

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from netlens.functions.features import engineer
 from netlens.operators.windows import windows_from_packets
 from netlens.plans.oracle_sql import FIXTURE_CHUNK_BYTES, UNSTABLE_ENG, UNSTABLE_RAW
-from netlens.schema import ENG, RAW
 from netlens.sources.derived import packets_from_events, table
 
 
@@ -244,9 +243,9 @@ def q_best_config(spark, sf_dir):
     return EV.best_by(a.unionByName(b), "f1_macro", "config").select("config", "f1_macro")
 
 
-def q_pipeline_rates(spark, sf_dir):
+def q_end_to_end_rates(spark, sf_dir):
     p = predictions(spark, sf_dir)
-    return EV.pipeline_rates(p, benign="view")
+    return EV.end_to_end_rates(p, benign="view")
 
 
 def q_gate_rates(spark, sf_dir):
@@ -603,9 +602,9 @@ def q_augmented(spark, sf_dir):
     return MD.evaluate(m, s.filter(~F.col("is_train")))
 
 
-def q_pipeline_eval(spark, sf_dir):
+def q_end_to_end_eval(spark, sf_dir):
     s, g, m = _window_gate_model(spark, sf_dir)
-    return MD.evaluate_pipeline(s.filter(~F.col("is_train")).drop("is_train"), g, m,
+    return MD.evaluate_end_to_end(s.filter(~F.col("is_train")).drop("is_train"), g, m,
                                 per_class=100)
 
 

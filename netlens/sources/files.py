@@ -114,7 +114,7 @@ def read_manifest(spark: SparkSession, path: str, inventory: DataFrame):
 
 
 def save_model(model, path: str) -> None:
-    """Persist a fitted pipeline."""
+    """Persist a fitted Spark ML model."""
     model.write().overwrite().save(path)
 
 
