@@ -65,9 +65,15 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_by_label(df: DataFrame, path: str, label: str = "label") -> None:
-    """Per-class tables rebuilt in one pass, one folder per label."""
-    df.repartition(label).write.mode("overwrite").partitionBy(label).parquet(path)
+def write_by_label(df: DataFrame, path: str, label: str = "label", spread: int = 16) -> None:
+    """Per-class tables rebuilt in one pass, one folder per label.
+
+    Rows are spread over ``spread`` tasks per label (row-hash salt), so a
+    label holding a third of all rows is still written in parallel.
+    """
+    salt = F.abs(F.xxhash64(*[F.col(c) for c in df.columns])) % spread
+    (df.repartition(F.col(label), salt).sortWithinPartitions(label)
+       .write.mode("overwrite").partitionBy(label).parquet(path))
 
 
 def fingerprint_file(path: str, size: int) -> str:
