@@ -41,11 +41,11 @@ pk1 AS (
          CASE WHEN proto = 0 THEN 0 WHEN k % 2 = 0 THEN 64 ELSE 128 END AS ttl,
          '10.0.0.' || CAST(user_id % 16 AS VARCHAR) AS a_ip,
          '10.0.1.' || CAST(k % 8 AS VARCHAR) AS b_ip,
-         CASE WHEN proto IN (6, 17) THEN 1024 + user_id % 8 ELSE 0 END AS a_port,
-         CASE WHEN proto IN (6, 17) THEN
+         CAST(CASE WHEN proto IN (6, 17) THEN 1024 + user_id % 8 ELSE 0 END AS INTEGER) AS a_port,
+         CAST(CASE WHEN proto IN (6, 17) THEN
               CASE k % 8 WHEN 0 THEN 80 WHEN 1 THEN 443 WHEN 2 THEN 53 WHEN 3 THEN 23
                          WHEN 4 THEN 25 WHEN 5 THEN 22 WHEN 6 THEN 21 ELSE 9999 END
-              ELSE 0 END AS b_port,
+              ELSE 0 END AS INTEGER) AS b_port,
          CASE WHEN proto = 6 THEN (k * 37) % 256 ELSE 0 END AS tcp_flags,
          54 + CAST(floor(value) AS BIGINT) % 1447 AS frame_len
   FROM pk0
@@ -699,7 +699,7 @@ FROM (SELECT capture, label, count(*) AS n FROM det GROUP BY 1, 2)""",
     + """
 SELECT * FROM (
   SELECT capture, label, n,
-         row_number() OVER (PARTITION BY capture ORDER BY n DESC, label) AS rank
+         CAST(row_number() OVER (PARTITION BY capture ORDER BY n DESC, label) AS INTEGER) AS rank
   FROM (SELECT capture, label, count(*) AS n FROM det GROUP BY 1, 2)) WHERE rank <= 6""",
     "a22_dominant_signature": with_ctes(LEV_CTE, JSON_CTE) + """
 SELECT capture, signature AS top_signature, n AS top_signature_n FROM (
@@ -800,7 +800,7 @@ SELECT source, packet_no,
 FROM chunked""",
     "a09_flow_info": _FLOWROWS + """
 SELECT source, chunk_id, lo_ip, lo_port, hi_ip, hi_port, count(*) AS packets,
-       sum(frame_len) AS bytes, (max(ts_us) - min(ts_us)) / 1e6 AS duration,
+       CAST(sum(frame_len) AS BIGINT) AS bytes, (max(ts_us) - min(ts_us)) / 1e6 AS duration,
        min(ts_us / 1e6) AS min_ts, max(ts_us / 1e6) AS max_ts, sum(ts_us) / 1e6 AS sum_ts,
        sum(ts_us) / count(*) / 1e6 AS mean_ts, sqrt(CAST(count(*) * sum(CAST(dur_us AS HUGEINT) * dur_us) - sum(CAST(dur_us AS HUGEINT)) * sum(dur_us) AS DOUBLE)
             / CAST(count(*) * count(*) AS DOUBLE)) / 1e6 AS std_ts,
@@ -810,9 +810,9 @@ FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY source, chunk_id, lo_ip, l
 GROUP BY 1, 2, 3, 4, 5, 6""",
     "a10_flow_directions": _FLOWROWS + """
 SELECT source, chunk_id, lo_ip, lo_port, hi_ip, hi_port,
-       sum(is_fwd) AS fwd_packets, sum(1 - is_fwd) AS bwd_packets,
-       sum(CASE WHEN is_fwd = 1 THEN frame_len ELSE 0 END) AS fwd_bytes,
-       sum(CASE WHEN is_fwd = 0 THEN frame_len ELSE 0 END) AS bwd_bytes
+       CAST(sum(is_fwd) AS BIGINT) AS fwd_packets, CAST(sum(1 - is_fwd) AS BIGINT) AS bwd_packets,
+       CAST(sum(CASE WHEN is_fwd = 1 THEN frame_len ELSE 0 END) AS BIGINT) AS fwd_bytes,
+       CAST(sum(CASE WHEN is_fwd = 0 THEN frame_len ELSE 0 END) AS BIGINT) AS bwd_bytes
 FROM flowrows GROUP BY 1, 2, 3, 4, 5, 6""",
     "a11_host_counts": with_ctes(PACKETS_CTE) + """
 SELECT source, 'src_ip' AS key_kind, sip AS key, count(*) AS packets FROM chunked GROUP BY 1, 3
@@ -833,16 +833,16 @@ SELECT CASE proto WHEN 0 THEN 'IP' WHEN 1 THEN 'ICMP' WHEN 2 THEN 'IGMP' WHEN 6
 FROM packets GROUP BY 1""",
     "p03_packet_flags": with_ctes(PACKETS_CTE, PACKET_FEATURES_CTE) + """
 SELECT source, """ + ", ".join(
-        f"sum({c}) AS {c}" for c in
+        f"CAST(sum({c}) AS BIGINT) AS {c}" for c in
         ["fin_flag_number", "syn_flag_number", "rst_flag_number", "psh_flag_number",
          "ack_flag_number", "ece_flag_number", "cwr_flag_number", "urg_count",
          "http", "https", "dns", "telnet", "smtp", "ssh", "irc", "tcp", "udp", "dhcp",
          "arp", "icmp", "ipv", "llc"]) + """,
-       sum(CASE WHEN (tcp = 1 OR udp = 1) AND (sport = 1883 OR dport = 1883) THEN 1 ELSE 0 END) AS mqtt,
-       sum(CASE WHEN (tcp = 1 OR udp = 1) AND (sport = 5683 OR dport = 5683) THEN 1 ELSE 0 END) AS coap
+       CAST(sum(CASE WHEN (tcp = 1 OR udp = 1) AND (sport = 1883 OR dport = 1883) THEN 1 ELSE 0 END) AS BIGINT) AS mqtt,
+       CAST(sum(CASE WHEN (tcp = 1 OR udp = 1) AND (sport = 5683 OR dport = 5683) THEN 1 ELSE 0 END) AS BIGINT) AS coap
 FROM feat GROUP BY source""",
     "a08_size_summary": _FLOWROWS + """
-SELECT source, chunk_id, window_id, sum(frame_len) AS tot_sum, min(frame_len) AS min,
+SELECT source, chunk_id, window_id, CAST(sum(frame_len) AS BIGINT) AS tot_sum, min(frame_len) AS min,
        max(frame_len) AS max, sum(frame_len) / count(*) AS avg,
        sqrt((count(*) * sum(frame_len * frame_len) - sum(frame_len) * sum(frame_len))
             / (count(*) * count(*))) AS std, count(*) AS number
@@ -1044,7 +1044,7 @@ SELECT category, "binary", count(*) AS n FROM lev JOIN tax USING (label) GROUP B
     "t01_rank_models": with_ctes(LEV_CTE, PRED_CTE, _report_ctes("pred", "y_true", "y_pred", "a"),
                                  _report_ctes("pred", "y_true", "y_pred_b", "b")) + """
 SELECT model, round(f1_macro, 9) AS f1_macro,
-       row_number() OVER (ORDER BY f1_macro DESC, model) AS rank FROM (
+       CAST(row_number() OVER (ORDER BY f1_macro DESC, model) AS INTEGER) AS rank FROM (
   SELECT 'k_mod_5' AS model, avg(f1) AS f1_macro FROM a_pc
   UNION ALL SELECT 'k_div_5', avg(f1) FROM b_pc)""",
 }
