@@ -22,30 +22,38 @@ def with_chunk(packets: DataFrame, limit_bytes: int = CHUNK_BYTES,
                size: str = "frame_len") -> DataFrame:
     """``chunk_id = floor(running bytes per source / limit_bytes)`` (W2, SQL form).
 
-    The running sum is a distributed two-level prefix sum, so no capture is
-    ever one task: (1) per-(source, block) byte totals, pre-aggregated
+    The running sums are a distributed two-level prefix sum, so no capture
+    is ever one task: (1) per-(source, block) totals, pre-aggregated
     map-side; (2) an exclusive running sum over the small block table;
     (3) a running sum inside each block, which holds at most ``block_rows``
     packet numbers.  The block-offset join is an equi-join on (source, block)
     that AQE turns into a broadcast when the measured block table is small,
     and keeps as a shuffle join otherwise.
 
+    Bytes count every record (kept or not).  ``kept_pos`` is the running
+    count of kept records (``keep`` column, all when absent) per source; the
+    window ids are derived from it without another sort.
+
     The packet source computes the exact chunk (the record that reaches the
     limit opens a new chunk and is not counted) while walking record
     headers; this closed form matches it up to the first boundary.
     """
+    kept = F.col("keep").cast("long") if "keep" in packets.columns else F.lit(1).cast("long")
     blk = F.floor(F.col(order) / F.lit(block_rows)).cast("long")
-    p = packets.withColumn("_blk", blk)
-    totals = p.groupBy("source", "_blk").agg(F.sum(size).alias("_blk_bytes"))
+    p = packets.withColumns({"_blk": blk, "_kept": kept})
+    totals = p.groupBy("source", "_blk").agg(F.sum(size).alias("_blk_bytes"),
+                                            F.sum("_kept").alias("_blk_kept"))
     w_off = Window.partitionBy("source").orderBy("_blk").rowsBetween(UNBOUNDED, -1)
     offsets = totals.select(
         "source", "_blk",
-        F.coalesce(F.sum("_blk_bytes").over(w_off), F.lit(0)).alias("_blk_off"))
+        F.coalesce(F.sum("_blk_bytes").over(w_off), F.lit(0)).alias("_off_bytes"),
+        F.coalesce(F.sum("_blk_kept").over(w_off), F.lit(0)).alias("_off_kept"))
     w_in = Window.partitionBy("source", "_blk").orderBy(order).rowsBetween(UNBOUNDED, CURRENT)
     return (p.join(offsets, ["source", "_blk"])
-             .withColumn("_run", F.col("_blk_off") + F.sum(size).over(w_in))
+             .withColumns({"_run": F.col("_off_bytes") + F.sum(size).over(w_in),
+                           "kept_pos": F.col("_off_kept") + F.sum("_kept").over(w_in)})
              .withColumn("chunk_id", F.floor(F.col("_run") / F.lit(float(limit_bytes))).cast("long"))
-             .drop("_blk", "_blk_off", "_run"))
+             .drop("_blk", "_kept", "_off_bytes", "_off_kept", "_run"))
 
 
 def flow_key_cols() -> dict[str, Column]:
@@ -104,10 +112,22 @@ def with_flow_state(packets: DataFrame) -> DataFrame:
 
 
 def with_window_id(packets: DataFrame, size: int = 10) -> DataFrame:
-    """``window_id`` = kept-packet position in the chunk div ``size``."""
-    w = Window.partitionBy("source", "chunk_id").orderBy("packet_no")
-    return packets.withColumn(
-        "window_id", F.floor((F.row_number().over(w) - 1) / F.lit(size)).cast("long"))
+    """``window_id`` = kept-packet position in the chunk div ``size``.
+
+    * ``kept_no`` (position among kept records in the chunk, from the
+      capture source): plain arithmetic, no window;
+    * ``kept_pos`` (running kept count per source, from :func:`with_chunk`):
+      position = kept_pos - min(kept_pos) over the chunk, an unordered
+      window that reuses the chunk-clustered sort of the flow windows;
+    * otherwise ``row_number`` over the chunk ordered by ``packet_no``.
+    """
+    if "kept_no" in packets.columns:
+        pos0 = F.col("kept_no") - 1
+    elif "kept_pos" in packets.columns:
+        pos0 = F.col("kept_pos") - F.min("kept_pos").over(Window.partitionBy("source", "chunk_id"))
+    else:
+        pos0 = F.row_number().over(Window.partitionBy("source", "chunk_id").orderBy("packet_no")) - 1
+    return packets.withColumn("window_id", F.floor(pos0 / F.lit(size)).cast("long"))
 
 
 def capture_iat(packets: DataFrame) -> DataFrame:

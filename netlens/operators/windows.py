@@ -35,13 +35,12 @@ def packet_rows(packets: DataFrame, chunk_bytes: int | None = None,
     otherwise the input must already carry ``chunk_id`` (packet source).
     Only kept packets (IPv4/ARP) enter windows.
     """
+    if chunk_bytes is not None:                  # chunk bytes count every record
+        packets = with_chunk(packets, chunk_bytes, block_rows=block_rows)
     if "keep" in packets.columns:
         packets = packets.filter(F.col("keep") == 1)
-    if chunk_bytes is not None:
-        packets = with_chunk(packets, chunk_bytes, block_rows=block_rows)
     p = partition_chunks(packet_features(packets))
-    p = with_window_id(p, size)
-    return with_flow_state(p)
+    return with_window_id(with_flow_state(p), size)
 
 
 def _n():
@@ -212,10 +211,10 @@ def window_summary_v1(packets: DataFrame, chunk_bytes: int | None = None,
     """
     from netlens.operators.flows import capture_iat
 
-    if "keep" in packets.columns:
-        packets = packets.filter(F.col("keep") == 1)
     if chunk_bytes is not None:
         packets = with_chunk(packets, chunk_bytes, block_rows=block_rows)
+    if "keep" in packets.columns:
+        packets = packets.filter(F.col("keep") == 1)
     p = partition_chunks(packet_features(packets))
     p = with_window_id(capture_iat(p), size)
     is_ip = F.col("is_arp") == 0

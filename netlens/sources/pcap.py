@@ -25,7 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from netlens.schema import CHUNK_BYTES
 
-PCAP_SCHEMA = "source string, chunk_id long, packet_no long, ts_us long, frame binary"
+PCAP_SCHEMA = ("source string, chunk_id long, packet_no long, kept_no long, ts_us long, "
+               "frame binary")
 EXTENSIONS = (".pcap", ".cap", ".pcapng")
 
 
@@ -102,9 +103,21 @@ def _pcapng_records(fh, first4: bytes) -> Iterator[tuple[int, bytes]]:
             yield 0, body[4:4 + min(orig, len(body) - 8)]
 
 
+def _kept(buf: bytes) -> bool:
+    """Same rule as the decode's ``keep``: IPv4 with a full header, or ARP."""
+    if len(buf) < 14:
+        return False
+    et = (buf[12] << 8) | buf[13]
+    return (et == 0x0800 and len(buf) >= 34) or et == 0x0806
+
+
 def read_capture(path: str, chunk_bytes: int = CHUNK_BYTES,
                  max_packets: int | None = None) -> Iterator[tuple]:
-    """Yield (source, chunk_id, packet_no, ts_us, frame) for one capture file."""
+    """Yield (source, chunk_id, packet_no, kept_no, ts_us, frame) for one file.
+
+    ``kept_no`` is the 1-based position of a kept record inside its chunk
+    (NULL for records the window path skips), so window ids need no sort.
+    """
     name = os.path.basename(path)
     with open(path, "rb") as fh:
         head = fh.read(4)
@@ -115,7 +128,7 @@ def read_capture(path: str, chunk_bytes: int = CHUNK_BYTES,
             recs = _pcapng_records(fh, head)
         else:
             return
-        chunk, acc, n = 0, 0, 0
+        chunk, acc, n, kept = 0, 0, 0, 0
         for ts_us, buf in recs:
             n += 1
             if max_packets and n > max_packets:
@@ -124,7 +137,12 @@ def read_capture(path: str, chunk_bytes: int = CHUNK_BYTES,
             if acc >= chunk_bytes:
                 chunk += 1
                 acc = 0
-            yield name, chunk, n, ts_us, bytes(buf)
+                kept = 0
+            kno = None
+            if _kept(buf):
+                kept += 1
+                kno = kept
+            yield name, chunk, n, kno, ts_us, bytes(buf)
 
 
 class _FilePartition(InputPartition):
