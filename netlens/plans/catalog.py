@@ -104,6 +104,7 @@ QUERIES = {
     "p12_signed_log": Q.q_signed_log,
     "t01_rank_models": Q.q_rank_models,
     "sa01_sample_table": Q.q_sample_table,
+    "st06_timeline_by_label": Q.q_timeline_by_label,
 }
 
 # report queries compare their averaged doubles rounded to 9 places

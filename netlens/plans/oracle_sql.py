@@ -1055,3 +1055,7 @@ SELECT event_id, label AS label_34, category AS label_8, "binary" AS label_binar
        CASE WHEN k % 7 = 0 THEN NULL
             ELSE CAST(CAST(value / (k % 7) AS FLOAT) AS DOUBLE) END AS ratio
 FROM samp JOIN tax USING (label)"""
+
+ORACLE_MORE["st06_timeline_by_label"] = with_ctes(LEV_CTE, JSON_CTE, DETAIL_CTE) + """
+SELECT time_bucket(INTERVAL '10 seconds', ts) AS bin_start, label, count(*) AS alerts
+FROM alerts WHERE ts IS NOT NULL GROUP BY 1, 2"""

@@ -691,3 +691,10 @@ def q_sample_table(spark, sf_dir):
                            cap=FIX_CAP, shuffle=True).select(
         "event_id", "label_34", "label_8", "label_binary",
         F.col("value").cast("double").alias("value"), F.col("ratio").cast("double").alias("ratio"))
+
+
+def q_timeline_by_label(spark, sf_dir):
+    """Batch twin of the streaming dashboard timeline (ST6)."""
+    from netlens.streaming.streams import timeline_by_label
+    t = timeline_by_label(all_alerts(spark, sf_dir))
+    return t.select(F.col("bin.start").cast("timestamp_ntz").alias("bin_start"), "label", "alerts")

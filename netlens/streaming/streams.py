@@ -65,8 +65,8 @@ def score_batch(batch: DataFrame, score: Callable[[DataFrame], DataFrame],
     """Batch operators over one micro-batch: decode, windows, features, score.
 
     ``score`` takes engineered window rows and returns them with
-    ``is_anomaly`` and ``attack_type``; the result is in the alert schema
-    with the processing time as ``ingest_ts`` (ST2 keeps event time too).
+    ``is_anomaly`` and ``attack_type``; the result is in the alert schema,
+    its ``ts`` the processing time of the batch (ST2), plus the window key.
     """
     pk = decode_frames(batch)
     win = windows_from_packets(pk, chunk_bytes=chunk_bytes)
@@ -92,9 +92,13 @@ def run_capture_scoring(spark: SparkSession, landed: str, sink: str, checkpoint:
     return w.start()
 
 
+def timeline_by_label(alerts: DataFrame, width: str = "10 seconds") -> DataFrame:
+    """Alerts per event-time bin and label: the aggregation of ST6, batch or stream."""
+    return (alerts.groupBy(F.window("ts", width).alias("bin"), "label")
+                  .agg(F.count(F.lit(1)).alias("alerts")))
+
+
 def stream_timeline(alerts: DataFrame, watermark: str = "1 minute",
                     width: str = "10 seconds") -> DataFrame:
     """Alerts per 10 s event-time bin and label, late rows up to the watermark (ST6)."""
-    return (alerts.withWatermark("ts", watermark)
-                  .groupBy(F.window("ts", width).alias("bin"), "label")
-                  .agg(F.count(F.lit(1)).alias("alerts")))
+    return timeline_by_label(alerts.withWatermark("ts", watermark), width)
