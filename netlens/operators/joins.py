@@ -16,7 +16,8 @@ BROADCAST_MAX_ROWS = 1_000_000
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    small = small.cache()            # measured once, reused by the join
+    # the small side is a cheap aggregate: it is counted, then recomputed by the
+    # join (a cached copy would keep the un-coalesced shuffle partitioning)
     if small.count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
