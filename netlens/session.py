@@ -42,6 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a shared folder "
+                               "(a machine-local folder does not survive executor loss)")
         d = tempfile.mkdtemp(prefix="netlens-ckpt-",
                              dir=os.environ.get("NETLENS_SCRATCH", "/tmp"))
     sc.setCheckpointDir(d)

@@ -77,12 +77,16 @@ def write_by_label(df: DataFrame, path: str, label: str = "label", spread: int =
 
 
 def fingerprint_file(path: str, size: int) -> str:
-    """md5 over the size text, the first 2 MiB and (above 4 MiB) the last 2 MiB."""
+    """md5 over the size text, the first 2 MiB and (above 4 MiB) the last 2 MiB.
+
+    ``path`` may be a local path or a cluster URI (read through pyarrow.fs).
+    """
+    from netlens.sources.fs import open_input
     h = hashlib.md5(str(size).encode())
-    with open(path, "rb") as fh:
+    with open_input(path) as fh:
         h.update(fh.read(HEAD_TAIL))
         if size > 2 * HEAD_TAIL:
-            fh.seek(-HEAD_TAIL, os.SEEK_END)
+            fh.seek(size - HEAD_TAIL)
             h.update(fh.read(HEAD_TAIL))
     return h.hexdigest()[:16]
 
@@ -99,8 +103,7 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*.{pcap,cap}"
 
     def fp(it):
         for pdf in it:
-            local = pdf["path"].str.replace("^file:", "", regex=True)
-            pdf["fp"] = [fingerprint_file(p, int(s)) for p, s in zip(local, pdf["size"])]
+            pdf["fp"] = [fingerprint_file(p, int(s)) for p, s in zip(pdf["path"], pdf["size"])]
             yield pdf
 
     out = meta.mapInPandas(fp, "path string, size long, modified timestamp, fp string")

@@ -31,10 +31,9 @@ EXTENSIONS = (".pcap", ".cap", ".pcapng")
 
 
 def list_captures(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path)
-                      if f.lower().endswith(EXTENSIONS))
-    return [path] if os.path.exists(path) else []
+    """Capture files of a folder, or the file itself (local path or cluster URI)."""
+    from netlens.sources.fs import list_files
+    return list_files(path, EXTENSIONS)
 
 
 def _pcap_records(fh, magic: bytes) -> Iterator[tuple[int, bytes]]:
@@ -118,8 +117,9 @@ def read_capture(path: str, chunk_bytes: int = CHUNK_BYTES,
     ``kept_no`` is the 1-based position of a kept record inside its chunk
     (NULL for records the window path skips), so window ids need no sort.
     """
-    name = os.path.basename(path)
-    with open(path, "rb") as fh:
+    from netlens.sources.fs import open_input
+    name = os.path.basename(path.rstrip("/"))
+    with open_input(path) as fh:
         head = fh.read(4)
         if head in (b"\xd4\xc3\xb2\xa1", b"\xa1\xb2\xc3\xd4", b"\x4d\x3c\xb2\xa1",
                     b"\xa1\xb2\x3c\x4d"):

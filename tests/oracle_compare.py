@@ -80,8 +80,14 @@ def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
     import __spark_entry__ as E
-    from netlens.session import get_session
-    spark = get_session("local[8]", shuffle_partitions=8)
+    if os.environ.get("NETLENS_PLAIN_SESSION"):
+        # a session with Spark's defaults only (200 shuffle partitions, local time zone)
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false") \
+            .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    else:
+        from netlens.session import get_session
+        spark = get_session("local[8]", shuffle_partitions=8)
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0

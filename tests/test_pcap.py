@@ -101,3 +101,12 @@ def test_pcap_to_windows(spark, tmp_dir):
     w = windows_from_packets(decoded_packets(spark, tmp_dir))
     agg = w.agg(F.sum("number"), F.count("*")).first()
     assert agg[0] == 18 and agg[1] == 2               # 6 kept frames x 3 -> windows of 10 and 8
+
+
+def test_capture_uri(spark, tmp_dir):
+    """Captures are listed and read through pyarrow.fs, so URIs work like paths."""
+    from netlens.sources.pcap import read_packets
+    write_pcap(f"{tmp_dir}/u.pcap", FRAMES)
+    got = read_packets(spark, f"file://{tmp_dir}").select("source").distinct().collect()
+    assert [r[0] for r in got] == ["u.pcap"]
+    assert read_packets(spark, f"file:{tmp_dir}/u.pcap").count() == 7
