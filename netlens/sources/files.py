@@ -19,10 +19,10 @@ from netlens.functions.labels import label_from_filename
 HEAD_TAIL = 2 * 1024 * 1024      # FIXED VALUE: bytes hashed at each end of a capture
 
 
-def list_parts(path: str, pattern: str = "*.csv") -> list[str]:
-    """Sorted part files; an empty listing is an error."""
-    parts = sorted(glob.glob(os.path.join(path, pattern))) if os.path.isdir(path) else \
-        sorted(glob.glob(path))
+def list_parts(path: str, extension: str = ".csv") -> list[str]:
+    """Sorted part files of a folder (local or cluster URI); none is an error."""
+    from netlens.sources.fs import list_files
+    parts = list_files(path, (extension,)) if "*" not in path else sorted(glob.glob(path))
     if not parts:
         raise FileNotFoundError(f"No CSV parts found in {path}")
     return parts
