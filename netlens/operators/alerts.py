@@ -31,6 +31,9 @@ ALERT_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()),
 ])
 
+# FIXED VALUE: label text of an alert event without a signature.
+DEFAULT_SIGNATURE = "Suricata alert"
+
 # FIXED VALUES: engine-noise substrings dropped by the signature filter.
 NOISE = ["invalid checksum", "STREAM", "Applayer", "unable to match",
          "gzip decompression", "FRAG", "decompression failed"]
@@ -106,7 +109,7 @@ def event_time(ts_text) -> Column:
 def events_to_alerts(ev: DataFrame) -> DataFrame:
     """Event -> alert row (P22): ``DPI: <sig>[ (sev n)]`` and ``src->dst``."""
     sev = F.col("severity")
-    label = F.concat(F.lit("DPI: "), F.coalesce(F.col("signature"), F.lit("Suricata alert")),
+    label = F.concat(F.lit("DPI: "), F.coalesce(F.col("signature"), F.lit(DEFAULT_SIGNATURE)),
                      F.when(sev.isNotNull() & (sev != 0),
                             F.concat(F.lit(" (sev "), sev.cast("string"), F.lit(")")))
                       .otherwise(F.lit("")))

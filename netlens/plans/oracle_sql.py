@@ -566,7 +566,7 @@ for _n, _c in ROUND9.items():
 
 
 # ------------------------------------------------------------------ alerts
-from netlens.operators.alerts import DISABLED_PREFIXES, NOISE  # noqa: E402
+from netlens.operators.alerts import DEFAULT_SIGNATURE, DISABLED_PREFIXES, NOISE  # noqa: E402
 from netlens.sources.derived import ATTACK_URIS, SIGNATURES  # noqa: E402
 
 JSON_CTE = """
@@ -587,7 +587,7 @@ fe AS (
 ),
 dpi_alerts AS (
   SELECT TRY_CAST(replace(substr(timestamp, 1, 19), 'T', ' ') AS TIMESTAMP) AS ts,
-         'DPI: ' || coalesce(signature, 'Suricata alert')
+         'DPI: ' || coalesce(signature, '""" + DEFAULT_SIGNATURE + """')
            || CASE WHEN severity IS NOT NULL AND severity <> 0
                    THEN ' (sev ' || CAST(severity AS VARCHAR) || ')' ELSE '' END AS label,
          coalesce(src_ip, '?') || '->' || coalesce(dest_ip, '?') AS source

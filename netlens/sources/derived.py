@@ -27,12 +27,12 @@ SIGNATURES = [
     "LOCAL XSS script tag in request",
     "LOCAL OS Command Injection in URI",
     "ET INFO Session traversal",
-    "SURICATA STREAM invalid checksum",
-    "SURICATA FRAG overlap",
+    "ENGINE STREAM invalid checksum",
+    "ENGINE FRAG overlap",
     "LOCAL Telnet to IoT device (policy)",
     "ET EXPLOIT Possible Mirai dropper",
     "ET HUNTING curl user agent",
-    "SURICATA Applayer detect protocol only one direction",
+    "ENGINE Applayer detect protocol only one direction",
 ]
 
 

@@ -28,7 +28,7 @@ def test_parse_filter_and_alert_rows(spark):
         ('{"event_type":"alert","timestamp":"2026-06-22T10:00:00.000000+0000","src_ip":"1.1.1.1",'
          '"dest_ip":"2.2.2.2","alert":{"signature":"LOCAL XSS","severity":1}}',),
         ('{"event_type":"alert","timestamp":"2026-06-22T10:00:01+0000","alert":{"signature":"x"}}',),
-        ('{"event_type":"alert","timestamp":"bad","alert":{"signature":"SURICATA STREAM x","severity":1}}',),
+        ('{"event_type":"alert","timestamp":"bad","alert":{"signature":"ENGINE STREAM x","severity":1}}',),
         ('{"event_type":"flow"}',), ("",), ("{broken",)], "value string")
     ev = parse_events(lines)
     assert ev.count() == 4
@@ -37,7 +37,7 @@ def test_parse_filter_and_alert_rows(spark):
     assert al["DPI: LOCAL XSS (sev 1)"]["source"] == "1.1.1.1->2.2.2.2"
     assert str(al["DPI: LOCAL XSS (sev 1)"]["ts"]) == "2026-06-22 10:00:00"
     assert al["DPI: x"]["source"] == "?->?"
-    assert al["DPI: SURICATA STREAM x (sev 1)"]["ts"] is None
+    assert al["DPI: ENGINE STREAM x (sev 1)"]["ts"] is None
 
 
 def test_alert_files_roundtrip_and_tolerance(spark, tmp_dir):
