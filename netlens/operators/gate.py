@@ -100,10 +100,11 @@ class Gate:
 def _score_udf(nodes: pd.DataFrame, psi: int, k: int):
     trees = []
     for _, g in nodes.sort_values(["tree", "node"]).groupby("tree"):
-        trees.append(tuple(g[c].to_numpy() for c in
-                           ("feature", "threshold", "left", "right", "size", "depth")))
+        feat, thr, left, right = (g[c].to_numpy() for c in ("feature", "threshold", "left", "right"))
+        # path length credited at each node if a row ends there: depth + c(size)
+        path = g["depth"].to_numpy() + np.array([c_factor(n) for n in g["size"].to_numpy()])
+        trees.append((feat, thr, left, right, path, int(g["depth"].max())))
     cpsi = c_factor(psi)
-    cvec = np.vectorize(c_factor)
 
     @F.pandas_udf(T.DoubleType())
     def score(vals: pd.Series) -> pd.Series:
@@ -112,16 +113,16 @@ def _score_udf(nodes: pd.DataFrame, psi: int, k: int):
         x = np.vstack(vals.to_numpy()).astype("float64").reshape(len(vals), k)
         rows = np.arange(len(x))
         total = np.zeros(len(x))
-        for feat, thr, left, right, size, depth in trees:
+        for feat, thr, left, right, path, height in trees:
             node = np.zeros(len(x), dtype=np.int64)
-            for _ in range(int(depth.max()) + 1):
+            for _ in range(height + 1):
                 f = feat[node]
                 inner = f >= 0
                 if not inner.any():
                     break
                 go_left = x[rows, np.where(inner, f, 0)] < thr[node]
                 node = np.where(inner, np.where(go_left, left[node], right[node]), node)
-            total += depth[node] + cvec(size[node])
+            total += path[node]
         return pd.Series(np.power(2.0, -(total / len(trees)) / cpsi))
 
     return score
