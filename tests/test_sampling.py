@@ -62,3 +62,35 @@ def test_exclude_seen_null_safe(spark):
     a = spark.createDataFrame([(1, None), (2, 1.0), (3, 2.0)], "id long, x double")
     s = spark.createDataFrame([(9, None), (8, 2.0)], "id long, x double")
     assert sorted(r["id"] for r in exclude_seen(a, s, ["x"]).collect()) == [2]
+
+
+def test_rank_below_property(spark):
+    """Random group sizes, skews and quotas: the histogram method equals brute force."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from netlens.operators.sampling import rank_below
+
+    @settings(max_examples=6, deadline=None)
+    @given(sizes=st.lists(st.integers(0, 400), min_size=1, max_size=4),
+           quotas=st.lists(st.integers(0, 450), min_size=4, max_size=4),
+           seed=st.integers(0, 10_000))
+    def check(sizes, quotas, seed):
+        rows, i = [], 0
+        for g, n in enumerate(sizes):
+            for _ in range(n):
+                rows.append((i, f"g{g}"))
+                i += 1
+        if not rows:
+            return
+        df = spark.createDataFrame(rows, "id long, label string")
+        q = spark.createDataFrame([(f"g{g}", quotas[g]) for g in range(len(sizes))],
+                                  "label string, quota long")
+        got = {r["id"] for r in rank_below(df, ["label"], q, "id", seed).collect()}
+        want = set()
+        for g in range(len(sizes)):
+            ids = [r for r, lab in rows if lab == f"g{g}"]
+            want |= set(sorted(ids, key=lambda k: (draw(k, seed), k))[:quotas[g]])
+        assert got == want
+
+    check()
