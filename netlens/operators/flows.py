@@ -84,23 +84,30 @@ def with_flow_state(packets: DataFrame) -> DataFrame:
     the flow's first packet), running ``fwd_n``/``bwd_n``, ``cum_bytes`` and
     ``rate``/``srate``/``drate`` (0 when the duration is not positive).
     Packet order is ``packet_no`` (file order), not time.
+
+    One window pass: ``d`` = the sender is the key's low endpoint (no window
+    needed), ``is_fwd`` = ``d`` equals the first packet's ``d``, and the
+    forward count is the running sum of ``d`` or its complement.
     """
-    p = packets.withColumns(flow_key_cols())
+    keys = flow_key_cols()
+    p = packets.withColumns(keys).withColumn(
+        "_d", ((F.col("sip") == F.col("lo_ip")) & (F.col("sport") == F.col("lo_port"))).cast("long"))
     w = Window.partitionBy("source", "chunk_id", *FLOW_KEY).orderBy("packet_no")
     run = w.rowsBetween(UNBOUNDED, CURRENT)
-    first_dir = F.first(F.struct("sip", "sport", "dip", "dport")).over(run)
-    is_fwd = ((F.col("sip") == first_dir["sip"]) & (F.col("sport") == first_dir["sport"])
-              & (F.col("dip") == first_dir["dip"]) & (F.col("dport") == first_dir["dport"]))
     p = p.withColumns({
         "dur_us": F.col("ts_us") - F.first("ts_us").over(run),
         "iat_ns": F.coalesce((F.col("ts_us") - F.lag("ts_us").over(w)) * 1000, F.lit(0)),
-        "is_fwd": is_fwd.cast("int"),
         "cum_bytes": F.sum("frame_len").over(run),
+        "_d0": F.first("_d").over(run),
+        "_cd": F.sum("_d").over(run),
+        "_n": F.count(F.lit(1)).over(run),
     })
+    first_low = F.col("_d0") == 1
     p = p.withColumns({
-        "fwd_n": F.sum("is_fwd").over(run),
-        "bwd_n": F.sum(1 - F.col("is_fwd")).over(run),
-    })
+        "is_fwd": (F.col("_d") == F.col("_d0")).cast("int"),
+        "fwd_n": F.when(first_low, F.col("_cd")).otherwise(F.col("_n") - F.col("_cd")),
+        "bwd_n": F.when(first_low, F.col("_n") - F.col("_cd")).otherwise(F.col("_cd")),
+    }).drop("_d", "_d0", "_cd", "_n")
     dur_s = F.col("dur_us") / F.lit(1e6)
     pos = F.col("dur_us") > 0
     return p.withColumns({
