@@ -461,10 +461,11 @@ def q_near_constant(spark, sf_dir):
 
 
 def q_correlated(spark, sf_dir):
-    e = engineered_windows(spark, sf_dir)
+    e = engineered_windows(spark, sf_dir).withColumn(
+        "wkey", F.concat_ws(":", "source", "chunk_id", "window_id"))
     keep = [r["feature"] for r in PR.near_constant(e, feature_list("all"))
-            .filter("keep").select("feature").collect()]
-    return PR.correlated(e, keep, key="window_id")
+            .filter("keep").select("feature").collect()]          # at most 73 names
+    return PR.correlated(e, keep, key="wkey")
 
 
 def q_scale_stats(spark, sf_dir):
