@@ -49,11 +49,13 @@ def correlated(df: DataFrame, cols: list[str], limit: float = CORR_THRESH,
     Rows are a hash sample of about ``sample_rows`` rows (all rows when the
     table is smaller).  Returns (feature, dropped).
     """
+    from netlens.session import cut_lineage
     if key is not None:
         n = df.count()
         if n > sample_rows:
             df = df.filter(hash_unit(key, seed) < sample_rows / n)
-    m = correlation_matrix(df, cols)
+    # the correlation makes several passes: read the sampled columns once
+    m = correlation_matrix(cut_lineage(df.select(*cols)), cols)
     dropped = []
     for j, c in enumerate(cols):
         if any(abs(m[i][j]) > limit for i in range(j) if m[i][j] == m[i][j]):
