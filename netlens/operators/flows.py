@@ -32,7 +32,8 @@ def with_chunk(packets: DataFrame, limit_bytes: int = CHUNK_BYTES,
 
     Bytes count every record (kept or not).  ``kept_pos`` is the running
     count of kept records (``keep`` column, all when absent) per source; the
-    window ids are derived from it without another sort.
+    window ids are derived from it without another sort.  ``record_no`` is
+    the record's position in its capture (for ``max_packets``, P8).
 
     The packet source computes the exact chunk (the record that reaches the
     limit opens a new chunk and is not counted) while walking record
@@ -42,18 +43,21 @@ def with_chunk(packets: DataFrame, limit_bytes: int = CHUNK_BYTES,
     blk = F.floor(F.col(order) / F.lit(block_rows)).cast("long")
     p = packets.withColumns({"_blk": blk, "_kept": kept})
     totals = p.groupBy("source", "_blk").agg(F.sum(size).alias("_blk_bytes"),
-                                            F.sum("_kept").alias("_blk_kept"))
+                                            F.sum("_kept").alias("_blk_kept"),
+                                            F.count(F.lit(1)).alias("_blk_n"))
     w_off = Window.partitionBy("source").orderBy("_blk").rowsBetween(UNBOUNDED, -1)
     offsets = totals.select(
         "source", "_blk",
         F.coalesce(F.sum("_blk_bytes").over(w_off), F.lit(0)).alias("_off_bytes"),
-        F.coalesce(F.sum("_blk_kept").over(w_off), F.lit(0)).alias("_off_kept"))
+        F.coalesce(F.sum("_blk_kept").over(w_off), F.lit(0)).alias("_off_kept"),
+        F.coalesce(F.sum("_blk_n").over(w_off), F.lit(0)).alias("_off_n"))
     w_in = Window.partitionBy("source", "_blk").orderBy(order).rowsBetween(UNBOUNDED, CURRENT)
     return (p.join(offsets, ["source", "_blk"])
              .withColumns({"_run": F.col("_off_bytes") + F.sum(size).over(w_in),
-                           "kept_pos": F.col("_off_kept") + F.sum("_kept").over(w_in)})
+                           "kept_pos": F.col("_off_kept") + F.sum("_kept").over(w_in),
+                           "record_no": F.col("_off_n") + F.count(F.lit(1)).over(w_in)})
              .withColumn("chunk_id", F.floor(F.col("_run") / F.lit(float(limit_bytes))).cast("long"))
-             .drop("_blk", "_kept", "_off_bytes", "_off_kept", "_run"))
+             .drop("_blk", "_kept", "_off_bytes", "_off_kept", "_off_n", "_run"))
 
 
 def flow_key_cols() -> dict[str, Column]:

@@ -28,7 +28,8 @@ SUM_COLS = ["ack_count", "syn_count", "fin_count", "urg_count", "rst_count"]
 
 
 def packet_rows(packets: DataFrame, chunk_bytes: int | None = None,
-                size: int = WINDOW_PACKETS, block_rows: int = 1 << 20) -> DataFrame:
+                size: int = WINDOW_PACKETS, block_rows: int = 1 << 20,
+                max_packets: int | None = None) -> DataFrame:
     """Decoded packets -> per-packet features with flow state and window id.
 
     When ``chunk_bytes`` is given the chunk id is computed here (SQL form);
@@ -37,6 +38,10 @@ def packet_rows(packets: DataFrame, chunk_bytes: int | None = None,
     """
     if chunk_bytes is not None:                  # chunk bytes count every record
         packets = with_chunk(packets, chunk_bytes, block_rows=block_rows)
+    if max_packets is not None:                  # P8: records counted before filtering
+        if "record_no" not in packets.columns:
+            raise ValueError("max_packets needs record_no (from with_chunk)")
+        packets = packets.filter(F.col("record_no") <= max_packets)
     if "keep" in packets.columns:
         packets = packets.filter(F.col("keep") == 1)
     p = partition_chunks(packet_features(packets))
@@ -136,9 +141,10 @@ def _split_streams(df: DataFrame) -> DataFrame:
 
 def windows_from_packets(packets: DataFrame, chunk_bytes: int | None = None,
                          size: int = WINDOW_PACKETS, directional: str = "both",
-                         block_rows: int = 1 << 20) -> DataFrame:
+                         block_rows: int = 1 << 20, max_packets: int | None = None) -> DataFrame:
     """Decoded packets -> 46-feature window rows (W1-W6 + A3)."""
-    return window_summary(packet_rows(packets, chunk_bytes, size, block_rows), directional)
+    return window_summary(packet_rows(packets, chunk_bytes, size, block_rows, max_packets),
+                          directional)
 
 
 def size_summary(rows: DataFrame, by=WINDOW_KEY) -> DataFrame:

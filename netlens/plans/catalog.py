@@ -105,6 +105,7 @@ QUERIES = {
     "t01_rank_models": Q.q_rank_models,
     "sa01_sample_table": Q.q_sample_table,
     "st06_timeline_by_label": Q.q_timeline_by_label,
+    "p08_max_packets": Q.q_max_packets,
 }
 
 # report queries compare their averaged doubles rounded to 9 places

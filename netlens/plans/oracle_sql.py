@@ -1059,3 +1059,13 @@ FROM samp JOIN tax USING (label)"""
 ORACLE_MORE["st06_timeline_by_label"] = with_ctes(LEV_CTE, JSON_CTE, DETAIL_CTE) + """
 SELECT time_bucket(INTERVAL '10 seconds', ts) AS bin_start, label, count(*) AS alerts
 FROM alerts WHERE ts IS NOT NULL GROUP BY 1, 2"""
+
+ORACLE_MORE["p08_max_packets"] = with_ctes(PACKETS_CTE) + """,
+firstn AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY packet_no) AS record_no FROM chunked)
+  WHERE record_no <= 1500
+)
+SELECT source, chunk_id, CAST(count(*) AS BIGINT) AS packets,
+       CAST(ceil(count(*) / 10) AS BIGINT) AS windows, CAST(sum(frame_len) AS BIGINT) AS bytes
+FROM firstn GROUP BY source, chunk_id"""

@@ -699,3 +699,16 @@ def q_timeline_by_label(spark, sf_dir):
     from netlens.streaming.streams import timeline_by_label
     t = timeline_by_label(all_alerts(spark, sf_dir))
     return t.select(F.col("bin.start").cast("timestamp_ntz").alias("bin_start"), "label", "alerts")
+
+
+FIX_MAX_PACKETS = 1500   # fixture parameter: records per capture (the reference uses 150,000)
+
+
+def q_max_packets(spark, sf_dir):
+    """Windows of the first records of every capture (P8): per chunk, the
+    packets and windows that remain."""
+    w = WN.windows_from_packets(fixture_packets(spark, sf_dir), FIXTURE_CHUNK_BYTES,
+                                max_packets=FIX_MAX_PACKETS)
+    return w.groupBy("source", "chunk_id").agg(
+        F.sum("number").cast("long").alias("packets"), F.count(F.lit(1)).alias("windows"),
+        F.sum("tot_sum").cast("long").alias("bytes"))
