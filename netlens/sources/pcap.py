@@ -21,7 +21,8 @@ import os
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStreamReader,
+                                    InputPartition)
 
 from netlens.schema import CHUNK_BYTES
 
@@ -168,6 +169,37 @@ class PcapReader(DataSourceReader):
         yield from read_capture(partition.path, self.chunk_bytes, self.max_packets)
 
 
+class PcapStreamReader(DataSourceStreamReader):
+    """Closed capture files of a folder, each read once (S9, ST1, ST3).
+
+    The offset is the sorted list of closed files; a micro-batch reads the
+    files of the new offset that the previous one did not hold.  The newest
+    file may still be written by the capture process, so it is held back
+    (``skipNewest``, default true) until a newer one appears.
+    """
+
+    def __init__(self, options: dict):
+        self.base = PcapReader(options)
+        self.skip_newest = str(options.get("skipNewest", "true")).lower() == "true"
+
+    def initialOffset(self):
+        return {"files": []}
+
+    def latestOffset(self):
+        files = list_captures(self.base.path)
+        return {"files": files[:-1] if self.skip_newest else files}
+
+    def partitions(self, start, end):
+        seen = set(start["files"])
+        return [_FilePartition(f) for f in end["files"] if f not in seen]
+
+    def read(self, partition):
+        yield from read_capture(partition.path, self.base.chunk_bytes, self.base.max_packets)
+
+    def commit(self, end):
+        pass
+
+
 class PcapDataSource(DataSource):
     @classmethod
     def name(cls):
@@ -179,6 +211,9 @@ class PcapDataSource(DataSource):
     def reader(self, schema):
         return PcapReader(self.options)
 
+    def streamReader(self, schema):
+        return PcapStreamReader(self.options)
+
 
 def register(spark) -> None:
     spark.dataSource.register(PcapDataSource)
@@ -194,6 +229,14 @@ def read_packets(spark, path: str, chunk_bytes: int = CHUNK_BYTES,
     return r.load()
 
 
+def stream_captures(spark, path: str, chunk_bytes: int = CHUNK_BYTES, skip_newest: bool = True):
+    """Closed capture files as a stream of raw records (S9, ST1)."""
+    register(spark)
+    return (spark.readStream.format("pcap").option("path", path)
+                 .option("chunkBytes", str(chunk_bytes))
+                 .option("skipNewest", str(skip_newest).lower()).load())
+
+
 def decoded_packets(spark, path: str, **kw):
     """Capture file(s) -> decoded header columns, ready for the window path."""
     from netlens.functions.decode import decode_frames

@@ -80,13 +80,21 @@ def score_batch(batch: DataFrame, score: Callable[[DataFrame], DataFrame],
 
 def run_capture_scoring(spark: SparkSession, landed: str, sink: str, checkpoint: str,
                         score: Callable[[DataFrame], DataFrame],
-                        once: bool = True) -> StreamingQuery:
-    """Score every landed capture table once (ST1, ST3, ST5)."""
+                        once: bool = True, captures: bool = False) -> StreamingQuery:
+    """Score every landed capture once (ST1, ST3, ST5).
+
+    ``landed`` holds raw-record parquet tables, or (``captures=True``) the
+    capture files themselves, read by the pcap stream source (closed files
+    only).
+    """
+    from netlens.sources.pcap import stream_captures
+
     def each(batch: DataFrame, batch_id: int) -> None:
         out = score_batch(batch, score)
         out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    w = (stream_packets(spark, landed).writeStream.foreachBatch(each)
+    src = stream_captures(spark, landed) if captures else stream_packets(spark, landed)
+    w = (src.writeStream.foreachBatch(each)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="10 seconds")
     return w.start()

@@ -58,3 +58,25 @@ def test_stream_timeline(spark, tmp_dir):
     q.stop()
     got = {(str(r["bin"]["start"]), r["label"]): r["alerts"] for r in spark.table("tl_test").collect()}
     assert got == {("2026-01-01 00:00:00", "A"): 2, ("2026-01-01 00:00:10", "B"): 1}
+
+
+def test_capture_folder_stream(spark, tmp_dir):
+    """Closed captures are read once each; the newest waits for a newer one (S9, ST1)."""
+    from tests.test_pcap import FRAMES, write_pcap
+    from netlens.sources.pcap import stream_captures
+    import os
+    os.makedirs(f"{tmp_dir}/caps")
+    for name in ("a.pcap", "b.pcap", "c.pcap"):
+        write_pcap(f"{tmp_dir}/caps/{name}", FRAMES)
+
+    def run():
+        q = (stream_captures(spark, f"{tmp_dir}/caps").writeStream.format("parquet")
+             .option("path", f"{tmp_dir}/out").option("checkpointLocation", f"{tmp_dir}/ck")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        return {r["source"]: r["count"] for r in
+                spark.read.parquet(f"{tmp_dir}/out").groupBy("source").count().collect()}
+
+    assert run() == {"a.pcap": 7, "b.pcap": 7}                 # c.pcap is the newest
+    write_pcap(f"{tmp_dir}/caps/d.pcap", FRAMES)
+    assert run() == {"a.pcap": 7, "b.pcap": 7, "c.pcap": 7}   # each closed file once
