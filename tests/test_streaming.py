@@ -80,3 +80,25 @@ def test_capture_folder_stream(spark, tmp_dir):
     assert run() == {"a.pcap": 7, "b.pcap": 7}                 # c.pcap is the newest
     write_pcap(f"{tmp_dir}/caps/d.pcap", FRAMES)
     assert run() == {"a.pcap": 7, "b.pcap": 7, "c.pcap": 7}   # each closed file once
+
+
+def test_capture_scoring_from_capture_files(spark, tmp_dir):
+    """Scoring straight from a capture folder equals the batch result for closed files."""
+    from tests.test_pcap import FRAMES, write_pcap
+    from netlens.sources.pcap import read_packets
+    from netlens.streaming.streams import run_capture_scoring, score_batch
+    import os
+    os.makedirs(f"{tmp_dir}/caps")
+    for i, name in enumerate(("a.pcap", "b.pcap", "z.pcap")):
+        write_pcap(f"{tmp_dir}/caps/{name}", FRAMES * (i + 2))
+
+    def score(eng):
+        return eng.withColumns({"is_anomaly": F.col("udp") > 0, "attack_type": F.lit("DDoS-UDP_Flood")})
+
+    q = run_capture_scoring(spark, f"{tmp_dir}/caps", f"{tmp_dir}/scored", f"{tmp_dir}/ck", score,
+                            captures=True)
+    q.awaitTermination()
+    got = spark.read.parquet(f"{tmp_dir}/scored").select("source", "chunk_id", "window_id", "label")
+    closed = read_packets(spark, f"{tmp_dir}/caps").filter(F.col("source") != "z.pcap")
+    want = score_batch(closed, score).select("source", "chunk_id", "window_id", "label")
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
