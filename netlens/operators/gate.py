@@ -7,10 +7,10 @@ row's score is 2^(-E[h(x)] / c(psi)); the gate flags rows whose score is
 above the (1 - contamination) quantile of the training scores.
 
 Spark shape:
-* sampling: each row draws, per tree, an xxhash64 value; a row enters a
-  tree's candidate set when its draw is below a threshold set for about
-  4*psi candidates per tree (one pass, no per-tree scans), then the psi
-  smallest draws per tree are kept inside the tree's group;
+* sampling: about 4*psi candidates per tree, then the psi smallest draws
+  per tree inside the tree's group.  On a large input one xxhash64 draw per
+  row decides candidacy and a second one the tree (a filtered scan); on a
+  small input every row draws once per tree, so each tree may see all rows;
 * growing: ``groupBy("tree").applyInPandas`` - each group holds about
   4*psi rows, so the work per task is bounded whatever the table size;
 * the node table (trees x at most 2^(h+1) nodes) is small and bounded by
@@ -139,16 +139,29 @@ def fit_gate(benign: DataFrame, features: list[str], key: str, trees: int = 50,
     gate = Gate(list(features), scale, pd.DataFrame(), psi, 0.0, log)
     scaled = benign.select(F.col(key), *[x.alias(c) for x, c in zip(gate.scaled(), features)])
     n = scaled.count()
-    frac = min(1.0, 4.0 * psi / max(n, 1))
-    cut = int(frac * (1 << 62))
-    draws = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
-                    lambda t: F.struct(t.alias("tree"),
-                                       F.abs(F.xxhash64(F.col(key), t, F.lit(seed)) % (1 << 62))
-                                        .alias("draw"))),
-        lambda s: s["draw"] < F.lit(cut))
-    cand = scaled.select(*features, F.explode(draws).alias("_d")).select(
-        F.col("_d.tree").alias("tree"), F.col("_d.draw").alias("draw"), *features)
+    want = 4 * psi                                   # candidates per tree
+    if n * 1.0 >= trees * want:
+        # large input: one draw decides whether a row is a candidate at all,
+        # a second one which tree it feeds (disjoint per-tree samples); a
+        # scan with a filter, no per-tree work for the rows left out
+        p_any = trees * want / n
+        u = F.abs(F.xxhash64(F.col(key), F.lit(seed))) % (1 << 62) / float(1 << 62)
+        cand = (scaled.filter(u < F.lit(p_any))
+                      .select(F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(trees))
+                               .cast("int").alias("tree"),
+                              F.abs(F.xxhash64(F.col(key), F.lit(seed + 2))).alias("draw"),
+                              *features))
+    else:
+        # small input: independent draws per tree, each tree may see every row
+        cut = int(min(1.0, want / max(n, 1)) * (1 << 62))
+        draws = F.filter(
+            F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
+                        lambda t: F.struct(t.alias("tree"),
+                                           F.abs(F.xxhash64(F.col(key), t, F.lit(seed)) % (1 << 62))
+                                            .alias("draw"))),
+            lambda s_: s_["draw"] < F.lit(cut))
+        cand = scaled.select(*features, F.explode(draws).alias("_d")).select(
+            F.col("_d.tree").alias("tree"), F.col("_d.draw").alias("draw"), *features)
     limit = int(math.ceil(math.log2(max(psi, 2))))
     feats = list(features)
 

@@ -23,3 +23,15 @@ def test_outliers_score_higher(spark):
     assert out[1] == 1 and out[0] > g.threshold
     assert inl == pytest.approx(0.05, abs=0.03)                      # contamination share
     assert g.nodes["tree"].nunique() == 50 and g.nodes.groupby("tree")["size"].first().max() <= 256
+
+
+def test_large_input_sampling_path(spark):
+    """With more rows than trees * 4 * psi the one-draw sampling path is used."""
+    from netlens.operators.gate import fit_gate, score_gate
+    df = spark.range(30_000).selectExpr("id", "CAST(id % 101 AS DOUBLE) AS a",
+                                        "CAST((id * 7) % 89 AS DOUBLE) AS b")
+    g = fit_gate(df, ["a", "b"], "id", trees=10, psi=256)
+    sizes = g.nodes[g.nodes["node"] == 0]["size"]
+    assert len(sizes) == 10 and sizes.min() == 256         # every tree got a full sample
+    flagged = score_gate(df, g).agg(F.avg(F.col("is_anomaly").cast("double"))).first()[0]
+    assert flagged == pytest.approx(0.05, abs=0.03)
