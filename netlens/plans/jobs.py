@@ -5,7 +5,9 @@
 * :func:`training_table` - labelled CSV parts -> class counts -> plan ->
   hash sample -> sampled table and plan report written out (3.2);
 * :func:`capture_verdicts` - scored windows per capture + signature events
-  -> one verdict per capture (3.3).
+  -> one verdict per capture (3.3);
+* :func:`session_table` - capture folder -> per-label window tables, every
+  capture content once, cached fingerprints skipped (3.4).
 
 Each job is a few DataFrame steps; nothing is gathered on the driver.
 """
@@ -80,3 +82,42 @@ def capture_verdicts(scored: DataFrame, events: DataFrame, min_rate: float | Non
     """One verdict per capture from scored windows and signature events (3.3)."""
     det = AL.to_detail(scored)
     return AL.verdicts(det, AL.filter_events(events, max_severity), min_rate=min_rate)
+
+
+def session_table(spark: SparkSession, captures: str, out: str, manifest: str | None = None,
+                  max_packets: int | None = None) -> DataFrame:
+    """Capture folder -> per-label window tables, each content once (3.4).
+
+    File inventory with content fingerprints (S14) -> label from the file
+    name, unlabelled files dropped (P20) -> first file per fingerprint (W8)
+    -> files whose fingerprint is already in the manifest skipped (J7) ->
+    windows of the remaining captures (S5, W1-W6, A3) with ``label``,
+    ``source`` and ``fp`` -> appended per label (S13).  Returns the new
+    manifest rows (fp, file, label, rows); duplicate window rows are kept.
+    """
+    from netlens.functions.labels import label_from_filename
+    from netlens.operators.sampling import first_per_fingerprint, new_files
+
+    inv = FS.file_inventory(spark, captures).withColumn("label", label_from_filename("file"))
+    files = first_per_fingerprint(inv.filter(F.col("label").isNotNull()), "fp", "path")
+    if manifest is not None:
+        try:
+            seen = spark.read.parquet(manifest).select("fp")
+            files = new_files(files, seen)
+        except Exception:  # noqa: BLE001 - no manifest yet
+            pass
+    files = files.select(F.col("file").alias("source"), "label", "fp")
+    pk = decoded_packets(spark, captures, max_packets=max_packets)
+    # the selected file table has one row per capture file: a semi join
+    pk = pk.join(files.select("source"), "source", "left_semi")
+    from netlens.session import cut_lineage
+    # computed once (reliable checkpoint): the window rows feed the per-label
+    # write and the manifest, and the returned rows must not re-read the
+    # manifest they are appended to
+    win = cut_lineage(windows_from_packets(pk).join(files, "source"))
+    FS.write_by_label(win, out)
+    new = cut_lineage(win.groupBy("fp", F.col("source").alias("file"), "label").agg(
+        F.count(F.lit(1)).alias("rows")))
+    if manifest is not None:
+        new.write.mode("append").parquet(manifest)
+    return new

@@ -43,3 +43,23 @@ def test_training_table(spark, tmp_dir):
     assert set(t.columns) >= {"id", "label_34", "label_8", "label_binary", "Rate"}
     assert t.filter("label_34 = 'XSS'").count() == 10
     assert spark.read.option("header", True).csv(f"{tmp_dir}/plan").count() == 3
+
+
+def test_session_table(spark, tmp_dir):
+    import os
+    from tests.test_pcap import FRAMES, write_pcap
+    from netlens.plans.jobs import session_table
+    os.makedirs(f"{tmp_dir}/caps")
+    write_pcap(f"{tmp_dir}/caps/DDoS-SYN_Flood1.pcap", FRAMES * 3)
+    write_pcap(f"{tmp_dir}/caps/DDoS-SYN_Flood2.pcap", FRAMES * 3)     # same content
+    write_pcap(f"{tmp_dir}/caps/benign_office.pcap", FRAMES * 2)
+    write_pcap(f"{tmp_dir}/caps/mystery.pcap", FRAMES)                  # no label
+    new = {r["file"]: (r["label"], r["rows"]) for r in
+           session_table(spark, f"{tmp_dir}/caps", f"{tmp_dir}/out", f"{tmp_dir}/manifest").collect()}
+    assert new == {"DDoS-SYN_Flood1.pcap": ("DDoS-SYN_Flood", 2),
+                   "benign_office.pcap": ("BenignTraffic", 2)}
+    labels = {d for d in os.listdir(f"{tmp_dir}/out") if d.startswith("label=")}
+    assert labels == {"label=DDoS-SYN_Flood", "label=BenignTraffic"}
+    # a second run finds every fingerprint in the manifest and adds nothing
+    again = session_table(spark, f"{tmp_dir}/caps", f"{tmp_dir}/out2", f"{tmp_dir}/manifest")
+    assert again.count() == 0
