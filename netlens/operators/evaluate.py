@@ -38,65 +38,61 @@ def class_stats(conf: DataFrame) -> DataFrame:
                      F.coalesce("predicted", F.lit(0)).alias("predicted")))
 
 
-def per_class(conf: DataFrame) -> DataFrame:
-    """Per-class precision / recall / F1 / support (A16), class rows only."""
+def _per_class_tp(conf: DataFrame) -> DataFrame:
     s = class_stats(conf)
     return s.select(
         F.col("class").cast("string").alias("class"),
         _zdiv(F.col("tp"), F.col("predicted")).alias("precision"),
         _zdiv(F.col("tp"), F.col("support")).alias("recall"),
         _zdiv(2 * F.col("tp"), F.col("support") + F.col("predicted")).alias("f1"),
-        F.col("support"))
+        F.col("support"), F.col("tp"))
+
+
+def per_class(conf: DataFrame) -> DataFrame:
+    """Per-class precision / recall / F1 / support (A16), class rows only."""
+    return _per_class_tp(conf).drop("tp")
 
 
 def classification_report(conf: DataFrame) -> DataFrame:
     """A16 with the summary rows: ``accuracy``, ``macro avg``, ``weighted avg``.
 
     The accuracy row carries accuracy in precision/recall/f1 and the total
-    support.
+    support.  Every summary comes from one aggregation over the per-class
+    table (accuracy = sum of true positives / total support).
     """
-    pc = per_class(conf)
+    pc = _per_class_tp(conf)
     tot = pc.agg(
         F.sum("support").alias("total"),
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
         _zdiv(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("wp"),
         _zdiv(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("wr"),
-        _zdiv(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("wf"))
-    acc = conf.agg(_zdiv(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n"))
-                                .otherwise(0)), F.sum("n")).alias("acc"))
-    rows = (tot.select(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"),
-                       F.col("mr").alias("recall"), F.col("mf").alias("f1"),
-                       F.col("total").alias("support"))
-               .unionByName(tot.select(F.lit("weighted avg").alias("class"),
-                                       F.col("wp").alias("precision"), F.col("wr").alias("recall"),
-                                       F.col("wf").alias("f1"), F.col("total").alias("support"))))
-    # single-row aggregates joined on a constant key
-    acc_row = (acc.withColumn("_k", F.lit(1))
-                  .join(tot.select("total").withColumn("_k", F.lit(1)), "_k")
-                  .select(F.lit("accuracy").alias("class"), F.col("acc").alias("precision"),
-                          F.col("acc").alias("recall"), F.col("acc").alias("f1"),
-                          F.col("total").alias("support")))
-    return pc.unionByName(rows).unionByName(acc_row)
+        _zdiv(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("wf"),
+        _zdiv(F.sum("tp"), F.sum("support")).alias("acc"))
+    rows = [("macro avg", "mp", "mr", "mf"), ("weighted avg", "wp", "wr", "wf"),
+            ("accuracy", "acc", "acc", "acc")]
+    out = pc.drop("tp")
+    for name, p_, r_, f_ in rows:
+        out = out.unionByName(tot.select(F.lit(name).alias("class"), F.col(p_).alias("precision"),
+                                         F.col(r_).alias("recall"), F.col(f_).alias("f1"),
+                                         F.col("total").alias("support")))
+    return out
 
 
 def scalar_metrics(conf: DataFrame) -> DataFrame:
     """accuracy, balanced accuracy, macro/weighted F1, macro precision/recall.
 
     Macro averages run over the union of true and predicted labels,
-    balanced accuracy over the true labels only.
+    balanced accuracy over the true labels only.  One aggregation over the
+    per-class table.
     """
-    pc = per_class(conf)
-    acc = conf.agg(_zdiv(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n"))
-                                .otherwise(0)), F.sum("n")).alias("accuracy"))
-    m = pc.agg(
+    pc = _per_class_tp(conf)
+    return pc.agg(
+        _zdiv(F.sum("tp"), F.sum("support")).alias("accuracy"),
         F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
         F.avg("f1").alias("f1_macro"),
         _zdiv(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("f1_weighted"),
         F.avg("precision").alias("precision_macro"),
         F.avg("recall").alias("recall_macro"))
-    # both sides are single-row aggregates: a one-row equi-join on a constant
-    return (acc.withColumn("_k", F.lit(1))
-               .join(m.withColumn("_k", F.lit(1)), "_k").drop("_k"))
 
 
 def reweighted(conf: DataFrame, priors: DataFrame, label: str = "label",

@@ -35,3 +35,15 @@ def test_quota_never_windows_a_whole_class(spark):
     p = plan(sample_n(df, 10, "id", by=["label"]))
     for spec in re.findall(r"Window \[row_number\(\) windowspecdefinition\(([^)]*)\)", p):
         assert "_b" in spec
+
+
+def test_no_registered_query_plans_a_cross_join(spark):
+    """No Cartesian product or nested-loop join in any SQL-checked query."""
+    import __spark_entry__ as E
+    qs, sql = E.queries(), E.oracle_sql()
+    bad = []
+    for name in sorted(sql):
+        p = plan(qs[name](spark, "/root/testdata/sf0.001"))
+        if "CartesianProduct" in p or "NestedLoopJoin" in p:
+            bad.append(name)
+    assert bad == []
