@@ -170,6 +170,19 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bo
     return src.mapInArrow(run, schema).withColumnsRenamed({"key": key, "text": text})
 
 
+def redact_column(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with every span in the text replaced; other columns as they were."""
+    src = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            texts = [t and redact(t, find_spans(t)) for t in b["text"].to_pylist()]
+            yield pa.record_batch([b["row"], pa.array(texts, pa.string())], names=["row", "text"])
+
+    out = src.mapInArrow(run, src.schema)
+    return out.select(*[F.col("text") if c == text else F.col("row")[c].alias(c) for c in df.columns])
+
+
 def digest_columns(df: DataFrame) -> DataFrame:
     """Counts and joined spans of (doc_id, spans) rows."""
     shown = lambda kinds: F.array_join(F.transform(

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import bpe, langid, pii, simhash
+from netlens.llm import bpe, langid, mixing, pii, quality, simhash
 from netlens.llm.common import crc_mod, table
 
 
@@ -17,6 +17,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = mixing.taken(mixing.mix(docs, keep=["doc_id"]))
+    return rows.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 4) == 2
@@ -36,6 +47,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op5_quality": op5_quality,
+    "op6_mixing": op6_mixing,
     "op7_language": op7_language,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
