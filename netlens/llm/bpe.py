@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netlens.llm.common import slices
+
 # fixed values: the pre-token pattern and the printable stand-ins of bytes that
 # every byte-level vocabulary file of this kind is written with
 PRE_TOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
@@ -125,7 +127,7 @@ def encode(df: DataFrame, vocab_path: str, key: str = "doc_id", text: str = "tex
 
     def run(batches):
         model = load(vocab_path)
-        for b in batches:
+        for b in slices(batches):
             ids = [model.encode(t) if t else [] for t in b["text"].to_pylist()]
             yield pa.record_batch([b["key"], pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
 
@@ -139,7 +141,7 @@ def decode(df: DataFrame, vocab_path: str, key: str = "doc_id", ids: str = "ids"
 
     def run(batches):
         model = load(vocab_path)
-        for b in batches:
+        for b in slices(batches):
             texts = [model.decode(x) if x else "" for x in b["ids"].to_pylist()]
             yield pa.record_batch([b["key"], b["ids"], pa.array(texts, pa.string())],
                                   names=["key", "ids", "text"])

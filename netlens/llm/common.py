@@ -42,3 +42,10 @@ def crc_mod(key: Column, m: int) -> Column:
 def words(text: Column) -> Column:
     """The words of a text in order (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), lambda w: w != "")
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches in small pieces, so that few rows at a time are Python objects."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netlens.llm.common import slices
+
 DIM = 1024
 MAX_LANGS = 8192
 SEED = 7_2021
@@ -99,7 +101,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
                                   names=["lang", "v"])
             sums.clear()
 
-        for b in batches:
+        for b in slices(batches):
             by: dict[str, list] = {}
             for t, name in zip(b["text"].to_pylist(), b["lang"].to_pylist()):
                 by.setdefault(name, []).append(t)
@@ -147,7 +149,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_
 
     def run(batches):
         hd = letters()
-        for b in batches:
+        for b in slices(batches):
             got = [one(hd, t) for t in b["text"].to_pylist()]
             yield pa.record_batch([b["key"], pa.array([x[0] for x in got], pa.string()),
                                    pa.array([x[1] for x in got], pa.float64())],

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netlens.llm.common import slices
+
 KINDS = ("email", "ip", "card", "phone", "iban", "short_card", "ssn")
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7,
               "iban": 0.9, "short_card": 0.45, "ssn": 0.4}
@@ -158,7 +160,7 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bo
     schema = f"key {kind}, spans {SPAN_TYPE}" + ", text string" * with_text
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b["text"].to_pylist()
             spans = [find_spans(t) if t else [] for t in texts]
             cols, names = [b["key"], pa.array(spans, _ARROW_SPANS)], ["key", "spans"]
@@ -175,7 +177,7 @@ def redact_column(df: DataFrame, text: str = "text") -> DataFrame:
     src = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [t and redact(t, find_spans(t)) for t in b["text"].to_pylist()]
             yield pa.record_batch([b["row"], pa.array(texts, pa.string())], names=["row", "text"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import bpe, langid, mixing, pii, quality, simhash
+from netlens.llm import bpe, covertree, langid, mixing, pii, quality, simhash, warc
 from netlens.llm.common import crc_mod, table
 
 
@@ -17,6 +17,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.cluster(table(spark, sf_dir, "embeddings")).select(
+        "*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")))
+    number = lambda c: F.col(c).try_cast("long").alias  # noqa: E731  a null key reads back as null
+    return warc.read_archives(spark, archives, with_payload=False).select(
+        number("record_id")("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to")("refers_to"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -47,6 +59,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_embeddings": op3_embeddings,
+    "op4_warc": op4_warc,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,

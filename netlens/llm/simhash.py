@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import materialize
+from netlens.llm.common import materialize, slices
 from netlens.llm.components import components
 
 SEED = 42
@@ -63,7 +63,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     kind = src.schema["key"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = np.fromiter((fingerprint(t, shingle) for t in b["text"].to_pylist()), np.uint64, b.num_rows)
             yield pa.record_batch([b["key"], pa.array(fps.view(np.int64))], names=["key", "fp"])
 
