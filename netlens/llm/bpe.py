@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,14 +27,34 @@ from pyspark.sql import functions as F
 
 from netlens.llm.common import slices
 
-# fixed values: the pre-token pattern and the printable stand-ins of bytes that
-# every byte-level vocabulary file of this kind is written with
-PRE_TOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
-             r"| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+# fixed values: the printable stand-ins of bytes in every byte-level vocabulary file
+# of this kind, and the contractions and blanks of its pre-token pattern
 SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+CONTRACTIONS = "'(?:s|t|re|ve|m|ll|d)"
+BLANKS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ID_BITS = 20
+
+
+def pre_token() -> str:
+    """The pre-token pattern: contractions; runs of letters, of numbers, of neither
+    (each with one space before it); blanks, without the last one before a word.
+
+    Letters and numbers are spelled out as ranges because the faster ``re`` has no
+    property classes; the first branch is the common case of plain letters."""
+    letters, numbers = _ranges("L"), _ranges("N")
+    return (rf" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?![{letters}])|{CONTRACTIONS}| ?[{letters}]+| ?[{numbers}]+"
+            rf"| ?[^{BLANKS}{letters}{numbers}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
+
+
+def _ranges(category: str) -> str:
+    """A character class of all code points of a general category."""
+    found = regex.findall(rf"\p{{{category}}}+", "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000)))))
+    # neighbours in the text are neighbours in code, except across the surrogates
+    return "".join(f"\\U{ord(r[0]):08x}-\\U{ord(r[-1]):08x}" for r in found)
+
 
 #: Remembered pre-tokens per worker; the memory is emptied when it is full.
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 20
 
 
 def byte_chars() -> list[str]:
@@ -53,39 +75,42 @@ class Bpe:
         self.pieces: dict[int, bytes] = {}
         for s, i in chain(vocab.items(), self.special.items()):
             self.pieces[i] = b"".join(byte_of.get(c) or c.encode() for c in s)
-        self.merges = {}
+        self.ranks, self.merged = {}, []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
-        self.pattern = regex.compile(PRE_TOKEN)
-        self.split_special = regex.compile(
-            "(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")"
+            self.ranks[vocab[left] << ID_BITS | vocab[right]] = rank
+            self.merged.append(vocab[left + right])
+        self.pattern = re.compile(pre_token())
+        self.split_special = re.compile(
+            "(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
         ) if self.special else None
         self.known = _Words(self)
 
     def merge(self, word: str) -> tuple[int, ...]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token.  A queue entry is a rank and a position in one number;
+        it is stale if the symbols now at its position no longer have that rank."""
         sym = [self.byte_ids[b] for b in word.encode("utf-8")]
-        n = len(sym)
-        prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = []
-        for i in range(n - 1):
-            if (m := self.merges.get((sym[i], sym[i + 1]))) is not None:
-                queue.append((m[0], i, sym[i], sym[i + 1], m[1]))
+        n, rank_of = len(sym), self.ranks.get
+        bits = n.bit_length()
+        prev, nxt = list(range(-1, n - 1)), list(range(1, n + 1))
+        queue = [r << bits | i for i in range(n - 1) if (r := rank_of(sym[i] << ID_BITS | sym[i + 1])) is not None]
         heapq.heapify(queue)
+        at = (1 << bits) - 1
         while queue:
-            _, i, left, right, new = heapq.heappop(queue)
-            j = nxt[i] if sym[i] == left else -1
-            if j < 0 or sym[j] != right:
-                continue                              # stale
-            sym[i], sym[j] = new, -1
+            entry = heapq.heappop(queue)
+            i, rank = entry & at, entry >> bits
+            j = nxt[i]
+            if j >= n or rank_of(sym[i] << ID_BITS | sym[j]) != rank:
+                continue
+            new = sym[i] = self.merged[rank]
             k = nxt[i] = nxt[j]
-            if k >= 0:
+            sym[j], nxt[j] = -1, n
+            if k < n:
                 prev[k] = i
-                if (m := self.merges.get((new, sym[k]))) is not None:
-                    heapq.heappush(queue, (m[0], i, new, sym[k], m[1]))
-            if (h := prev[i]) >= 0 and (m := self.merges.get((sym[h], new))) is not None:
-                heapq.heappush(queue, (m[0], h, sym[h], new, m[1]))
+                if (r := rank_of(new << ID_BITS | sym[k])) is not None:
+                    heapq.heappush(queue, r << bits | i)
+            if (h := prev[i]) >= 0 and (r := rank_of(sym[h] << ID_BITS | new)) is not None:
+                heapq.heappush(queue, r << bits | h)
         return tuple(s for s in sym if s >= 0)
 
     def encode(self, text: str) -> list[int]:
@@ -128,8 +153,13 @@ def encode(df: DataFrame, vocab_path: str, key: str = "doc_id", text: str = "tex
     def run(batches):
         model = load(vocab_path)
         for b in slices(batches):
-            ids = [model.encode(t) if t else [] for t in b["text"].to_pylist()]
-            yield pa.record_batch([b["key"], pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
+            flat, ends = [], [0]
+            for t in b["text"].to_pylist():
+                if t:
+                    flat += model.encode(t)
+                ends.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+            yield pa.record_batch([b["key"], ids], names=["key", "ids"])
 
     kind = src.schema["key"].dataType.simpleString()
     return src.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
@@ -142,7 +172,10 @@ def decode(df: DataFrame, vocab_path: str, key: str = "doc_id", ids: str = "ids"
     def run(batches):
         model = load(vocab_path)
         for b in slices(batches):
-            texts = [model.decode(x) if x else "" for x in b["ids"].to_pylist()]
+            ids = b["ids"]
+            ends, flat = ids.offsets.to_pylist(), ids.values.to_numpy().tolist()
+            texts = [model.decode(flat[i:j]) if null is False else ""
+                     for i, j, null in zip(ends, ends[1:], ids.is_null().to_pylist())]
             yield pa.record_batch([b["key"], b["ids"], pa.array(texts, pa.string())],
                                   names=["key", "ids", "text"])
 

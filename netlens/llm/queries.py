@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import bpe, covertree, langid, mixing, pii, quality, simhash, warc
+from netlens.llm import bpe, covertree, langid, mixing, pii, quality, simhash, suffix, toxicity, warc
 from netlens.llm.common import crc_mod, table
 
 
@@ -13,6 +13,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, labels.where(~held_out), fold=lambda key: crc_mod(key, 5) == 4)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents"))
 
@@ -57,7 +65,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_embeddings": op3_embeddings,
     "op4_warc": op4_warc,
@@ -66,5 +79,6 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
+    "op10_suffix": op10_suffix,
 }
 ORACLE: dict[str, str] = {}
