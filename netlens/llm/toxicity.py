@@ -9,9 +9,9 @@ both classes the same shared probability, so only the classes' backoff weights
 differ: rare words say little.
 
 A text's features are its words' log-likelihood ratios, length-normalised: the
-mean over the whole text, the largest mean over ``WINDOW`` words in a row, and
-the largest single word.  A logistic curve, fitted on labelled rows that the
-counts have not seen, turns them into a score.
+mean over the whole text and over its ``TOP`` most telling words, with the
+logarithm of the number of words.  A logistic curve, fitted on labelled rows that
+the counts have not seen, turns them into a score.
 
 The counts are combined per partition and shuffled by word, then by n-gram; what
 is broadcast is the n-gram table of at most ``MAX_TRAIN_ROWS`` labelled rows a
@@ -23,7 +23,6 @@ document labelled twice takes the larger label.
 """
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -35,15 +34,22 @@ from pyspark.sql import functions as F
 
 from netlens.llm.common import materialize, slices
 
-ORDER = 6
+ORDER = 8
 DISCOUNT = 0.75
 MIN_COUNT = 2                 # n-grams seen less often are left to the backoff
-WINDOW = 5
-MAX_TRAIN_ROWS = 200_000
-MAX_FIT_ROWS = 50_000
+TOP = (1, 3, 5)
+MAX_TRAIN_ROWS = 20_000       # labelled rows a class that are counted
+MAX_FIT_ROWS = 20_000         # labelled rows a class that fit the logistic curve
 MAX_WORD = 64                 # longer words are scored in pieces of this length
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 19
 RIDGE = 0.05
+FEATURES = ("mean", *(f"top{k}" for k in TOP), "length")
+
+# hashes of letter runs: a polynomial in the code points, mixed with the length
+_P = 0x100000001B3
+_SALT = 0x9E3779B97F4A7C15
+_MIX = 0xD6E8FEB86659FD93
+OPEN, CLOSE = "\x02", "\x03"  # word edges
 
 _WORDS = re.compile(r"\w+")
 
@@ -57,67 +63,118 @@ def words(text: str) -> list[str]:
 
 def grams(word: str):
     """Every letter of the word with the letters before it."""
-    s = f"^{word}$"
+    s = OPEN + word + CLOSE
     for i in range(1, len(s)):
         yield s[max(0, i - ORDER + 1):i + 1]
 
 
+def _suffix_hashes(points: np.ndarray) -> list[np.ndarray]:
+    """For every place, hashes of the 0, 1, ... ORDER letters that end there."""
+    sums, out = np.zeros(len(points), np.uint64), [np.zeros(len(points), np.uint64)]
+    for k in range(ORDER):
+        shifted = np.zeros(len(points), np.uint64)
+        shifted[k:] = points[:len(points) - k]
+        sums = sums + (shifted + np.uint64(1)) * np.uint64(pow(_P, k, 1 << 64))
+        h = sums + np.uint64((k + 1) * _SALT % (1 << 64))
+        h = (h ^ h >> np.uint64(31)) * np.uint64(_MIX)
+        out.append(h ^ h >> np.uint64(29))
+    return out
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts on end, and where each ends."""
+    return (np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64),
+            np.cumsum([len(t) for t in texts]))
+
+
+def _sum_by(keys: np.ndarray, *columns: np.ndarray):
+    """(distinct keys in order, sums of each column, place of each input key)."""
+    distinct, place = np.unique(keys, return_inverse=True)
+    return distinct, [np.bincount(place, weights=c, minlength=len(distinct)) for c in columns], place
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys in a sorted table, -1 where absent."""
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
 @dataclass
 class Ratios:
-    """What scoring needs: log(p1/p0) of the n-grams seen, and of each context's backoff weight."""
-    seen: dict[str, float]
-    context: dict[str, float]
-
-    def word(self, w: str) -> float:
-        total = 0.0
-        for g in grams(w):
-            r = self.seen.get(g)
-            total += self.context.get(g[:-1], 0.0) if r is None else r
-        return total
-
-
-def build(counts: dict[str, tuple[int, int]]) -> Ratios:
-    """Kneser-Ney from n-gram counts of the two classes."""
-    # shared continuation counts of all shorter n-grams, from the distinct longer ones
-    shorter: dict[str, int] = Counter()
-    level = set(counts)
-    while level:
-        down = Counter(g[1:] for g in level if len(g) > 1)
-        level = {g for g in down if g not in shorter}
-        shorter.update(down)
-    total, kinds = Counter(), Counter()
-    for g, n in shorter.items():
-        total[g[:-1]] += n
-        kinds[g[:-1]] += 1
-    floor = 1.0 / (kinds[""] + 1)
-    known: dict[str, float] = {}
-
-    def shared(g: str) -> float:
-        if (p := known.get(g)) is None:
-            q = shared(g[1:]) if len(g) > 1 else floor
-            n = total.get(g[:-1], 0)
-            p = q if not n else (max(shorter.get(g, 0) - DISCOUNT, 0) + DISCOUNT * kinds[g[:-1]] * q) / n
-            known[g] = p
-        return p
-
-    ctx: dict[str, list[int]] = {}
-    for g, (n0, n1) in counts.items():
-        c = ctx.setdefault(g[:-1], [0, 0, 0, 0])
-        for k, n in ((0, n0), (1, n1)):
-            c[k] += n
-            c[2 + k] += n > 0
-
-    def prob(k: int, n: int, c: list[int], q: float) -> float:
-        return (max(n - DISCOUNT, 0) + DISCOUNT * c[2 + k] * q) / c[k] if c[k] else q
-
-    seen, context = {}, {}
-    for g, n in counts.items():
-        c, q = ctx[g[:-1]], shared(g[1:]) if len(g) > 1 else floor
-        seen[g] = math.log(prob(1, n[1], c, q) / prob(0, n[0], c, q))
-    for h, c in ctx.items():
-        weight = [DISCOUNT * c[2 + k] / c[k] if c[k] else 1.0 for k in (0, 1)]
-        context[h] = math.log(weight[1] / weight[0])
-    return Ratios(seen, context)
+    """What scoring needs, by hash: log(p1/p0) of the n-grams seen, and of each
+    context's backoff weight."""
+    seen: np.ndarray
+    seen_ratio: np.ndarray
+    context: np.ndarray
+    context_ratio: np.ndarray
+
+    def words(self, found: list[str]) -> np.ndarray:
+        """The log-likelihood ratio of each word."""
+        points, ends = _points([OPEN + w + CLOSE for w in found])
+        starts = np.append(0, ends[:-1])
+        word = np.repeat(np.arange(len(found)), ends - starts)
+        size = np.minimum(np.arange(len(points)) - starts[word] + 1, ORDER)
+        h = np.stack(_suffix_hashes(points))
+        at = np.nonzero(size > 1)[0]                  # every letter but the opening edge
+        gram, before = h[size[at], at], h[size[at] - 1, at - 1]
+        i, j = _find(self.seen, gram), _find(self.context, before)
+        r = np.where(i >= 0, self.seen_ratio[i], np.where(j >= 0, self.context_ratio[j], 0.0))
+        return np.bincount(word[at], weights=r, minlength=len(found))
+
+
+def _ends(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the n-grams; hashes of their last 0 ... ORDER letters, and of those
+    before the last letter (one row a number of letters)."""
+    size, last, before = [], [], []
+    for k in range(0, len(texts), 1 << 16):           # a piece at a time bounds the memory
+        points, ends = _points(texts[k:k + (1 << 16)])
+        h = np.stack(_suffix_hashes(points))
+        size.append(np.diff(np.append(0, ends)))
+        last.append(h[:, ends - 1])
+        before.append(h[:, np.maximum(ends - 2, 0)])
+    return np.concatenate(size), np.concatenate(last, axis=1), np.concatenate(before, axis=1)
+
+
+def build(texts: list[str], n0: np.ndarray, n1: np.ndarray) -> Ratios:
+    """Kneser-Ney from the n-grams and their counts in the two classes."""
+    size, last, before = _ends(texts)
+    # shared continuation counts, from distinct longer n-grams to shorter ones
+    tables = {}
+    for k in range(ORDER, 1, -1):
+        rows = np.nonzero(size >= k)[0]
+        if not len(rows):
+            continue
+        rows = rows[np.unique(last[k][rows], return_index=True)[1]]
+        short, (n,), place = _sum_by(last[k - 1][rows], np.ones(len(rows)))
+        where = np.zeros(len(short), np.int64)
+        where[place] = rows                           # an n-gram that ends in each shorter one
+        _, (total, kinds), of = _sum_by(before[k - 2][where], n, np.ones(len(n)))
+        tables[k - 1] = short, n, total[of], kinds[of], where
+    floor = 1.0 / (len(tables[1][0]) + 1)
+    shared: dict[int, tuple] = {}
+
+    def backoff(k: int, rows: np.ndarray) -> np.ndarray:
+        return shared[k][1][_find(shared[k][0], last[k][rows])]
+
+    for k in sorted(tables):
+        keys, n, total, kinds, where = tables[k]
+        q = floor if k == 1 else backoff(k - 1, where)
+        shared[k] = keys, (n - DISCOUNT + DISCOUNT * kinds * q) / total
+    own, context, q = (np.zeros(len(texts), t) for t in (np.uint64, np.uint64, np.float64))
+    for k in range(2, ORDER + 1):
+        rows = np.nonzero(size == k)[0]
+        if len(rows):
+            own[rows], context[rows], q[rows] = last[k][rows], before[k - 1][rows], backoff(k - 1, rows)
+    names, sums, of = _sum_by(context, n0, n1, n0 > 0, n1 > 0)
+    weight, prob = [], []
+    for n, total, kinds in ((n0, sums[0], sums[2]), (n1, sums[1], sums[3])):
+        some = np.maximum(total, 1)
+        w = np.where(total > 0, DISCOUNT * kinds / some, 1.0)
+        weight.append(w)
+        prob.append(np.where(total[of] > 0, np.maximum(n - DISCOUNT, 0) / some[of], 0.0) + w[of] * q)
+    by = np.argsort(own)
+    return Ratios(own[by], np.log(prob[1] / prob[0])[by].astype(np.float32), names,
+                  np.log(weight[1] / weight[0]).astype(np.float32))
 
 
 def _class_words(rows: DataFrame) -> DataFrame:
@@ -164,22 +221,33 @@ def _class_grams(word_counts: DataFrame) -> DataFrame:
 @dataclass
 class Model:
     ratios: Ratios | None
-    weights: np.ndarray          # of 1 and the three features
+    weights: np.ndarray          # of 1 and the features
     prior: float = 0.0
 
 
-class _Scorer(dict):
-    """Remembered word ratios."""
+class _Scorer:
+    """Remembers word ratios; scores the unknown words of many texts at once."""
 
     def __init__(self, ratios: Ratios):
-        super().__init__()
-        self.ratio = ratios.word
-
-    def __missing__(self, w: str) -> float:
-        r = self[w] = self.ratio(w)
-        return r
-
-    def features(self, text: str | None) -> tuple[float, float, float]:
+        self.ratios, self.known = ratios, {}
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        found = [words(t) if t else [] for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        new = list({w for ws in found for w in ws} - self.known.keys())
+        if new:
+            self.known.update(zip(new, self.ratios.words(new).tolist()))
+        out = np.zeros((len(texts), len(FEATURES)))
+        for row, ws in zip(out, found):
+            if ws:
+                r = np.fromiter(map(self.known.__getitem__, ws), np.float64, len(ws))
+                best = np.sort(r if len(r) <= TOP[-1] else np.partition(r, -TOP[-1])[-TOP[-1]:])[::-1]
+                row[:] = (r.mean(), *(best[:k].sum() / k for k in TOP), np.log(len(r)))
+        return out
+
+
+def features(self, text: str | None) -> tuple[float, float, float]:
         found = words(text) if text else ()
         if not found:
             return 0.0, 0.0, 0.0
@@ -200,11 +268,11 @@ def features(df: DataFrame, ratios: Ratios, key: str, text: str, *extra: str) ->
     def run(batches):
         scorer = _Scorer(shared.value)
         for b in slices(batches):
-            got = np.array([scorer.features(t) for t in b["text"].to_pylist()]).reshape(-1, 3)
-            yield pa.record_batch([*(b[f.name] for f in rest), *(pa.array(got[:, k]) for k in range(3))],
-                                  names=[*(f.name for f in rest), "mean", "window", "word"])
+            got = scorer.features(b["text"].to_pylist())
+            yield pa.record_batch([*(b[f.name] for f in rest), *(pa.array(c) for c in got.T.copy())],
+                                  names=[*(f.name for f in rest), *FEATURES])
 
-    return src.mapInArrow(run, f"{schema}, mean double, window double, word double")
+    return src.mapInArrow(run, ", ".join([schema, *(f"{c} double" for c in FEATURES)]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -238,16 +306,16 @@ def train(docs: DataFrame, labels: DataFrame, fold, key: str = "doc_id", text: s
     of = lambda fits: {y: n for (f, y), n in counts.items() if f == fits}
     prior = sum(n for (_, y), n in counts.items() if y) / max(1, sum(counts.values()))
     if any((f, y) not in counts for f in (False, True) for y in (0, 1)):
-        return Model(None, np.zeros(4), prior)
+        return Model(None, np.zeros(1 + len(FEATURES)), prior)
     chosen = materialize(_choose(marked.where("not fits"), MAX_TRAIN_ROWS, of(False)).unionByName(
         _choose(marked.where("fits"), MAX_FIT_ROWS, of(True))), "chosen")
     # bounded by the two row limits above
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
     table = _class_grams(_class_words(rows.where("not fits"))).toArrow()
-    counted = dict(zip(table["item"].to_pylist(), zip(table["n0"].to_pylist(), table["n1"].to_pylist())))
-    ratios = build(counted)
-    got = features(rows.where("fits"), ratios, "key", "text", "label").select("label", "mean", "window", "word").toArrow()
-    x = np.stack([np.ones(got.num_rows), *(got[c].to_numpy() for c in ("mean", "window", "word"))], axis=1)
+    count = lambda c: table[c].to_numpy().astype(np.float64)
+    ratios = build(table["item"].to_pylist(), count("n0"), count("n1"))
+    got = features(rows.where("fits"), ratios, "key", "text", "label").select("label", *FEATURES).toArrow()
+    x = np.stack([np.ones(got.num_rows), *(got[c].to_numpy() for c in FEATURES)], axis=1)
     return Model(ratios, logistic(x, got["label"].to_numpy().astype(float)), prior)
 
 
@@ -256,6 +324,6 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     if model.ratios is None:
         return docs.select(key, F.lit(float(model.prior)).alias("score"))
     w = [float(x) for x in model.weights]
-    z = F.lit(w[0]) + sum(F.col(c) * x for c, x in zip(("mean", "window", "word"), w[1:]))
+    z = F.lit(w[0]) + sum(F.col(c) * x for c, x in zip(FEATURES, w[1:]))
     return features(docs, model.ratios, key, text).select(
         F.col("key").alias(key), (1 / (1 + F.exp(-z))).alias("score"))
