@@ -81,4 +81,84 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_suffix": op10_suffix,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_embeddings": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+              WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings
+                  UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id,
+               c.vec_id = component_id AS kept
+        FROM c""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        q AS (SELECT *, strlen(h) AS b, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+        SELECT page_id, b AS payload_bytes, sha1(h) AS payload_digest,
+               CASE WHEN b >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN b >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM q""",
+    "op5_quality": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce('h' || source, 'null') AS host, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+            FROM documents),
+        windows AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ')) AS n
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+        again AS (
+            SELECT doc_id, count(DISTINCT pos) AS n_repeat_words
+            FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM windows WHERE n > 1) GROUP BY doc_id),
+        base AS (
+            SELECT d.doc_id, host, len(ws) AS n_words,
+                   length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words
+            FROM d LEFT JOIN again USING (doc_id)),
+        lines AS (
+            SELECT doc_id, host, t, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line,
+                   len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
+            FROM (SELECT doc_id, host, t, unnest(ls) AS line FROM d)),
+        hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
+        frequent AS (
+            SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS n FROM lines GROUP BY ALL) JOIN hosts USING (host)
+            WHERE n > 10 AND n > 0.05::DOUBLE * docs),
+        gone AS (SELECT doc_id, sum(w) AS w FROM lines SEMI JOIN frequent USING (host, line) GROUP BY doc_id)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+                   AND n_words - coalesce(gone.w, 0) >= 10
+                   AND n_words - coalesce(gone.w, 0) >= 0.3::DOUBLE * n_words AS kept
+        FROM base LEFT JOIN gone USING (doc_id)""",
+    "op6_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   md5('17|' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
+                     row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+        w AS (SELECT *, (place - 1) % 3 + 1 AS weight FROM s),
+        l AS (
+            SELECT *, (sum(source_size) OVER ()
+                       - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                      / (sum(weight) OVER ()
+                         - coalesce(sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                      AS level FROM w),
+        t AS (
+            SELECT source, source_size, least(cap::DOUBLE, coalesce(weight * max(CASE WHEN weight * level <= cap THEN level END) OVER (),
+                                                                    cap::DOUBLE)) AS target FROM l),
+        o AS (
+            SELECT doc_id, size, source_size, target, round(target)::BIGINT AS quota,
+                   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ord, size
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               (greatest(0, least(size, quota - before)) + greatest(0, least(size, quota - source_size - before))
+                + greatest(0, least(size, quota - 2 * source_size - before)))::BIGINT AS taken
+        FROM o""",
+}

@@ -73,7 +73,7 @@ def _suffix_hashes(points: np.ndarray) -> list[np.ndarray]:
     sums, out = np.zeros(len(points), np.uint64), [np.zeros(len(points), np.uint64)]
     for k in range(ORDER):
         shifted = np.zeros(len(points), np.uint64)
-        shifted[k:] = points[:len(points) - k]
+        shifted[k:] = points[:max(0, len(points) - k)]
         sums = sums + (shifted + np.uint64(1)) * np.uint64(pow(_P, k, 1 << 64))
         h = sums + np.uint64((k + 1) * _SALT % (1 << 64))
         h = (h ^ h >> np.uint64(31)) * np.uint64(_MIX)
