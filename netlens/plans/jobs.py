@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.functions.features import engineer
-from netlens.functions.labels import assert_known
+from netlens.functions.labels import assert_known, label_from_filename
 from netlens.operators import alerts as AL
 from netlens.operators import sampling as SA
 from netlens.operators.gate import Gate
 from netlens.operators.models import score_two_stage
 from netlens.operators.windows import windows_from_packets
+from netlens.session import cut_lineage
 from netlens.schema import DOWNSAMPLE_THRESHOLD, PER_CLASS_CAP, RANDOM_SEED
 from netlens.sources import files as FS
 from netlens.sources.pcap import decoded_packets
@@ -91,33 +92,32 @@ def session_table(spark: SparkSession, captures: str, out: str, manifest: str |
     File inventory with content fingerprints (S14) -> label from the file
     name, unlabelled files dropped (P20) -> first file per fingerprint (W8)
     -> files whose fingerprint is already in the manifest skipped (J7) ->
-    windows of the remaining captures (S5, W1-W6, A3) with ``label``,
-    ``source`` and ``fp`` -> appended per label (S13).  Returns the new
-    manifest rows (fp, file, label, rows); duplicate window rows are kept.
+    windows of the remaining captures (S5, W1-W6, A3) with ``source`` ->
+    ``out``/label=.../fp=... (S13).  A run replaces only the folders of the
+    captures it reads, so earlier captures stay and a repeated run writes the
+    same rows; the manifest comes last, so a run that broke off is done again.
+    Returns the new manifest rows (fp, file, label, rows); duplicate window
+    rows are kept.
     """
-    from netlens.functions.labels import label_from_filename
-    from netlens.operators.sampling import first_per_fingerprint, new_files
-
     inv = FS.file_inventory(spark, captures).withColumn("label", label_from_filename("file"))
-    files = first_per_fingerprint(inv.filter(F.col("label").isNotNull()), "fp", "path")
-    if manifest is not None:
-        try:
-            seen = spark.read.parquet(manifest).select("fp")
-            files = new_files(files, seen)
-        except Exception:  # noqa: BLE001 - no manifest yet
-            pass
-    files = files.select(F.col("file").alias("source"), "label", "fp")
-    pk = decoded_packets(spark, captures, max_packets=max_packets)
-    # the selected file table has one row per capture file: a semi join
-    pk = pk.join(files.select("source"), "source", "left_semi")
-    from netlens.session import cut_lineage
+    files = SA.first_per_fingerprint(inv.filter(F.col("label").isNotNull()), "fp", "path")
+    seen = FS.read_if_present(lambda: spark.read.parquet(manifest)) if manifest else None
+    if seen is not None:
+        files = SA.new_files(files, seen)
+    # one row per capture file; the reader needs the paths to plan its tasks
+    files = cut_lineage(files.select("path", F.col("file").alias("source"), "label", "fp"))
+    paths = sorted(r["path"] for r in files.select("path").collect())
+    if not paths:
+        return spark.createDataFrame([], "fp string, file string, label string, rows long")
+    pk = decoded_packets(spark, paths, max_packets=max_packets)
     # computed once (reliable checkpoint): the window rows feed the per-label
     # write and the manifest, and the returned rows must not re-read the
     # manifest they are appended to
-    win = cut_lineage(windows_from_packets(pk).join(files, "source"))
-    FS.write_by_label(win, out)
-    new = cut_lineage(win.groupBy("fp", F.col("source").alias("file"), "label").agg(
-        F.count(F.lit(1)).alias("rows")))
+    win = cut_lineage(windows_from_packets(pk).join(files.drop("path"), "source"))
+    FS.write_by_label(win, out, also=["fp"])
+    counts = win.groupBy("fp").agg(F.count(F.lit(1)).alias("rows"))
+    new = cut_lineage(files.join(counts, "fp", "left").select(
+        "fp", F.col("source").alias("file"), "label", F.coalesce("rows", F.lit(0).cast("long")).alias("rows")))
     if manifest is not None:
         new.write.mode("append").parquet(manifest)
     return new

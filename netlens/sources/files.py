@@ -1,7 +1,7 @@
 """Table and file sources/sinks.
 
-Listings are metadata only; content is read by executors.  Fingerprints read
-at most 4 MiB per file inside a ``mapInPandas`` task.
+Listings are metadata only; content is read by executors.  Fingerprints hash
+whole files, block by block, inside a ``mapInPandas`` task.
 """
 from __future__ import annotations
 
@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from netlens.functions.labels import label_from_filename
 
-HEAD_TAIL = 2 * 1024 * 1024      # FIXED VALUE: bytes hashed at each end of a capture
+BLOCK = 4 * 1024 * 1024          # bytes read at a time
+CAPTURE_FILES = ("pcap", "pcapng", "cap")
 
 
 def list_parts(path: str, extension: str = ".csv") -> list[str]:
@@ -65,33 +66,51 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_by_label(df: DataFrame, path: str, label: str = "label", spread: int = 16) -> None:
-    """Per-class tables rebuilt in one pass, one folder per label.
+def read_if_present(read):
+    """The DataFrame of ``read()``, or None where its path does not exist yet; any
+    other failure (permissions, network, format) is raised."""
+    from pyspark.errors import AnalysisException
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def write_by_label(df: DataFrame, path: str, label: str = "label", spread: int = 16,
+                   also: list[str] | None = None) -> None:
+    """Per-class tables in one pass, one folder per label.
 
     Rows are spread over ``spread`` tasks per label (row-hash salt), so a
-    label holding a third of all rows is still written in parallel.
+    label holding a third of all rows is still written in parallel.  Without
+    ``also`` the whole table is rebuilt.  ``also`` names columns that split a
+    label further (a capture's fingerprint): only the folders that ``df`` has
+    rows for are replaced, so adding captures leaves the others in place and a
+    repeated run replaces its own output.
     """
     salt = F.abs(F.xxhash64(*[F.col(c) for c in df.columns])) % spread
-    (df.repartition(F.col(label), salt).sortWithinPartitions(label)
-       .write.mode("overwrite").partitionBy(label).parquet(path))
+    by = [label, *(also or [])]
+    w = df.repartition(*[F.col(c) for c in by], salt).sortWithinPartitions(*by).write.mode("overwrite")
+    if also:
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.partitionBy(*by).parquet(path)
 
 
 def fingerprint_file(path: str, size: int) -> str:
-    """md5 over the size text, the first 2 MiB and (above 4 MiB) the last 2 MiB.
+    """md5 over the size text and the whole content, read in blocks of 4 MiB.
 
     ``path`` may be a local path or a cluster URI (read through pyarrow.fs).
     """
     from netlens.sources.fs import open_input
     h = hashlib.md5(str(size).encode())
     with open_input(path) as fh:
-        h.update(fh.read(HEAD_TAIL))
-        if size > 2 * HEAD_TAIL:
-            fh.seek(size - HEAD_TAIL)
-            h.update(fh.read(HEAD_TAIL))
+        while block := fh.read(BLOCK):
+            h.update(block)
     return h.hexdigest()[:16]
 
 
-def file_inventory(spark: SparkSession, path: str, pattern: str = "*.{pcap,cap}") -> DataFrame:
+def file_inventory(spark: SparkSession, path: str, pattern: str = "*.{" + ",".join(CAPTURE_FILES) + "}") -> DataFrame:
     """path, file, size, modified and content fingerprint of every capture.
 
     Listing via the binaryFile source without its content column (metadata

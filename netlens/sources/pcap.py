@@ -17,6 +17,7 @@ Column expressions (:func:`netlens.functions.decode.decode_frames`).
 """
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Iterator
@@ -155,12 +156,13 @@ class _FilePartition(InputPartition):
 class PcapReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options.get("path")
+        self.paths = json.loads(options.get("paths", "null"))     # exactly these files
         self.chunk_bytes = int(options.get("chunkBytes", CHUNK_BYTES))
         mp = options.get("maxPackets")
         self.max_packets = int(mp) if mp else None
 
     def partitions(self):
-        files = list_captures(self.path)
+        files = self.paths if self.paths is not None else list_captures(self.path)
         if not files:
             raise FileNotFoundError(f"no capture files at {self.path}")
         return [_FilePartition(f) for f in files]
@@ -219,11 +221,12 @@ def register(spark) -> None:
     spark.dataSource.register(PcapDataSource)
 
 
-def read_packets(spark, path: str, chunk_bytes: int = CHUNK_BYTES,
+def read_packets(spark, path: str | list[str], chunk_bytes: int = CHUNK_BYTES,
                  max_packets: int | None = None):
-    """Capture file(s) -> raw records."""
+    """Capture folder, file or list of files -> raw records."""
     register(spark)
-    r = spark.read.format("pcap").option("path", path).option("chunkBytes", str(chunk_bytes))
+    r = spark.read.format("pcap").option("chunkBytes", str(chunk_bytes))
+    r = r.option("path", path) if isinstance(path, str) else r.option("paths", json.dumps(list(path)))
     if max_packets:
         r = r.option("maxPackets", str(max_packets))
     return r.load()
@@ -237,7 +240,7 @@ def stream_captures(spark, path: str, chunk_bytes: int = CHUNK_BYTES, skip_newes
                  .option("skipNewest", str(skip_newest).lower()).load())
 
 
-def decoded_packets(spark, path: str, **kw):
+def decoded_packets(spark, path: str | list[str], **kw):
     """Capture file(s) -> decoded header columns, ready for the window path."""
     from netlens.functions.decode import decode_frames
     return decode_frames(read_packets(spark, path, **kw))

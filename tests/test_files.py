@@ -40,6 +40,11 @@ def test_inventory_fingerprint_and_manifest(spark, tmp_dir):
     assert rows["c.cap"]["fp"] == fingerprint_file(f"{tmp_dir}/caps/c.cap", 5_000_000)
     firsts = {r["file"] for r in first_per_fingerprint(inv, "fp", "path").collect()}
     assert firsts == {"a.pcap", "c.cap"}
+    # equal length, another byte in the middle: another capture
+    with open(f"{tmp_dir}/caps/d.cap", "wb") as fh:
+        fh.write(b"y" * 2_500_000 + b"z" + b"y" * 2_499_999)
+    assert fingerprint_file(f"{tmp_dir}/caps/d.cap", 5_000_000) != rows["c.cap"]["fp"]
+    os.remove(f"{tmp_dir}/caps/d.cap")
     man = inv.filter(F.col("file") == "c.cap").select("fp")
     assert {r["file"] for r in new_files(inv, man).collect()} == {"a.pcap", "b.pcap"}
     with open(f"{tmp_dir}/manifest.csv", "w") as fh:

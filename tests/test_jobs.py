@@ -60,6 +60,30 @@ def test_session_table(spark, tmp_dir):
                    "benign_office.pcap": ("BenignTraffic", 2)}
     labels = {d for d in os.listdir(f"{tmp_dir}/out") if d.startswith("label=")}
     assert labels == {"label=DDoS-SYN_Flood", "label=BenignTraffic"}
+    stored = lambda: sorted((r["label"], r["fp"], r["source"], r["window_id"]) for r in
+                            spark.read.parquet(f"{tmp_dir}/out").collect())
+    first = stored()
+    assert len(first) == 4
     # a second run finds every fingerprint in the manifest and adds nothing
-    again = session_table(spark, f"{tmp_dir}/caps", f"{tmp_dir}/out2", f"{tmp_dir}/manifest")
-    assert again.count() == 0
+    again = session_table(spark, f"{tmp_dir}/caps", f"{tmp_dir}/out", f"{tmp_dir}/manifest")
+    assert again.count() == 0 and stored() == first
+    # a further capture joins the earlier ones, in the same folder and in a label of its own
+    write_pcap(f"{tmp_dir}/caps/DDoS-SYN_Flood3.pcap", FRAMES * 4)
+    write_pcap(f"{tmp_dir}/caps/XSS.pcap", FRAMES * 5)
+    third = session_table(spark, f"{tmp_dir}/caps", f"{tmp_dir}/out", f"{tmp_dir}/manifest")
+    assert {r["file"] for r in third.collect()} == {"DDoS-SYN_Flood3.pcap", "XSS.pcap"}
+    assert set(first) < set(stored()) and {x[0] for x in stored()} == {"DDoS-SYN_Flood", "BenignTraffic", "XSS"}
+    # without a manifest the same rows are written again, not added
+    everything = stored()
+    session_table(spark, f"{tmp_dir}/caps", f"{tmp_dir}/out")
+    assert stored() == everything
+    assert spark.read.parquet(f"{tmp_dir}/manifest").count() == 4
+
+
+def test_label_from_filename_in_a_filter(spark):
+    """The label expression normalises the name once and compiles under a filter."""
+    from netlens.functions.labels import label_from_filename
+    df = spark.createDataFrame([("/a/DDoS-SYN_Flood12.pcap",), ("x/Benign_office.cap",), ("mystery.pcap",), ("123.pcap",)], "p string")
+    out = df.withColumn("l", label_from_filename("p")).filter("l is not null")
+    assert sorted(r["l"] for r in out.collect()) == ["BenignTraffic", "DDoS-SYN_Flood"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 8
