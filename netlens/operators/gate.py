@@ -7,10 +7,9 @@ row's score is 2^(-E[h(x)] / c(psi)); the gate flags rows whose score is
 above the (1 - contamination) quantile of the training scores.
 
 Spark shape:
-* sampling: about 4*psi candidates per tree, then the psi smallest draws
-  per tree inside the tree's group.  On a large input one xxhash64 draw per
-  row decides candidacy and a second one the tree (a filtered scan); on a
-  small input every row draws once per tree, so each tree may see all rows;
+* sampling: every row draws once per tree (xxhash64 of key and tree); about
+  4*psi candidates per tree pass a threshold on the draw, then the psi
+  smallest draws are taken inside the tree's group;
 * growing: ``groupBy("tree").applyInPandas`` - each group holds about
   4*psi rows, so the work per task is bounded whatever the table size;
 * the node table (trees x at most 2^(h+1) nodes) is small and bounded by
@@ -83,6 +82,8 @@ class Gate:
     psi: int
     threshold: float
     log: bool = True
+    trees: int = 50
+    contamination: float = 0.05
 
     def scaled(self) -> list[Column]:
         out = []
@@ -136,32 +137,20 @@ def fit_gate(benign: DataFrame, features: list[str], key: str, trees: int = 50,
     benign = cut_lineage(benign.select(key, *features))      # several passes follow
     scale = {r["feature"]: (r["mean"], r["std"])
              for r in scale_stats(benign, features, log=log).collect()}   # k rows
-    gate = Gate(list(features), scale, pd.DataFrame(), psi, 0.0, log)
+    gate = Gate(list(features), scale, pd.DataFrame(), psi, 0.0, log, trees, contamination)
     scaled = benign.select(F.col(key), *[x.alias(c) for x, c in zip(gate.scaled(), features)])
     n = scaled.count()
-    want = 4 * psi                                   # candidates per tree
-    if n * 1.0 >= trees * want:
-        # large input: one draw decides whether a row is a candidate at all,
-        # a second one which tree it feeds (disjoint per-tree samples); a
-        # scan with a filter, no per-tree work for the rows left out
-        p_any = trees * want / n
-        u = F.abs(F.xxhash64(F.col(key), F.lit(seed))) % (1 << 62) / float(1 << 62)
-        cand = (scaled.filter(u < F.lit(p_any))
-                      .select(F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(trees))
-                               .cast("int").alias("tree"),
-                              F.abs(F.xxhash64(F.col(key), F.lit(seed + 2))).alias("draw"),
-                              *features))
-    else:
-        # small input: independent draws per tree, each tree may see every row
-        cut = int(min(1.0, want / max(n, 1)) * (1 << 62))
-        draws = F.filter(
-            F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
-                        lambda t: F.struct(t.alias("tree"),
-                                           F.abs(F.xxhash64(F.col(key), t, F.lit(seed)) % (1 << 62))
-                                            .alias("draw"))),
-            lambda s_: s_["draw"] < F.lit(cut))
-        cand = scaled.select(*features, F.explode(draws).alias("_d")).select(
-            F.col("_d.tree").alias("tree"), F.col("_d.draw").alias("draw"), *features)
+    # every tree draws its own candidates: about 4 * psi of them, or all rows of
+    # a table smaller than that
+    cut = int(min(1.0, 4 * psi / max(n, 1)) * (1 << 62))
+    draws = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
+                    lambda t: F.struct(t.alias("tree"),
+                                       F.abs(F.xxhash64(F.col(key), t, F.lit(seed)) % (1 << 62))
+                                        .alias("draw"))),
+        lambda s_: s_["draw"] < F.lit(cut))
+    cand = scaled.select(*features, F.explode(draws).alias("_d")).select(
+        F.col("_d.tree").alias("tree"), F.col("_d.draw").alias("draw"), *features)
     limit = int(math.ceil(math.log2(max(psi, 2))))
     feats = list(features)
 
@@ -187,8 +176,9 @@ def score_gate(df: DataFrame, gate: Gate) -> DataFrame:
 
 
 def recalibrate(gate: Gate, benign: DataFrame, key: str, **kw) -> Gate:
-    """Refit the gate on one network's benign rows (M7)."""
-    return fit_gate(benign, gate.features, key, psi=gate.psi, log=gate.log, **kw)
+    """Refit the gate on one network's benign rows, with its own parameters (M7)."""
+    own = {"psi": gate.psi, "log": gate.log, "trees": gate.trees, "contamination": gate.contamination}
+    return fit_gate(benign, gate.features, key, **{**own, **kw})
 
 
 def save_gate(gate: Gate, spark, path: str) -> None:
@@ -197,16 +187,18 @@ def save_gate(gate: Gate, spark, path: str) -> None:
                           "feature string, mean double, std double") \
         .write.mode("overwrite").parquet(f"{path}/scale")
     spark.createDataFrame(gate.nodes).write.mode("overwrite").parquet(f"{path}/nodes")
-    spark.createDataFrame([(gate.threshold, gate.psi, gate.log, ",".join(gate.features))],
-                          "threshold double, psi int, log boolean, features string") \
+    spark.createDataFrame([(gate.threshold, gate.psi, gate.log, gate.trees, gate.contamination,
+                            list(gate.features))],
+                          "threshold double, psi int, log boolean, trees int, "
+                          "contamination double, features array<string>") \
         .write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load_gate(spark, path: str) -> Gate:
     meta = spark.read.parquet(f"{path}/meta").first()
-    benign = cut_lineage(benign.select(key, *features))      # several passes follow
     scale = {r["feature"]: (r["mean"], r["std"])
              for r in spark.read.parquet(f"{path}/scale").collect()}
-    return Gate(meta["features"].split(","), scale,
+    return Gate(list(meta["features"]), scale,
                 spark.read.parquet(f"{path}/nodes").toPandas(), int(meta["psi"]),
-                float(meta["threshold"]), bool(meta["log"]))
+                float(meta["threshold"]), bool(meta["log"]), int(meta["trees"]),
+                float(meta["contamination"]))

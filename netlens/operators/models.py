@@ -1,7 +1,7 @@
 """Classifiers and model evaluations on Spark ML.
 
 Trees and forests are Spark ML estimators (distributed, binned splits);
-Spark caps tree depth at 30, so the reference's depth 35 becomes 30.
+Spark caps tree depth at 30: that is the default, and more is refused.
 Every evaluation goes through the long confusion table of
 :mod:`netlens.operators.evaluate`.
 """
@@ -23,6 +23,12 @@ from netlens.session import cut_lineage
 MAX_SPARK_DEPTH = 30
 
 
+def _depth(depth: int) -> int:
+    if depth > MAX_SPARK_DEPTH:
+        raise ValueError(f"Spark trees have at most {MAX_SPARK_DEPTH} levels, not {depth}")
+    return depth
+
+
 def _pipeline(features: list[str], label: str, clf) -> Pipeline:
     idx = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc",
                         handleInvalid="keep")
@@ -41,7 +47,7 @@ def fit_tree(df: DataFrame, features: list[str], label: str = "label", depth: in
     data = with_class_weight(df, label, "_w") if balanced else df
     data = cut_lineage(data.select(label, *features, *(["_w"] if balanced else [])))
     clf = DecisionTreeClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p",
-                                 maxDepth=min(depth, MAX_SPARK_DEPTH), minInstancesPerNode=leaf,
+                                 maxDepth=_depth(depth), minInstancesPerNode=leaf,
                                  maxBins=max_bins, seed=seed,
                                  **({"weightCol": "_w"} if balanced else {}))
     return _pipeline(features, label, clf).fit(data)
@@ -52,7 +58,7 @@ def fit_forest(df: DataFrame, features: list[str], label: str = "label", trees:
     """Random forest for the model bake-off (M5)."""
     df = cut_lineage(df.select(label, *features))
     clf = RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p",
-                                 numTrees=trees, maxDepth=min(depth, MAX_SPARK_DEPTH),
+                                 numTrees=trees, maxDepth=_depth(depth),
                                  minInstancesPerNode=leaf, seed=seed)
     return _pipeline(features, label, clf).fit(df)
 
@@ -80,20 +86,28 @@ def evaluate(model: PipelineModel, test: DataFrame, label: str = "label") -> Dat
     return EV.scalar_metrics(EV.confusion(p, label, "y_pred"))
 
 
-def search_tree(train: DataFrame, test: DataFrame, features: list[str], label: str = "label",
-                configs: list[dict] | None = None):
-    """Fit every config, keep the best macro-F1, first on ties."""
+def search_tree(train: DataFrame, features: list[str], label: str = "label", key: str = "id",
+                configs: list[dict] | None = None, validation: DataFrame | None = None):
+    """Fit every config, choose the best macro-F1, first on ties.
+
+    The choice is made on ``validation``, by default a stratified fifth of the
+    training rows that the compared models do not see; test rows have no part in
+    it.  Returns the metrics per config and the chosen config fitted on all
+    training rows.
+    """
     configs = configs or [dict(depth=30, leaf=2), dict(depth=30, leaf=5),
                           dict(depth=30, leaf=2, balanced=True)]
-    train = cut_lineage(train.select(label, *features))
-    rows, models = None, []
+    fitted = train
+    if validation is None:
+        split = cut_lineage(SA.stratified_split(train, label, 0.8, key))
+        fitted, validation = split.filter("is_train"), split.filter(~F.col("is_train"))
+    rows = None
     for i, cfg in enumerate(configs):
-        m = fit_tree(train, features, label, **cfg)
-        models.append(m)
-        r = evaluate(m, test, label).withColumn("config", F.lit(i))
+        r = evaluate(fit_tree(fitted, features, label, **cfg), validation, label).withColumn("config", F.lit(i))
         rows = r if rows is None else rows.unionByName(r)
+    rows = cut_lineage(rows)                         # one row per config
     best = EV.best_by(rows, "f1_macro", "config").first()["config"]
-    return rows, models[best]
+    return rows, fit_tree(train, features, label, **configs[best])
 
 
 def score_two_stage(df: DataFrame, gate: Gate, model: PipelineModel) -> DataFrame:
@@ -105,14 +119,16 @@ def score_two_stage(df: DataFrame, gate: Gate, model: PipelineModel) -> DataFram
 
 def leave_session_out(df: DataFrame, features: list[str], label: str = "label",
                       source: str = "source", key: str = "id", pick: str = "last"):
-    """Within- vs cross-session recall (M10): held-out session per class (W11/J13),
-    one model on the other sessions, recall on a within split and on the held-out
-    session (A19), gap per class (J9) and summary (A20)."""
-    m = SA.mark_held_out(df, label, source, pick)
-    rest = SA.stratified_split(m.filter(~F.col("is_held_out")), label, 0.8, key)
-    model = fit_tree(rest.filter("is_train"), features, label)
-    within = EV.recall_by_class(predict(model, rest.filter(~F.col("is_train"))), label, "y_pred")
-    cross = EV.recall_by_class(predict(model, m.filter("is_held_out")), label, "y_pred")
+    """Within- vs cross-session recall (M10): held-out session per class.
+
+    Two models: one on a stratified 80% of all rows, recall on the other 20%
+    (within), and one on every row outside the held-out sessions, recall on
+    those (cross) (A19); gap per class (J9) and summary (A20)."""
+    m = cut_lineage(SA.stratified_split(SA.mark_held_out(df, label, source, pick), label, 0.8, key))
+    inner = fit_tree(m.filter("is_train"), features, label)
+    within = EV.recall_by_class(predict(inner, m.filter(~F.col("is_train"))), label, "y_pred")
+    outer = fit_tree(m.filter(~F.col("is_held_out")), features, label)
+    cross = EV.recall_by_class(predict(outer, m.filter("is_held_out")), label, "y_pred")
     gap = EV.session_gap(within, cross)
     return gap, EV.gap_summary(gap)
 
@@ -151,8 +167,12 @@ def benign_holdout(df: DataFrame, features: list[str], label: str = "label",
 
 
 def augment(train: DataFrame, extra: DataFrame, label: str = "label", key: str = "id",
-            cap: int = 6000, reps: int = 3) -> DataFrame:
-    """Extra rows capped per class (W9) and repeated (U2), train side only."""
+            cap: int = 6000, reps: int = 3, test: DataFrame | None = None) -> DataFrame:
+    """Extra rows capped per class (W9) and repeated (U2), train side only.
+
+    With ``test``, extra rows whose key occurs there are refused."""
+    if test is not None and not extra.join(test.select(key), key, "left_semi").isEmpty():
+        raise ValueError("extra rows occur in the test set")
     e = SA.sample_n(extra, cap, key, by=[label])
     e = SA.replicate(e, reps).drop("rep")
     return train.unionByName(e.select(*train.columns))

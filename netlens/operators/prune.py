@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from netlens.functions.columns import signed_log
 from netlens.operators.sampling import hash_unit
-from netlens.schema import CORR_SAMPLE_ROWS, CORR_THRESH, NEAR_CONST_THRESH, RANDOM_SEED
+from netlens.schema import CORR_THRESH, NEAR_CONST_THRESH, RANDOM_SEED
 
 
 def _long(row_df: DataFrame, cols: list[str], stats: list[str]) -> DataFrame:
@@ -42,19 +42,17 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> list[list[float]]:
 
 
 def correlated(df: DataFrame, cols: list[str], limit: float = CORR_THRESH,
-               sample_rows: int = CORR_SAMPLE_ROWS, key: str | None = None,
+               sample_frac: float | None = None, key: str | None = None,
                seed: int = RANDOM_SEED) -> DataFrame:
     """Columns dropped for |pearson| > limit with ANY earlier column (A30, SA4).
 
-    Rows are a hash sample of about ``sample_rows`` rows (all rows when the
-    table is smaller).  Returns (feature, dropped).
+    All rows count; ``sample_frac`` (with ``key``) asks for a hash sample of
+    that share of the rows, whatever their number.  Returns (feature, dropped).
     """
     from netlens.session import cut_lineage
-    if key is not None:
-        n = df.count()
-        if n > sample_rows:
-            df = df.filter(hash_unit(key, seed) < sample_rows / n)
-    # the correlation makes several passes: read the sampled columns once
+    if sample_frac is not None:
+        df = df.filter(hash_unit(key, seed) < sample_frac)
+    # the correlation makes several passes: read its columns once
     m = correlation_matrix(cut_lineage(df.select(*cols)), cols)
     dropped = []
     for j, c in enumerate(cols):

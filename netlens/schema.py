@@ -58,7 +58,6 @@ PER_CLASS_CAP = 100_000          # FIXED VALUE: cap for those classes
 RANDOM_SEED = 42                 # FIXED VALUE
 NEAR_CONST_THRESH = 1e-9         # FIXED VALUE: var_samp floor
 CORR_THRESH = 0.995              # FIXED VALUE: |pearson| ceiling
-CORR_SAMPLE_ROWS = 200_000       # FIXED VALUE
 BENIGN_LABEL = "BenignTraffic"
 
 
