@@ -51,7 +51,8 @@ def decode_frames(df: DataFrame, frame: str = "frame") -> DataFrame:
     """Raw Ethernet frame -> header columns; non IPv4/ARP rows flagged ``keep=0``.
 
     Honours the IPv4 header length (IHL); a non-first fragment carries no L4
-    header, so its ports and flags are 0; truncated L4 headers give 0 as well.
+    header, so its ports and flags are 0 and ``has_l4`` is 0; truncated L4
+    headers give 0 as well.
     ARP endpoints are the MAC addresses prefixed ``arp:`` with ports 0.
     """
     fr = F.col(frame)
@@ -63,14 +64,16 @@ def decode_frames(df: DataFrame, frame: str = "frame") -> DataFrame:
     frag_off = _u(fr, 21, 2).bitwiseAND(0x1FFF)
     proto = F.when(is_ip, _u(fr, 24, 1)).otherwise(0).cast("int")
     l4 = (ihl + 15).cast("int")                       # 1-based start of L4
-    has_l4 = is_ip & (frag_off == 0)
-    has_ports = has_l4 & proto.isin(6, 17) & (length >= l4 + 3)
+    # a transport header counts if it is whole: first fragment, 20 bytes and a data
+    # offset of at least 5 words for TCP, 8 bytes for UDP
+    offset = F.conv(F.hex(F.substring(fr, l4 + 12, F.lit(1))), 16, 10).cast("int")
+    tcp_ok = (proto == 6) & (length >= l4 + 19) & (offset >= 0x50)
+    has_ports = is_ip & (frag_off == 0) & (tcp_ok | (proto == 17) & (length >= l4 + 7))
     sport = F.when(has_ports, F.conv(F.hex(F.substring(fr, l4, F.lit(2))), 16, 10)
                    .cast("int")).otherwise(0)
     dport = F.when(has_ports, F.conv(F.hex(F.substring(fr, l4 + 2, F.lit(2))), 16, 10)
                    .cast("int")).otherwise(0)
-    tcp_ok = has_l4 & (proto == 6) & (length >= l4 + 13)
-    flags = F.when(tcp_ok, F.conv(F.hex(F.substring(fr, l4 + 13, F.lit(1))), 16, 10)
+    flags = F.when(has_ports & (proto == 6), F.conv(F.hex(F.substring(fr, l4 + 13, F.lit(1))), 16, 10)
                    .cast("int")).otherwise(0)
     return (df
             .withColumn("ethertype", ethertype.cast("int"))
@@ -84,6 +87,7 @@ def decode_frames(df: DataFrame, frame: str = "frame") -> DataFrame:
                         .when(is_arp, F.concat(F.lit("arp:"), _mac(fr, 1))))
             .withColumn("sport", sport)
             .withColumn("dport", dport)
+            .withColumn("has_l4", flag(F.coalesce(has_ports, F.lit(False))))
             .withColumn("tcp_flags", flags)
             .withColumn("frame_len", length.cast("long")))
 
@@ -104,12 +108,15 @@ def either_port(p: int) -> Column:
 def packet_features(df: DataFrame) -> DataFrame:
     """Decoded header columns -> per-packet 0/1 features.
 
-    Needs ``is_arp, proto, ttl, sport, dport, tcp_flags, frame_len``.
+    Needs ``is_arp, proto, ttl, sport, dport, tcp_flags, frame_len``.  TCP and
+    UDP count only with a whole transport header (``has_l4``; tables without
+    that column hold packets that have one); ICMP counts by protocol number.
     """
     is_arp = F.col("is_arp") == 1
     proto = F.col("proto")
-    tcp = (~is_arp) & (proto == 6)
-    udp = (~is_arp) & (proto == 17)
+    has_l4 = (F.col("has_l4") == 1) if "has_l4" in df.columns else F.lit(True)
+    tcp = (~is_arp) & (proto == 6) & has_l4
+    udp = (~is_arp) & (proto == 17) & has_l4
     icmp = (~is_arp) & (proto == 1)
     fl = F.col("tcp_flags")
     cols = {

@@ -87,17 +87,22 @@ def label_from_filename(path) -> Column:
     with a normalised class name; then the longest class name that contains
     the name or is contained in it.  A name of only digits gives NULL (the
     reference would match the longest class on an empty string).
+
+    The name is normalised once (the only element of an array) and searched in
+    a literal table of (normalised class name, class), longest name first.
     """
     p = F.col(path) if isinstance(path, str) else path
-    base = F.regexp_extract(p, r"([^/\\]*)$", 1)
-    n = F.lower(base)
+    n = F.lower(F.regexp_extract(p, r"([^/\\]*)$", 1))
     n = F.replace(F.replace(n, F.lit(".pcap"), F.lit("")), F.lit(".cap"), F.lit(""))
-    n = F.regexp_replace(F.regexp_replace(n, "[-_]", ""), "[0-9]+$", "")
-    cands = {c: c.lower().replace("-", "").replace("_", "") for c in CLASS_TO_CATEGORY}
-    expr = F.when(n == "", F.lit(None).cast("string")) \
-        .when(n.contains("benign"), F.lit(BENIGN_LABEL))
-    for c, cn in cands.items():
-        expr = expr.when(n == F.lit(cn), F.lit(c))
-    for c, cn in sorted(cands.items(), key=lambda kv: -len(kv[1])):
-        expr = expr.when(n.contains(cn) | F.lit(cn).contains(n), F.lit(c))
-    return expr.otherwise(F.lit(None).cast("string"))
+    n = F.regexp_replace(_norm_name(n), "[0-9]+$", "")
+    classes = F.array(*[F.struct(_norm_name(F.lit(c)).alias("name"), F.lit(c).alias("label"))
+                        for c in sorted(CLASS_TO_CATEGORY, key=lambda c: -len(c.replace("-", "").replace("_", "")))])
+
+    def match(name: Column) -> Column:
+        exact = F.filter(classes, lambda c: c["name"] == name)
+        part = F.filter(classes, lambda c: name.contains(c["name"]) | c["name"].contains(name))
+        return (F.when(name == "", F.lit(None).cast("string"))
+                 .when(name.contains("benign"), F.lit(BENIGN_LABEL))
+                 .otherwise(F.coalesce(F.get(exact, F.lit(0))["label"], F.get(part, F.lit(0))["label"])))
+
+    return F.get(F.transform(F.array(n), match), F.lit(0))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netlens.functions.columns import epoch_micros, from_epoch_micros
+from netlens.sources.files import read_if_present
 from netlens.schema import BENIGN_LABEL
 
 EVENT_SCHEMA = T.StructType([
@@ -166,7 +167,7 @@ def match_rules(requests: DataFrame, uri: str = "uri", body: str = "body",
     b = F.lower(F.col(body))
     tcp23 = (F.col(proto) == 6) & (F.col(dport) == 23)
     preds = [
-        u.rlike("union.*select"),
+        u.rlike("(?s)union.*select"),
         u.contains("or 1=1"),
         u.contains("<script"),
         u.rlike("(?i)" + COMMAND_PATTERN),
@@ -267,17 +268,25 @@ def dashboard_kpis(alerts: DataFrame, now: str) -> DataFrame:
         F.max("ts").alias("last_alert"))
 
 
-def timeline(alerts: DataFrame, seconds: int = 10) -> DataFrame:
+def timeline(alerts: DataFrame, seconds: int = 10, start=None, end=None) -> DataFrame:
     """Alerts per fixed bin, empty bins as 0.
 
     Bin counts are one aggregation; the bin range is generated with
     ``spark.range`` from the two bounds (two scalars on the driver), so the
-    bin table is distributed and joined, not built in one task.
+    bin table is distributed and joined, not built in one task.  ``start`` and
+    ``end`` (datetimes, end exclusive) bound the range, so that a stray time
+    stamp does not decide the size of the result; without them the alerts' own
+    first and last bin do.
     """
     spark = alerts.sparkSession
     width = seconds * 1_000_000
     b = F.floor(epoch_micros("ts") / F.lit(width)).cast("long")
-    counts = alerts.filter(F.col("ts").isNotNull()).groupBy(b.alias("bin")) \
+    inside = F.col("ts").isNotNull()
+    if start is not None:
+        inside &= F.col("ts") >= F.lit(start).cast("timestamp_ntz")
+    if end is not None:
+        inside &= F.col("ts") < F.lit(end).cast("timestamp_ntz")
+    counts = alerts.filter(inside).groupBy(b.alias("bin")) \
         .agg(F.count(F.lit(1)).alias("alerts"))
     lo, hi = counts.agg(F.min("bin"), F.max("bin")).first()
     if lo is None:
@@ -312,9 +321,8 @@ def write_alerts(alerts: DataFrame, path: str, fmt: str = "csv") -> None:
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     """Tolerant alert read (S11): a missing folder gives an empty table,
     missing columns become "", an unparsable ``ts`` becomes NULL."""
-    try:
-        raw = spark.read.option("header", True).csv(path)
-    except Exception:  # noqa: BLE001 - path absent
+    raw = read_if_present(lambda: spark.read.option("header", True).csv(path))
+    if raw is None:
         return spark.createDataFrame([], ALERT_SCHEMA)
     cols = {c: (F.col(c) if c in raw.columns else F.lit("")) for c in ("ts", "label", "source")}
     return raw.select(

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netlens.session import cut_lineage
+
 
 def confusion(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
     """Long confusion matrix (A15): y_true, y_pred, n."""
@@ -27,15 +29,18 @@ def _zdiv(a, b):
 
 
 def class_stats(conf: DataFrame) -> DataFrame:
-    """Per class over the union of true and predicted labels: tp, support, predicted."""
-    t = conf.groupBy(F.col("y_true").alias("class")).agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("tp"))
-    p = conf.groupBy(F.col("y_pred").alias("class")).agg(F.sum("n").alias("predicted"))
-    return (t.join(p, "class", "full")
-             .select("class", F.coalesce("tp", F.lit(0)).alias("tp"),
-                     F.coalesce("support", F.lit(0)).alias("support"),
-                     F.coalesce("predicted", F.lit(0)).alias("predicted")))
+    """Per class over the union of true and predicted labels: tp, support, predicted.
+
+    Every confusion row counts for its true and for its predicted class: one
+    pass over the confusion table and one aggregation.
+    """
+    zero = F.lit(0).cast("long")
+    tp = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(zero)
+    sides = F.array(
+        F.struct(F.col("y_true").alias("class"), tp.alias("tp"), F.col("n").alias("support"), zero.alias("predicted")),
+        F.struct(F.col("y_pred").alias("class"), zero.alias("tp"), zero.alias("support"), F.col("n").alias("predicted")))
+    return (conf.select(F.explode(sides).alias("_s")).select("_s.*").groupBy("class")
+                .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")]))
 
 
 def _per_class_tp(conf: DataFrame) -> DataFrame:
@@ -60,7 +65,7 @@ def classification_report(conf: DataFrame) -> DataFrame:
     support.  Every summary comes from one aggregation over the per-class
     table (accuracy = sum of true positives / total support).
     """
-    pc = _per_class_tp(conf)
+    pc = cut_lineage(_per_class_tp(conf))            # one row per class, used four times
     tot = pc.agg(
         F.sum("support").alias("total"),
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
@@ -105,6 +110,7 @@ def reweighted(conf: DataFrame, priors: DataFrame, label: str = "label",
     class; weighted-F1 weighs by pi.  Returns (per-class table, one-row
     summary).
     """
+    conf = cut_lineage(conf)                         # at most classes^2 rows, used five times
     classes = conf.select(F.col("y_true").alias("class")).union(
         conf.select(F.col("y_pred").alias("class"))).distinct()
     pri = priors.select(F.col(label).alias("class"), F.col(count).cast("double").alias("_cnt"))

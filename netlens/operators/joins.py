@@ -1,23 +1,28 @@
 """Joins against per-key tables (class plans, held-out sessions, weights).
 
 The small side is an aggregate keyed by the join key (one row per class or
-capture).  Its size is measured before the join: under ``max_rows`` it is
-broadcast, so a key holding a third of the big side never lands in one
-task; above it the join is a shuffle join whose hot keys AQE's skew-join
-handling splits (``spark.sql.adaptive.skewJoin.enabled``).
+capture).  It is computed once (reliable checkpoint), so that its measured size
+decides: under ``max_rows`` rows and ``max_bytes`` bytes it is broadcast, so a
+key holding a third of the big side never lands in one task; above that the
+join is a shuffle join whose hot keys AQE's skew-join handling splits
+(``spark.sql.adaptive.skewJoin.enabled``).
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netlens.session import cut_lineage
+
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    # the small side is a cheap aggregate: it is counted, then recomputed by the
-    # join (a cached copy would keep the un-coalesced shuffle partitioning)
-    if small.count() <= max_rows:
+               max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    small = cut_lineage(small)
+    size = small.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))
+                     .alias("bytes")).first()
+    if size["rows"] <= max_rows and size["bytes"] <= max_bytes:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

@@ -8,8 +8,9 @@ partitioning and any engine reproduces it.
 Quotas ("the n rows with the smallest draw per class") use an exact,
 skew-proof selection instead of a per-class sort: a histogram of the top 16
 bits of the draw per class finds, for every class, the one bucket where the
-quota boundary falls; only the rows of that bucket are ranked.  A class with
-a third of all rows is never sorted in one task.
+quota boundary falls; only the keys of that bucket are ranked, and the rows
+are filtered where they lie.  A class with a third of all rows is never sorted
+in one task.
 """
 from __future__ import annotations
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from netlens.functions.labels import label_scheme
 from netlens.operators.joins import join_small
+from netlens.session import cut_lineage
 from netlens.schema import DOWNSAMPLE_THRESHOLD, PER_CLASS_CAP, RANDOM_SEED
 
 HASH_BITS = 60
@@ -74,43 +76,62 @@ def rank_below(df: DataFrame, by: list[str], quota: DataFrame | int, key: str,
 
     ``quota`` is an int for every group or a DataFrame (by..., quota).
     With ``flag`` every row is returned and ``flag`` tells whether it made
-    the quota (used by splits).  Exact and skew-proof (module docstring).
+    the quota (used by splits).  ``key`` is unique inside a group.
+
+    Exact and skew-proof without moving the table: a histogram of the draw's
+    top bits gives each group the bucket in which its quota ends; the rows of
+    that bucket (keys only) are ranked, which gives the (draw, key) of the
+    group's last row; one filter against that group-sized table does the rest.
     """
-    d = df.withColumn("_h", hash_draw(key, seed)).withColumn(
+    names = list(by) or ["_g"]
+    d = df if by else df.withColumn("_g", F.lit(0))
+    keyed = d.select(*names, F.col(key).alias("_k"), hash_draw(key, seed).alias("_h")).withColumn(
         "_b", F.shiftrightunsigned(F.col("_h"), BUCKET_SHIFT))
-    if not by:
-        d = d.withColumn("_g", F.lit(0))
-        by_ = ["_g"]
-    else:
-        by_ = list(by)
-    hist = d.groupBy(*by_, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*by_).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+    hist = keyed.groupBy(*names, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hist.withColumn("_upto", F.sum("_cnt").over(w))
     if isinstance(quota, int):
         hist = hist.withColumn("_quota", F.lit(quota).cast("long"))
     else:
         q = quota.select(*by, F.col("quota").cast("long").alias("_quota"))
-        if not by:
-            q = q.withColumn("_g", F.lit(0))
-        hist = hist.join(q, by_, "left").fillna(0, ["_quota"])
-    hist = hist.withColumn(
-        "_state",
-        F.when(F.col("_before") + F.col("_cnt") <= F.col("_quota"), F.lit(2))   # all in
-         .when(F.col("_before") < F.col("_quota"), F.lit(1))                     # boundary
-         .otherwise(F.lit(0)))                                                   # none
-    d = d.join(hist.select(*by_, "_b", "_state", "_before", "_quota"), [*by_, "_b"])
-    wb = Window.partitionBy(*by_, "_b").orderBy("_h", key)
-    boundary = d.filter(F.col("_state") == 1).withColumn(
-        "_in", F.row_number().over(wb) + F.col("_before") <= F.col("_quota"))
-    rest = d.filter(F.col("_state") != 1).withColumn("_in", F.col("_state") == 2)
-    out = boundary.unionByName(rest)
-    if flag is None:
-        out = out.filter(F.col("_in"))
+        q = q if by else q.withColumn("_g", F.lit(0))
+        hist = hist.join(q, names, "left").fillna(0, ["_quota"])
+    # one row per group: the bucket that holds the quota's last row, if any
+    ends = (F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_cnt") < F.col("_quota"))
+    groups = cut_lineage(hist.groupBy(*names).agg(
+        F.max("_upto").alias("_rows"), F.first("_quota").alias("_quota"),
+        F.max(F.when(ends, F.col("_b"))).alias("_end"),
+        F.max(F.when(ends, F.col("_quota") - F.col("_upto") + F.col("_cnt"))).alias("_need")))
+    if not by:                                        # one group: its limits are literals
+        return _rank_below_all(df, keyed, groups.first(), key, seed, flag)
+    inside = join_small(keyed, groups.filter(F.col("_quota") < F.col("_rows")), names).filter(F.col("_b") == F.col("_end"))
+    rank = F.row_number().over(Window.partitionBy(*names, "_b").orderBy("_h", "_k"))
+    last = (inside.withColumn("_r", rank).filter(F.col("_r") == F.col("_need"))
+                  .select(*names, F.struct("_h", "_k").alias("_last")))
+    limits = groups.join(last, names, "left").select(
+        *names, "_last", (F.col("_quota") >= F.col("_rows")).alias("_all"))
+    made = F.col("_all") | F.coalesce(_place(key, seed) <= F.col("_last"), F.lit(False))
+    out = join_small(df, limits, names)
+    out = out.filter(made) if flag is None else out.withColumn(flag, made)
+    return out.drop("_last", "_all")
+
+
+def _place(key: str, seed: int) -> Column:
+    return F.struct(hash_draw(key, seed).alias("_h"), F.col(key).alias("_k"))
+
+
+def _rank_below_all(df: DataFrame, keyed: DataFrame, group, key: str, seed: int, flag: str | None) -> DataFrame:
+    """:func:`rank_below` without groups; ``group`` is the row of the only one."""
+    if group is None or group["_quota"] >= group["_rows"]:
+        made = F.lit(True)
+    elif group["_end"] is None:
+        made = F.lit(False)
     else:
-        out = out.withColumnRenamed("_in", flag)
-    drop = ["_h", "_b", "_state", "_before", "_quota"] + (["_in"] if flag is None else []) \
-        + (["_g"] if not by else [])
-    return out.drop(*drop)
+        last = (keyed.filter(F.col("_b") == group["_end"]).orderBy("_h", "_k").limit(group["_need"])
+                     .agg(F.max(F.struct("_h", "_k")).alias("last")).first()["last"])
+        h = hash_draw(key, seed)
+        made = (h < last["_h"]) | ((h == last["_h"]) & (F.col(key) <= F.lit(last["_k"])))
+    return df.filter(made) if flag is None else df.withColumn(flag, made)
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = RANDOM_SEED,

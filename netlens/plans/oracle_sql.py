@@ -304,7 +304,8 @@ ORACLE_LABELS = {
     + "\nSELECT event_id, label, " + ", ".join(f'"{c}"' for c in _SCHEME_COLS)
     + " FROM lev JOIN tax USING (label)",
     "j15_unknown_labels": with_ctes(LEV_CTE, TAXONOMY_CTE)
-    + "\nSELECT DISTINCT label FROM lev WHERE label NOT IN (SELECT label FROM tax)",
+    + "\nSELECT DISTINCT label FROM (SELECT CASE WHEN user_id % 11 = 0 THEN label || '-typo' ELSE label END AS label"
+    + " FROM lev) WHERE label NOT IN (SELECT label FROM tax)",
     "a01_class_counts": with_ctes(LEV_CTE) + "\nSELECT label, count(*) AS n FROM lev GROUP BY label",
     "a02_class_plan": with_ctes(LEV_CTE, TAXONOMY_CTE, PLAN_CTE) + "\nSELECT * FROM plan",
     "sa01_hash_sample": with_ctes(LEV_CTE, TAXONOMY_CTE, PLAN_CTE)
@@ -626,7 +627,7 @@ nreq AS (
 )"""
 
 _RULE_SQL = [
-    (1000001, "LOCAL SQLi UNION SELECT in URI", "regexp_matches(u, 'union.*select')"),
+    (1000001, "LOCAL SQLi UNION SELECT in URI", "regexp_matches(u, 'union.*select', 's')"),
     (1000002, "LOCAL SQLi tautology '' OR 1=1", "contains(u, 'or 1=1')"),
     (1000003, "LOCAL XSS script tag in request", "contains(u, '<script')"),
     (1000004, "LOCAL OS Command Injection in URI",

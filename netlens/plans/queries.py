@@ -63,7 +63,9 @@ def q_label_schemes(spark, sf_dir):
 
 
 def q_unknown_labels(spark, sf_dir):
-    return unknown_labels(lev(spark, sf_dir))
+    """Labels of every 11th user misspelt: those have no taxonomy entry."""
+    odd = F.col("user_id") % 11 == 0
+    return unknown_labels(lev(spark, sf_dir).withColumn("label", F.when(odd, F.concat("label", F.lit("-typo"))).otherwise(F.col("label"))))
 
 
 def q_class_counts(spark, sf_dir):
@@ -524,7 +526,7 @@ def q_tree_report(spark, sf_dir):
 
 def q_config_search(spark, sf_dir):
     s = _split(spark, sf_dir)
-    rows, _ = MD.search_tree(s.filter("is_train"), s.filter(~F.col("is_train")), MODEL_FEATURES,
+    rows, _ = MD.search_tree(s.filter("is_train").drop("is_train"), MODEL_FEATURES,
                              configs=[dict(depth=30, leaf=2), dict(depth=30, leaf=5),
                                       dict(depth=30, leaf=2, balanced=True)])
     return rows
@@ -596,11 +598,14 @@ def q_benign_holdout(spark, sf_dir):
 
 
 def q_augmented(spark, sf_dir):
-    s = _split(spark, sf_dir)
-    train = s.filter("is_train").drop("is_train")
-    extra = model_windows(spark, sf_dir).filter(F.col("source") == "cap0")
-    m = MD.fit_tree(MD.augment(train, extra, cap=6000, reps=3), MODEL_FEATURES)
-    return MD.evaluate(m, s.filter(~F.col("is_train")))
+    """Capture cap0 augments the training side; the other captures are split."""
+    from netlens.session import cut_lineage
+    w = cut_lineage(model_windows(spark, sf_dir))
+    s = cut_lineage(SA.stratified_split(w.filter(F.col("source") != "cap0"), "label", 0.8, "id"))
+    train, test = s.filter("is_train").drop("is_train"), s.filter(~F.col("is_train"))
+    m = MD.fit_tree(MD.augment(train, w.filter(F.col("source") == "cap0"), cap=6000, reps=3, test=test),
+                    MODEL_FEATURES)
+    return MD.evaluate(m, test)
 
 
 def q_end_to_end_eval(spark, sf_dir):

@@ -60,3 +60,30 @@ def test_drop_categories(spark):
     from netlens.operators.alerts import drop_categories
     df = spark.createDataFrame([("ET INFO x",), ("ET SCAN y",), ("GPL NETBIOS z",)], "signature string")
     assert [r[0] for r in drop_categories(df).collect()] == ["ET SCAN y"]
+
+
+def test_sql_rule_spans_lines(spark):
+    """The pattern has no limit to one line: an escaped line break does not hide it."""
+    from netlens.operators.alerts import match_rules
+    req = spark.createDataFrame([(1, "/?q=union%0aselect", "", 6, 80), (2, "/?q=union", "", 6, 80)],
+                                "request_id int, uri string, body string, proto int, dport int")
+    assert [(r["request_id"], r["sid"]) for r in match_rules(req).collect()] == [(1, 1000001)]
+
+
+def test_alert_file_errors_are_raised(spark, tmp_dir):
+    """Only a missing folder reads as no alerts."""
+    import pytest
+    from netlens.operators.alerts import read_alerts
+    from netlens.sources.files import read_if_present
+    assert read_alerts(spark, f"{tmp_dir}/none").count() == 0
+    with pytest.raises(Exception, match="bad"):
+        read_if_present(lambda: (_ for _ in ()).throw(PermissionError("bad")))
+
+
+def test_timeline_range_is_a_parameter(spark):
+    import datetime as dt
+    from netlens.operators.alerts import timeline
+    rows = [(dt.datetime(2024, 1, 1, 0, 0, s), "x", "y") for s in (1, 12, 31)] + [(dt.datetime(1970, 1, 1), "x", "y")]
+    a = spark.createDataFrame(rows, "ts timestamp_ntz, label string, source string")
+    got = timeline(a, 10, start=dt.datetime(2024, 1, 1)).orderBy("bin").collect()
+    assert [r["alerts"] for r in got] == [1, 1, 0, 1]

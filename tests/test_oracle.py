@@ -2,10 +2,11 @@
 import pytest
 
 import __spark_entry__ as E
+from netlens.plans import catalog
 from tests.oracle_compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SQL = E.oracle_sql()
+SQL = catalog.ORACLE
 
 
 @pytest.fixture(scope="module")

@@ -71,9 +71,29 @@ def test_decode_pcap(spark, tmp_dir):
     assert rows[4]["keep"] == 0                     # IPv6 dropped from windows
     assert rows[5]["is_arp"] == 1 and rows[5]["sip"] == "arp:66:77:88:99:aa:bb"
     assert rows[6]["sport"] == 0 and rows[6]["dport"] == 0       # fragment: no L4 header
+    assert rows[6]["has_l4"] == 0 and rows[1]["has_l4"] == 1 and rows[3]["has_l4"] == 1
     assert rows[7]["proto"] == 1
 
 
+def test_transport_counts_only_with_its_header(spark, tmp_dir):
+    """Fragments, IP options and cut headers: the protocol number alone is not TCP or UDP."""
+    from netlens.functions.decode import packet_features
+    from netlens.sources.pcap import decoded_packets
+    tcp, udp = tcp_seg(40001, 80, 0x12), udp_seg(5353, 53)
+    options = bytearray(eth_ipv4([1, 1, 1, 1], [2, 2, 2, 2], 6, b"\x01\x01\x01\x00" + tcp))
+    options[14] = 0x46                                     # a header of six words
+    low = bytearray(eth_ipv4([1, 1, 1, 1], [2, 2, 2, 2], 6, tcp))
+    low[34 + 12] = 0x40                                    # data offset below a whole header
+    write_pcap(f"{tmp_dir}/f.pcap", [
+        eth_ipv4([1, 1, 1, 1], [2, 2, 2, 2], 17, udp, frag=100), eth_ipv4([1, 1, 1, 1], [2, 2, 2, 2], 17, udp),
+        bytes(options), eth_ipv4([1, 1, 1, 1], [2, 2, 2, 2], 6, tcp[:19]), bytes(low),
+        eth_ipv4([1, 1, 1, 1], [2, 2, 2, 2], 17, udp[:7])])
+    rows = sorted(packet_features(decoded_packets(spark, tmp_dir)).collect(), key=lambda r: r["packet_no"])
+    assert [(r["tcp"], r["udp"], r["dport"], r["dns"]) for r in rows] == [
+        (0, 0, 0, 0), (0, 1, 53, 1), (1, 0, 80, 0), (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+    assert [r["protocol_type"] for r in rows] == [17, 17, 6, 6, 6, 17]
+
+
 def test_pcapng_and_truncation(spark, tmp_dir):
     from netlens.sources.pcap import read_packets
     write_pcapng(f"{tmp_dir}/b.pcapng", FRAMES[:3])

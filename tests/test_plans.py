@@ -31,16 +31,17 @@ def test_block_totals_read_only_needed_columns(spark, capsys):
 def test_quota_never_windows_a_whole_class(spark):
     """rank_below ranks inside (class, bucket), never over a whole class."""
     from netlens.operators.sampling import sample_n
-    df = spark.range(1000).selectExpr("id", "CAST(id % 3 AS STRING) AS label")
+    df = spark.range(1000).selectExpr("id", "CAST(id % 3 AS STRING) AS label", "repeat('x', 50) AS wide")
     p = plan(sample_n(df, 10, "id", by=["label"]))
     for spec in re.findall(r"Window \[row_number\(\) windowspecdefinition\(([^)]*)\)", p):
         assert "_b" in spec
+    # the rows are filtered where they lie: none of them is shuffled
+    assert "wide" in p and "Exchange hashpartitioning" not in p and "Exchange SinglePartition" not in p
 
 
 def test_no_registered_query_plans_a_cross_join(spark):
     """No Cartesian product or nested-loop join in any SQL-checked query."""
-    import __spark_entry__ as E
-    qs, sql = E.queries(), E.oracle_sql()
+    from netlens.plans.catalog import ORACLE as sql, QUERIES as qs
     bad = []
     for name in sorted(sql):
         p = plan(qs[name](spark, "/root/testdata/sf0.001"))

@@ -64,6 +64,25 @@ def test_exclude_seen_null_safe(spark):
     assert sorted(r["id"] for r in exclude_seen(a, s, ["x"]).collect()) == [2]
 
 
+def test_ungrouped_quota(spark):
+    from netlens.operators.sampling import hash_draw, rank_below
+    df = spark.range(500).select("id", hash_draw("id", 3).alias("h"))
+    want = sorted(df.collect(), key=lambda r: (r["h"], r["id"]))
+    for n in (0, 1, 137, 500, 900):
+        got = rank_below(df, [], n, "id", 3, flag="made").filter("made").collect()
+        assert {r["id"] for r in got} == {r["id"] for r in want[:n]}
+    assert rank_below(df.filter("id < 0"), [], 5, "id").count() == 0
+
+
+def test_augment_refuses_test_rows(spark):
+    import pytest
+    from netlens.operators.models import augment
+    df = spark.range(20).selectExpr("CAST(id AS STRING) AS id", "'a' AS label")
+    with pytest.raises(ValueError, match="test set"):
+        augment(df.filter("id < 10"), df.filter("id > 12"), test=df.filter("id > 15"))
+    assert augment(df.filter("id < 10"), df.filter("id > 15"), reps=2, test=df.filter("id = 12")).count() == 18
+
+
 def test_rank_below_property(spark):
     """Random group sizes, skews and quotas: the histogram method equals brute force."""
     from hypothesis import given, settings
