@@ -13,8 +13,8 @@ Spark shape:
 * growing: ``groupBy("tree").applyInPandas`` - each group holds about
   4*psi rows, so the work per task is bounded whatever the table size;
 * the node table (trees x at most 2^(h+1) nodes) is small and bounded by
-  the parameters, so it is broadcast to an Arrow ``pandas_udf`` that scores
-  batches with vectorised numpy traversal;
+  the parameters, so it goes with an Arrow UDF that scores batches, all
+  trees at once, on the flat feature buffer;
 * the threshold is ``percentile_approx`` of the training scores (bounded
   memory sketch, no single-task sort).
 """
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,32 +100,37 @@ class Gate:
 
 
 def _score_udf(nodes: pd.DataFrame, psi: int, k: int):
-    trees = []
-    for _, g in nodes.sort_values(["tree", "node"]).groupby("tree"):
-        feat, thr, left, right = (g[c].to_numpy() for c in ("feature", "threshold", "left", "right"))
-        # path length credited at each node if a row ends there: depth + c(size)
-        path = g["depth"].to_numpy() + np.array([c_factor(n) for n in g["size"].to_numpy()])
-        trees.append((feat, thr, left, right, path, int(g["depth"].max())))
-    cpsi = c_factor(psi)
-
-    @F.pandas_udf(T.DoubleType())
-    def score(vals: pd.Series) -> pd.Series:
-        if len(vals) == 0:
-            return pd.Series([], dtype="float64")
-        x = np.vstack(vals.to_numpy()).astype("float64").reshape(len(vals), k)
-        rows = np.arange(len(x))
-        total = np.zeros(len(x))
-        for feat, thr, left, right, path, height in trees:
-            node = np.zeros(len(x), dtype=np.int64)
-            for _ in range(height + 1):
-                f = feat[node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                go_left = x[rows, np.where(inner, f, 0)] < thr[node]
-                node = np.where(inner, np.where(go_left, left[node], right[node]), node)
-            total += path[node]
-        return pd.Series(np.power(2.0, -(total / len(trees)) / cpsi))
+    """Arrow UDF over feature arrays: all trees of a batch walk down together.
+
+    The trees lie in one node table.  A leaf is its own child, so a walk needs no
+    test for its end: after as many steps as the tallest tree has levels, every
+    walk stands on its leaf.
+    """
+    n = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
+    base = n.groupby("tree").cumcount()
+    first = n.index.to_numpy() - base.to_numpy()              # where the row's tree begins
+    inner = (n["feature"] >= 0).to_numpy()
+    own = np.arange(len(n))
+    feat = np.where(inner, n["feature"], 0).astype(np.int64)
+    thr = n["threshold"].to_numpy()
+    child = np.stack([np.where(inner, first + n["left"], own), np.where(inner, first + n["right"], own)], axis=1).ravel()
+    # path length credited where a row ends: depth + c(size)
+    path = n["depth"].to_numpy() + np.array([c_factor(s) for s in n["size"].to_numpy()])
+    roots = np.unique(first)
+    height, cpsi = int(n["depth"].max()), c_factor(psi)
+
+    @F.arrow_udf(T.DoubleType())
+    def score(vals: pa.Array) -> pa.Array:
+        x = vals.flatten().to_numpy(zero_copy_only=False)
+        out = np.empty(len(vals))
+        for at in range(0, len(vals), 1024):                  # rows x trees stays in the cache
+            rows = np.arange(at, min(at + 1024, len(vals)))
+            node = np.broadcast_to(roots, (len(rows), len(roots)))
+            for _ in range(height):
+                right = ~(x[rows[:, None] * k + feat[node]] < thr[node])
+                node = child[2 * node + right]
+            out[rows] = np.power(2.0, -path[node].mean(axis=1) / cpsi)
+        return pa.array(out)
 
     return score
 
