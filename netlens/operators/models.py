@@ -71,6 +71,21 @@ def predict(model: PipelineModel, df: DataFrame, out: str = "y_pred") -> DataFra
     return back.transform(res).drop("_y", "_x", "_p", "rawPrediction", "probability")
 
 
+def label_index(df: DataFrame, label: str = "label") -> DataFrame:
+    """Class -> index as the classifiers see it: alphabetical, from 0."""
+    classes = df.select(label).distinct()
+    idx = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip")
+    return idx.fit(classes).transform(classes).select(label, F.col("_y").cast("long").alias("index"))
+
+
+def session_supports(df: DataFrame, label: str = "label", source: str = "source", key: str = "id",
+                     pick: str = "last") -> DataFrame:
+    """Rows per class that :func:`leave_session_out` tests on (M10): within, held out."""
+    m = SA.stratified_split(SA.mark_held_out(df, label, source, pick), label, 0.8, key)
+    return m.groupBy(label).agg(F.count_if(~F.col("is_train")).alias("within_rows"),
+                                F.count_if("is_held_out").alias("held_out_rows"))
+
+
 def importance(model: PipelineModel, features: list[str], top: int | None = 15) -> DataFrame:
     """Feature importances, descending."""
     imp = model.stages[-1].featureImportances.toArray().tolist()

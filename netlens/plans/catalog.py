@@ -97,6 +97,11 @@ QUERIES = {
     "m14_end_to_end_eval": Q.q_end_to_end_eval,
     "m04_granularities": Q.q_granularities,
     "m07_recalibrated_gate": Q.q_recalibrated_gate,
+    # what can be checked of them row by row
+    "m06_fixed_gate": Q.q_fixed_gate,
+    "m02_label_index": Q.q_label_index,
+    "m10_session_supports": Q.q_session_supports,
+    "m13_augmented_counts": Q.q_augmented_counts,
     # more operators with oracles
     "p02_frame_decode": Q.q_frame_decode,
     "p20_label_from_filename": Q.q_label_from_filename,

@@ -1070,3 +1070,30 @@ firstn AS (
 SELECT source, chunk_id, CAST(count(*) AS BIGINT) AS packets,
        CAST(ceil(count(*) / 10) AS BIGINT) AS windows, CAST(sum(frame_len) AS BIGINT) AS bytes
 FROM firstn GROUP BY source, chunk_id"""
+
+
+def _c(n: int) -> str:
+    """Average search path over n points, as the isolation forest defines it."""
+    import math
+    return repr(0.0 if n <= 1 else 1.0 if n == 2 else
+                2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n)
+
+
+ORACLE_MORE["m06_fixed_gate"] = f"""
+WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1, embedding[3]::DOUBLE AS e2 FROM embeddings),
+p AS (SELECT vec_id,
+             CASE WHEN e0 < 0.0 THEN 1 + {_c(100)} WHEN e1 < 0.05 THEN 2 + {_c(1)} ELSE 2 + {_c(30)} END AS p0,
+             CASE WHEN e2 < -0.02 THEN 1 + {_c(2)} ELSE 1 + {_c(60)} END AS p1 FROM e),
+s AS (SELECT vec_id, power(2.0, -((p0 + p1) / 2) / {_c(256)}) AS score FROM p)
+SELECT vec_id, round(score, 9) AS anomaly_score, score > 0.55 AS is_anomaly FROM s"""
+ORACLE_MORE["m02_label_index"] = with_ctes(LEV_CTE) + """
+SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS index FROM (SELECT DISTINCT label FROM lev)"""
+ORACLE_MORE["m10_session_supports"] = with_ctes(LEV_CTE) + """
+SELECT label, count(*) - CAST(round(count(*) * 0.8) AS BIGINT) AS within_rows,
+       count(*) FILTER (WHERE sessions > 1 AND source = last) AS held_out_rows
+FROM lev JOIN (SELECT label, max(source) AS last, count(DISTINCT source) AS sessions FROM lev GROUP BY label) USING (label)
+GROUP BY label"""
+ORACLE_MORE["m13_augmented_counts"] = with_ctes(LEV_CTE) + """
+SELECT label, CAST(round(count(*) FILTER (WHERE source <> 'cap0') * 0.8) AS BIGINT)
+              + 3 * least(50, count(*) FILTER (WHERE source = 'cap0')) AS n
+FROM lev GROUP BY label"""

@@ -571,6 +571,39 @@ def q_gate_threshold(spark, sf_dir):
                                  "threshold double, nodes long, trees long")
 
 
+#: a small fixed forest: (tree, node, feature, threshold, left, right, size, depth)
+FIXED_FOREST = [(0, 0, 0, 0.0, 1, 2, 131, 0), (0, 1, -1, 0.0, -1, -1, 100, 1), (0, 2, 1, 0.05, 3, 4, 31, 1),
+                (0, 3, -1, 0.0, -1, -1, 1, 2), (0, 4, -1, 0.0, -1, -1, 30, 2),
+                (1, 0, 2, -0.02, 1, 2, 62, 0), (1, 1, -1, 0.0, -1, -1, 2, 1), (1, 2, -1, 0.0, -1, -1, 60, 1)]
+
+
+def q_fixed_gate(spark, sf_dir):
+    """Gate scoring (M6, M8's first step) through a fixed node table, replayed in SQL."""
+    import pandas as pd
+    nodes = pd.DataFrame(FIXED_FOREST, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+    g = GT.Gate(EMB[:3], {c: (0.0, 1.0) for c in EMB[:3]}, nodes, 256, 0.55, log=False, trees=2)
+    s = GT.score_gate(embedding_rows(spark, sf_dir), g)
+    return s.select("vec_id", F.round("anomaly_score", 9).alias("anomaly_score"), "is_anomaly")
+
+
+def q_label_index(spark, sf_dir):
+    return MD.label_index(lev(spark, sf_dir))
+
+
+def q_session_supports(spark, sf_dir):
+    return MD.session_supports(lev(spark, sf_dir).select("event_id", "label", "source"), key="event_id")
+
+
+def q_augmented_counts(spark, sf_dir):
+    """Training rows per class after augmentation from capture cap0."""
+    from netlens.session import cut_lineage
+    e = lev(spark, sf_dir).select("event_id", "label", "source")
+    s = cut_lineage(SA.stratified_split(e.filter(F.col("source") != "cap0"), "label", 0.8, "event_id"))
+    rows = MD.augment(s.filter("is_train").drop("is_train"), e.filter(F.col("source") == "cap0"), key="event_id",
+                      cap=50, reps=3, test=s.filter(~F.col("is_train")))
+    return SA.class_counts(rows)
+
+
 def _window_gate_model(spark, sf_dir):
     s = _split(spark, sf_dir)
     train = s.filter("is_train")

@@ -5,7 +5,7 @@ whole files, block by block, inside a ``mapInPandas`` task.
 """
 from __future__ import annotations
 
-import glob
+import fnmatch
 import hashlib
 import os
 
@@ -23,7 +23,11 @@ CAPTURE_FILES = ("pcap", "pcapng", "cap")
 def list_parts(path: str, extension: str = ".csv") -> list[str]:
     """Sorted part files of a folder (local or cluster URI); none is an error."""
     from netlens.sources.fs import list_files
-    parts = list_files(path, (extension,)) if "*" not in path else sorted(glob.glob(path))
+    if "*" in path:                                  # a pattern in the last part of the path
+        folder, pattern = path.rsplit("/", 1)
+        parts = [p for p in list_files(folder, ("",)) if fnmatch.fnmatch(p.rsplit("/", 1)[-1], pattern)]
+    else:
+        parts = list_files(path, (extension,))
     if not parts:
         raise FileNotFoundError(f"No CSV parts found in {path}")
     return parts

@@ -19,6 +19,15 @@ def open_input(uri: str):
     return f.open_input_file(p)
 
 
+def list_times(uri: str, extensions: tuple[str, ...]) -> list[tuple[int, str]]:
+    """(modification time in ns, file) of a folder's files, oldest first."""
+    out = []
+    for name in list_files(uri, extensions):
+        f, p = resolve(name)
+        out.append((f.get_file_info(p).mtime_ns or 0, name))
+    return sorted(out)
+
+
 def list_files(uri: str, extensions: tuple[str, ...]) -> list[str]:
     """Sorted files under a folder (one level) with one of the extensions,
     or the file itself; URIs keep their scheme."""

@@ -26,6 +26,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStre
                                     InputPartition)
 
 from netlens.schema import CHUNK_BYTES
+from netlens.sources.fs import list_times
 
 PCAP_SCHEMA = ("source string, chunk_id long, packet_no long, kept_no long, ts_us long, "
                "frame binary")
@@ -174,10 +175,11 @@ class PcapReader(DataSourceReader):
 class PcapStreamReader(DataSourceStreamReader):
     """Closed capture files of a folder, each read once (S9, ST1, ST3).
 
-    The offset is the sorted list of closed files; a micro-batch reads the
-    files of the new offset that the previous one did not hold.  The newest
-    file may still be written by the capture process, so it is held back
-    (``skipNewest``, default true) until a newer one appears.
+    The offset is a high-water mark, the modification time and path of the last
+    closed file, so its size does not grow with the folder; a micro-batch reads
+    the files between two marks.  The file written last may still be growing, so
+    it is held back (``skipNewest``, default true) until a later one appears.
+    Capture files land with their own modification time, which then stays.
     """
 
     def __init__(self, options: dict):
@@ -185,15 +187,16 @@ class PcapStreamReader(DataSourceStreamReader):
         self.skip_newest = str(options.get("skipNewest", "true")).lower() == "true"
 
     def initialOffset(self):
-        return {"files": []}
+        return {"mtime": -1, "path": ""}
 
     def latestOffset(self):
-        files = list_captures(self.base.path)
-        return {"files": files[:-1] if self.skip_newest else files}
+        files = list_times(self.base.path, EXTENSIONS)
+        closed = files[:-1] if self.skip_newest else files
+        return {"mtime": closed[-1][0], "path": closed[-1][1]} if closed else self.initialOffset()
 
     def partitions(self, start, end):
-        seen = set(start["files"])
-        return [_FilePartition(f) for f in end["files"] if f not in seen]
+        after, upto = (start["mtime"], start["path"]), (end["mtime"], end["path"])
+        return [_FilePartition(f[1]) for f in list_times(self.base.path, EXTENSIONS) if after < f <= upto]
 
     def read(self, partition):
         yield from read_capture(partition.path, self.base.chunk_bytes, self.base.max_packets)
