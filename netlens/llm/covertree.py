@@ -42,7 +42,7 @@ CELL_ROWS = 1024         # rows a net centre stands for
 MAX_CENTRES = 2048       # bound of the net, and with it of what is broadcast
 SAMPLE_PER_CENTRE = 4
 NET_GAP = 0.1            # least distance of two centres of a net
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 16_384
 LEAF_ROWS = 512
 BLOCK_ROWS = 4096        # rows a leaf is compared with at once
 SEED = 11

@@ -137,6 +137,29 @@ def test_vector_pairs(spark, monkeypatch, cell, chunk, leaf):
     assert got == brute_vectors(rows)
 
 
+@pytest.mark.parametrize("leaf,crossed", [(4, False), (32, False), (4, True)])
+def test_cell_equals_brute_force(monkeypatch, leaf, crossed):
+    """Deep trees in one process: every part's links add up to the brute-force pairs."""
+    monkeypatch.setattr(covertree, "LEAF_ROWS", leaf)
+    raw = np.array(vectors(7))
+    raw = raw[np.unique(raw, axis=0, return_index=True)[1]]
+    rng = np.random.default_rng(2)
+    chunk, mult = rng.integers(0, 2, len(raw)), rng.integers(1, 4, len(raw))
+    total, pairs = np.zeros(len(raw), np.int64), []
+    for part in range(8):
+        n, root = covertree.link_cell(raw, part, 8, np.ones(len(raw), bool), chunk, crossed, mult, 0.95)
+        total += n
+        pairs += list(enumerate(root.tolist()))
+    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    if crossed:
+        near &= chunk[:, None] != chunk[None, :]
+    assert (total == near @ mult).all()
+    rows = range(len(raw))
+    assert sets_of(rows, pairs) == sets_of(rows, [(int(i), int(j)) for i, j in zip(*np.nonzero(near))])
+
+
 def test_vectors_in_single_precision_and_empty(spark):
     rows = list(enumerate(np.float32(vectors(5)).tolist()))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
