@@ -40,9 +40,11 @@ def pre_token() -> str:
     (each with one space before it); blanks, without the last one before a word.
 
     Letters and numbers are spelled out as ranges because the faster ``re`` has no
-    property classes; the first branch is the common case of plain letters."""
+    property classes; the first branch is the common case, plain letters up to an
+    ASCII character that is no letter."""
     letters, numbers = _ranges("L"), _ranges("N")
-    return (rf" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?![{letters}])|{CONTRACTIONS}| ?[{letters}]+| ?[{numbers}]+"
+    return (r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]++(?=[\x00-\x40\x5b-\x60])"
+            rf"|{CONTRACTIONS}| ?[{letters}]+| ?[{numbers}]+"
             rf"| ?[^{BLANKS}{letters}{numbers}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
 
 
@@ -54,7 +56,7 @@ def _ranges(category: str) -> str:
 
 
 #: Remembered pre-tokens per worker; the memory is emptied when it is full.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 
 
 def byte_chars() -> list[str]:
@@ -85,6 +87,12 @@ class Bpe:
             "(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
         ) if self.special else None
         self.known = _Words(self)
+        # the vocabulary strings on end, to gather the bytes of many ids at once
+        size = np.zeros(max(self.pieces) + 1, np.int64)
+        for i, piece in self.pieces.items():
+            size[i] = len(piece)
+        self.size, self.start = size, np.cumsum(size) - size
+        self.blob = np.frombuffer(b"".join(self.pieces.get(i, b"") for i in range(len(size))), np.uint8)
 
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token.  A queue entry is a rank and a position in one number;
@@ -113,31 +121,37 @@ class Bpe:
                 heapq.heappush(queue, r << bits | h)
         return tuple(s for s in sym if s >= 0)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         find, known = self.pattern.findall, self.known.__getitem__
         if self.split_special is None or not any(s in text for s in self.special):
-            return list(chain.from_iterable(map(known, find(text))))
-        out: list[int] = []
-        for part in self.split_special.split(text):
-            if part in self.special:
-                out.append(self.special[part])
-            else:
-                out.extend(chain.from_iterable(map(known, find(part))))
-        return out
+            return np.frombuffer(b"".join(map(known, find(text))), np.int32)
+        parts = [np.array([self.special[p]], np.int32).tobytes() if p in self.special else b"".join(map(known, find(p)))
+                 for p in self.split_special.split(text)]
+        return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
+        return self.decode_bytes(np.asarray(ids, np.int32)).decode("utf-8", "replace")
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The vocabulary strings of the ids on end."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        shift = np.repeat(self.start[ids] - ends + size, size)
+        return self.blob[shift + np.arange(len(shift))].tobytes()
 
 
 class _Words(dict):
+    """Ids of the pre-tokens met, each as the bytes of its 32-bit numbers."""
+
     def __init__(self, model: Bpe):
         super().__init__()
         self.merge = model.merge
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self[word] = self.merge(word)
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = np.array(self.merge(word), np.int32).tobytes()
         return ids
 
 
@@ -153,12 +167,9 @@ def encode(df: DataFrame, vocab_path: str, key: str = "doc_id", text: str = "tex
     def run(batches):
         model = load(vocab_path)
         for b in slices(batches):
-            flat, ends = [], [0]
-            for t in b["text"].to_pylist():
-                if t:
-                    flat += model.encode(t)
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+            own = [model.encode(t or "") for t in b["text"].to_pylist()]
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))
             yield pa.record_batch([b["key"], ids], names=["key", "ids"])
 
     kind = src.schema["key"].dataType.simpleString()
@@ -173,7 +184,7 @@ def decode(df: DataFrame, vocab_path: str, key: str = "doc_id", ids: str = "ids"
         model = load(vocab_path)
         for b in slices(batches):
             ids = b["ids"]
-            ends, flat = ids.offsets.to_pylist(), ids.values.to_numpy().tolist()
+            ends, flat = ids.offsets.to_pylist(), ids.values.to_numpy()
             texts = [model.decode(flat[i:j]) if null is False else ""
                      for i, j, null in zip(ends, ends[1:], ids.is_null().to_pylist())]
             yield pa.record_batch([b["key"], b["ids"], pa.array(texts, pa.string())],
