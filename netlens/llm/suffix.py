@@ -118,8 +118,9 @@ def _source(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _bits(key: np.ndarray, bits: int):
-    yield key >> np.uint64(64 - bits)
+    """Two places per key; keys are smallest hashes, so they are mixed again to spread."""
     yield (key * _MIX) >> np.uint64(64 - bits)
+    yield ((key ^ key >> np.uint64(32)) * np.uint64(_BASE)) >> np.uint64(64 - bits)
 
 
 def _filter(src: DataFrame, length: int, bits: int) -> np.ndarray:
