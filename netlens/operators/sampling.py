@@ -229,9 +229,9 @@ def realistic_sample(full: DataFrame, sample: DataFrame, held: DataFrame, counts
     (SA1), then at most ``target`` of them by draw (W9).  Union (U1).
     """
     # the class table has one row per class, so its grand total is a small window
-    plan = (counts.withColumn("_all", F.sum("n").over(Window.partitionBy()))
-                  .select(label, "n", F.round(F.col("n") / F.col("_all") * test_total)
-                          .cast("long").alias("quota")))
+    plan = cut_lineage(counts.withColumn("_all", F.sum("n").over(Window.partitionBy()))
+                       .select(label, "n", F.round(F.col("n") / F.col("_all") * test_total)
+                               .cast("long").alias("quota")))       # used six times
     small = plan.filter(F.col("n") <= threshold)
     capped = plan.filter(F.col("n") > threshold).withColumn(
         "keep_p", F.least(F.lit(1.0), F.col("quota") / F.greatest(F.col("n") - cap, F.lit(1))))
