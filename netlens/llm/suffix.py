@@ -69,12 +69,13 @@ def _gram_hashes(text: np.ndarray) -> np.ndarray:
 
 
 def _periodic_keys(h: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
-    """Keys whose smallest gram stands twice in reach of one window: only there can two
-    windows of one run be equal, so these keys count as seen more than once."""
+    """Keys whose smallest gram stands twice in reach of one window or of two neighbours
+    (which share a run, too): only there can two windows of one run be equal, so these
+    keys count as seen more than once."""
     span = length - GRAM + 1
     edge = np.zeros(span - 1, np.uint64)
     chosen = np.nonzero(h == _sliding(np.concatenate([edge, key, edge]), span, np.maximum))[0]
-    again = (h[chosen[1:]] == h[chosen[:-1]]) & (np.diff(chosen) < span)
+    again = (h[chosen[1:]] == h[chosen[:-1]]) & (np.diff(chosen) <= span)
     return h[chosen[1:][again]]
 
 

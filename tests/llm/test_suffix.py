@@ -68,6 +68,16 @@ def test_matches_brute_force(spark, hot_rows):
     assert sum(w[2] for w in want) > 1000
 
 
+def test_every_period(spark):
+    """A block that recurs at once, of every size up to one more than a window."""
+    rng = random.Random(11)
+    rows = [(p, "".join(rng.choice("abcdefghij") for _ in range(p)) * (2 + 200 // p)) for p in range(1, 102)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+           for r in suffix.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: w for (d, _), w in zip(rows, brute(rows))}
+    assert all(w[1] for w in got.values())
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix.remove(df).collect() == []
