@@ -11,7 +11,9 @@ differ: rare words say little.
 A text's features are its words' log-likelihood ratios, length-normalised: the
 mean over the whole text and over its ``TOP`` most telling words, with the
 logarithm of the number of words.  A logistic curve, fitted on labelled rows that
-the counts have not seen, turns them into a score.
+the counts have not seen, turns them into a score.  At most ``MAX_FIT_ROWS`` rows a
+class fit it (chosen by hash), each weighted by the inverse of its class's sampling
+rate, so the share of the classes stays that of all labelled rows.
 
 The counts are combined per partition and shuffled by word, then by n-gram; what
 is broadcast is the n-gram table of at most ``MAX_TRAIN_ROWS`` labelled rows a
@@ -275,14 +277,15 @@ def features(df: DataFrame, ratios: Ratios, key: str, text: str, *extra: str) ->
     return src.mapInArrow(run, ", ".join([schema, *(f"{c} double" for c in FEATURES)]))
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge-penalised logistic regression by Newton steps (first column constant)."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Ridge-penalised logistic regression by Newton steps (first column constant) over
+    rows that each stand for ``weight`` rows."""
     w = np.zeros(x.shape[1])
-    penalty = np.diag([1e-9] + [RIDGE] * (x.shape[1] - 1)) * len(y) ** 0.5
+    penalty = np.diag([1e-9] + [RIDGE] * (x.shape[1] - 1)) * weight.sum() ** 0.5
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty + 1e-9 * np.eye(len(w)),
-                               x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + penalty + 1e-9 * np.eye(len(w)),
+                               x.T @ (weight * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -316,7 +319,9 @@ def train(docs: DataFrame, labels: DataFrame, fold, key: str = "doc_id", text: s
     ratios = build(table["item"].to_pylist(), count("n0"), count("n1"))
     got = features(rows.where("fits"), ratios, "key", "text", "label").select("label", *FEATURES).toArrow()
     x = np.stack([np.ones(got.num_rows), *(got[c].to_numpy() for c in FEATURES)], axis=1)
-    return Model(ratios, logistic(x, got["label"].to_numpy().astype(float)), prior)
+    y = got["label"].to_numpy().astype(float)
+    weight = np.where(y == 1, *(max(1.0, of(True)[k] / MAX_FIT_ROWS) for k in (1, 0)))
+    return Model(ratios, logistic(x, y, weight), prior)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -149,6 +149,25 @@ def test_toxicity_cases(spark):
     assert reverse == []
 
 
+def test_toxicity_share_of_classes(spark, monkeypatch):
+    """Scores keep the true share of the classes when the curve is fitted on a sample of one."""
+    rng = random.Random(8)
+    vague = [f"{a}{b}" for a in ("bla", "dor", "mip", "kel") for b in ("rg", "st", "no", "ta")]
+    rows = []
+    for i in range(4000):
+        toxic = int(rng.random() < 0.1)
+        rows.append((i, " ".join(rng.choice(vague[6:] if rng.random() < (0.6 if toxic else 0.4) else vague[:8]) for _ in range(8)), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+    def mean():
+        model = toxicity.train(docs, docs, lambda k: crc_mod(k, 5) == 4)
+        return toxicity.score(docs, model).agg(F.avg("score")).first()[0]
+
+    whole = mean()
+    monkeypatch.setattr(toxicity, "MAX_FIT_ROWS", 80)
+    assert whole == pytest.approx(0.1, abs=0.02) and mean() == pytest.approx(whole, abs=0.03)
+
+
 def test_kneser_ney_is_a_distribution():
     """The class ratios come from proper probabilities: a brute-force Kneser-Ney agrees."""
     import math
