@@ -15,9 +15,13 @@ the counts have not seen, turns them into a score.  At most ``MAX_FIT_ROWS`` row
 class fit it (chosen by hash), each weighted by the inverse of its class's sampling
 rate, so the share of the classes stays that of all labelled rows.
 
-The counts are combined per partition and shuffled by word, then by n-gram; what
-is broadcast is the n-gram table of at most ``MAX_TRAIN_ROWS`` labelled rows a
-class (rows above that are chosen by hash).  Scoring is per document: no shuffle.
+All labelled rows outside the fit are counted, every n-gram included.  The counts
+are combined per partition and shuffled by word, then by n-gram; the n-grams stay a
+distributed table, and the backoff joins each length to the one below.  To score,
+the distinct words are dealt into shards by hash; a shard asks the table once for
+each of its n-grams, so a common n-gram has at most one row a shard.  Ratios of the
+commonest words (at most ``COMMON_WORDS``) are broadcast, those of other words are
+joined to the documents they stand in.
 
 Empty and null texts have all features 0.  Without labelled rows of both classes
 every score is the share of label 1 (0 without any).  Null labels are ignored; a
@@ -25,12 +29,15 @@ document labelled twice takes the larger label.
 """
 from __future__ import annotations
 
+import heapq
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +45,12 @@ from netlens.llm.common import materialize, slices
 
 ORDER = 8
 DISCOUNT = 0.75
-MIN_COUNT = 2                 # n-grams seen less often are left to the backoff
 TOP = (1, 3, 5)
-MAX_TRAIN_ROWS = 20_000       # labelled rows a class that are counted
 MAX_FIT_ROWS = 20_000         # labelled rows a class that fit the logistic curve
 MAX_WORD = 64                 # longer words are scored in pieces of this length
-CACHE_WORDS = 1 << 19
+COMMON_WORDS = 1 << 17        # words whose ratios are broadcast
+SHARD_WORDS = 1 << 15         # words a shard is meant to hold
+MIN_SHARDS = 256
 RIDGE = 0.05
 FEATURES = ("mean", *(f"top{k}" for k in TOP), "length")
 
@@ -138,7 +145,8 @@ def _ends(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def build(texts: list[str], n0: np.ndarray, n1: np.ndarray) -> Ratios:
-    """Kneser-Ney from the n-grams and their counts in the two classes."""
+    """Kneser-Ney from the n-grams and their counts in the two classes, in memory:
+    what ``gram_ratios`` must equal."""
     size, last, before = _ends(texts)
     # shared continuation counts, from distinct longer n-grams to shorter ones
     tables = {}
@@ -201,80 +209,190 @@ def _table(found: list[Counter]):
                            names=["item", "n0", "n1"])
 
 
+def _word_hashes(found: list[str]):
+    """(hashes, word of each letter, letters up to each in its word) of words with their edges."""
+    points, ends = _points([OPEN + w + CLOSE for w in found])
+    starts = np.append(0, ends[:-1])
+    word = np.repeat(np.arange(len(found)), ends - starts)
+    return np.stack(_suffix_hashes(points)), word, np.arange(len(points)) - starts[word] + 1
+
+
+_STRINGS = ("x", "tail", "head", "mid", "rest")
+
+
 def _class_grams(word_counts: DataFrame) -> DataFrame:
+    """Every string x of 2 ... ORDER letters in the words, by hash: how often it is the
+    n-gram of its last letter in each class (n0, n1; both 0 if only longer ones are), and
+    the hashes of x without its first letter (tail), its last (head), both (mid) and its
+    first two (rest)."""
     def run(batches):
-        found: list[Counter] = [Counter(), Counter()]
-        for b in slices(batches, 4096):
-            for w, *n in zip(*(b[c].to_pylist() for c in ("item", "n0", "n1"))):
-                for g in grams(w):
-                    for k in (0, 1):
-                        if n[k]:
-                            found[k][g] += n[k]
-            if sum(map(len, found)) > 1 << 19:
-                yield _table(found)
-                found = [Counter(), Counter()]
-        yield _table(found)
+        for b in slices(batches, 1 << 13):
+            if not b.num_rows:
+                continue
+            n = [b[c].to_numpy().astype(np.int64) for c in ("n0", "n1")]
+            h, word, place = _word_hashes(b["item"].to_pylist())
+            for j in range(2, ORDER + 1):
+                at = np.nonzero(place >= j)[0]
+                if not len(at):
+                    continue
+                own = (place[at] == j) | (j == ORDER)
+                _, first, of = np.unique(h[j, at], return_index=True, return_inverse=True)
+                e = at[first]
+                sums = [np.bincount(of, weights=np.where(own, c[word[at]], 0), minlength=len(e)).astype(np.int64) for c in n]
+                strings = h[j, e], h[j - 1, e], h[j - 1, e - 1], h[j - 2, e - 1], h[j - 2, e]
+                yield pa.record_batch([*(pa.array(c.view(np.int64)) for c in strings), pa.array(np.full(len(e), j, np.int32)),
+                                       *(pa.array(c) for c in sums)], names=[*_STRINGS, "j", "n0", "n1"])
+
+    return (word_counts.mapInArrow(run, ", ".join(f"{c} bigint" for c in _STRINGS) + ", j int, n0 bigint, n1 bigint")
+                       .groupBy("x").agg(*(F.first(c).alias(c) for c in (*_STRINGS[1:], "j")),
+                                         F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+
+
+def gram_ratios(word_counts: DataFrame) -> DataFrame:
+    """(h, seen, context) by hash: log(p1/p0) of the n-grams seen, of each context's backoff weight.
+
+    A join key has at most as many rows as there are letters: those that can precede or
+    follow one string."""
+    strings = materialize(_class_grams(word_counts), "strings")
+    # shared continuation counts: distinct longer strings before each shorter one
+    short = strings.groupBy(F.col("tail").alias("s")).agg(
+        F.count("*").alias("n"), F.first("mid").alias("ctx"), F.first("rest").alias("rest"), (F.first("j") - 1).alias("m"))
+    short = materialize(short, "continuations")
+    beside = short.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    parts = materialize(short.join(beside, "ctx").select(
+        "s", "rest", "m", ((F.col("n") - DISCOUNT) / F.col("total")).alias("a"),
+        (DISCOUNT * F.col("kinds") / F.col("total")).alias("b")), "backoff")
+    floor = 1.0 / (parts.where("m = 1").count() + 1)
+    shared = materialize(parts.where("m = 1").select("s", (F.col("a") + F.col("b") * floor).alias("q")), "shared")
+    levels = [shared]
+    for m in range(2, ORDER):
+        below = levels[-1].select(F.col("s").alias("rest"), "q")
+        levels.append(materialize(parts.where(F.col("m") == m).join(below, "rest").select(
+            "s", (F.col("a") + F.col("b") * F.col("q")).alias("q")), "shared"))
+    for level in levels[1:]:
+        shared = shared.unionByName(level)
+    own = strings.where("n0 + n1 > 0").join(shared.withColumnRenamed("s", "tail"), "tail").select("x", "head", "n0", "n1", "q")
+    own = materialize(own, "own")
+    kinds = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    heads = own.groupBy("head").agg(*(f(c).alias(f"{name}{c[1]}") for c in ("n0", "n1") for f, name in ((F.sum, "t"), (kinds, "k"))))
+    weight = lambda c: F.when(F.col("t" + c) > 0, DISCOUNT * F.col("k" + c) / F.col("t" + c)).otherwise(1.0)
+    heads = materialize(heads.select("head", "t0", "t1", weight("0").alias("w0"), weight("1").alias("w1")), "contexts")
+
+    def prob(c):
+        direct = F.when(F.col("t" + c) > 0, F.greatest(F.col("n" + c) - DISCOUNT, F.lit(0.0)) / F.col("t" + c)).otherwise(0.0)
+        return direct + F.col("w" + c) * F.col("q")
+
+    none = F.lit(None).cast("double")
+    seen = own.join(heads, "head").select(F.col("x").alias("h"), F.log(prob("1") / prob("0")).alias("seen"), none.alias("context"))
+    context = heads.select(F.col("head").alias("h"), none.alias("seen"), F.log(F.col("w1") / F.col("w0")).alias("context"))
+    return materialize(seen.unionByName(context).groupBy("h").agg(F.max("seen").alias("seen"), F.max("context").alias("context")),
+                       "ratios")
+
+
+def word_ratios(vocabulary: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(item, n, ratio) for the distinct words (item, n)."""
+    shards = max(MIN_SHARDS, -(-vocabulary.count() // SHARD_WORDS))
+    dealt = vocabulary.withColumn("shard", F.pmod(F.xxhash64(F.lit(7), "item"), F.lit(shards)).cast("int"))
+
+    def ask(batches):
+        for b in slices(batches, 1 << 13):
+            if not b.num_rows:
+                continue
+            h, word, place = _word_hashes(b["item"].to_pylist())
+            at = np.nonzero(place > 1)[0]
+            size = np.minimum(place[at], ORDER)
+            shard = b["shard"].to_numpy()[word[at]].astype(np.int64)
+            hashes = np.concatenate([h[size, at], h[size - 1, at - 1]]).view(np.int64)
+            pairs = np.unique(np.stack([np.concatenate([shard, shard]), hashes]), axis=1)
+            yield pa.record_batch([pa.array(pairs[0].astype(np.int32)), pa.array(pairs[1])], names=["shard", "h"])
+
+    asked = dealt.select("item", "shard").mapInArrow(ask, "shard int, h bigint").distinct().join(ratios, "h")
+
+    def answer(own: pa.Table, got: pa.Table) -> pa.Table:
+        def part(name):                               # an entry 0, which no string has, keeps tables from being empty
+            rows = got.filter(pa.compute.is_valid(got[name]))
+            h = rows["h"].to_numpy().view(np.uint64)
+            by = np.argsort(h)
+            return np.append(np.uint64(0), h[by]), np.append(0.0, rows[name].to_numpy()[by])
+
+        if not own.num_rows:
+            return pa.table({"item": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "ratio": pa.array([], pa.float64())})
+        table = Ratios(*part("seen"), *part("context"))
+        return pa.table({"item": own["item"], "n": own["n"], "ratio": pa.array(table.words(own["item"].to_pylist()))})
+
+    return dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "item string, n bigint, ratio double")
+
+
+def _vocabulary(src: DataFrame) -> DataFrame:
+    """(item, n): the distinct words of all texts and how often they stand."""
+    def run(batches):
+        found: Counter = Counter()
+        table = lambda: pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
+                                        names=["item", "n"])
+        for b in slices(batches):
+            for t in b["text"].to_pylist():
+                found.update(words(t or ""))
+            if len(found) > 1 << 19:
+                yield table()
+                found.clear()
+        yield table()
 
-    return (word_counts.mapInArrow(run, "item string, n0 bigint, n1 bigint")
-                       .groupBy("item").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-                       .where(F.col("n0") + F.col("n1") >= MIN_COUNT))
+    return src.select("text").mapInArrow(run, "item string, n bigint").groupBy("item").agg(F.sum("n").alias("n"))
+
+
+def _common(ratios: DataFrame) -> dict[str, float]:
+    """Ratios of the commonest words: counts from the least power of two that leaves at most COMMON_WORDS."""
+    sizes = {r["b"]: r["count"] for r in ratios.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()}
+    least, held = max(sizes, default=0) + 1, 0
+    while least > 0 and held + sizes.get(least - 1, 0) <= COMMON_WORDS:
+        least -= 1
+        held += sizes.get(least, 0)
+    got = ratios.where(F.floor(F.log2("n")).cast("int") >= least).select("item", "ratio").toArrow()
+    return dict(zip(got["item"].to_pylist(), got["ratio"].to_pylist()))
 
 
 @dataclass
 class Model:
-    ratios: Ratios | None
+    ratios: DataFrame | None
     weights: np.ndarray          # of 1 and the features
     prior: float = 0.0
 
 
-class _Scorer:
-    """Remembers word ratios; scores the unknown words of many texts at once."""
-
-    def __init__(self, ratios: Ratios):
-        self.ratios, self.known = ratios, {}
-
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        found = [words(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list({w for ws in found for w in ws} - self.known.keys())
-        if new:
-            self.known.update(zip(new, self.ratios.words(new).tolist()))
-        out = np.zeros((len(texts), len(FEATURES)))
-        for row, ws in zip(out, found):
-            if ws:
-                r = np.fromiter(map(self.known.__getitem__, ws), np.float64, len(ws))
-                best = np.sort(r if len(r) <= TOP[-1] else np.partition(r, -TOP[-1])[-TOP[-1]:])[::-1]
-                row[:] = (r.mean(), *(best[:k].sum() / k for k in TOP), np.log(len(r)))
-        return out
-
-
-def features(self, text: str | None) -> tuple[float, float, float]:
-        found = words(text) if text else ()
-        if not found:
-            return 0.0, 0.0, 0.0
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        r = np.fromiter(map(self.__getitem__, found), np.float64, len(found))
-        sums = np.concatenate([[0.0], np.cumsum(r)])
-        k = min(WINDOW, len(r))
-        return float(r.mean()), float((sums[k:] - sums[:-k]).max() / k), float(r.max())
-
-
-def features(df: DataFrame, ratios: Ratios, key: str, text: str, *extra: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(ratios)
+def features(df: DataFrame, ratios: DataFrame, key: str, text: str, *extra: str) -> DataFrame:
+    """(key, extra columns, features) for every row."""
     src = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *extra)
+    known = materialize(word_ratios(materialize(_vocabulary(src), "vocabulary"), ratios), "word_ratios")
+    shared = df.sparkSession.sparkContext.broadcast(_common(known))
     rest = src.drop("text").schema
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest)
 
     def run(batches):
-        scorer = _Scorer(shared.value)
+        common = shared.value
         for b in slices(batches):
-            got = scorer.features(b["text"].to_pylist())
-            yield pa.record_batch([*(b[f.name] for f in rest), *(pa.array(c) for c in got.T.copy())],
-                                  names=[*(f.name for f in rest), *FEATURES])
-
-    return src.mapInArrow(run, ", ".join([schema, *(f"{c} double" for c in FEATURES)]))
+            out: list[list] = [[] for _ in range(4)]
+            for t in b["text"].to_pylist():
+                found = words(t or "")
+                here = [common.get(w) for w in found]
+                others = [w for w, r in zip(found, here) if r is None]
+                if others:
+                    here = [r for r in here if r is not None]
+                for col, value in zip(out, (len(found), math.fsum(here), heapq.nlargest(TOP[-1], here), others)):
+                    col.append(value)
+            kinds = pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string())
+            yield pa.record_batch([*(b[f.name] for f in rest), *(pa.array(c, k) for c, k in zip(out, kinds))],
+                                  names=[*(f.name for f in rest), "words", "total", "top", "others"])
+
+    part = src.mapInArrow(run, f"{schema}, words bigint, total double, top array<double>, others array<string>")
+    part = materialize(part.withColumn("row", F.monotonically_increasing_id()), "scored")
+    other = (part.where(F.size("others") > 0).select("row", F.explode("others").alias("item")).join(known, "item")
+                 .groupBy("row").agg(F.sum("ratio").alias("other_total"),
+                                     F.slice(F.sort_array(F.collect_list("ratio"), asc=False), 1, TOP[-1]).alias("other_top")))
+    best = F.sort_array(F.concat("top", F.coalesce("other_top", F.array().cast("array<double>"))), asc=False)
+    mean = (F.col("total") + F.coalesce("other_total", F.lit(0.0))) / F.col("words")
+    first = lambda k: F.aggregate(F.slice("best", 1, k), F.lit(0.0), lambda x, y: x + y) / k
+    values = dict(zip(FEATURES, (mean, *(first(k) for k in TOP), F.log("words"))))
+    return part.join(other, "row", "left").withColumn("best", best).select(
+        *rest.names, *(F.when(F.col("words") > 0, x).otherwise(0.0).alias(c) for c, x in values.items()))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -310,14 +428,11 @@ def train(docs: DataFrame, labels: DataFrame, fold, key: str = "doc_id", text: s
     prior = sum(n for (_, y), n in counts.items() if y) / max(1, sum(counts.values()))
     if any((f, y) not in counts for f in (False, True) for y in (0, 1)):
         return Model(None, np.zeros(1 + len(FEATURES)), prior)
-    chosen = materialize(_choose(marked.where("not fits"), MAX_TRAIN_ROWS, of(False)).unionByName(
-        _choose(marked.where("fits"), MAX_FIT_ROWS, of(True))), "chosen")
-    # bounded by the two row limits above
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
-    table = _class_grams(_class_words(rows.where("not fits"))).toArrow()
-    count = lambda c: table[c].to_numpy().astype(np.float64)
-    ratios = build(table["item"].to_pylist(), count("n0"), count("n1"))
-    got = features(rows.where("fits"), ratios, "key", "text", "label").select("label", *FEATURES).toArrow()
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    ratios = gram_ratios(_class_words(texts.join(marked.where("not fits"), "key")))
+    # bounded by the row limit above
+    rows = texts.join(F.broadcast(_choose(marked.where("fits"), MAX_FIT_ROWS, of(True))), "key")
+    got = features(rows, ratios, "key", "text", "label").select("label", *FEATURES).toArrow()
     x = np.stack([np.ones(got.num_rows), *(got[c].to_numpy() for c in FEATURES)], axis=1)
     y = got["label"].to_numpy().astype(float)
     weight = np.where(y == 1, *(max(1.0, of(True)[k] / MAX_FIT_ROWS) for k in (1, 0)))

@@ -168,6 +168,40 @@ def test_toxicity_share_of_classes(spark, monkeypatch):
     assert whole == pytest.approx(0.1, abs=0.02) and mean() == pytest.approx(whole, abs=0.03)
 
 
+def test_toxicity_counts_every_row(spark, monkeypatch):
+    """An expression of one labelled row is known, however many rows there are; the
+    distributed ratios equal those in memory, whether words are broadcast or joined."""
+    from collections import Counter
+
+    import numpy as np
+    monkeypatch.setattr(toxicity, "MAX_TRAIN_ROWS", 40, raising=False)
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(5, 12)))
+    plain, bad = [word("abcdelmnost") for _ in range(60)], [word("xyzqwkvhg") for _ in range(200)]
+    rows = [(i, " ".join(rng.choices(plain, k=6) + [bad[i // 5]] * (i % 5 == 0)), int(i % 5 == 0)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    fold = lambda key: F.coalesce(key % 4 == 3, F.lit(False))
+    model = toxicity.train(docs, docs, fold)
+    seen = [bad[i // 5] for i, _, y in rows if y and i % 4 != 3]
+    new = [word("xyzqwkvhg") for _ in range(len(seen))]
+    ask = spark.createDataFrame([(i, "the " + w) for i, w in enumerate(seen + new)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(ask, model).collect()}
+    assert len(got) == len(seen + new) and sum(got[i] > 0.9 for i in range(len(seen))) == len(seen)
+    monkeypatch.setattr(toxicity, "COMMON_WORDS", 20)
+    again = {r["doc_id"]: r["score"] for r in toxicity.score(ask, model).collect()}
+    assert again == pytest.approx(got, abs=1e-9)
+    grams = [Counter(), Counter()]
+    for i, t, y in rows:
+        if i % 4 != 3:
+            for w in t.split():
+                grams[y].update(toxicity.grams(w))
+    names = sorted(grams[0].keys() | grams[1].keys())
+    want = toxicity.build(names, *(np.array([c[g] for g in names], float) for c in grams))
+    vocabulary = spark.createDataFrame([(w, 1) for w in plain + seen + new + ["", "é"]], "item string, n long")
+    for r in toxicity.word_ratios(vocabulary, model.ratios).collect():
+        assert r["ratio"] == pytest.approx(want.words([r["item"]])[0], abs=1e-4)
+
+
 def test_kneser_ney_is_a_distribution():
     """The class ratios come from proper probabilities: a brute-force Kneser-Ney agrees."""
     import math
