@@ -22,11 +22,12 @@ import os
 import struct
 from collections.abc import Iterator
 
+from pyarrow import fs as pafs
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStreamReader,
                                     InputPartition)
 
 from netlens.schema import CHUNK_BYTES
-from netlens.sources.fs import list_times
+from netlens.sources.fs import list_times, open_input, resolve
 
 PCAP_SCHEMA = ("source string, chunk_id long, packet_no long, kept_no long, ts_us long, "
                "frame binary")
@@ -120,7 +121,6 @@ def read_capture(path: str, chunk_bytes: int = CHUNK_BYTES,
     ``kept_no`` is the 1-based position of a kept record inside its chunk
     (NULL for records the window path skips), so window ids need no sort.
     """
-    from netlens.sources.fs import open_input
     name = os.path.basename(path.rstrip("/"))
     with open_input(path) as fh:
         head = fh.read(4)
@@ -175,28 +175,60 @@ class PcapReader(DataSourceReader):
 class PcapStreamReader(DataSourceStreamReader):
     """Closed capture files of a folder, each read once (S9, ST1, ST3).
 
-    The offset is a high-water mark, the modification time and path of the last
-    closed file, so its size does not grow with the folder; a micro-batch reads
-    the files between two marks.  The file written last may still be growing, so
-    it is held back (``skipNewest``, default true) until a later one appears.
-    Capture files land with their own modification time, which then stays.
+    The files met are rows of a log beside the folder (``logPath``, by default
+    ``<path>._seen``): entry n holds the closed files that were new at the n-th
+    look.  The offset is only n, so its size does not grow with the folder, and a
+    file that lands late is read whatever its modification time is.  The log is
+    written before its number is returned, so a replay reads the same files, and a
+    new stream over the folder starts with all of them.
+
+    The file written last may still be growing, so it is held back (``skipNewest``,
+    default true) until a later one appears.  Any other file counts as closed; one
+    whose modification time moves after that is read again.
     """
 
     def __init__(self, options: dict):
         self.base = PcapReader(options)
         self.skip_newest = str(options.get("skipNewest", "true")).lower() == "true"
+        self.log_path = options.get("logPath") or f"{(self.base.path or '').rstrip('/')}._seen"
+        self.log: list[list[tuple[int, str]]] = []
+
+    def __getstate__(self):                           # tasks do not need the log
+        return self.__dict__ | {"log": []}
+
+    def _entry(self, n: int) -> str:
+        return f"{self.log_path}/{n:012d}.json"
+
+    def _read_log(self) -> list[list[tuple[int, str]]]:
+        f, _ = resolve(self.log_path)
+        while f.get_file_info(resolve(self._entry(len(self.log) + 1))[1]).type == pafs.FileType.File:
+            with open_input(self._entry(len(self.log) + 1)) as fh:
+                self.log.append([(t, p) for t, p in json.loads(fh.read())])
+        return self.log
 
     def initialOffset(self):
-        return {"mtime": -1, "path": ""}
+        return {"batch": 0}
 
     def latestOffset(self):
+        log = self._read_log()
+        seen = {x for entry in log for x in entry}
         files = list_times(self.base.path, EXTENSIONS)
-        closed = files[:-1] if self.skip_newest else files
-        return {"mtime": closed[-1][0], "path": closed[-1][1]} if closed else self.initialOffset()
+        new = [x for x in (files[:-1] if self.skip_newest else files) if x not in seen]
+        if new:
+            f, folder = resolve(self.log_path)
+            f.create_dir(folder, recursive=True)
+            entry = resolve(self._entry(len(log) + 1))[1]
+            with f.open_output_stream(entry + ".part") as out:
+                out.write(json.dumps(new).encode())
+            f.move(entry + ".part", entry)
+            log.append(new)
+        return {"batch": len(log)}
 
     def partitions(self, start, end):
-        after, upto = (start["mtime"], start["path"]), (end["mtime"], end["path"])
-        return [_FilePartition(f[1]) for f in list_times(self.base.path, EXTENSIONS) if after < f <= upto]
+        log = self._read_log()
+        if len(log) < end["batch"]:
+            raise FileNotFoundError(f"{self.log_path} has {len(log)} entries, the stream is at {end['batch']}")
+        return [_FilePartition(p) for p in dict.fromkeys(p for entry in log[start["batch"]:end["batch"]] for _, p in entry)]
 
     def read(self, partition):
         yield from read_capture(partition.path, self.base.chunk_bytes, self.base.max_packets)

@@ -82,6 +82,34 @@ def test_capture_folder_stream(spark, tmp_dir):
     assert run() == {"a.pcap": 7, "b.pcap": 7, "c.pcap": 7}   # each closed file once
 
 
+def test_late_capture_with_an_old_time_stamp(spark, tmp_dir):
+    """A file that lands after newer ones were read is read as well, once."""
+    from tests.test_pcap import FRAMES, write_pcap
+    from netlens.sources.pcap import stream_captures
+    import os
+    os.makedirs(f"{tmp_dir}/caps")
+
+    def land(name, at):
+        write_pcap(f"{tmp_dir}/caps/{name}", FRAMES)
+        os.utime(f"{tmp_dir}/caps/{name}", (at, at))
+
+    def run():
+        q = (stream_captures(spark, f"{tmp_dir}/caps").writeStream.format("parquet")
+             .option("path", f"{tmp_dir}/out").option("checkpointLocation", f"{tmp_dir}/ck")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        return {r["source"]: r["count"] for r in
+                spark.read.parquet(f"{tmp_dir}/out").groupBy("source").count().collect()}
+
+    land("m.pcap", 2_000)
+    land("z.pcap", 3_000)
+    assert run() == {"m.pcap": 7}
+    land("late.pcap", 1_000)                                   # older than the last one read
+    land("a.pcap", 2_000)                                      # equal time, smaller path
+    want = {"m.pcap": 7, "late.pcap": 7, "a.pcap": 7}
+    assert run() == want and run() == want
+
+
 def test_capture_scoring_from_capture_files(spark, tmp_dir):
     """Scoring straight from a capture folder equals the batch result for closed files."""
     from tests.test_pcap import FRAMES, write_pcap
