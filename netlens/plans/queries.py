@@ -702,11 +702,11 @@ def q_rank_models(spark, sf_dir):
 
 
 def q_granularities(spark, sf_dir):
-    """One tree per label granularity (M4): category and binary schemes."""
+    """One tree per label granularity (M4): the 34 classes and every scheme over them."""
     s = _split(spark, sf_dir)
     out = None
-    for scheme in ("category", "binary", "deploy_merged"):
-        t = s.withColumn("lab", label_scheme("label", scheme))
+    for scheme in ("class", *SCHEME_NAMES):
+        t = s.withColumn("lab", F.col("label") if scheme == "class" else label_scheme("label", scheme))
         m = MD.fit_tree(t.filter("is_train"), MODEL_FEATURES, "lab")
         r = MD.evaluate(m, t.filter(~F.col("is_train")), "lab").withColumn("scheme", F.lit(scheme))
         out = r if out is None else out.unionByName(r)

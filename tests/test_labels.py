@@ -50,3 +50,11 @@ def test_label_from_filename(spark):
     assert got["sqlinjection.pcap"] == "SqlInjection"
     assert got["12345.pcap"] is None
     assert got["ddos-udp-flood-extra.pcap"] == "DDoS-UDP_Flood"
+
+
+def test_every_granularity_is_fitted(spark):
+    """M4: 34 classes, 8, 6, binary, 18, 28, 26 and 24 + benign."""
+    from netlens.functions.labels import SCHEME_NAMES
+    from netlens.plans.queries import q_granularities
+    got = {r["scheme"] for r in q_granularities(spark, "/root/testdata/sf0.001").select("scheme").distinct().collect()}
+    assert got == {"class", *SCHEME_NAMES} and len(got) == 8
