@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import bpe, covertree, langid, mixing, pii, quality, simhash, suffix, toxicity, warc
+from netlens.llm import (bpe, centroids, covertree, decontaminate, langid, merkle, mixing, pii, quality, simhash, suffix,
+                         toxicity, warc)
 from netlens.llm.common import crc_mod, table
 
 
@@ -69,6 +70,26 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    more = [F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in columns]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.leaf_digest(*more))
+    rows = merkle.manifest(docs, columns=columns, carry={"tampered": tampered})
+    rows = merkle.verify(rows.withColumn("given", F.coalesce("tampered", "leaf")), leaf="given")
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"),
+                       "folded_root", "verified")
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -80,7 +101,42 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_suffix": op10_suffix,
+    "op11_merkle": op11_merkle,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_centroids": op13_centroids,
 }
+
+
+def _centroid_sql(rounds: int) -> str:
+    """Lloyd's rounds as one chain of common table expressions."""
+    sql = """
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, row_number() OVER () AS r, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), e) - 1 AS c, e FROM v
+            ORDER BY c LIMIT 16),"""
+    near = """
+        a{k} AS MATERIALIZED (
+            SELECT r, c, d FROM (
+                SELECT r, c, d, row_number() OVER (PARTITION BY r ORDER BY d, c) AS place FROM (
+                    SELECT r, c, list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(v.e, c{k}.e)])::BIGINT AS d
+                    FROM v CROSS JOIN c{k})) WHERE place = 1)"""
+    move = """,
+        s{k} AS MATERIALIZED (
+            SELECT c, i, sum(x)::BIGINT AS s, count(*)::BIGINT AS n
+            FROM (SELECT c, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{k} JOIN v USING (r)) GROUP BY c, i),
+        c{next} AS MATERIALIZED (
+            SELECT c, coalesce(m, e) AS e FROM c{k} LEFT JOIN (
+                SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{k} GROUP BY c) USING (c)),"""
+    for k in range(rounds):
+        sql += near.format(k=k) + move.format(k=k, next=k + 1)
+    return sql + near.format(k=rounds) + f"""
+        SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+               (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.e, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (c)"""
+
+
 ORACLE: dict[str, str] = {
     "op3_embeddings": """
         WITH RECURSIVE v AS (
@@ -161,4 +217,58 @@ ORACLE: dict[str, str] = {
                (greatest(0, least(size, quota - before)) + greatest(0, least(size, quota - source_size - before))
                 + greatest(0, least(size, quota - 2 * source_size - before)))::BIGINT AS taken
         FROM o""",
+    "op11_merkle": """
+        WITH RECURSIVE
+        p AS (SELECT row_number() OVER () AS r, lang, doc_id AS id, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS v,
+                     [doc_id::VARCHAR, source, lang, (n_chars + 1)::VARCHAR, text] AS w FROM documents),
+        h AS (SELECT r, lang, id, sha256(array_to_string([coalesce(strlen(x) || ':' || x, '-') FOR x IN v], '')) AS leaf,
+                     sha256(array_to_string([coalesce(strlen(x) || ':' || x, '-') FOR x IN w], '')) AS bad FROM p),
+        crc AS (SELECT r, xor(list_reduce(list_prepend(4294967295, [ascii(c)::BIGINT FOR c IN string_split(id::VARCHAR, '')]),
+                    lambda a, c: list_reduce(list_prepend(xor(a, c), [0::BIGINT FOR i IN range(8)]),
+                        lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc
+                FROM h WHERE id IS NOT NULL),
+        leaves AS (SELECT r, coalesce('=' || lang, '-') AS g, leaf, CASE WHEN crc % 7 = 0 THEN bad ELSE leaf END AS given, id,
+                          row_number() OVER (PARTITION BY lang ORDER BY id NULLS FIRST, leaf, r) - 1 AS pos,
+                          count(*) OVER (PARTITION BY lang) AS n
+                   FROM h LEFT JOIN crc USING (r)),
+        up AS (SELECT g, 0 AS lvl, pos, leaf AS d, n FROM leaves
+               UNION ALL SELECT g, lvl + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (n + 1) // 2
+                         FROM up WHERE n > 1 GROUP BY g, lvl, pos // 2, n),
+        subroots AS (SELECT g, d, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+        over_ AS (SELECT 0 AS lvl, pos, d, n FROM subroots
+                  UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (n + 1) // 2
+                            FROM over_ WHERE n > 1 GROUP BY lvl, pos // 2, n),
+        steps AS (
+            SELECT r, up.lvl, (leaves.pos >> up.lvl) % 2 AS slot, coalesce(s.d, '') AS sib
+            FROM leaves JOIN up ON up.g = leaves.g AND up.n > 1 AND up.pos = leaves.pos >> up.lvl
+                 LEFT JOIN up s ON s.g = up.g AND s.lvl = up.lvl AND s.pos = xor(up.pos, 1)
+            UNION ALL
+            SELECT r, 1000 + o.lvl, (subroots.pos >> o.lvl) % 2, coalesce(s.d, '')
+            FROM leaves JOIN subroots USING (g) JOIN over_ o ON o.n > 1 AND o.pos = subroots.pos >> o.lvl
+                 LEFT JOIN over_ s ON s.lvl = o.lvl AND s.pos = xor(o.pos, 1)),
+        path AS (SELECT r, string_agg(sib, '' ORDER BY lvl) AS proof, list(slot || sib ORDER BY lvl) AS sibs FROM steps GROUP BY r)
+        SELECT id AS doc_id, leaf, subroots.d AS subroot, top.d AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+               list_reduce(list_prepend(given, coalesce(sibs, [])),
+                   lambda a, s: sha256(CASE WHEN s[1] = '1' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root,
+               folded_root = top.d AS verified
+        FROM leaves JOIN subroots USING (g) JOIN (SELECT d FROM over_ WHERE n = 1) top ON true LEFT JOIN path USING (r)""",
+    "op12_decontaminate": r"""
+        WITH
+        dw AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        iw AS (SELECT item_id, row_number() OVER () AS i, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        win AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[p:p + 9], ' ') AS t
+                FROM (SELECT *, unnest(range(1, greatest(len(ws) - 8, 2))) AS p FROM iw WHERE len(ws) > 0)),
+        one AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM dw),
+        run AS (SELECT r, p, list(w) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM one),
+        grams AS (SELECT r, p, n, array_to_string(l[1:n], ' ') AS t FROM run JOIN (SELECT DISTINCT n FROM win) ON len(l) >= n),
+        hit AS (SELECT DISTINCT r, p, n, t FROM grams SEMI JOIN win USING (n, t)),
+        words_hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hit) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY encode(i)) AS l
+                  FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hit JOIN win USING (n, t) WHERE item_id IS NOT NULL) GROUP BY r)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM dw LEFT JOIN words_hit USING (r) LEFT JOIN items USING (r)""",
+    "op13_centroids": _centroid_sql(3),
 }
