@@ -17,8 +17,8 @@ def vocabulary() -> str:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_mod(F.col("doc_id"), 5) == 0
-    model = toxicity.train(docs, labels.where(~held_out), fold=lambda key: crc_mod(key, 5) == 4)
-    return toxicity.score(docs, model).select(
+    scored = toxicity.train_and_score(docs, labels.where(~held_out), fold=lambda key: crc_mod(key, 5) == 4)
+    return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -160,38 +160,40 @@ ORACLE: dict[str, str] = {
         FROM q""",
     "op5_quality": r"""
         WITH d AS (
-            SELECT doc_id, coalesce('h' || source, 'null') AS host, coalesce(text, '') AS t,
+            SELECT doc_id, row_number() OVER () AS r, coalesce('h' || source, 'null') AS host, coalesce(text, '') AS t,
                    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
                    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
             FROM documents),
+        one AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
         windows AS (
-            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ')) AS n
-            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+            SELECT r, i, count(*) OVER (PARTITION BY r, w, w1, w2, w3, w4) AS n
+            FROM (SELECT r, i, w, lead(w, 1) OVER p AS w1, lead(w, 2) OVER p AS w2, lead(w, 3) OVER p AS w3, lead(w, 4) OVER p AS w4
+                  FROM one WINDOW p AS (PARTITION BY r ORDER BY i)) WHERE w4 IS NOT NULL),
         again AS (
-            SELECT doc_id, count(DISTINCT pos) AS n_repeat_words
-            FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM windows WHERE n > 1) GROUP BY doc_id),
+            SELECT r, count(DISTINCT pos) AS n_repeat_words
+            FROM (SELECT r, unnest(range(i, i + 5)) AS pos FROM windows WHERE n > 1) GROUP BY r),
         base AS (
-            SELECT d.doc_id, host, len(ws) AS n_words,
+            SELECT d.doc_id, r, host, len(ws) AS n_words,
                    length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
                    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
                    len(ls) - len(list_distinct(ls)) AS n_dup_lines,
                    coalesce(n_repeat_words, 0) AS n_repeat_words
-            FROM d LEFT JOIN again USING (doc_id)),
+            FROM d LEFT JOIN again USING (r)),
         lines AS (
-            SELECT doc_id, host, t, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line,
+            SELECT r, host, t, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line,
                    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
-            FROM (SELECT doc_id, host, t, unnest(ls) AS line FROM d)),
+            FROM (SELECT r, host, t, unnest(ls) AS line FROM d)),
         hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
         frequent AS (
             SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS n FROM lines GROUP BY ALL) JOIN hosts USING (host)
             WHERE n > 10 AND n > 0.05::DOUBLE * docs),
-        gone AS (SELECT doc_id, sum(w) AS w FROM lines SEMI JOIN frequent USING (host, line) GROUP BY doc_id)
+        gone AS (SELECT r, sum(w) AS w FROM lines SEMI JOIN frequent USING (host, line) GROUP BY r)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
                NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
                    AND n_words - coalesce(gone.w, 0) >= 10
                    AND n_words - coalesce(gone.w, 0) >= 0.3::DOUBLE * n_words AS kept
-        FROM base LEFT JOIN gone USING (doc_id)""",
+        FROM base LEFT JOIN gone USING (r)""",
     "op6_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
