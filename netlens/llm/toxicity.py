@@ -43,14 +43,14 @@ from pyspark.sql import functions as F
 
 from netlens.llm.common import materialize, slices
 
-ORDER = 8
+ORDER = 5
 DISCOUNT = 0.75
 TOP = (1, 3, 5)
 MAX_FIT_ROWS = 20_000         # labelled rows a class that fit the logistic curve
 MAX_WORD = 64                 # longer words are scored in pieces of this length
 COMMON_WORDS = 1 << 17        # words whose ratios are broadcast
 SHARD_WORDS = 1 << 15         # words a shard is meant to hold
-MIN_SHARDS = 256
+MIN_SHARDS = 24
 RIDGE = 0.05
 FEATURES = ("mean", *(f"top{k}" for k in TOP), "length")
 
@@ -417,33 +417,65 @@ def _choose(rows: DataFrame, bound: int, counts: dict) -> DataFrame:
                       .otherwise(draw < bound / max(1, counts.get(0, 0))))
 
 
-def train(docs: DataFrame, labels: DataFrame, fold, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """``fold``: boolean column over (key): true for the labelled rows that fit the
-    logistic curve, false for those that are counted."""
+def _labelled(labels: DataFrame, fold, key: str, label: str) -> tuple[DataFrame, dict]:
+    """(key, label, fits) of the labelled documents, and their number by (fits, label)."""
     marked = (labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
                     .groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label")))
     marked = materialize(marked.withColumn("fits", fold(F.col("key"))), "labels")
-    counts = {(r["fits"], r["label"]): r["count"] for r in marked.groupBy("fits", "label").count().collect()}
-    of = lambda fits: {y: n for (f, y), n in counts.items() if f == fits}
+    return marked, {(r["fits"], r["label"]): r["count"] for r in marked.groupBy("fits", "label").count().collect()}
+
+
+def _fit(rows: DataFrame, fitting: dict) -> np.ndarray:
+    """The curve's weights from (label, features) rows; ``fitting``: all labelled rows of the fit by label."""
+    got = rows.select("label", *FEATURES).toArrow()
+    x = np.stack([np.ones(got.num_rows), *(got[c].to_numpy() for c in FEATURES)], axis=1)
+    y = got["label"].to_numpy().astype(float)
+    weight = np.where(y == 1, *(max(1.0, fitting[k] / MAX_FIT_ROWS) for k in (1, 0)))
+    return logistic(x, y, weight)
+
+
+def _prepare(texts: DataFrame, labels: DataFrame, fold, key: str, label: str):
+    """(share of label 1, n-gram ratios, rows that fit the curve, their number by label); no ratios
+    unless both folds hold both labels."""
+    marked, counts = _labelled(labels, fold, key, label)
     prior = sum(n for (_, y), n in counts.items() if y) / max(1, sum(counts.values()))
     if any((f, y) not in counts for f in (False, True) for y in (0, 1)):
-        return Model(None, np.zeros(1 + len(FEATURES)), prior)
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        return prior, None, None, {}
+    fitting = {y: n for (f, y), n in counts.items() if f}
     ratios = gram_ratios(_class_words(texts.join(marked.where("not fits"), "key")))
-    # bounded by the row limit above
-    rows = texts.join(F.broadcast(_choose(marked.where("fits"), MAX_FIT_ROWS, of(True))), "key")
-    got = features(rows, ratios, "key", "text", "label").select("label", *FEATURES).toArrow()
-    x = np.stack([np.ones(got.num_rows), *(got[c].to_numpy() for c in FEATURES)], axis=1)
-    y = got["label"].to_numpy().astype(float)
-    weight = np.where(y == 1, *(max(1.0, of(True)[k] / MAX_FIT_ROWS) for k in (1, 0)))
-    return Model(ratios, logistic(x, y, weight), prior)
+    return prior, ratios, _choose(marked.where("fits"), MAX_FIT_ROWS, fitting).select("key", "label"), fitting
+
+
+def train(docs: DataFrame, labels: DataFrame, fold, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """``fold``: boolean column over (key): true for the labelled rows that fit the
+    logistic curve, false for those that are counted."""
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    prior, ratios, chosen, fitting = _prepare(texts, labels, fold, key, label)
+    if ratios is None:
+        return Model(None, np.zeros(1 + len(FEATURES)), prior)
+    rows = texts.join(F.broadcast(chosen), "key")     # bounded by MAX_FIT_ROWS
+    return Model(ratios, _fit(features(rows, ratios, "key", "text", "label"), fitting), prior)
+
+
+def _scored(feats: DataFrame, weights: np.ndarray, key: str) -> DataFrame:
+    w = [float(x) for x in weights]
+    z = F.lit(w[0]) + sum(F.col(c) * x for c, x in zip(FEATURES, w[1:]))
+    return feats.select(F.col("key").alias(key), (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) for every row."""
     if model.ratios is None:
         return docs.select(key, F.lit(float(model.prior)).alias("score"))
-    w = [float(x) for x in model.weights]
-    z = F.lit(w[0]) + sum(F.col(c) * x for c, x in zip(FEATURES, w[1:]))
-    return features(docs, model.ratios, key, text).select(
-        F.col("key").alias(key), (1 / (1 + F.exp(-z))).alias("score"))
+    return _scored(features(docs, model.ratios, key, text), model.weights, key)
+
+
+def train_and_score(docs: DataFrame, labels: DataFrame, fold, key: str = "doc_id", text: str = "text",
+                    label: str = "toxic") -> DataFrame:
+    """``score(docs, train(docs, labels, fold))`` with the words' ratios and every row's features made once."""
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    prior, ratios, chosen, fitting = _prepare(texts, labels, fold, key, label)
+    if ratios is None:
+        return docs.select(key, F.lit(float(prior)).alias("score"))
+    feats = materialize(features(texts, ratios, "key", "text"), "features")
+    return _scored(feats, _fit(feats.join(F.broadcast(chosen), "key"), fitting), key)
