@@ -1,8 +1,8 @@
 """Structured Streaming jobs (S8, S9, S10, ST1-ST6).
 
-* event log follow (ST4, S8): a text file stream over the folder the engine
-  rotates its JSON log into; the checkpoint records which files were read,
-  so rotation loses nothing and nothing is read twice;
+* event log follow (ST4, S8): the log is tailed while it is written, rotated or
+  truncated (:mod:`netlens.sources.tail`); the checkpoint holds the byte each
+  file was read up to, so appended lines are read and nothing is read twice;
 * capture scoring (ST1-ST3, ST5, S9): a file stream over landed packet
   tables; every micro-batch runs the batch operators (windows per complete
   (source, chunk)), so no state crosses batches; ``foreachBatch`` writes
@@ -24,14 +24,12 @@ from netlens.functions.features import engineer
 from netlens.operators import alerts as AL
 from netlens.operators.windows import windows_from_packets
 from netlens.sources.pcap import PCAP_SCHEMA
+from netlens.sources.tail import stream_lines
 
 
-def stream_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Streaming parsed events from rotated JSON-line files (S8, ST4)."""
-    r = spark.readStream.format("text")
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    return AL.parse_events(r.load(path))
+def stream_events(spark: SparkSession, path: str) -> DataFrame:
+    """Streaming parsed events from growing, rotated JSON-line files (S8, ST4)."""
+    return AL.parse_events(stream_lines(spark, path))
 
 
 def stream_event_alerts(spark: SparkSession, path: str) -> DataFrame:
