@@ -19,6 +19,14 @@ def open_input(uri: str):
     return f.open_input_file(p)
 
 
+def file_sizes(uris: list[str]) -> list[int]:
+    """Bytes of each file (0 if it is not there), one request a file system."""
+    if not uris:
+        return []
+    f, _ = resolve(uris[0])
+    return [i.size or 0 for i in f.get_file_info([resolve(u)[1] for u in uris])]
+
+
 def list_times(uri: str, extensions: tuple[str, ...]) -> list[tuple[int, str]]:
     """(modification time in ns, file) of a folder's files, oldest first."""
     out = []

@@ -130,3 +130,57 @@ def test_capture_uri(spark, tmp_dir):
     got = read_packets(spark, f"file://{tmp_dir}").select("source").distinct().collect()
     assert [r[0] for r in got] == ["u.pcap"]
     assert read_packets(spark, f"file:{tmp_dir}/u.pcap").count() == 7
+
+
+def mixed_captures(folder):
+    """Captures of both kinds and byte orders, with several sections and interfaces, and cut ends."""
+    import random
+    rng = random.Random(11)
+    frames = [rng.choice(FRAMES) + b"x" * rng.choice([0, 0, 7, 300]) for _ in range(400)] + [b"", b"short", FRAMES[4][:20]]
+    write_pcap(f"{folder}/little.pcap", frames)
+    write_pcap(f"{folder}/cut.pcap", frames[:90], truncate_last=True)
+    with open(f"{folder}/big.cap", "wb") as fh:
+        fh.write(struct.pack(">IHHiIII", 0xA1B23C4D, 2, 4, 0, 0, 65535, 1))
+        for i, f in enumerate(frames):
+            fh.write(struct.pack(">IIII", 1_700_000_000 + i, 999_123_456, len(f), len(f)) + f)
+
+    def block(order, kind, body):
+        pad = -len(body) % 4
+        total = struct.pack(order + "I", 12 + len(body) + pad)
+        return struct.pack(order + "I", kind) + total + body + b"\x00" * pad + total
+
+    with open(f"{folder}/sections.pcapng", "wb") as fh:
+        for order in ("<", ">"):
+            fh.write(block(order, 0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1)))
+            for digits in (6, 9):
+                fh.write(block(order, 1, struct.pack(order + "HHI", 1, 0, 65535) + struct.pack(order + "HHBxxxHH", 9, 1, digits, 0, 0)))
+            for i, f in enumerate(frames):
+                at = (1_700_000_000 + i) * 10 ** (9 if i % 2 else 6)
+                fh.write(block(order, 6, struct.pack(order + "IIIII", i % 2, at >> 32, at & 0xFFFFFFFF, len(f), len(f)) + f))
+                if i % 50 == 0:
+                    fh.write(block(order, 3, struct.pack(order + "I", len(f)) + f) + block(order, 0xBAD, b"custom"))
+    whole = open(f"{folder}/sections.pcapng", "rb").read()
+    open(f"{folder}/cut.pcapng", "wb").write(whole[:-37])
+    open(f"{folder}/none.pcap", "wb").write(b"no capture")
+    open(f"{folder}/empty.pcap", "wb").close()
+
+
+def test_splits_equal_the_sequential_walk(spark, tmp_dir):
+    from netlens.sources.pcap import list_captures, read_capture, read_packets, split_index
+    mixed_captures(tmp_dir)
+    for chunk_bytes, max_packets, split in ((2_000, None, 500), (700, 123, 4_000), (10 << 20, None, 1)):
+        want = sorted(map(repr, (r for f in list_captures(tmp_dir) for r in read_capture(f, chunk_bytes, max_packets))))
+        got = read_packets(spark, tmp_dir, chunk_bytes, max_packets, split_bytes=split)
+        rows = [tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in got.collect()]
+        assert sorted(map(repr, rows)) == want and len(want) > 300
+        assert got.schema == read_packets(spark, tmp_dir, chunk_bytes).schema
+    splits = split_index(spark, [f"{tmp_dir}/little.pcap"], split_bytes=1_000).collect()
+    assert len(splits) > 20 and max(r["stop"] for r in splits) > 20_000
+
+
+def test_one_large_capture_uses_many_tasks(spark, tmp_dir):
+    from netlens.sources.pcap import read_packets
+    write_pcap(f"{tmp_dir}/large.pcap", FRAMES * 500)
+    got = read_packets(spark, f"{tmp_dir}/large.pcap", split_bytes=10_000)
+    tasks = got.groupBy(F.spark_partition_id()).count().count()
+    assert got.count() == 3_500 and tasks > 15
