@@ -29,12 +29,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; of rows
-    that repeat a doc_id one stays, and rows without a doc_id are each their own."""
-    groups = simhash.cluster(docs.where("doc_id is not null"))
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(materialize(stay, "stay"), "doc_id", "left_semi")
-    return _documents(named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")))
+    """One document of each group stays, the one with the smallest doc_id (none counts
+    as the largest).  Rows are told apart by a row number of their own, so rows that
+    share a doc_id, or have none, are compared like any others."""
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = simhash.cluster(numbered.select(F.col("_row").alias("doc_id"), "text"))
+    member = materialize(groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    stay = (numbered.select("_row", "doc_id").join(member, "_row").groupBy("_group").agg(first.alias("first"))
+                    .select("first._row"))
+    return _documents(numbered.join(materialize(stay, "stay"), "_row", "left_semi"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

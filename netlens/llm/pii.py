@@ -174,15 +174,14 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bo
 
 def redact_column(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows with every span in the text replaced; other columns as they were."""
-    src = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"))
+    place = df.columns.index(text)
 
     def run(batches):
         for b in slices(batches):
-            texts = [t and redact(t, find_spans(t)) for t in b["text"].to_pylist()]
-            yield pa.record_batch([b["row"], pa.array(texts, pa.string())], names=["row", "text"])
+            texts = [t and redact(t, find_spans(t)) for t in b.column(place).to_pylist()]
+            yield b.set_column(place, text, pa.array(texts, pa.string()))
 
-    out = src.mapInArrow(run, src.schema)
-    return out.select(*[F.col("text") if c == text else F.col("row")[c].alias(c) for c in df.columns])
+    return df.mapInArrow(run, df.schema)
 
 
 def digest_columns(df: DataFrame) -> DataFrame:
