@@ -76,48 +76,54 @@ def rank_below(df: DataFrame, by: list[str], quota: DataFrame | int, key: str,
 
     ``quota`` is an int for every group or a DataFrame (by..., quota).
     With ``flag`` every row is returned and ``flag`` tells whether it made
-    the quota (used by splits).  ``key`` is unique inside a group.
+    the quota (used by splits).  ``key`` is unique inside a group; null is a
+    group like any other, and a null key a key (the first one).
 
     Exact and skew-proof without moving the table: a histogram of the draw's
     top bits gives each group the bucket in which its quota ends; the rows of
     that bucket (keys only) are ranked, which gives the (draw, key) of the
     group's last row; one filter against that group-sized table does the rest.
     """
-    names = list(by) or ["_g"]
-    d = df if by else df.withColumn("_g", F.lit(0))
-    keyed = d.select(*names, F.col(key).alias("_k"), hash_draw(key, seed).alias("_h")).withColumn(
+    # one struct holds the group's columns: as a join key it matches null with null
+    d = df.withColumn("_grp", F.struct(*by) if by else F.struct(F.lit(0).alias("_")))
+    keyed = d.select("_grp", F.col(key).alias("_k"), _draw_or_first(key, seed).alias("_h")).withColumn(
         "_b", F.shiftrightunsigned(F.col("_h"), BUCKET_SHIFT))
-    hist = keyed.groupBy(*names, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = keyed.groupBy("_grp", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy("_grp").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = hist.withColumn("_upto", F.sum("_cnt").over(w))
     if isinstance(quota, int):
         hist = hist.withColumn("_quota", F.lit(quota).cast("long"))
     else:
-        q = quota.select(*by, F.col("quota").cast("long").alias("_quota"))
-        q = q if by else q.withColumn("_g", F.lit(0))
-        hist = hist.join(q, names, "left").fillna(0, ["_quota"])
+        group = F.struct(*by) if by else F.struct(F.lit(0).alias("_"))
+        q = quota.select(group.alias("_grp"), F.col("quota").cast("long").alias("_quota"))
+        hist = hist.join(q, "_grp", "left").fillna(0, ["_quota"])
     # one row per group: the bucket that holds the quota's last row, if any
     ends = (F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_cnt") < F.col("_quota"))
-    groups = cut_lineage(hist.groupBy(*names).agg(
+    groups = cut_lineage(hist.groupBy("_grp").agg(
         F.max("_upto").alias("_rows"), F.first("_quota").alias("_quota"),
         F.max(F.when(ends, F.col("_b"))).alias("_end"),
         F.max(F.when(ends, F.col("_quota") - F.col("_upto") + F.col("_cnt"))).alias("_need")))
     if not by:                                        # one group: its limits are literals
         return _rank_below_all(df, keyed, groups.first(), key, seed, flag)
-    inside = join_small(keyed, groups.filter(F.col("_quota") < F.col("_rows")), names).filter(F.col("_b") == F.col("_end"))
-    rank = F.row_number().over(Window.partitionBy(*names, "_b").orderBy("_h", "_k"))
+    inside = join_small(keyed, groups.filter(F.col("_quota") < F.col("_rows")), "_grp").filter(F.col("_b") == F.col("_end"))
+    rank = F.row_number().over(Window.partitionBy("_grp", "_b").orderBy("_h", "_k"))
     last = (inside.withColumn("_r", rank).filter(F.col("_r") == F.col("_need"))
-                  .select(*names, F.struct("_h", "_k").alias("_last")))
-    limits = groups.join(last, names, "left").select(
-        *names, "_last", (F.col("_quota") >= F.col("_rows")).alias("_all"))
+                  .select("_grp", F.struct("_h", "_k").alias("_last")))
+    limits = groups.join(last, "_grp", "left").select(
+        "_grp", "_last", (F.col("_quota") >= F.col("_rows")).alias("_all"))
     made = F.col("_all") | F.coalesce(_place(key, seed) <= F.col("_last"), F.lit(False))
-    out = join_small(df, limits, names)
+    out = join_small(d, limits, "_grp")
     out = out.filter(made) if flag is None else out.withColumn(flag, made)
-    return out.drop("_last", "_all")
+    return out.drop("_last", "_all", "_grp")
+
+
+def _draw_or_first(key: str, seed: int) -> Column:
+    """The draw of the key; a null key comes before all others."""
+    return F.coalesce(hash_draw(key, seed), F.lit(0).cast("long"))
 
 
 def _place(key: str, seed: int) -> Column:
-    return F.struct(hash_draw(key, seed).alias("_h"), F.col(key).alias("_k"))
+    return F.struct(_draw_or_first(key, seed).alias("_h"), F.col(key).alias("_k"))
 
 
 def _rank_below_all(df: DataFrame, keyed: DataFrame, group, key: str, seed: int, flag: str | None) -> DataFrame:
@@ -129,8 +135,9 @@ def _rank_below_all(df: DataFrame, keyed: DataFrame, group, key: str, seed: int,
     else:
         last = (keyed.filter(F.col("_b") == group["_end"]).orderBy("_h", "_k").limit(group["_need"])
                      .agg(F.max(F.struct("_h", "_k")).alias("last")).first()["last"])
-        h = hash_draw(key, seed)
-        made = (h < last["_h"]) | ((h == last["_h"]) & (F.col(key) <= F.lit(last["_k"])))
+        h, none = _draw_or_first(key, seed), F.col(key).isNull()
+        upto = none if last["_k"] is None else none | (F.col(key) <= F.lit(last["_k"]))
+        made = (h < last["_h"]) | ((h == last["_h"]) & upto)
     return df.filter(made) if flag is None else df.withColumn(flag, made)
 
 

@@ -113,3 +113,26 @@ def test_rank_below_property(spark):
         assert got == want
 
     check()
+
+
+def test_null_groups_and_keys_keep_their_rows(spark):
+    from netlens.operators.sampling import hash_draw, sample_frac, sample_n, stratified_split
+    rows = [(i, "a" if i < 10 else None if i < 20 else "b", i % 3 or None) for i in range(30)] + [(None, "a", 1), (None, None, None)]
+    df = spark.createDataFrame(rows, "id long, label string, site int").repartition(5)
+    split = stratified_split(df, "label", 0.7, "id").collect()
+    assert len(split) == 32
+    by = {}
+    for r in split:
+        by.setdefault(r["label"], []).append(r["is_train"])
+    assert {k: (sum(v), len(v)) for k, v in by.items()} == {"a": (8, 11), None: (8, 11), "b": (7, 10)}
+    draw = {r["id"]: r["d"] for r in df.select("id", hash_draw("id").alias("d")).collect()}
+    picked = sample_n(df, 4, "id", by=["label"]).collect()
+    want = set()
+    for label in ("a", None, "b"):
+        own = sorted((r[0] is not None, draw[r[0]] or 0, r[0] or 0) for r in rows if r[1] == label)
+        want |= {(label, k if has else None) for has, _, k in own[:4]}
+    assert {(r["label"], r["id"]) for r in picked} == want and len(picked) == 12
+    assert sample_frac(df, 1.0, "id", by=["label", "site"]).count() == 32
+    assert stratified_split(df, "label", 0.5, "id", by=["site"]).count() == 32
+    assert {r["id"] for r in sample_n(df.where("label = 'a'"), 1, "id").collect()} == {None}
+    assert sample_n(df.where("id is not null"), 7, "id").count() == 7
