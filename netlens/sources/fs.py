@@ -2,6 +2,9 @@
 (hdfs://, s3://, gs://, file:) alike."""
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyarrow import fs as pafs
 
 
@@ -49,3 +52,26 @@ def list_files(uri: str, extensions: tuple[str, ...]) -> list[str]:
     out = [prefix + i.path for i in f.get_file_info(pafs.FileSelector(p))
            if i.type == pafs.FileType.File and i.path.lower().endswith(extensions)]
     return sorted(out)
+
+
+def publish(uri: str, data: bytes) -> bool:
+    """Write a whole file under a name that is free; False, and nothing changed, if it is taken.
+
+    A local name is claimed atomically by a hard link.  Elsewhere the name is looked
+    up right before the move, so two writers there must not share a folder."""
+    f, path = resolve(uri)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with f.open_output_stream(part) as out:
+        out.write(data)
+    try:
+        if isinstance(f, pafs.LocalFileSystem):
+            os.link(part, path)
+            return True
+        if f.get_file_info(path).type != pafs.FileType.NotFound:
+            return False
+        f.copy_file(part, path)
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        f.delete_file(part)

@@ -38,7 +38,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStre
 
 from netlens.schema import CHUNK_BYTES
 from netlens.session import cut_lineage
-from netlens.sources.fs import file_sizes, list_times, open_input, resolve
+from netlens.sources.fs import file_sizes, list_times, open_input, publish, resolve
 
 PCAP_SCHEMA = ("source string, chunk_id long, packet_no long, kept_no long, ts_us long, "
                "frame binary")
@@ -277,60 +277,73 @@ class PcapReader(DataSourceReader):
 class PcapStreamReader(DataSourceStreamReader):
     """Closed capture files of a folder, each read once (S9, ST1, ST3).
 
-    The files met are rows of a log beside the folder (``logPath``, by default
-    ``<path>._seen``): entry n holds the closed files that were new at the n-th
-    look.  The offset is only n, so its size does not grow with the folder, and a
-    file that lands late is read whatever its modification time is.  The log is
-    written before its number is returned, so a replay reads the same files, and a
-    new stream over the folder starts with all of them.
+    The files met are kept in a log (``logPath``) that belongs to one stream: entry n
+    holds the closed files that were new at the n-th look.  The offset is only n, so
+    its size does not grow with the folder, and a file that lands late is read
+    whatever its modification time is.  An entry is published under its number only
+    if that is free, before the number is returned, so a replay reads the same files.
+    Every ``COMPACT`` entries the files seen so far that are still in the folder are
+    written as a snapshot: a start reads the last snapshot and the entries after it.
 
     The file written last may still be growing, so it is held back (``skipNewest``,
     default true) until a later one appears.  Any other file counts as closed; one
     whose modification time moves after that is read again.
     """
 
+    COMPACT = 32
+
     def __init__(self, options: dict):
         self.base = PcapReader(options)
         self.skip_newest = str(options.get("skipNewest", "true")).lower() == "true"
-        self.log_path = options.get("logPath") or f"{(self.base.path or '').rstrip('/')}._seen"
-        self.log: list[list[tuple[int, str]]] = []
+        self.log_path = options["logPath"]
+        self.seen: set[tuple[int, str]] | None = None    # what the log held at entry `at`
+        self.at = 0
 
     def __getstate__(self):                           # tasks do not need the log
-        return self.__dict__ | {"log": []}
+        return self.__dict__ | {"seen": None}
+
+    def _file(self, kind: str, n: int) -> str:
+        return f"{self.log_path}/{kind}-{n:012d}.json"
 
-    def _entry(self, n: int) -> str:
-        return f"{self.log_path}/{n:012d}.json"
+    def _read(self, kind: str, n: int) -> list[tuple[int, str]] | None:
+        f, path = resolve(self._file(kind, n))
+        if f.get_file_info(path).type != pafs.FileType.File:
+            return None
+        with open_input(self._file(kind, n)) as fh:
+            return [(t, p) for t, p in json.loads(fh.read())]
 
-    def _read_log(self) -> list[list[tuple[int, str]]]:
-        f, _ = resolve(self.log_path)
-        while f.get_file_info(resolve(self._entry(len(self.log) + 1))[1]).type == pafs.FileType.File:
-            with open_input(self._entry(len(self.log) + 1)) as fh:
-                self.log.append([(t, p) for t, p in json.loads(fh.read())])
-        return self.log
+    def _load(self) -> None:
+        """What other looks, or an earlier run, have put into the log."""
+        if self.seen is None:
+            f, folder = resolve(self.log_path)
+            f.create_dir(folder, recursive=True)
+            names = [i.base_name for i in f.get_file_info(pafs.FileSelector(folder))]
+            self.at = max((int(x[9:21]) for x in names if x.startswith("snapshot-") and x.endswith(".json")), default=0)
+            self.seen = set(self._read("snapshot", self.at) or []) if self.at else set()
+        while (entry := self._read("entry", self.at + 1)) is not None:
+            self.seen |= set(entry)
+            self.at += 1
 
     def initialOffset(self):
         return {"batch": 0}
 
     def latestOffset(self):
-        log = self._read_log()
-        seen = {x for entry in log for x in entry}
+        self._load()
         files = list_times(self.base.path, EXTENSIONS)
-        new = [x for x in (files[:-1] if self.skip_newest else files) if x not in seen]
+        new = [x for x in (files[:-1] if self.skip_newest else files) if x not in self.seen]
         if new:
-            f, folder = resolve(self.log_path)
-            f.create_dir(folder, recursive=True)
-            entry = resolve(self._entry(len(log) + 1))[1]
-            with f.open_output_stream(entry + ".part") as out:
-                out.write(json.dumps(new).encode())
-            f.move(entry + ".part", entry)
-            log.append(new)
-        return {"batch": len(log)}
+            publish(self._file("entry", self.at + 1), json.dumps(new).encode())
+            self._load()                              # the entry, or that of a stream that was first
+            if self.at % self.COMPACT == 0:
+                self.seen &= set(files) | set(new)
+                publish(self._file("snapshot", self.at), json.dumps(sorted(self.seen)).encode())
+        return {"batch": self.at}
 
     def partitions(self, start, end):
-        log = self._read_log()
-        if len(log) < end["batch"]:
-            raise FileNotFoundError(f"{self.log_path} has {len(log)} entries, the stream is at {end['batch']}")
-        return [_FilePartition(p) for p in dict.fromkeys(p for entry in log[start["batch"]:end["batch"]] for _, p in entry)]
+        entries = [self._read("entry", n) for n in range(start["batch"] + 1, end["batch"] + 1)]
+        if None in entries:
+            raise FileNotFoundError(f"{self.log_path} lacks entries of {start['batch'] + 1} to {end['batch']}")
+        return [_FilePartition(p) for p in dict.fromkeys(p for entry in entries for _, p in entry)]
 
     def read(self, partition):
         yield from _arrow(read_capture(partition.path, self.base.chunk_bytes, self.base.max_packets))
@@ -396,10 +409,12 @@ def read_packets(spark, path: str | list[str], chunk_bytes: int = CHUNK_BYTES,
     return r.load()
 
 
-def stream_captures(spark, path: str, chunk_bytes: int = CHUNK_BYTES, skip_newest: bool = True):
-    """Closed capture files as a stream of raw records (S9, ST1)."""
+def stream_captures(spark, path: str, log_path: str, chunk_bytes: int = CHUNK_BYTES, skip_newest: bool = True):
+    """Closed capture files as a stream of raw records (S9, ST1).
+
+    ``log_path``: a folder of this stream's own, beside its checkpoint, for the files it has met."""
     register(spark)
-    return (spark.readStream.format("pcap").option("path", path)
+    return (spark.readStream.format("pcap").option("path", path).option("logPath", log_path)
                  .option("chunkBytes", str(chunk_bytes))
                  .option("skipNewest", str(skip_newest).lower()).load())
 

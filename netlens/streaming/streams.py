@@ -91,7 +91,7 @@ def run_capture_scoring(spark: SparkSession, landed: str, sink: str, checkpoint:
         out = score_batch(batch, score)
         out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    src = stream_captures(spark, landed) if captures else stream_packets(spark, landed)
+    src = stream_captures(spark, landed, f"{checkpoint}/captures") if captures else stream_packets(spark, landed)
     w = (src.writeStream.foreachBatch(each)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="10 seconds")

@@ -70,7 +70,7 @@ def test_capture_folder_stream(spark, tmp_dir):
         write_pcap(f"{tmp_dir}/caps/{name}", FRAMES)
 
     def run():
-        q = (stream_captures(spark, f"{tmp_dir}/caps").writeStream.format("parquet")
+        q = (stream_captures(spark, f"{tmp_dir}/caps", f"{tmp_dir}/met").writeStream.format("parquet")
              .option("path", f"{tmp_dir}/out").option("checkpointLocation", f"{tmp_dir}/ck")
              .trigger(availableNow=True).start())
         q.awaitTermination()
@@ -94,7 +94,7 @@ def test_late_capture_with_an_old_time_stamp(spark, tmp_dir):
         os.utime(f"{tmp_dir}/caps/{name}", (at, at))
 
     def run():
-        q = (stream_captures(spark, f"{tmp_dir}/caps").writeStream.format("parquet")
+        q = (stream_captures(spark, f"{tmp_dir}/caps", f"{tmp_dir}/met").writeStream.format("parquet")
              .option("path", f"{tmp_dir}/out").option("checkpointLocation", f"{tmp_dir}/ck")
              .trigger(availableNow=True).start())
         q.awaitTermination()
@@ -130,3 +130,48 @@ def test_capture_scoring_from_capture_files(spark, tmp_dir):
     closed = read_packets(spark, f"{tmp_dir}/caps").filter(F.col("source") != "z.pcap")
     want = score_batch(closed, score).select("source", "chunk_id", "window_id", "label")
     assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_capture_log_of_two_streams_and_its_snapshots(spark, tmp_dir):
+    """Streams with logs of their own each get every file once; a claimed entry is never overwritten."""
+    import os
+
+    from netlens.sources.pcap import PcapStreamReader
+    from netlens.sources.fs import publish
+    from tests.test_pcap import FRAMES, write_pcap
+    os.makedirs(f"{tmp_dir}/caps")
+
+    def stream(log):
+        r = PcapStreamReader({"path": f"{tmp_dir}/caps", "logPath": f"{tmp_dir}/{log}", "skipNewest": "false"})
+        r.COMPACT = 4
+        return r
+
+    def batch(r, start):
+        end = r.latestOffset()
+        return [os.path.basename(p.path) for p in r.partitions(start, end)], end
+
+    a, b, at_a, at_b, got = stream("a"), stream("b"), {"batch": 0}, {"batch": 0}, {"a": [], "b": []}
+    for i in range(10):
+        write_pcap(f"{tmp_dir}/caps/c{i}.pcap", FRAMES)
+        files, at_a = batch(a, at_a)
+        got["a"] += files
+        if i % 3 == 0:
+            files, at_b = batch(b, at_b)
+            got["b"] += files
+    names = [f"c{i}.pcap" for i in range(10)]
+    assert got["a"] == names and sorted(got["b"]) == names
+    assert at_a == {"batch": 10} and os.path.exists(f"{tmp_dir}/a/snapshot-000000000008.json")
+    again = stream("a")                               # a restart reads the snapshot and the entries after it
+    for n in range(1, 5):
+        os.remove(f"{tmp_dir}/a/entry-{n:012d}.json")
+    assert again.latestOffset() == at_a and batch(again, at_a)[0] == []
+    assert [os.path.basename(p.path) for p in again.partitions({"batch": 6}, at_a)] == names[6:]
+    # two readers of one log: the entry of the first stays, both go on from it
+    one, two = stream("shared"), stream("shared")
+    two._load()
+    first = one.latestOffset()
+    os.remove(f"{tmp_dir}/caps/c0.pcap")
+    assert two.latestOffset() == first
+    assert [p.path for p in one.partitions({"batch": 0}, first)] == [p.path for p in two.partitions({"batch": 0}, first)]
+    assert publish(f"{tmp_dir}/x", b"1") and not publish(f"{tmp_dir}/x", b"2") and open(f"{tmp_dir}/x").read() == "1"
+    assert os.listdir(tmp_dir).count("x") == 1 and not [f for f in os.listdir(tmp_dir) if f.endswith(".part")]
