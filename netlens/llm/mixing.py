@@ -8,20 +8,23 @@ Quotas: a source's documents are laid end to end in a random order (md5 of seed
 and key), over and over; the source's quota is the first round(target) words of
 that stream, cut into blocks.  The tree starts with the block quotas of all
 sources and halves the output shards level by level: of a node's blocks, exactly
-the left half's number is drawn without replacement (the smallest random keys),
-which splits every source's quota multivariate-hypergeometrically; the rest goes
-right.  A shard then owns disjoint runs of each source's permuted blocks, and its
-rows are put in a random order of its own.
+the left half's number is drawn without replacement (the smallest md5 keys), which
+splits every source's quota multivariate-hypergeometrically; the rest goes right.
+A shard draws the next blocks of each source's permuted stream, as many as its
+leaf holds, so shards are disjoint; what the mix takes of a document is what the
+shards' blocks hold of it.  ``deal`` puts a shard's rows in a random order of its own.
 
-Only the boundary document of a source is cut, so a source takes round(target)
-words exactly and no document is taken more than ``max_epochs`` times.
+The blocks end at round(target) words exactly, so ``mix`` takes that many of each
+source and no document more than ``max_epochs`` times.  ``deal`` never cuts a text: a
+document goes whole to the shard that holds its first word, so each source's rows
+exceed its quota by less than one document.
 
 Scale: everything is column expressions.  Rows are numbered by a three-level
 running sum (rows in a bucket of about ``BUCKET_ROWS``, buckets in a group, groups
 in a source), so a source that holds a third of all rows spreads over many
 tasks.  The tree works on quotas, never on rows: at most ``MAX_BLOCKS`` blocks
-plus one per source.  The source table (one row a source) is the only thing read
-in one task.
+plus one per source, each looked at once a level.  The source table (one row a
+source) is the only thing read in one task.
 
 Null texts have size 0; sources of size 0 take nothing; an empty table gives an
 empty mix.  Repeated rows are separate rows of the stream.  Other columns travel
@@ -66,54 +69,49 @@ def _targets(sized: DataFrame, max_epochs: int) -> DataFrame:
 
 
 def _split(nodes: DataFrame, seed: int) -> DataFrame:
-    """One level down: (node, first, shards, quotas) rows to their two halves."""
-    n = nodes.withColumn("total", F.aggregate("quotas", F.lit(0).cast("long"), lambda a, q: a + q["q"]))
-    n = n.withColumn("left_shards", F.floor(F.col("shards") / 2)) \
-         .withColumn("draw", F.round(F.col("total") * F.col("left_shards") / F.col("shards")).cast("int"))
-    # one random key a block; the place in the low bits keeps the keys distinct
-    low = 24
-    n = n.withColumn("keys", F.when(F.col("total") > 0, F.transform(
-        F.sequence(F.lit(1).cast("long"), F.greatest("total", F.lit(1))),
-        lambda j: F.shiftleft(F.shiftright(F.xxhash64(F.lit(seed), F.col("node"), j), low), low) + j))
-        .otherwise(F.array().cast("array<bigint>")))
-    n = n.withColumn("last", F.when(F.col("draw") > 0, F.get(F.sort_array("keys"), F.col("draw") - 1)))
-    n = n.withColumn("quotas", F.transform("quotas", lambda q, i: F.struct(
-        q["place"].alias("place"), q["q"].alias("q"),
-        (F.aggregate(F.slice("quotas", 1, i), F.lit(0).cast("long"), lambda a, x: a + x["q"])).alias("before"))))
-    n = n.withColumn("drawn", F.transform("quotas", lambda q: F.struct(
-        q["place"].alias("place"), q["q"].alias("q"),
-        F.when(F.col("last").isNull(), F.lit(0)).otherwise(F.size(F.filter(
-            F.slice("keys", (q["before"] + 1).cast("int"), q["q"].cast("int")), lambda x: x <= F.col("last")))).cast("long").alias("left"))))
-    side = lambda part: F.transform("drawn", lambda q: F.struct(q["place"].alias("place"), part(q).alias("q")))
+    """One level down: (node, first, shards, blocks) rows to their two halves."""
+    left_shards = F.floor(F.col("shards") / 2).cast("int")
+    n = nodes.withColumn("draw", F.round(F.size("blocks") * left_shards / F.col("shards")).cast("int"))
+    n = n.withColumn("keyed", F.transform("blocks", lambda place, j: F.struct(
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("node").cast("string"), (j + 1).cast("string"))).alias("key"),
+        place.alias("place"))))
+    n = n.withColumn("last", F.when(F.col("draw") > 0, F.get(F.sort_array(F.transform("keyed", lambda b: b["key"])),
+                                                             F.col("draw") - 1)).otherwise(F.lit("")))
+    part = lambda test: F.transform(F.filter("keyed", test), lambda b: b["place"]).alias("blocks")
     halves = F.array(
-        F.struct((2 * F.col("node") + 1).alias("node"), F.col("first"), F.col("left_shards").cast("int").alias("shards"),
-                 side(lambda q: q["left"]).alias("quotas")),
-        F.struct((2 * F.col("node") + 2).alias("node"), (F.col("first") + F.col("left_shards")).cast("int").alias("first"),
-                 (F.col("shards") - F.col("left_shards")).cast("int").alias("shards"),
-                 side(lambda q: q["q"] - q["left"]).alias("quotas")))
-    return n.select(F.explode(F.when(F.col("shards") > 1, halves).otherwise(F.array(F.struct(
-        F.col("node"), F.col("first"), F.col("shards"), side(lambda q: q["q"]).alias("quotas"))))).alias("x")).select("x.*")
+        F.struct((2 * F.col("node") + 1).alias("node"), F.col("first"), left_shards.alias("shards"),
+                 part(lambda b: b["key"] <= F.col("last"))),
+        F.struct((2 * F.col("node") + 2).alias("node"), (F.col("first") + left_shards).alias("first"),
+                 (F.col("shards") - left_shards).alias("shards"), part(lambda b: b["key"] > F.col("last"))))
+    whole = F.array(F.struct("node", "first", "shards", "blocks"))
+    return n.select(F.explode(F.when(F.col("shards") > 1, halves).otherwise(whole)).alias("x")).select("x.*")
 
 
-def split_quotas(blocks: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """(place, q) block quotas -> (place, shard, q); shard sizes differ by rounding only."""
-    nodes = blocks.groupBy().agg(F.sort_array(F.collect_list(F.struct("place", F.col("q").cast("long").alias("q")))).alias("quotas"))
-    nodes = nodes.select(F.lit(0).cast("long").alias("node"), F.lit(0).alias("first"), F.lit(shards).alias("shards"), "quotas")
+    root = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct("place", F.col("q").cast("int").alias("q")))).alias("s"))
+    # the blocks of all sources in a row, each known by its source's place
+    nodes = root.select(F.lit(0).cast("long").alias("node"), F.lit(0).alias("first"), F.lit(shards).alias("shards"),
+                        F.flatten(F.transform("s", lambda x: F.array_repeat(x["place"], x["q"]))).alias("blocks"))
     for _ in range(max(0, (shards - 1).bit_length())):
         nodes = _split(nodes, seed)
-    return nodes.select(F.col("first").alias("shard"), F.explode("quotas").alias("x")).select("x.place", "shard", "x.q")
+    drawn = (nodes.select(F.col("first").alias("shard"), F.explode("blocks").alias("place"))
+                  .groupBy("place", "shard").agg(F.count(F.lit(1)).alias("q")))
+    every = quotas.select("place", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    return every.join(drawn, ["place", "shard"], "left").fillna(0, ["q"])
 
 
 def _plan(sized: DataFrame, shards: int, max_epochs: int, seed: int) -> DataFrame:
-    """The source table with block size and, per source, the shards' upper block bounds."""
+    """The source table with block size and, per source, the words of its stream that each shard draws."""
     s = materialize(_targets(sized, max_epochs), "targets")
     total = F.sum("quota").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     s = s.withColumn("block", F.greatest(F.lit(1), F.ceil(total / MAX_BLOCKS)).cast("long"))
     quotas = split_quotas(s.select("place", F.ceil(F.col("quota") / F.col("block")).cast("long").alias("q")), shards, seed)
     dealt = quotas.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("shard", "q"))).alias("d"))
-    dealt = dealt.select("place", F.transform("d", lambda _, i: F.aggregate(
-        F.slice("d", 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x["q"])).alias("bounds"))
-    return materialize(s.join(dealt, "place"), "plan")
+    blocks = lambda n: F.aggregate(F.slice("d", 1, n), F.lit(0).cast("long"), lambda a, x: a + x["q"])
+    word = lambda n: F.least(F.col("quota"), F.col("block") * blocks(n))
+    runs = F.transform("d", lambda x, i: F.struct(x["shard"].alias("shard"), word(i).alias("lo"), word(i + 1).alias("hi")))
+    return materialize(s.join(dealt, "place").withColumn("runs", runs).drop("d"), "plan")
 
 
 def _offsets(rows: DataFrame) -> DataFrame:
@@ -143,33 +141,32 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
                .withColumn("group", F.floor(F.col("bucket") / GROUP_BUCKETS).cast("long"))
     rows = _offsets(rows)
     start = lambda e: e * F.col("source_size") + F.col("before")
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda e: F.struct(
-        e.alias("epoch"),
-        F.size(F.filter("bounds", lambda c: c <= F.floor(start(e) / F.col("block")))).alias("shard"),
-        F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("quota") - start(e))).alias("n_words")))
+    drawn = lambda e, r: F.least(r["hi"], start(e) + F.col("size")) - F.greatest(r["lo"], start(e))
+    pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda e: F.transform(
+        "runs", lambda r: F.struct(e.alias("epoch"), r["shard"].alias("shard"), drawn(e, r).alias("n_words")))))
     return rows.select("row", "size", "source_size", "target", F.filter(pieces, lambda p: p["n_words"] > 0).alias("pieces"))
 
 
 def taken(mixed: DataFrame) -> DataFrame:
-    """(row, size, source_size, target, taken)"""
+    """(row, size, source_size, target, taken, shard_words): the words drawn of each row, in all and
+    as ``shard:words``, comma-joined by shard."""
+    words_of = lambda s: F.aggregate(F.filter("pieces", lambda p: p["shard"] == s), F.lit(0).cast("long"),
+                                     lambda a, p: a + p["n_words"])
+    shards = F.sort_array(F.array_distinct(F.transform("pieces", lambda p: p["shard"])))
     return mixed.select("row", "size", "source_size", "target", F.aggregate(
-        "pieces", F.lit(0).cast("long"), lambda a, p: a + p["n_words"]).alias("taken"))
+        "pieces", F.lit(0).cast("long"), lambda a, p: a + p["n_words"]).alias("taken"),
+        F.array_join(F.transform(shards, lambda s: F.concat_ws(":", s.cast("string"), words_of(s).cast("string"))), ",")
+         .alias("shard_words"))
 
 
-def deal(mixed: DataFrame, text: str = "text", seed: int = SEED, shards: int = SHARDS) -> DataFrame:
-    """The mix itself: one row per piece with the columns of the input, dealt to
-    shards and shuffled within each; a cut piece keeps its first words."""
+def deal(mixed: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix itself: a row goes whole, once an epoch that draws words of it, to the shard
+    that draws the first of them; the rows of a shard are shuffled."""
     cols = mixed.schema["row"].dataType.names
-    p = mixed.select("row", "size", F.explode("pieces").alias("p"))
-    # a word and the blanks after it, so that the first words keep their blanks
-    head = F.array_join(F.slice(F.split(F.col("row")[text], r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1,
-                                F.col("p.n_words").cast("int")), "")
-    lead = F.when(F.col("row")[text].rlike(r"^[\x20\x09-\x0D]"), F.array_join(F.slice(F.split(
-        F.col("row")[text], r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1, F.col("p.n_words").cast("int") + 1), "")).otherwise(head)
-    whole = F.col("p.n_words") == F.col("size")
-    out = p.select(*[F.when(whole, F.col("row")[c]).otherwise(lead).alias(c) if c == text else F.col("row")[c].alias(c) for c in cols],
-                   F.col("p.shard").alias("_shard"), F.xxhash64(F.lit(seed), F.col("p.epoch"), F.col("p.shard"),
-                                                                F.to_json(F.col("row"))).alias("_order"))
+    first = F.filter("pieces", lambda p, i: (i == 0) | (p["epoch"] != F.get("pieces", i - 1)["epoch"]))
+    out = mixed.select("row", F.explode(first).alias("p")) \
+               .select("row.*", F.col("p.shard").alias("_shard"),
+                       F.xxhash64(F.lit(seed), F.col("p.epoch"), F.col("p.shard"), F.to_json("row")).alias("_order"))
     # a shard is many tasks' work: rows go to a random slot of their shard and are sorted there
     return (out.withColumn("_slot", F.pmod("_order", F.lit(64)))
                .repartition("_shard", "_slot").sortWithinPartitions("_shard", "_slot", "_order").select(*cols))

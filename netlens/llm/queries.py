@@ -46,7 +46,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = mixing.taken(mixing.mix(docs, keep=["doc_id"]))
-    return rows.select("row.doc_id", "size", "source_size", "target", "taken")
+    return rows.select("row.doc_id", "size", "source_size", "target", "taken", "shard_words")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,17 +208,29 @@ ORACLE: dict[str, str] = {
                          - coalesce(sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
                       AS level FROM w),
         t AS (
-            SELECT source, source_size, least(cap::DOUBLE, coalesce(weight * max(CASE WHEN weight * level <= cap THEN level END) OVER (),
+            SELECT source, place, source_size, least(cap::DOUBLE, coalesce(weight * max(CASE WHEN weight * level <= cap THEN level END) OVER (),
                                                                     cap::DOUBLE)) AS target FROM l),
+        q AS (SELECT *, round(target)::BIGINT AS quota,
+                     greatest(1, ceil(sum(round(target)) OVER () / 65536))::BIGINT AS block FROM t),
+        b0 AS (SELECT place, 0 AS node, unnest(range(ceil(quota / block)::BIGINT)) AS i FROM q),""" + "".join(f"""
+        n{k} AS (SELECT place, node, i, count(*) OVER (PARTITION BY node) AS total,
+                        md5('17|' || node || '|' || row_number() OVER (PARTITION BY node ORDER BY place, i)) AS key FROM b{k}),
+        b{k + 1} AS (SELECT place, i, 2 * node + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY key) <= round(total / 2.0)
+                                                 THEN 1 ELSE 2 END AS node FROM n{k}),""" for k in range(4)) + r"""
+        leaf AS (SELECT place, node - 15 AS shard, count(*) AS n FROM b4 GROUP BY ALL),
+        run AS (SELECT place, shard, n, sum(n) OVER (PARTITION BY place ORDER BY shard) AS upto FROM leaf),
         o AS (
-            SELECT doc_id, size, source_size, target, round(target)::BIGINT AS quota,
+            SELECT row_number() OVER () AS r, doc_id, size, source_size, target, quota, block, place,
                    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ord, size
                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target,
-               (greatest(0, least(size, quota - before)) + greatest(0, least(size, quota - source_size - before))
-                + greatest(0, least(size, quota - 2 * source_size - before)))::BIGINT AS taken
-        FROM o""",
+            FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+        x AS (
+            SELECT r, shard, sum(greatest(0, least(quota, block * upto, e * source_size + before + size)
+                                             - greatest(least(quota, block * (upto - n)), e * source_size + before)))::BIGINT AS n
+            FROM o JOIN run USING (place), range(3) AS g(e) GROUP BY r, shard),
+        y AS (SELECT r, sum(n) AS taken, string_agg(shard || ':' || n, ',' ORDER BY shard) AS shard_words FROM x WHERE n > 0 GROUP BY r)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(shard_words, '') AS shard_words
+        FROM o LEFT JOIN y USING (r)""",
     "op11_merkle": """
         WITH RECURSIVE
         p AS (SELECT row_number() OVER () AS r, lang, doc_id AS id, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS v,

@@ -68,8 +68,52 @@ def test_mix_blocks_and_shards(spark):
     assert key(mixed) == key(again)
     dealt = mixing.deal(mixed)
     assert dealt.columns == df.columns
-    words = dealt.select(F.sum(F.size(F.filter(F.split("text", " "), lambda w: w != "")))).first()[0]
-    assert words == mixing.taken(mixed).agg(F.sum("taken")).first()[0]
+    # whole texts only, each source over its quota by less than a document
+    whole = {r["doc_id"]: r for r in df.collect()}
+    words = {}
+    for r in dealt.collect():
+        assert r["text"] == whole[r["doc_id"]]["text"]
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    for r in mixing.taken(mixed).groupBy("row.source").agg(F.sum("taken").alias("t")).collect():
+        assert 0 <= words[r["source"]] - r["t"] < 16
+
+
+def test_mix_goes_through_its_tree(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from netlens.llm import mixing
+    df = spark.createDataFrame([(i, "w " * (1 + i % 17), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    quotas = []
+    tree = mixing.split_quotas
+
+    def kept(*args, **kw):
+        out = tree(*args, **kw)
+        quotas.extend((r["place"], r["shard"], r["q"]) for r in out.collect())
+        return out
+
+    result = lambda: sorted((r["row"]["doc_id"], r["taken"], r["shard_words"])
+                            for r in mixing.taken(mixing.mix(df)).collect())
+    monkeypatch.setattr(mixing, "split_quotas", kept)
+    rows = result()
+    # blocks are one word here, so a shard's words are the blocks that the tree gave it
+    drawn = {}
+    for _, _, given in rows:
+        for s, w in (x.split(":") for x in given.split(",") if x):
+            drawn[int(s)] = drawn.get(int(s), 0) + int(w)
+    assert drawn == {s: sum(q for _, t, q in quotas if t == s) for s in range(16)}
+    assert all(t == sum(int(x.split(":")[1]) for x in given.split(",") if x) for _, t, given in rows)
+    # a tree that deals nothing to half its shards takes half as much
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a, **kw: tree(*a, **kw).withColumn(
+        "q", F.when(F.col("shard") < 8, F.col("q")).otherwise(0)))
+    half = result()
+    assert half != rows and 0.45 < sum(r[1] for r in half) / sum(r[1] for r in rows) < 0.55
+
+
+def test_mix_is_linear_in_sources(spark):
+    from netlens.llm import mixing
+    df = spark.range(6000).selectExpr("id AS doc_id", "concat('s', id) AS source", "repeat('w ', 1 + cast(id % 9 AS int)) AS text")
+    out = mixing.taken(mixing.mix(df)).selectExpr("sum(taken) AS t", "sum(size) AS s", "max(taken / size) AS m").first()
+    assert abs(out["t"] - out["s"]) <= 3000 and out["m"] <= 3
 
 
 def test_split_tree_is_exact(spark):

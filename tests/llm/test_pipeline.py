@@ -40,8 +40,10 @@ def test_stages_take_effect(spark):
     mixed = corpus_pipeline.mix_sources(spark, clean, SF).cache()
     words = lambda d: d.groupBy("source").agg(F.sum(F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))).alias("w"))
     target = {r["s"]: r["t"] for r in mixing.mix(clean).groupBy(F.col("row.source").alias("s")).agg(F.first("target").alias("t")).collect()}
+    longest = max(len(r["text"].split()) for r in clean.collect())
     for r in words(mixed).collect():
-        assert abs(r["w"] - target[r["source"]]) <= 0.5
+        assert -0.5 <= r["w"] - target[r["source"]] < longest
+    assert {r["text"] for r in mixed.collect()} <= {r["text"] for r in clean.collect()}     # whole texts
     ids = corpus_pipeline.tokens(spark, mixed, SF).collect()
     model = bpe.load(queries.vocabulary())
     want = sorted(hashlib.sha256(r["text"].encode()).hexdigest() for r in mixed.collect())
