@@ -15,8 +15,8 @@ Spark shape:
 * the node table (trees x at most 2^(h+1) nodes) is small and bounded by
   the parameters, so it goes with an Arrow UDF that scores batches, all
   trees at once, on the flat feature buffer;
-* the threshold is ``percentile_approx`` of the training scores (bounded
-  memory sketch, no single-task sort).
+* the threshold is the exact quantile of the training scores, found by radix
+  selection (:mod:`netlens.operators.quantiles`: four aggregates, no sort).
 """
 from __future__ import annotations
 
@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from netlens.functions.columns import signed_log
 from netlens.operators.prune import scale_stats
+from netlens.operators.quantiles import exact_quantiles
 from netlens.schema import RANDOM_SEED
 from netlens.session import cut_lineage
 
@@ -170,8 +171,7 @@ def fit_gate(benign: DataFrame, features: list[str], key: str, trees: int = 50,
 
     gate.nodes = cand.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
     train_scores = benign.select(gate.score_column().alias("score"))
-    q = train_scores.agg(F.percentile_approx("score", 1.0 - contamination, 100_000)).first()[0]
-    gate.threshold = float(q)
+    gate.threshold = exact_quantiles(train_scores, "score", [1.0 - contamination])[0]
     return gate
 
 

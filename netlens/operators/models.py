@@ -7,6 +7,8 @@ Every evaluation goes through the long confusion table of
 """
 from __future__ import annotations
 
+import time
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -71,6 +73,23 @@ def predict(model: PipelineModel, df: DataFrame, out: str = "y_pred") -> DataFra
     return back.transform(res).drop("_y", "_x", "_p", "rawPrediction", "probability")
 
 
+def predict_detailed(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Flat scoring rows (M9): ``is_anomaly, attack_type, label`` beside the columns of
+    ``df``, as the gate's two stages give them; the attack type of benign traffic is empty."""
+    out = predict(model, df, "_flat")
+    anomaly = F.col("_flat") != BENIGN_LABEL
+    return out.select(*df.columns, anomaly.alias("is_anomaly"),
+                      F.when(anomaly, F.col("_flat")).otherwise("").alias("attack_type"),
+                      F.col("_flat").alias("label"))
+
+
+def timed(fit, *args, **kw):
+    """(fitted model, wall seconds of the fit), for the bake-off's table (M5)."""
+    start = time.perf_counter()
+    model = fit(*args, **kw)
+    return model, time.perf_counter() - start
+
+
 def label_index(df: DataFrame, label: str = "label") -> DataFrame:
     """Class -> index as the classifiers see it: alphabetical, from 0."""
     classes = df.select(label).distinct()

@@ -111,6 +111,9 @@ QUERIES = {
     "sa01_sample_table": Q.q_sample_table,
     "st06_timeline_by_label": Q.q_timeline_by_label,
     "p08_max_packets": Q.q_max_packets,
+    "a32_exact_quantiles": Q.q_exact_quantiles,
+    "p25_network_rules": Q.q_network_rules,
+    "p25_longest_network": Q.q_longest_network,
 }
 
 # report queries compare their averaged doubles rounded to 9 places

@@ -1097,3 +1097,28 @@ ORACLE_MORE["m13_augmented_counts"] = with_ctes(LEV_CTE) + """
 SELECT label, CAST(round(count(*) FILTER (WHERE source <> 'cap0') * 0.8) AS BIGINT)
               + 3 * least(50, count(*) FILTER (WHERE source = 'cap0')) AS n
 FROM lev GROUP BY label"""
+ORACLE_MORE["a32_exact_quantiles"] = f"""
+WITH s AS ({ORACLE_MORE["m06_fixed_gate"]}),
+q AS (SELECT unnest([0.0, 0.05, 0.5, 0.9, 0.95, 0.999, 1.0])::DOUBLE AS q, unnest(range(1, 8)) AS i),
+a AS (SELECT quantile_cont(anomaly_score, [0.0, 0.05, 0.5, 0.9, 0.95, 0.999, 1.0]) AS x FROM s),
+b AS (SELECT quantile_cont(value::DOUBLE, [0.0, 0.05, 0.5, 0.9, 0.95, 0.999, 1.0]) AS x FROM events)
+SELECT q, round(a.x[i], 9) AS score, round(b.x[i], 9) AS value FROM q, a, b"""
+#: addresses written out: 10.0.0.0 is 167772160, 10.0.1.0 is 167772416
+_ADDRESS_CTE = """
+addressed AS (SELECT *, list_reduce(list_prepend(0::BIGINT, string_split(sip, '.')::BIGINT[]), lambda a, x: a * 256 + x) AS s,
+                     list_reduce(list_prepend(0::BIGINT, string_split(dip, '.')::BIGINT[]), lambda a, x: a * 256 + x) AS d
+              FROM packets)"""
+ORACLE_MORE["p25_network_rules"] = with_ctes(PACKETS_CTE, _ADDRESS_CTE, """
+homed AS (SELECT *, CASE WHEN s BETWEEN 167772160 AND 167772415 AND d BETWEEN 167772160 AND 167772415 THEN 'internal'
+                         WHEN s BETWEEN 167772160 AND 167772415 THEN 'outbound'
+                         WHEN d BETWEEN 167772160 AND 167772415 THEN 'inbound' ELSE 'external' END AS direction FROM addressed)""") + """
+SELECT source, packet_no, 1 AS sid, direction FROM homed WHERE direction = 'inbound' AND proto = 6
+UNION ALL SELECT source, packet_no, 2, direction FROM homed WHERE direction = 'outbound' AND d BETWEEN 167772420 AND 167772423
+UNION ALL SELECT source, packet_no, 3, direction FROM homed WHERE d = 167772163
+UNION ALL SELECT source, packet_no, 4, direction FROM homed WHERE direction = 'outbound' AND proto = 6 AND dport = 23
+UNION ALL SELECT source, packet_no, 5, direction FROM homed WHERE direction = 'internal'"""
+ORACLE_MORE["p25_longest_network"] = with_ctes(PACKETS_CTE, _ADDRESS_CTE) + """
+SELECT source, packet_no, dip, CASE WHEN d = 167772163 THEN 'camera' WHEN d BETWEEN 167772420 AND 167772423 THEN 'web'
+                                    WHEN d BETWEEN 167772160 AND 167772415 THEN 'home' WHEN d BETWEEN 167772416 AND 167772671 THEN 'servers'
+                                    WHEN d BETWEEN 167772160 AND 184549375 THEN 'site' ELSE 'all' END AS network
+FROM addressed"""

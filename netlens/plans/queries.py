@@ -534,8 +534,9 @@ def q_config_search(spark, sf_dir):
 
 def q_forest(spark, sf_dir):
     s = _split(spark, sf_dir)
-    m = MD.fit_forest(s.filter("is_train"), MODEL_FEATURES, trees=20, depth=12)
-    return MD.evaluate(m, s.filter(~F.col("is_train"))).withColumn("model", F.lit("forest"))
+    m, seconds = MD.timed(MD.fit_forest, s.filter("is_train"), MODEL_FEATURES, trees=20, depth=12)
+    return MD.evaluate(m, s.filter(~F.col("is_train"))).withColumns(
+        {"model": F.lit("forest"), "fit_seconds": F.lit(seconds)})
 
 
 def q_importance(spark, sf_dir):
@@ -750,3 +751,39 @@ def q_max_packets(spark, sf_dir):
     return w.groupBy("source", "chunk_id").agg(
         F.sum("number").cast("long").alias("packets"), F.count(F.lit(1)).alias("windows"),
         F.sum("tot_sum").cast("long").alias("bytes"))
+
+
+# ------------------------------------------------- exact quantiles, networks
+QUANTILES = [0.0, 0.05, 0.5, 0.9, 0.95, 0.999, 1.0]
+
+
+def q_exact_quantiles(spark, sf_dir):
+    """Exact quantiles of the fixed gate's scores and of the events' values."""
+    from netlens.operators.quantiles import exact_quantiles
+    scores = exact_quantiles(q_fixed_gate(spark, sf_dir), "anomaly_score", QUANTILES)
+    values = exact_quantiles(table(spark, sf_dir, "events"), "value", QUANTILES)
+    return spark.createDataFrame(list(zip(QUANTILES, scores, values)), "q double, score double, value double") \
+                .select("q", F.round("score", 9).alias("score"), F.round("value", 9).alias("value"))
+
+
+HOME_NET = ["10.0.0.0/24"]
+#: nested networks over the packets' addresses (name, cidr)
+NETWORKS = [("all", "0.0.0.0/0"), ("site", "10.0.0.0/8"), ("home", "10.0.0.0/24"), ("servers", "10.0.1.0/24"),
+            ("web", "10.0.1.4/30"), ("camera", "10.0.0.3")]
+#: (sid, direction, destination network, protocol, destination port)
+NETWORK_RULES = [(1, "inbound", "10.0.0.0/24", 6, None), (2, "outbound", "10.0.1.4/30", None, None),
+                 (3, "any", "10.0.0.3/32", None, None), (4, "outbound", "10.0.0.0/8", 6, 23),
+                 (5, "internal", "0.0.0.0/0", None, None)]
+
+
+def q_network_rules(spark, sf_dir):
+    from netlens.operators import networks as NW
+    rules = spark.createDataFrame(NETWORK_RULES, "sid int, direction string, dst_net string, proto int, dport int")
+    return NW.match_network_rules(fixture_packets(spark, sf_dir), rules, HOME_NET, ["source", "packet_no"])
+
+
+def q_longest_network(spark, sf_dir):
+    from netlens.operators import networks as NW
+    nets = spark.createDataFrame(NETWORKS, "network string, cidr string")
+    packets = fixture_packets(spark, sf_dir).select("source", "packet_no", "dip")
+    return NW.longest_match(packets, "dip", nets, ["source", "packet_no"])
