@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.functions.labels import label_scheme
-from netlens.operators.joins import join_small
+from netlens.operators.joins import BROADCAST_MAX_BYTES, is_small, join_small
 from netlens.session import cut_lineage
 from netlens.schema import DOWNSAMPLE_THRESHOLD, PER_CLASS_CAP, RANDOM_SEED
 
@@ -105,14 +105,17 @@ def rank_below(df: DataFrame, by: list[str], quota: DataFrame | int, key: str,
         F.max(F.when(ends, F.col("_quota") - F.col("_upto") + F.col("_cnt"))).alias("_need")))
     if not by:                                        # one group: its limits are literals
         return _rank_below_all(df, keyed, groups.first(), key, seed, flag)
-    inside = join_small(keyed, groups.filter(F.col("_quota") < F.col("_rows")), "_grp").filter(F.col("_b") == F.col("_end"))
+    # both joins are against rows of this table (one a group, with a draw and a key more)
+    few = is_small(groups, max_bytes=BROADCAST_MAX_BYTES // 2)
+    inside = join_small(keyed, groups.filter(F.col("_quota") < F.col("_rows")), "_grp",
+                        measured=few).filter(F.col("_b") == F.col("_end"))
     rank = F.row_number().over(Window.partitionBy("_grp", "_b").orderBy("_h", "_k"))
     last = (inside.withColumn("_r", rank).filter(F.col("_r") == F.col("_need"))
                   .select("_grp", F.struct("_h", "_k").alias("_last")))
     limits = groups.join(last, "_grp", "left").select(
         "_grp", "_last", (F.col("_quota") >= F.col("_rows")).alias("_all"))
     made = F.col("_all") | F.coalesce(_place(key, seed) <= F.col("_last"), F.lit(False))
-    out = join_small(d, limits, "_grp")
+    out = join_small(d, limits, "_grp", measured=few)
     out = out.filter(made) if flag is None else out.withColumn(flag, made)
     return out.drop("_last", "_all", "_grp")
 
@@ -165,14 +168,24 @@ def stratified_split(df: DataFrame, label: str, train_frac: float, key: str,
 
 
 def exclude_seen(df: DataFrame, seen: DataFrame, cols: list[str]) -> DataFrame:
-    """Rows of ``df`` whose value tuple never occurs in ``seen``.
+    """Rows of ``df`` whose value tuple never occurs in ``seen`` (J4), null equal to null.
 
-    Null-safe equality on every column, as a left anti join (sort-merge or
-    broadcast as AQE measures ``seen``).
+    The join keys are two 64-bit hashes of the tuple, the second of which also covers
+    which values are null; the values themselves are only compared where both hashes
+    meet.  Repeats in ``seen`` do no harm, so it is not made distinct first.
     """
-    s = seen.select(*[F.col(c).alias(f"_s_{c}") for c in cols]).distinct()
-    cond = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in cols]
-    return df.join(s, cond, "left_anti")
+    def keys(frame: DataFrame, cast: bool) -> list[Column]:
+        # values are hashed as the type they have in df; what does not fit it equals nothing there
+        v = [F.col(c).try_cast(df.schema[c].dataType) if cast else F.col(c) for c in cols]
+        return [F.xxhash64(*v), F.xxhash64(F.lit(1), *[x.isNull() for x in v], *v)]
+
+    h, s = keys(df, False), keys(seen, True)
+    right = seen.select(s[0].alias("_s_1"), s[1].alias("_s_2"), *[F.col(c).alias(f"_v_{c}") for c in cols])
+    # a count of differing values: no join key, as each of the comparisons would be
+    differ = sum((F.when(F.col(c).eqNullSafe(F.col(f"_v_{c}")), 0).otherwise(1) for c in cols), F.lit(0))
+    left = df.withColumns({"_h_1": h[0], "_h_2": h[1]})
+    return left.join(right, (F.col("_h_1") == F.col("_s_1")) & (F.col("_h_2") == F.col("_s_2")) & (differ == 0),
+                     "left_anti").drop("_h_1", "_h_2")
 
 
 def first_per_fingerprint(files: DataFrame, fp: str = "fp", order: str = "path") -> DataFrame:
@@ -238,17 +251,19 @@ def realistic_sample(full: DataFrame, sample: DataFrame, held: DataFrame, counts
     # the class table has one row per class, so its grand total is a small window
     plan = cut_lineage(counts.withColumn("_all", F.sum("n").over(Window.partitionBy()))
                        .select(label, "n", F.round(F.col("n") / F.col("_all") * test_total)
-                               .cast("long").alias("quota")))       # used six times
+                               .cast("long").alias("quota")))
+    few = is_small(plan)
     small = plan.filter(F.col("n") <= threshold)
     capped = plan.filter(F.col("n") > threshold).withColumn(
         "keep_p", F.least(F.lit(1.0), F.col("quota") / F.greatest(F.col("n") - cap, F.lit(1))))
-    part_a = rank_below(join_small(held, small.select(label), label, "left_semi"), [label],
+    part_a = rank_below(join_small(held, small.select(label), label, "left_semi", measured=few), [label],
                         small.select(label, "quota"), key, seed)
-    pool = join_small(full, capped.select(label), label, "left_semi")     # J5
-    unseen = exclude_seen(pool, sample, feature_cols)
-    drawn = (join_small(unseen, capped.select(label, "keep_p"), label)
-                   .filter(hash_unit(key, seed + 1) < F.col("keep_p")).drop("keep_p"))
-    part_b = rank_below(drawn, [label], capped.select(label, "quota"), key, seed)
+    # the draw does not depend on what was seen, so it comes first and the anti join
+    # meets drawn rows only (J5): about test_total of them, written once
+    drawn = (join_small(full, capped.select(label, "keep_p"), label, measured=few)
+             .filter(hash_unit(key, seed + 1) < F.col("keep_p")).select(*full.columns))
+    unseen = cut_lineage(exclude_seen(drawn, sample, feature_cols))
+    part_b = rank_below(unseen, [label], capped.select(label, "quota"), key, seed)
     return part_a.unionByName(part_b.select(*part_a.columns))
 
 

@@ -136,3 +136,43 @@ def test_null_groups_and_keys_keep_their_rows(spark):
     assert stratified_split(df, "label", 0.5, "id", by=["site"]).count() == 32
     assert {r["id"] for r in sample_n(df.where("label = 'a'"), 1, "id").collect()} == {None}
     assert sample_n(df.where("id is not null"), 7, "id").count() == 7
+
+
+def test_exclude_seen_types_and_null_places(spark):
+    from netlens.operators.sampling import exclude_seen
+    a = spark.createDataFrame([(1, 1, None, 0.0), (2, None, 1, 0.0), (3, 5, 5, -0.0), (4, 5, 6, float("nan")), (5, None, None, None)],
+                              "id int, x int, y int, z double")
+    # other types, repeats, values that do not fit an int, nulls in other places
+    s = spark.createDataFrame([(None, 1.0, 0.0), (5.0, 5.0, 0.0), (5.0, 5.0, 0.0), (1e30, 6.0, 1.0), (5.5, 6.0, float("nan"))],
+                              "x double, y double, z double")
+    assert sorted(r["id"] for r in exclude_seen(a, s, ["x", "y", "z"]).collect()) == [1, 4, 5]
+    assert exclude_seen(a, s, ["x", "y", "z"]).columns == a.columns
+    assert exclude_seen(a, s.limit(0), ["x", "y", "z"]).count() == 5
+
+
+def test_exclude_seen_joins_on_hashes(spark):
+    from netlens.operators.sampling import exclude_seen
+    a = spark.createDataFrame([(1, 1, 2)], "id int, x int, y int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = exclude_seen(a, a.select("x", "y"), ["x", "y"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert len(exchanges) == 2 and all(line.count("L,") + line.count("L)") >= 1 and "x#" not in line.split("hashpartitioning")[1]
+                                       for line in exchanges)
+
+
+def test_quota_builds_with_few_jobs(spark):
+    """A split writes and measures one group table, whatever the number of its joins."""
+    from netlens.operators import joins, sampling
+    calls = []
+    cut, small = sampling.cut_lineage, sampling.is_small
+    sampling.cut_lineage = lambda df: calls.append("cut") or cut(df)
+    sampling.is_small = lambda df, **kw: calls.append("size") or small(df, **kw)
+    inner, joins.cut_lineage = joins.cut_lineage, lambda df: calls.append("join") or cut(df)
+    try:
+        sampling.stratified_split(spark.range(500).selectExpr("id", "id % 3 AS label"), "label", 0.8, "id")
+    finally:
+        sampling.cut_lineage, sampling.is_small, joins.cut_lineage = cut, small, inner
+    assert calls == ["cut", "size"]
