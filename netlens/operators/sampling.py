@@ -112,8 +112,9 @@ def rank_below(df: DataFrame, by: list[str], quota: DataFrame | int, key: str,
     rank = F.row_number().over(Window.partitionBy("_grp", "_b").orderBy("_h", "_k"))
     last = (inside.withColumn("_r", rank).filter(F.col("_r") == F.col("_need"))
                   .select("_grp", F.struct("_h", "_k").alias("_last")))
-    limits = groups.join(last, "_grp", "left").select(
-        "_grp", "_last", (F.col("_quota") >= F.col("_rows")).alias("_all"))
+    # written once: callers use the result more than once (both sides of a split)
+    limits = cut_lineage(groups.join(last, "_grp", "left").select(
+        "_grp", "_last", (F.col("_quota") >= F.col("_rows")).alias("_all")))
     made = F.col("_all") | F.coalesce(_place(key, seed) <= F.col("_last"), F.lit(False))
     out = join_small(d, limits, "_grp", measured=few)
     out = out.filter(made) if flag is None else out.withColumn(flag, made)
