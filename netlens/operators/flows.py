@@ -37,8 +37,18 @@ def with_chunk(packets: DataFrame, limit_bytes: int = CHUNK_BYTES,
 
     The packet source computes the exact chunk (the record that reaches the
     limit opens a new chunk and is not counted) while walking record
-    headers; this closed form matches it up to the first boundary.
+    headers; this closed form matches it up to the first boundary, and
+    :func:`netlens.operators.chunks.with_exact_chunk` throughout.
     """
+    return (running_bytes(packets, block_rows, order, size)
+            .withColumn("chunk_id", F.floor(F.col("run_bytes") / F.lit(float(limit_bytes))).cast("long"))
+            .drop("run_bytes"))
+
+
+def running_bytes(packets: DataFrame, block_rows: int = 1 << 20, order: str = "packet_no",
+                  size: str = "frame_len") -> DataFrame:
+    """``run_bytes`` (bytes of the capture up to and with the record), ``kept_pos`` and
+    ``record_no`` by the two-level prefix sum of :func:`with_chunk`."""
     kept = F.col("keep").cast("long") if "keep" in packets.columns else F.lit(1).cast("long")
     blk = F.floor(F.col(order) / F.lit(block_rows)).cast("long")
     p = packets.withColumns({"_blk": blk, "_kept": kept})
@@ -53,11 +63,10 @@ def with_chunk(packets: DataFrame, limit_bytes: int = CHUNK_BYTES,
         F.coalesce(F.sum("_blk_n").over(w_off), F.lit(0)).alias("_off_n"))
     w_in = Window.partitionBy("source", "_blk").orderBy(order).rowsBetween(UNBOUNDED, CURRENT)
     return (p.join(offsets, ["source", "_blk"])
-             .withColumns({"_run": F.col("_off_bytes") + F.sum(size).over(w_in),
+             .withColumns({"run_bytes": F.col("_off_bytes") + F.sum(size).over(w_in),
                            "kept_pos": F.col("_off_kept") + F.sum("_kept").over(w_in),
                            "record_no": F.col("_off_n") + F.count(F.lit(1)).over(w_in)})
-             .withColumn("chunk_id", F.floor(F.col("_run") / F.lit(float(limit_bytes))).cast("long"))
-             .drop("_blk", "_kept", "_off_bytes", "_off_kept", "_off_n", "_run"))
+             .drop("_blk", "_kept", "_off_bytes", "_off_kept", "_off_n"))
 
 
 def flow_key_cols() -> dict[str, Column]:

@@ -61,6 +61,7 @@ QUERIES = {
     "t06_first_signatures": Q.q_first_signatures,
     # packets, flows, windows
     "w02_chunk_ids": Q.q_chunk_ids,
+    "w02_exact_chunk_ids": Q.q_exact_chunk_ids,
     "w01_window_ids": Q.q_window_ids,
     "w03_flow_state": Q.q_flow_state,
     "w07_capture_iat": Q.q_capture_iat,

@@ -787,6 +787,23 @@ cv AS (
 
 ORACLE_PACKETS = {
     "w02_chunk_ids": with_ctes(PACKETS_CTE) + "\nSELECT source, packet_no, chunk_id FROM chunked",
+    "w02_exact_chunk_ids": f"""
+WITH RECURSIVE {PACKETS_CTE.strip().rstrip(",")},
+running AS (
+  SELECT source, packet_no,
+         CAST(sum(frame_len) OVER (PARTITION BY source ORDER BY packet_no) AS BIGINT) AS run
+  FROM packets
+),
+opens AS (
+  SELECT DISTINCT source, CAST(0 AS BIGINT) AS chunk_id, CAST(0 AS BIGINT) AS run,
+         CAST({FIXTURE_CHUNK_BYTES} AS BIGINT) AS need
+  FROM running
+  UNION ALL
+  SELECT o.source, o.chunk_id + 1, r.run, r.run + {FIXTURE_CHUNK_BYTES}
+  FROM opens o ASOF JOIN running r ON o.source = r.source AND o.need <= r.run
+)
+SELECT r.source, r.packet_no, o.chunk_id
+FROM running r ASOF JOIN opens o ON r.source = o.source AND r.run >= o.run""",
     "w01_window_ids": _FLOWROWS + "\nSELECT source, packet_no, chunk_id, window_id FROM flowrows",
     "w03_flow_state": _FLOWROWS + """
 SELECT source, packet_no, chunk_id, lo_ip, lo_port, hi_ip, hi_port, dur_us, iat_ns, is_fwd,

@@ -362,6 +362,7 @@ def q_first_signatures(spark, sf_dir):
 from netlens.functions.decode import packet_features, protocol_name  # noqa: E402
 from netlens.operators import flows as FL  # noqa: E402
 from netlens.operators import windows as WN  # noqa: E402
+from netlens.operators.chunks import with_exact_chunk  # noqa: E402
 
 
 def chunked_packets(spark, sf_dir):
@@ -376,6 +377,11 @@ def q_chunk_ids(spark, sf_dir):
     return chunked_packets(spark, sf_dir).select("source", "packet_no", "chunk_id")
 
 
+def q_exact_chunk_ids(spark, sf_dir):
+    p = with_exact_chunk(fixture_packets(spark, sf_dir), FIXTURE_CHUNK_BYTES)
+    return p.select("source", "packet_no", "chunk_id")
+
+
 def q_window_ids(spark, sf_dir):
     return packet_rows(spark, sf_dir).select("source", "packet_no", "chunk_id", "window_id")
 
