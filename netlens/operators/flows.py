@@ -115,6 +115,13 @@ def with_flow_state(packets: DataFrame) -> DataFrame:
         "_cd": F.sum("_d").over(run),
         "_n": F.count(F.lit(1)).over(run),
     })
+    return flow_rates(p)
+
+
+def flow_rates(p: DataFrame) -> DataFrame:
+    """Direction counts and rates (W4, W6) from the running columns ``dur_us``, ``_d``
+    (sent by the key's low endpoint), ``_d0`` (the flow's first ``_d``), ``_cd`` (sum of
+    ``_d``) and ``_n`` (packets so far)."""
     first_low = F.col("_d0") == 1
     p = p.withColumns({
         "is_fwd": (F.col("_d") == F.col("_d0")).cast("int"),

@@ -8,6 +8,8 @@
   (source, chunk)), so no state crosses batches; ``foreachBatch`` writes
   each batch into its own ``batch_id`` folder with overwrite, so a replayed
   batch replaces itself (exactly once);
+* capture scoring over chunks that land in pieces (ST5): the open window and the
+  flows of each chunk are managed state (:mod:`netlens.streaming.chunk_windows`);
 * dashboard timeline (ST6): event-time 10 s windows with a watermark,
   update mode.
 """
@@ -22,9 +24,10 @@ from pyspark.sql.streaming import StreamingQuery
 from netlens.functions.decode import decode_frames
 from netlens.functions.features import engineer
 from netlens.operators import alerts as AL
-from netlens.operators.windows import windows_from_packets
+from netlens.operators.windows import window_summary, windows_from_packets
 from netlens.sources.pcap import PCAP_SCHEMA
 from netlens.sources.tail import stream_lines
+from netlens.streaming.chunk_windows import start_once, stream_packet_rows
 
 
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
@@ -66,8 +69,11 @@ def score_batch(batch: DataFrame, score: Callable[[DataFrame], DataFrame],
     ``is_anomaly`` and ``attack_type``; the result is in the alert schema,
     its ``ts`` the processing time of the batch (ST2), plus the window key.
     """
-    pk = decode_frames(batch)
-    win = windows_from_packets(pk, chunk_bytes=chunk_bytes)
+    return score_windows(windows_from_packets(decode_frames(batch), chunk_bytes=chunk_bytes), score)
+
+
+def score_windows(win: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Window rows -> alert rows (see :func:`score_batch`)."""
     eng = engineer(win, keep=["source", "chunk_id", "window_id"])
     det = AL.to_detail(score(eng))
     return (AL.only_alerts(det)
@@ -98,6 +104,19 @@ def run_capture_scoring(spark: SparkSession, landed: str, sink: str, checkpoint:
     return w.start()
 
 
+def run_piecewise_scoring(spark: SparkSession, landed: str, sink: str, checkpoint: str,
+                          score: Callable[[DataFrame], DataFrame], idle: float = 600.0,
+                          once: bool = True) -> StreamingQuery:
+    """:func:`run_capture_scoring` for raw-record tables whose chunks may be cut over several
+    files (ST5): every window is scored once, when it is whole or its chunk has been idle."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        score_windows(window_summary(batch), score).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    rows = stream_packet_rows(decode_frames(stream_packets(spark, landed)), idle=idle)
+    w = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append")
+    return start_once(w) if once else w.trigger(processingTime="10 seconds").start()
+
+
 def timeline_by_label(alerts: DataFrame, width: str = "10 seconds") -> DataFrame:
     """Alerts per event-time bin and label: the aggregation of ST6, batch or stream."""
     return (alerts.groupBy(F.window("ts", width).alias("bin"), "label")
