@@ -21,7 +21,8 @@ it over all tasks.
 
 A document order of (key, hash of the text) makes repeated keys well defined:
 rows equal in both are one document and get the same answer; a null key comes
-first.  Null and short texts lose nothing.  Texts are read whole.
+first.  Keys are of any type that sorts: whole numbers are used as they are, others
+(text by its UTF-8 bytes) get numbers in their order from one distributed sort.  Null and short texts lose nothing.  Texts are read whole.
 """
 from __future__ import annotations
 
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from netlens.llm.common import materialize, slices
 
@@ -41,6 +43,7 @@ SLICE_BITS = 20                  # log2 of the bits one task of the filter build
 TASK_ROWS = 16_000               # slices a suffix-sorting task is meant to hold
 HOT_ROWS = 20_000
 BATCH_BYTES = 1 << 18
+NULL_KEY = -(1 << 63)            # a null key comes first
 SEEN_SLICES = 1 << 20            # slices a worker remembers to find equal ones
 
 _rng = np.random.Generator(np.random.Philox(key=2003))
@@ -112,10 +115,16 @@ def _documents(batches, length: int):
 
 
 def _source(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, o1, o2, text): o1, o2 order the documents."""
+    """(key, o1, o2, text): o1, o2 order the documents.  o1 is the key if that is a whole
+    number, else a number in the order of the keys, written once."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("o1"), F.xxhash64(t).alias("o2"),
-                     t.alias("text"))
+    src = df.select(F.col(key).alias("key"), F.xxhash64(t).alias("o2"), t.alias("text"))
+    if isinstance(df.schema[key].dataType, IntegralType):
+        return src.select("key", F.coalesce(F.col("key").cast("long"), F.lit(NULL_KEY)).alias("o1"), "o2", "text")
+    places = materialize(src.where("key is not null").select(F.col("key").alias("place")).distinct().sort("place")
+                            .withColumn("o1", F.monotonically_increasing_id()), "places")
+    return (src.join(places, F.col("key") == F.col("place"), "left")
+               .select("key", F.coalesce("o1", F.lit(NULL_KEY)).alias("o1"), "o2", "text"))
 
 
 def _bits(key: np.ndarray, bits: int):
@@ -370,10 +379,14 @@ def _single_windows(rows: DataFrame, length: int) -> DataFrame:
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH,
             bits: int = BLOOM_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(o1, o2, start, n): n windows from byte start on also start earlier."""
+    """(o1, o2, start, n): n windows from byte start on also start earlier.  o1 is a whole-number
+    key (a null one the least long), o2 ``xxhash64`` of the text."""
+    return _repeats(_source(df, key, text), length, bits, hot_rows)
+
+
+def _repeats(src: DataFrame, length: int, bits: int = BLOOM_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
     if length < GRAM:
         raise ValueError(f"strings of at least {GRAM} bytes")
-    src = _source(df, key, text)
     found = materialize(_slices(src, _filter(src, length, bits), length, bits), "slices")
     copies = found.where("slice is null").select("o1", "o2", "start", "n")
     shipped = found.where("slice is not null")
@@ -404,9 +417,10 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH,
            with_text: bool = False, **options) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) for every row."""
-    found = repeats(df, key, text, length, **options)
+    src = _source(df, key, text)
+    found = _repeats(src, length, **options)
     per_doc = materialize(found.groupBy("o1", "o2").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "per_doc")
-    joined = _source(df, key, text).join(per_doc, ["o1", "o2"], "left").select("key", "text", "runs")
+    joined = src.join(per_doc, ["o1", "o2"], "left").select("key", "text", "runs")
     names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def run(batches):

@@ -68,6 +68,22 @@ def test_matches_brute_force(spark, hot_rows):
     assert sum(w[2] for w in want) > 1000
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(20,1)"])
+def test_keys_of_other_types(spark, kind):
+    """Text keys sort by their bytes ("10" before "9"), decimals by value; a null key comes first,
+    repeated ones tie by their text, and columns named as the operator's own do no harm."""
+    rows = corpus(5, 24)
+    df = spark.createDataFrame([(d, t, "k", 1) for d, t in rows], "id long, text string, o1 string, runs int").repartition(4)
+    df = df.withColumn("doc_id", df["id"].cast(kind)).withColumn("place", df["o1"]).drop("id")
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove(df).collect())
+    names = sorted({d for d, _ in rows if d is not None}, key=str if kind == "string" else int)
+    order = {d: i for i, d in enumerate(names)}
+    shown = {d: str(d) if kind == "string" else f"{d}.0" for d in names} | {None: "None"}
+    want = brute([(order.get(d), t) for d, t in rows])
+    assert got == sorted((shown[d], *w) for (d, _), w in zip(rows, want))
+    assert sum(w[2] for w in got) > 300
+
+
 def test_every_period(spark):
     """A block that recurs at once, of every size up to one more than a window."""
     rng = random.Random(11)
