@@ -38,7 +38,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
     stay = (numbered.select("_row", "doc_id").join(member, "_row").groupBy("_group").agg(first.alias("first"))
                     .select("first._row"))
-    return _documents(numbered.join(materialize(stay, "stay"), "_row", "left_semi"))
+    # one bit a row number: texts stay where they lie while the bits fit Spark's broadcast limit
+    bucket, place = F.bitmap_bucket_number("_row"), F.bitmap_bit_position("_row")
+    bits = materialize(stay.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_bits")), "stay")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return _documents(numbered.withColumn("_bucket", bucket).join(bits, "_bucket")
+                              .where(F.getbit(byte, (place % 8).cast("int")) == 1))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,9 @@ tasks.  The tree works on quotas, never on rows: at most ``MAX_BLOCKS`` blocks
 plus one per source, each looked at once a level.  The source table (one row a
 source) is the only thing read in one task.
 
+Rows that keep their text are not written a second time: their sizes are, and the
+rows are read again from the input, which must hold the same rows both times.
+
 Null texts have size 0; sources of size 0 take nothing; an empty table gives an
 empty mix.  Repeated rows are separate rows of the stream.  Other columns travel
 along untouched.
@@ -114,10 +117,19 @@ def _plan(sized: DataFrame, shards: int, max_epochs: int, seed: int) -> DataFram
     return materialize(s.join(dealt, "place").withColumn("runs", runs).drop("d"), "plan")
 
 
-def _offsets(rows: DataFrame) -> DataFrame:
-    """``before``: the words of the source's rows that come earlier in its random order."""
+def _bucketed(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows with their source's plan and their bucket and group in its random order."""
+    rows = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+    draw: Column = F.conv(F.substring("ord", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return rows.withColumn("bucket", F.floor(draw * F.ceil(F.col("rows") / BUCKET_ROWS)).cast("long")) \
+               .withColumn("group", F.floor(F.col("bucket") / GROUP_BUCKETS).cast("long"))
+
+
+def _offsets(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``before``: the words of the source's rows that come earlier in its random order.
+    ``sizes``: the same rows, for the sums by bucket."""
     at = ["place", "group", "bucket"]
-    totals = materialize(rows.groupBy(*at).agg(F.sum("size").alias("words")), "buckets")
+    totals = materialize(sizes.groupBy(*at).agg(F.sum("size").alias("words")), "buckets")
     groups = totals.groupBy("place", "group").agg(F.sum("words").alias("words"))
     earlier = lambda *by, order: W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
@@ -133,13 +145,13 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         seed: int = SEED) -> DataFrame:
     """One row per input row: ``row`` (its columns, or those in ``keep``), size, source_size, target and
     ``pieces``: what the mix takes of it, as (epoch, shard, n_words) in epoch order."""
-    sized = materialize(_sized(df, key, text, source, keep, seed), "sized")
-    plan = _plan(sized, shards, max_epochs, seed)
-    rows = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    draw: Column = F.conv(F.substring("ord", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    rows = rows.withColumn("bucket", F.floor(draw * F.ceil(F.col("rows") / BUCKET_ROWS)).cast("long")) \
-               .withColumn("group", F.floor(F.col("bucket") / GROUP_BUCKETS).cast("long"))
-    rows = _offsets(rows)
+    sized = _sized(df, key, text, source, keep, seed)
+    if text in (keep or df.columns):
+        sizes = materialize(sized.drop("row"), "sizes")
+    else:
+        sized = sizes = materialize(sized, "sized")
+    plan = _plan(sizes, shards, max_epochs, seed)
+    rows = _offsets(_bucketed(sized, plan), _bucketed(sizes, plan))
     start = lambda e: e * F.col("source_size") + F.col("before")
     drawn = lambda e, r: F.least(r["hi"], start(e) + F.col("size")) - F.greatest(r["lo"], start(e))
     pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda e: F.transform(

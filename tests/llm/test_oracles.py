@@ -78,6 +78,18 @@ def test_mix_blocks_and_shards(spark):
         assert 0 <= words[r["source"]] - r["t"] < 16
 
 
+def test_mix_writes_no_second_copy_of_the_texts(spark, monkeypatch):
+    from netlens.llm import mixing
+    df = spark.createDataFrame([(i, "w " * (i % 17), f"s{i % 3}" if i % 5 else None) for i in range(400)] * 2 + [(None, None, None)],
+                               "doc_id long, text string, source string")
+    written, write = {}, mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda d, name: written.setdefault(name, d) and write(d, name))
+    rows = lambda m: sorted((str(r["row"]["doc_id"]), r["size"], str(r["pieces"])) for r in m.collect())
+    whole = rows(mixing.mix(df))
+    assert written and not [n for n, d in written.items() if "text" in d.schema.simpleString()]
+    assert len(whole) == 801 and whole == rows(mixing.mix(df, keep=["doc_id"]))
+
+
 def test_mix_goes_through_its_tree(spark, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -67,3 +67,23 @@ def test_odd_tables(spark, tmp_path, rows):
         assert texts and all("@" not in t for t in texts)
     else:
         assert out == []
+
+
+@pytest.mark.parametrize("limit", ["24k", "-1"])
+def test_near_duplicates_leave_texts_where_they_lie(spark, tmp_path, limit):
+    # 17,000 texts twice, in one file: row numbers of two bitmaps; 17,000 row numbers
+    # are over the broadcast limit of 24 KB, their bits are under it
+    spark.range(0, 34_000, 1, 1).selectExpr(
+        "id AS doc_id", "concat(md5(cast(id % 17000 AS string)), ' ', sha1(cast(id % 17000 AS string))) AS text",
+        "'en' AS lang", "'s' AS source", "73L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        one = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        kept = sorted(r["doc_id"] for r in one.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert kept == list(range(17_000))
+    assert ("hashpartitioning" in plan) == (limit == "-1")
