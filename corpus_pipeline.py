@@ -58,9 +58,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row and the digest of what they decode to."""
+    """Token ids of every row and the digest of what they decode to.  The ids are
+    written first, so that a task has one Python worker at a time."""
     path = vocabulary()
-    both = bpe.decode(bpe.encode(docs, path), path)
+    both = bpe.decode(materialize(bpe.encode(docs, path), "ids"), path)
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.col("text"), 256).alias("decoded_sha256"))
 

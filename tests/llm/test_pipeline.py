@@ -87,3 +87,11 @@ def test_near_duplicates_leave_texts_where_they_lie(spark, tmp_path, limit):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert kept == list(range(17_000))
     assert ("hashpartitioning" in plan) == (limit == "-1")
+
+
+def test_tokens_hold_one_python_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "some words"), (1, "some words"), (None, None), (2, "")], "doc_id long, text string")
+    out = corpus_pipeline.tokens(spark, docs, SF)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted(r["decoded_sha256"] for r in out.collect()) == sorted(map(digest, ["some words", "some words", "", ""]))
